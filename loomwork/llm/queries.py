@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from loomwork.llm import packing, secrets
+from loomwork.llm import language, packing, secrets
 
-MODULES = [secrets, packing]
+MODULES = [secrets, language, packing]
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in MODULES for k, s in m.ORACLES.items()}
