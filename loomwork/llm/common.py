@@ -55,3 +55,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def text_crc32(text):
     """Unsigned CRC-32 of the UTF-8 bytes; null for null."""
     return F.crc32(text.cast("binary"))
+
+
+def join_counted(left: DataFrame, right: DataFrame, on: list[str], count: str, total: int, how: str = "left") -> DataFrame:
+    """left joined with right, which has each key of `on` once and in `count` the number of left's rows with it.
+
+    Keys with a 64th of left's `total` rows or more (64 keys at most) are broadcast, so no task gets all rows of a hot key.
+    """
+    from_ = max(2, -(-total // 64))
+    hot = F.broadcast(right.filter(F.col(count) >= from_).withColumn("__hot", F.lit(True)))
+    marked = left.join(hot, on, "left")
+    cool = marked.filter("__hot is null").select(*left.columns).join(right.filter(F.col(count) < from_), on, how)
+    return cool.unionByName(marked.filter("__hot").drop("__hot"))

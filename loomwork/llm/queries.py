@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from loomwork.llm import language, packing, secrets, sharding, urls
+from loomwork.llm import jaccard, language, packing, secrets, sharding, urls
 
-MODULES = [secrets, language, urls, sharding, packing]
+MODULES = [secrets, language, urls, jaccard, sharding, packing]
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in MODULES for k, s in m.ORACLES.items()}
