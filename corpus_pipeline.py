@@ -1,4 +1,67 @@
-"""The document pipeline: stages that each apply one training-data operator."""
+"""The document pipeline: language, near duplicates, secrets, mixing and packing, each stage on all that the one before kept."""
 
-STAGES: list = []
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomwork.llm import common, jaccard, language, mixing, packing, secrets
+
+#: Keys of removed near duplicates are broadcast only up to this many.
+BROADCAST_KEYS = 500_000
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a known language: those that the models reject, or that have no letter, go."""
+    common.ship(spark)
+    found = language.predict(docs, language.train(docs))
+    return found.filter(~F.col("lang_rejected")).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group that n-gram similarity links, the document with the smallest doc_id; of repeated rows, one."""
+    common.ship(spark)
+    groups = common.table(jaccard.jaccard_components(docs), "groups")
+    gone = groups.filter("doc_id <> component_id").select("doc_id").distinct()
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_KEYS else gone
+    kept = docs.join(gone, "doc_id", "left_anti")
+    if not groups.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1").isEmpty():
+        kept = kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id is null"))
+    return kept.select(*docs.columns)
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets replaced by a mark and n_chars as it then is."""
+    common.ship(spark)
+    cleaned = secrets.redact(docs, secrets.train(docs))
+    size = F.coalesce(F.char_length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars"))
+    return cleaned.withColumn("n_chars", size).select(*docs.columns)
+
+
+def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its source's target weight asks, globally shuffled."""
+    common.ship(spark)
+    return mixing.mix(docs).select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token sequences of power-of-two lengths."""
+    common.ship(spark)
+    return packing.pack(docs, packing.default_tokenizer())
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("near_duplicates", near_duplicates),
+    ("secret_scan", secret_scan),
+    ("mixing", mixing_sources),
+    ("packing", pack),
+]
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.documents(spark, sf_dir)
+    for name, stage in STAGES[:-1]:
+        docs = common.table(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
