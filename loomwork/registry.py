@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from loomwork import core
+from loomwork.plans import aggregates, filters, joins, scans, windows  # noqa: F401  they register themselves
+
+QUERIES = core.QUERIES
+ORACLES = core.ORACLES
