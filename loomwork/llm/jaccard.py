@@ -4,7 +4,7 @@ Two sets whose symmetric difference is at most d agree in one of d + 1 segments,
 left out, differ by at most one element in such a segment. Sets are banded by size; in a band every n-gram falls by its hash into one
 of m segments, and a set is indexed under the hash of each segment's subset. Bands of small sets, where segments hold one or two
 elements, also index the subsets with one element left out. A set has more segments than it needs; what it has to spare is spent on
-leaving out its most crowded ones. Candidates are verified on the full sets.
+leaving out those that it shares with the most others. Candidates are verified on the full sets.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomwork.llm import arrays, common
@@ -24,11 +24,11 @@ WORDS = 5
 #: Ratio of the sizes at a band's ends, and up to which size a band has one-deletion neighbourhoods.
 BAND_RATIO = 1.8
 DELETION_SIZE = 64
-#: Groups of more sets than this are crowded: sets leave them out as far as the others suffice.
-CROWDED = 64
 #: Index entries that one bucket holds on average.
 BUCKET_ENTRIES = 1_500_000
 FLUSH_ENTRIES = 1_000_000
+#: Rounds in which each set of a group with several components is compared with one more set of another.
+ROUNDS = 3
 #: Comparisons with one set that a task makes in a row.
 CENTRE_PAIRS = 200
 
@@ -238,11 +238,29 @@ def crowds(packed: DataFrame) -> DataFrame:
 
 
 def with_choice(groups: DataFrame, classes: DataFrame) -> DataFrame:
-    """Add `kept`: false where a set spends what it has to spare on leaving out a crowded group, the most crowded first."""
-    crowded = groups.filter(F.col("k") > CROWDED).join(classes.select("cls", "spare"), "cls")
+    """Add `kept`: false where a set spends what it has to spare on leaving out a group, the largest first. Groups that no set keeps
+    are dropped: linked sets share entries that the one keeps, and entries that the other keeps."""
     most = Window.partitionBy("cls").orderBy(F.desc("k"), "grp").rowsBetween(Window.unboundedPreceding, 0)
-    crowded = crowded.withColumn("kept", F.sum("entries").over(most) > F.col("spare")).drop("spare")
-    return groups.filter(F.col("k") <= CROWDED).withColumn("kept", F.lit(True)).unionByName(crowded)
+    chosen = groups.join(classes.select("cls", "spare", "n"), "cls").withColumn("kept", F.sum("entries").over(most) > F.col("spare")).drop("spare")
+    return chosen.withColumn("any", F.max("kept").over(Window.partitionBy("grp"))).filter("any").drop("any")
+
+
+def least_shared(small: Column, large: Column, percent: int) -> Column:
+    """Entries that the smaller of two linked sets keeps and the larger must share. The smaller keeps one more than it may differ in
+    from its largest partner, and from this one it differs in fewer. (One in bands with deletions, where entries weigh unequally.)"""
+    differ = lambda other: F.floor((100 - percent) * (small + other) / (100 + percent))
+    return F.when(small <= DELETION_SIZE, 1).otherwise(differ(F.floor(100 * small / percent)) + 1 - differ(large))
+
+
+def across(mixed: DataFrame, percent: int) -> DataFrame:
+    """All pairs (a, b) of sets in different components that share entries enough to be linked."""
+    other = mixed.select("grp", *(F.col(c).alias(f"b_{c}") for c in ("cls", "kept", "component", "n")))
+    met = mixed.join(other, "grp").filter("component < b_component").filter(100 * F.least("n", "b_n") >= percent * F.greatest("n", "b_n"))
+    pairs = met.groupBy(F.col("cls").alias("a"), F.col("b_cls").alias("b"), "n", "b_n").agg(F.sum(F.when(F.col("kept"), F.col("entries")).otherwise(0)).alias("of_a"), F.sum(F.when(F.col("b_kept"), F.col("entries")).otherwise(0)).alias("of_b"))
+    least = least_shared(F.least("n", "b_n"), F.greatest("n", "b_n"), percent)
+    a_least = F.when(F.col("n") <= F.col("b_n"), least).otherwise(1)
+    b_least = F.when(F.col("b_n") <= F.col("n"), least).otherwise(1)
+    return pairs.filter((F.col("of_a") >= a_least) & (F.col("of_b") >= b_least)).select("a", "b")
 
 
 def verify(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -334,7 +352,7 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", p
     rows = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     sets = common.table(profile(rows, percent), "sets")
     facts = sets.agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("n")).first()
-    classes = common.table(sets.filter("n > 0").groupBy("cls").agg(F.min("key").alias("least"), F.first("spare").alias("spare"), F.count(F.lit(1)).alias("copies")), "classes")
+    classes = common.table(sets.filter("n > 0").groupBy("cls").agg(F.min("key").alias("least"), F.first("spare").alias("spare"), F.first("n").alias("n"), F.count(F.lit(1)).alias("copies")), "classes")
     buckets = max(1, int(facts["n"] or 0) // BUCKET_ENTRIES)
     groups = crowds(index(rows, buckets, percent)).groupBy("grp", "cls").agg(F.sum("entries").alias("entries"))
     groups = common.table(groups, "groups")
@@ -347,23 +365,36 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", p
         return rows.join(which, "key").select("cls", "text")
 
     texts = common.table(texts_of(groups.select("cls").distinct()), "texts")
+    links = unsure_links(rows, classes, texts_of, percent)
+    where, tested = None if links is None else common.table(components(links, "a", "b"), "components"), None
     hub = Window.partitionBy("grp")
-    star = groups.withColumn("hub", F.min(F.struct("cls", "kept")).over(hub)).filter("cls <> hub.cls and (kept or hub.kept)")
-    pairs = common.table(star.select(F.col("hub.cls").alias("a"), F.col("cls").alias("b")).distinct(), "star_pairs")
-    links = common.table(verify(pairs, texts, percent), "star_links")
-    if (more := unsure_links(rows, classes, texts_of, percent)) is not None:
-        links = links.unionByName(more)
-    where = common.table(components(links, "a", "b"), "components")
-    named = groups.join(where.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    mixed = named.withColumn("least", F.min("component").over(hub)).withColumn("most", F.max("component").over(hub)).filter("least < most").select("grp", "cls", "kept", "component")
-    mixed = common.table(mixed, "mixed")
-    other = mixed.toDF("grp", "b", "b_kept", "b_component")
-    across = mixed.withColumnRenamed("cls", "a").join(other, "grp").filter("a < b and component <> b_component and (kept or b_kept)").select("a", "b").distinct()
-    left = common.table(across.join(pairs, ["a", "b"], "left_anti"), "cross_pairs")
-    if not left.isEmpty():
-        links = links.unionByName(common.table(verify(left, texts, percent), "cross_links"))
+    for number in range(ROUNDS + 1):
+        named = groups.withColumn("component", F.col("cls"))
+        if where is not None:
+            named = groups.join(where.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+        mixed = named.withColumn("least", F.min("component").over(hub)).withColumn("most", F.max("component").over(hub)).filter("least < most").drop("least", "most")
+        mixed = common.table(mixed, f"mixed_{number}")
+        if number < ROUNDS:
+            star = mixed.withColumn("hub", F.min(F.struct("component", "cls", "kept")).over(hub)).filter("component <> hub.component and (kept or hub.kept)")
+            pairs = star.groupBy(F.col("hub.cls").alias("a"), F.col("cls").alias("b")).agg(F.sum("entries").alias("shared"))
+        else:
+            pairs = across(mixed, percent)
+        if tested is not None:
+            pairs = pairs.join(tested.unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti")
+        if number < ROUNDS:
+            pairs = pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a")).select("a", "b")
+        pairs = common.table(pairs, f"pairs_{number}")
+        if pairs.isEmpty():
+            if number < ROUNDS:
+                continue
+            break
+        found = common.table(verify(pairs, texts, percent), f"links_{number}")
+        links = found if links is None else links.unionByName(found)
+        tested = pairs if tested is None else tested.unionByName(pairs)
         where = common.table(components(links, "a", "b"), "components")
-    known = classes.join(where.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    known = classes.withColumn("component", F.col("cls"))
+    if where is not None:
+        known = classes.join(where.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     known = known.withColumn("component_id", F.min("least").over(Window.partitionBy("component"))).select("cls", "component_id", "copies")
     some = common.join_counted(sets.filter("n > 0").select("key", "n", "cls"), known, ["cls"], "copies", facts["rows"])
     none = sets.filter("n = 0").select("key", "n", F.col("key").alias("component_id"))

@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from loomwork.llm import arrays, common
 from loomwork.llm.packing import cache_of, default_tokenizer
 
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 400_000
+#: Rows whose trees are unpacked at a time.
+ROWS = 100
 #: A leaf that edits have made longer than this many characters makes its document's tree be built anew.
 LEAF_CHARS = 2048
 WORDS = re.compile(r"[^\x20\x09-\x0D]+").findall
@@ -149,7 +151,7 @@ def apply_edits(trees: DataFrame, tokenizer_path: str, key: str = "doc_id", edit
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = word_counter(tokenizer_path)
-        for batch in batches:
+        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
             out: list[list] = [[] for _ in range(7)]
             for text, chars, tokens, log in zip(*(batch.column(c).to_pylist() for c in ("text", "chars_tree", "tokens_tree", "edits")), strict=True):
                 tree = Tree(np.frombuffer(chars, np.int32).copy(), np.frombuffer(tokens, np.int32).copy())

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from loomwork import core
-from loomwork.plans import aggregates, filters, joins, mutations, ordering, scans, sets, understanding, windows  # noqa: F401  they register themselves
+from loomwork.plans import aggregates, filters, joins, mutations, ordering, scans, sets, texts, understanding, windows  # noqa: F401  they register themselves
 
 QUERIES = core.QUERIES
 ORACLES = core.ORACLES
