@@ -7,19 +7,20 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Words that a catalog request does without, and accented letters that the metric normalisers keep.
 STOP_WORDS = ("a", "an", "the", "of", "for", "me", "ma", "sɛ", "se", "kg")
 ACCENTED = "ɛɔáàâäéèêëíìîïóòôöúùûüńŋ"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(text: pd.Series) -> pd.Series:
     """Composed Unicode form; texts in ASCII pass unchanged."""
     return text.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFC", x))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     """Composed compatibility form; texts in ASCII pass unchanged."""
     return text.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFKC", x))

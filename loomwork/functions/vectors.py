@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Frame and hop in samples, sub-bands, dimensions, silence level and least voiced frames of speaker features.
 FRAME, HOP, BANDS, DIMENSIONS, SILENCE, LEAST_FRAMES = 400, 160, 12, 64, 0.005, 5
@@ -54,7 +55,7 @@ def peak_normal(v: Column) -> Column:
     return F.transform(v, lambda x: x * F.least(0.95 / F.when(peak == 0, 1.0).otherwise(peak), F.lit(1.5)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def to_base64(v: pd.Series) -> pd.Series:
     """Little-endian 32-bit floats in base64."""
     import base64
@@ -62,7 +63,7 @@ def to_base64(v: pd.Series) -> pd.Series:
     return v.map(lambda x: None if x is None else base64.b64encode(np.asarray(x, "<f4").tobytes()).decode())
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(T.ArrayType(T.FloatType()))
 def from_base64(text: pd.Series) -> pd.Series:
     import base64
 
@@ -91,6 +92,6 @@ def features_of(samples: np.ndarray) -> np.ndarray | None:
     return out / (np.sqrt((out**2).sum()) or 1.0)
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def speaker_features(v: pd.Series) -> pd.Series:
     return v.map(lambda x: None if x is None else features_of(np.asarray(x)))

@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 CHUNK, LIVE = 160, 28
 
@@ -41,12 +42,12 @@ def live_chunks(reply: str, least: int = LIVE) -> list[str]:
     return out + [held] if held else out
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _sentences(text: pd.Series) -> pd.Series:
     return text.map(lambda x: sentence_chunks(x or ""))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _live(text: pd.Series) -> pd.Series:
     return text.map(lambda x: live_chunks(x or ""))
 

@@ -60,7 +60,7 @@ _STOP = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
     "tokenize",
     rf"""
 WITH w AS (SELECT p_partkey, list_filter(string_split_regex(regexp_replace(lower('the ' || p_name || ' of salts, ' || p_type || '!'), '[^a-z0-9_ɛɔŋ\s-]', ' ', 'g'), '\s+'), lambda x: length(x) > 1 AND NOT list_contains([{_STOP}], x)) AS w FROM part)
-SELECT p_partkey, w[1] || ',' || w[2] || ',' || w[3] || ',' || w[4] || CASE WHEN len(w) > 4 THEN ',' || w[5] ELSE '' END || ',ors' AS tokens FROM w
+SELECT p_partkey, array_to_string(list_slice(list_filter(list_append(w, 'ors'), lambda x, i: list_position(list_append(w, 'ors'), x) = i), 1, 8), ',') AS tokens FROM w
 """,
 )
 def tokenize(t: Tables) -> DataFrame:
@@ -166,7 +166,7 @@ def json_from_text(t: Tables) -> DataFrame:
 def json_array_from_text(t: Tables) -> DataFrame:
     """The array in a reply, its strings trimmed and empty ones dropped."""
     raw = F.concat(F.lit('Here: [" '), "event_type", F.lit(' ", "", "x"] ok'))
-    items = F.filter(F.transform(F.from_json(F.regexp_extract(raw, r"(?s)\[.*\]", 0), "array<string>"), F.trim), lambda x: x != "")
+    items = F.filter(F.transform(F.from_json(F.regexp_extract(raw, r"(?s)\[.*\]", 0), "array<string>"), lambda x: F.trim(x)), lambda x: x != "")
     return t.events.select("event_id", F.array_join(items, "|").alias("items"))
 
 
