@@ -46,7 +46,7 @@ def _events_stream(t: Tables) -> DataFrame:
 @query("rate_limit_stream", _limits("user_id", str(LIMIT)) + " FROM ranked")
 def rate_limit_stream(t: Tables) -> DataFrame:
     """The limiter with state, over the events as a stream."""
-    return run_to_table(limited_stream(_events_stream(t), "user_id", "ts", "event_id", LIMIT, DAY), core.scratch(t.spark, "rate_limit_stream")).select("event_id", "allowed", "remaining")
+    return run_to_table(limited_stream(_events_stream(t), "user_id", "ts", "event_id", LIMIT, DAY, sweep=False), core.scratch(t.spark, "rate_limit_stream")).select("event_id", "allowed", "remaining")
 
 
 @query("window_counts", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY ALL")

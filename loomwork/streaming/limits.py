@@ -54,10 +54,11 @@ def limited(df: DataFrame, keys: list[str], ts: str, order: str, limit: str, sec
     return lined.mapInPandas(admit, schema).withColumn("reset_at", F.timestamp_micros("__until").cast("timestamp_ntz")).drop("__until")
 
 
-def limited_stream(events: DataFrame, key: str, ts: str, order: str, limit: int, seconds: int) -> DataFrame:
+def limited_stream(events: DataFrame, key: str, ts: str, order: str, limit: int, seconds: int, sweep: bool = True) -> DataFrame:
     """The limiter over a stream with columns key, order and ts, in the order of arrival (by ts within a micro-batch).
 
-    The state of a key is two numbers; it is dropped when no event has come for SWEEP seconds and its window is over."""
+    The state of a key is two numbers; with `sweep` it is dropped when no event has come for SWEEP seconds and its window is over.
+    A run over what is there now needs it off: timeouts ask for batches without end."""
     kind = {f.name: f.dataType.simpleString() for f in events.schema}
     work = events.select(key, order, F.unix_micros(F.col(ts).cast("timestamp")).alias("__at"))
 
@@ -69,8 +70,9 @@ def limited_stream(events: DataFrame, key: str, ts: str, order: str, limit: int,
         rows = pd.concat(list(batches)).sort_values(["__at", order])
         out = [counter.admit(int(at), limit, seconds * 1_000_000) for at in rows["__at"]]
         state.update((counter.count, counter.until))
-        state.setTimeoutDuration(max(SWEEP, seconds) * 1000)
+        if sweep:
+            state.setTimeoutDuration(max(SWEEP, seconds) * 1000)
         yield pd.DataFrame({key: group[0], order: rows[order].to_numpy(), "allowed": [x[0] for x in out], "remaining": [x[1] for x in out]})
 
     schema = f"{key} {kind[key]}, {order} {kind[order]}, allowed boolean, remaining long"
-    return work.groupBy(key).applyInPandasWithState(admit, schema, STATE, "append", "ProcessingTimeTimeout")
+    return work.groupBy(key).applyInPandasWithState(admit, schema, STATE, "append", "ProcessingTimeTimeout" if sweep else "NoTimeout")
