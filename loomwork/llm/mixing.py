@@ -65,7 +65,8 @@ def copies(key: Column, rate: Column, seed: str) -> Column:
 
 
 def mix(df: DataFrame, key: str = "doc_id", source: str = "source", weights: dict[str, float] | None = None, temperature: float = TEMPERATURE, total: float | None = None, seed: str = SEED) -> DataFrame:
-    """Every row as often as its Poisson number says, in an order that a hash decides, with the columns of df and __copy (from 1), __copies, __rate and __order.
+    """Every row as often as its Poisson number says, in an order that a hash decides, with the columns of df and __copy (from 1), __copies, __rate and __order
+    (columns of df with these names, or named __source, are dropped).
 
     `total` is the expected number of rows returned (as many as df has, unless given). A null source is a source of its own, without
     a weight if weights are given. Repeated rows with one key get the same number. The counts of each source are pre-aggregated; the
@@ -73,6 +74,7 @@ def mix(df: DataFrame, key: str = "doc_id", source: str = "source", weights: dic
     key and copy and sorted by it there: a global shuffle, in which a large source is spread like any other.
     """
     common.need(df, key, source)
+    df = df.drop("__source", "__copy", "__copies", "__rate", "__order")
     sizes = df.groupBy(F.col(source).cast("string").alias("source")).agg(F.count(F.lit(1)).alias("n"))
     table = common.table(rates(sizes, weights, temperature, total), "rates")
     names, small = list(df.columns), table.count() < 1_000_000
