@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 from loomwork.llm import common
 
 SHARDS = 16
-ROUNDS = 4
+ROUNDS = 8
 #: Quotas while labels move leave this share of room; the final cut into equal runs takes it back.
 SLACK = 0.1
 #: A group with a 64th of all rows or more is hot: there are 64 of them at most, so what is known of them can be broadcast.
 HOT_PARTS = 64
 SALTS = 64
+#: Groups larger than a shard (as many as there are shards at most) take no part in the moves; they get labels of their own, after the others.
+GIANT_LABELS = 64
 #: Rows are ranked within buckets of about this many rows; the table of bucket sizes stays within MAX_BUCKETS rows a shard.
 BUCKET_ROWS = 200_000
 MAX_BUCKETS = 4096
@@ -65,7 +67,7 @@ def shard(df: DataFrame, key: str = "doc_id", text: str = "text", shards: int =
 
     Rows with equal texts are linked. They start in the shard that a hash of the key gives, follow their group by label propagation
     under quotas, and at the end all rows are lined up by shard and group and cut into equal runs: only groups at the 15 borders
-    between runs, and groups larger than a shard, are cut apart by that. slot counts from 0 within a shard without gaps.
+    between runs, and groups larger than a shard, are cut apart by that. Those fill whole shards, one after the other. slot counts from 0 within a shard without gaps.
     A null text has size 1, a null CRC and no links; repeated rows are rows of their own; other columns are dropped. The text is read
     once and never shuffled.
     """
@@ -82,7 +84,10 @@ def shard(df: DataFrame, key: str = "doc_id", text: str = "text", shards: int =
     blocks = rows.groupBy(*LINK, "began").agg(F.count(F.lit(1)).alias("n"))
     group_n = F.sum("n").over(Window.partitionBy(*LINK))
     linked = common.table(blocks.withColumn("group_n", group_n).filter("group_n > 1"), "blocks")
-    moved = common.table(propagate(linked.drop("group_n"), shards, rounds).join(linked.select(*LINK, "began", "group_n"), [*LINK, "began"]), "moved")
+    giant = F.col("group_n") * shards > total
+    moved = propagate(linked.filter(~giant).drop("group_n"), shards, rounds).join(linked.select(*LINK, "began", "group_n"), [*LINK, "began"])
+    apart = linked.filter(giant).withColumn("shard", (F.pmod(F.col("link"), F.lit(GIANT_LABELS)) + shards).cast("int"))
+    moved = common.table(moved.unionByName(apart), "moved")
     hot_from = max(2, -(-total // HOT_PARTS))
     hot = F.broadcast(moved.filter(F.col("group_n") >= hot_from).select(*LINK, "began", F.col("shard").alias("hot_shard")))
     cool = moved.filter(F.col("group_n") < hot_from).select(*LINK, "began", F.col("shard").alias("cool_shard"))
