@@ -4,12 +4,13 @@ Two sets whose symmetric difference is at most d agree in one of d + 1 segments,
 left out, differ by at most one element in such a segment. Sets are banded by size; in a band every n-gram falls by its hash into one
 of m segments, and a set is indexed under the hash of each segment's subset. Bands of small sets, where segments hold one or two
 elements, also index the subsets with one element left out. A set has more segments than it needs; what it has to spare is spent on
-leaving out those that it shares with the most others. Candidates are verified on the full sets.
+leaving out those that it shares with the most others, in one order for all sets. Candidates are verified on the full sets.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,12 @@ DELETION_SIZE = 64
 BUCKET_ENTRIES = 1_500_000
 FLUSH_ENTRIES = 1_000_000
 #: Rounds in which each set of a group with several components is compared with one more set of another.
-ROUNDS = 3
+ROUNDS = 2
+#: Groups of more sets than this are compared in blocks of about BLOCK_GRAMS n-grams, smaller ones by pairs.
+PAIRED = 32
+BLOCK_GRAMS = 100_000
+#: n-grams whose rows of the block's matrix are multiplied at a time.
+MATRIX_COLUMNS = 8192
 #: Comparisons with one set that a task makes in a row.
 CENTRE_PAIRS = 200
 
@@ -238,29 +244,91 @@ def crowds(packed: DataFrame) -> DataFrame:
 
 
 def with_choice(groups: DataFrame, classes: DataFrame) -> DataFrame:
-    """Add `kept`: false where a set spends what it has to spare on leaving out a group, the largest first. Groups that no set keeps
-    are dropped: linked sets share entries that the one keeps, and entries that the other keeps."""
+    """The rows of `groups` that their set keeps: each spends what it has to spare on leaving out the largest groups.
+
+    What a set leaves out is the start of its entries in one order of all groups. Of two linked sets each keeps an entry that both
+    have; what the one leaves out of these is a start of what the other does, or the other way round, so some entry is kept by both.
+    Groups with one set left are dropped."""
     most = Window.partitionBy("cls").orderBy(F.desc("k"), "grp").rowsBetween(Window.unboundedPreceding, 0)
-    chosen = groups.join(classes.select("cls", "spare", "n"), "cls").withColumn("kept", F.sum("entries").over(most) > F.col("spare")).drop("spare")
-    return chosen.withColumn("any", F.max("kept").over(Window.partitionBy("grp"))).filter("any").drop("any")
+    kept = groups.join(classes.select("cls", "spare", "n"), "cls").filter("k > 1").withColumn("sum", F.sum("entries").over(most)).filter(F.col("sum") > F.col("spare"))
+    return kept.select("grp", "cls", "entries", "n").withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("grp"))).filter("k > 1")
 
 
 def least_shared(small: Column, large: Column, percent: int) -> Column:
-    """Entries that the smaller of two linked sets keeps and the larger must share. The smaller keeps one more than it may differ in
-    from its largest partner, and from this one it differs in fewer. (One in bands with deletions, where entries weigh unequally.)"""
-    differ = lambda other: F.floor((100 - percent) * (small + other) / (100 + percent))
-    return F.when(small <= DELETION_SIZE, 1).otherwise(differ(F.floor(100 * small / percent)) + 1 - differ(large))
+    """Entries that two linked sets both keep, at least. Each keeps one more than it may differ in from its largest partner (the larger,
+    if the smaller is of a band below: from the largest set there), and from this partner it differs in fewer.
+    (One in bands with deletions, where entries weigh unequally.)"""
+    differ = lambda x, y: F.floor((100 - percent) * (x + y) / (100 + percent))
+    band_top = F.lit(None).cast("long")
+    tops = bands(1 << 40)
+    for top in tops[::-1]:
+        band_top = F.when(small <= F.lit(int(top)), F.lit(int(top))).otherwise(band_top)
+    of_small = differ(small, F.floor(100 * small / percent))
+    of_large = differ(large, F.when(large > band_top, F.least(F.floor(100 * large / percent), band_top)).otherwise(F.floor(100 * large / percent)))
+    return F.when(small <= DELETION_SIZE, 1).otherwise(F.least(of_small, of_large) + 1 - differ(small, large))
 
 
 def across(mixed: DataFrame, percent: int) -> DataFrame:
-    """All pairs (a, b) of sets in different components that share entries enough to be linked."""
-    other = mixed.select("grp", *(F.col(c).alias(f"b_{c}") for c in ("cls", "kept", "component", "n")))
+    """All pairs (a, b) of sets in different components that keep entries enough in common to be linked."""
+    other = mixed.select("grp", *(F.col(c).alias(f"b_{c}") for c in ("cls", "component", "n")))
     met = mixed.join(other, "grp").filter("component < b_component").filter(100 * F.least("n", "b_n") >= percent * F.greatest("n", "b_n"))
-    pairs = met.groupBy(F.col("cls").alias("a"), F.col("b_cls").alias("b"), "n", "b_n").agg(F.sum(F.when(F.col("kept"), F.col("entries")).otherwise(0)).alias("of_a"), F.sum(F.when(F.col("b_kept"), F.col("entries")).otherwise(0)).alias("of_b"))
-    least = least_shared(F.least("n", "b_n"), F.greatest("n", "b_n"), percent)
-    a_least = F.when(F.col("n") <= F.col("b_n"), least).otherwise(1)
-    b_least = F.when(F.col("b_n") <= F.col("n"), least).otherwise(1)
-    return pairs.filter((F.col("of_a") >= a_least) & (F.col("of_b") >= b_least)).select("a", "b")
+    pairs = met.groupBy(F.col("cls").alias("a"), F.col("b_cls").alias("b"), "n", "b_n").agg(F.sum("entries").alias("shared"))
+    return pairs.filter(F.col("shared") >= least_shared(F.least("n", "b_n"), F.greatest("n", "b_n"), percent)).select("a", "b")
+
+
+def blocks(mixed: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between the sets of the groups in `mixed`, enough to connect all linked sets; no pair is emitted that isn't linked.
+
+    Groups with sets in common are put together (a label travels from group to set to group, twice), so that sets that share many
+    large groups meet once. The sets of a label are sorted by size and cut into blocks; two blocks meet in one task if their sizes
+    allow links, which loads the texts of both and multiplies their incidence matrices."""
+    labelled = mixed.select("grp", "cls", "n", F.col("grp").alias("label"))
+    for _ in range(2):
+        labelled = labelled.withColumn("label", F.min("label").over(Window.partitionBy("cls"))).withColumn("label", F.min("label").over(Window.partitionBy("grp")))
+    members = labelled.select("label", "cls", "n").distinct()
+    so_far = F.sum("n").over(Window.partitionBy("label").orderBy("n", "cls").rowsBetween(Window.unboundedPreceding, 0))
+    members = common.table(members.withColumn("block", F.floor(so_far / BLOCK_GRAMS)), "blocked")
+    ends = members.groupBy("label", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    later = ends.select("label", F.col("block").alias("later"), F.col("least").alias("later_least"))
+    meetings = ends.join(later, "label").filter((F.col("later") >= F.col("block")) & (100 * F.col("most") >= percent * F.col("later_least"))).select("label", "block", "later")
+    sides = meetings.select("label", "block", "later", F.explode(F.array_distinct(F.array("block", "later"))).alias("own"))
+    dealt = sides.join(members.select("label", F.col("block").alias("own"), "cls"), ["label", "own"]).join(texts, "cls")
+
+    def compare(table: pa.Table) -> pa.Table:
+        found = forest(*shingle_sets(arrays.plain(table.column("text"))), percent)
+        return pa.table({"a": pa.array([int(a) for a, _ in found], pa.int64()), "b": pa.array([int(b) for _, b in found], pa.int64())})
+
+    return dealt.groupBy("label", "block", "later").applyInArrow(compare, "a long, b long").distinct()
+
+
+def forest(hashes: np.ndarray, offsets: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Set hashes of linked pairs, as many as connect all linked sets. Intersections come from products of 0/1 matrices over the
+    n-grams that two sets or more have; a row's counts stay below 2^24, so single precision is exact."""
+    ids, sizes = set_ids(hashes, offsets), np.diff(offsets)
+    _, column, times = np.unique(hashes, return_inverse=True, return_counts=True)
+    number = np.cumsum(times > 1) - 1
+    shared = times[column] > 1
+    row, column = arrays.row_of(offsets)[shared], number[column][shared]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    both = np.zeros((len(sizes), len(sizes)), np.float32)
+    for low in range(0, int(number[-1]) + 1 if len(number) else 0, MATRIX_COLUMNS):
+        s, e = np.searchsorted(column, [low, low + MATRIX_COLUMNS])
+        part = np.zeros((len(sizes), MATRIX_COLUMNS), np.float32)
+        part[row[s:e], column[s:e] - low] = 1
+        both += part @ part.T
+    union = sizes[:, None] + sizes[None, :] - both
+    first, second = np.nonzero(np.triu((100 * both >= percent * union) & (union > 0), 1))
+    root, out = list(range(len(sizes))), []
+    for i, j in zip(first.tolist(), second.tolist(), strict=True):
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        while root[j] != j:
+            root[j] = j = root[root[j]]
+        if i != j:
+            root[j] = i
+            out.append((ids[i], ids[j]))
+    return [(a, b) for a, b in out if a != b]
 
 
 def verify(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -345,8 +413,8 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", p
 
     Null and empty texts, and texts of white space, have no shingles and are linked with nothing. Repeated rows each get a row.
     Rows with equal sets are one class; only classes are compared. In groups of sets that share index entries each set is compared
-    with one centre; sets that this leaves in different components are then compared with each other, so no link between components
-    is lost, but a large group of copies costs one comparison a set. Keys must not be null. Other columns are dropped.
+    with one centre; sets that this leaves in different components are then compared with each other, in small groups by pairs and in
+    large ones by blocks, so no link between components is lost, but a large group of copies costs one comparison a set. Keys must not be null. Other columns are dropped.
     """
     common.need(df, key, text)
     rows = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
@@ -373,22 +441,19 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", p
         if where is not None:
             named = groups.join(where.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
         mixed = named.withColumn("least", F.min("component").over(hub)).withColumn("most", F.max("component").over(hub)).filter("least < most").drop("least", "most")
-        mixed = common.table(mixed, f"mixed_{number}")
+        mixed, found = common.table(mixed, f"mixed_{number}"), []
         if number < ROUNDS:
-            star = mixed.withColumn("hub", F.min(F.struct("component", "cls", "kept")).over(hub)).filter("component <> hub.component and (kept or hub.kept)")
+            star = mixed.withColumn("hub", F.min(F.struct("component", "cls")).over(hub)).filter("component <> hub.component")
             pairs = star.groupBy(F.col("hub.cls").alias("a"), F.col("cls").alias("b")).agg(F.sum("entries").alias("shared"))
         else:
-            pairs = across(mixed, percent)
+            pairs = across(mixed.filter(F.col("k") <= PAIRED), percent)
+            found.append(blocks(mixed.filter(F.col("k") > PAIRED), texts, percent))
         if tested is not None:
             pairs = pairs.join(tested.unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti")
         if number < ROUNDS:
             pairs = pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a")).select("a", "b")
         pairs = common.table(pairs, f"pairs_{number}")
-        if pairs.isEmpty():
-            if number < ROUNDS:
-                continue
-            break
-        found = common.table(verify(pairs, texts, percent), f"links_{number}")
+        found = common.table(reduce(DataFrame.unionByName, [*found, verify(pairs, texts, percent)]), f"links_{number}")
         links = found if links is None else links.unionByName(found)
         tested = pairs if tested is None else tested.unionByName(pairs)
         where = common.table(components(links, "a", "b"), "components")
