@@ -20,6 +20,8 @@ SAMPLE = 600
 #: A document is rejected if its cross-entropy lies this many standard deviations above that of its language's own documents.
 REJECT_Z = 8.0
 UNKNOWN = "und"
+#: Longer words are cut into overlapping runs before their n-grams are counted, so that the work stays in proportion to the text.
+SPAN = 256
 _PRIME = np.uint64(0x100000001B3)
 _BOUNDARY = 32
 _letters: list[np.ndarray] = []
@@ -162,6 +164,19 @@ def entropies(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return bits / np.maximum(n_letters, 1)[:, None], n_letters
 
 
+def spans(words: pa.Array, counts: pa.Array, langs: pa.Array, order: int) -> pa.RecordBatch:
+    """lang, span, n: the words between order - 1 spaces and one, those that are longer than SPAN in runs that share order - 1 characters."""
+    padded = pc.binary_join_element_wise(" " * (order - 1), words, " ", "")
+    long = pc.greater(pc.utf8_length(padded), SPAN)
+    short = pc.invert(long)
+    out = [langs.filter(short).to_pylist(), padded.filter(short).to_pylist(), counts.filter(short).to_pylist()]
+    for lang, word, n in zip(langs.filter(long).to_pylist(), padded.filter(long).to_pylist(), counts.filter(long).to_pylist(), strict=True):
+        runs = [word[i : i + SPAN] for i in range(0, len(word) - order + 1, SPAN - order + 1)]
+        for column, value in zip(out, ([lang] * len(runs), runs, [n] * len(runs)), strict=True):
+            column.extend(value)
+    return pa.record_batch([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.int64())], names=["lang", "span", "n"])
+
+
 def order_grams(df: DataFrame, order: int) -> DataFrame:
     """lang, gram, n: how often each order-gram occurs in the words of each language's texts."""
 
@@ -170,12 +185,13 @@ def order_grams(df: DataFrame, order: int) -> DataFrame:
             for part in arrays.slices(batch, "text"):
                 words, offsets = arrays.split_words(pc.utf8_lower(arrays.plain(part.column("text"))))
                 langs = part.column("lang").take(pa.array(arrays.row_of(offsets)))
-                seen = pa.table({"lang": langs, "word": words}).group_by(["lang", "word"]).aggregate([([], "count_all")])
-                yield from seen.select(["lang", "word", "count_all"]).to_batches()
+                seen = pa.table({"lang": langs, "word": words}).group_by(["lang", "word"]).aggregate([([], "count_all")]).combine_chunks()
+                if seen.num_rows:
+                    yield spans(*(seen.column(c).chunk(0) for c in ("word", "count_all", "lang")), order)
 
-    words = df.select("lang", "text").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    padded = F.concat(F.lit(" " * (order - 1)), F.regexp_replace("word", r"[^\p{L}]", " "), F.lit(" "))
-    grams = words.select("lang", "n", F.explode(F.transform(F.sequence(F.lit(1), F.length("word") + 1), lambda i: F.substr(padded, i, F.lit(order)))).alias("gram"))
+    found = df.select("lang", "text").mapInArrow(count, "lang string, span string, n long").groupBy("lang", "span").agg(F.sum("n").alias("n"))
+    plain = F.regexp_replace("span", r"[^\p{L}]", " ")
+    grams = found.select("lang", "n", F.explode(F.transform(F.sequence(F.lit(1), F.length("span") - order + 1), lambda i: F.substr(plain, i, F.lit(order)))).alias("gram"))
     return grams.filter(F.length(F.trim("gram")) > 0).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 

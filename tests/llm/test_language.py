@@ -17,6 +17,20 @@ def test_held_out_accuracy(spark, sf_dir):
     assert sum(r.lang_rejected for r in rows) <= 0.01 * len(rows)
 
 
+def test_grams_of_long_words(spark):
+    """As many of each as in the whole word, however it is cut."""
+    word = "".join("abcde"[(i * i + i // 7) % 5] for i in range(1500))
+    rows = [("en", f"ab {word} ab"), ("en", "x'y"), ("fr", None)]
+    want: dict[str, int] = {}
+    for w in ("ab", word, "ab", "x y"):
+        padded = "   " + w + " "
+        for i in range(len(padded) - 3):
+            if padded[i : i + 4].strip():
+                want[padded[i : i + 4]] = want.get(padded[i : i + 4], 0) + 1
+    got = {r.gram: r.n for r in language.order_grams(spark.createDataFrame(rows, "lang string, text string"), 4).collect()}
+    assert got == want
+
+
 def test_probabilities_sum_to_one():
     """Over the alphabet, after any context, seen or not; the alphabet counts one letter that was never seen."""
     texts = ["abab", "abba", "baba", "cab"]
