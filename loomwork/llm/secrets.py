@@ -35,6 +35,8 @@ SAMPLE = 400
 #: Strings are cut for training only beyond this many characters; scores always walk the whole candidate.
 DEPTH = 64
 SMOOTHING = 0.05
+#: If more of the other candidates than this share look like a kind's labelled strings, the format doesn't tell them apart.
+LOOKALIKES = 0.2
 ALPHABET = 66
 SPAN_TYPE = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
@@ -183,9 +185,10 @@ def log_likelihood(automaton: list[list], string: str) -> float:
 def train(df: DataFrame, text: str = "text", sample: int = SAMPLE) -> dict:
     """Automata of all kinds, fitted on the `sample` distinct strings of each kind with the smallest hashes, with cut-offs.
 
-    A candidate is a secret if, for some kind, its log likelihood exceeds that of the `other` automaton by the kind's cut-off:
-    the larger of what 95 of 100 labelled strings reach, and anything that the sampled other candidates reach. Those others are
-    what the patterns leave; without any, the background is even over the alphabet. Kinds without examples are not learned.
+    A candidate is a secret if, for some kind, its log likelihood exceeds that of the `other` automaton by the kind's cut-off: what
+    95 of 100 labelled strings reach. Of the others, which are what the patterns leave, a few may be secrets without a label; if more
+    than LOOKALIKES of them reach that, the kind's format is too common and the cut-off lies above all that they reach. Without any
+    others the background is even over the alphabet. Kinds without examples are not learned.
     """
     rank = F.row_number().over(Window.partitionBy("kind").orderBy(F.xxhash64("value"), "value"))
     picked = labelled(df, text).groupBy("kind", "value").agg(F.lit(1)).select("kind", "value").withColumn("rank", rank).filter(F.col("rank") <= sample)
@@ -203,7 +206,10 @@ def train(df: DataFrame, text: str = "text", sample: int = SAMPLE) -> dict:
             own = json.loads(fitted[kind].automaton)
             gain = lambda s, own=own: log_likelihood(own, s) - log_likelihood(background, s)
             reached = sorted(map(gain, json.loads(fitted[kind].strings)))
-            model["kinds"][kind] = {"automaton": own, "cutoff": max([reached[len(reached) // 20], *(gain(s) + 1e-9 for s in others)])}
+            cutoff, apart = reached[len(reached) // 20], [gain(s) for s in others]
+            if sum(g >= cutoff for g in apart) > LOOKALIKES * len(apart):
+                cutoff = max(apart) + 1e-9
+            model["kinds"][kind] = {"automaton": own, "cutoff": cutoff}
     return model
 
 
