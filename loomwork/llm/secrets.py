@@ -27,16 +27,20 @@ ASSIGN_LENGTH = 6
 MAYBE = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]|AKIA[A-Z0-9]{16}|[0-9a-f]{24}"""
 
 GRAMMAR = "grammar"
-OTHER = "other"
+WORD = "word"
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 CANDIDATE_LENGTH = 16
-#: Distinct labelled strings of each kind, and of other candidates, from which the automata are inferred.
+#: Words of prose, for the background: letters that stand alone, too short for a candidate.
+PROSE = re.compile(r"(?<!\S)[A-Za-z]{1,15}(?=[\s.,;:!?]|\Z)", re.ASCII)
+#: Distinct labelled strings of each kind, and words, from which the automata are inferred.
 SAMPLE = 400
 #: Strings are cut for training only beyond this many characters; scores always walk the whole candidate.
 DEPTH = 64
 SMOOTHING = 0.05
-#: If more of the other candidates than this share look like a kind's labelled strings, the format doesn't tell them apart.
-LOOKALIKES = 0.2
+#: Parts of a kind's labelled strings, each measured by an automaton of the others; the cut-off is what 95 of 100 so measured reach.
+FOLDS = 4
+#: Fewer labelled strings than this say little of what others reach: a candidate must then also exceed the background.
+FEW = 40
 ALPHABET = 66
 SPAN_TYPE = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
@@ -82,7 +86,7 @@ def suspects(texts: pa.Array) -> np.ndarray:
 
 
 def labelled(df: DataFrame, text: str) -> DataFrame:
-    """kind, value: the credentials that the base patterns label, and the other candidates as `other`."""
+    """kind, value: the credentials that the base patterns label, and the words around credentials and candidates as `word`."""
 
     def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -92,7 +96,7 @@ def labelled(df: DataFrame, text: str) -> DataFrame:
                 for row in texts.take(pa.array(suspects(texts))).to_pylist():
                     spans = base_spans(row)
                     seen.update((KINDS[k], row[v:e][:DEPTH]) for _, k, e, v in spans)
-                    seen.update((OTHER, row[s:e][:DEPTH]) for s, e in candidates(row, spans))
+                    seen.update((WORD, m.group()) for m in PROSE.finditer(row))
                 kinds, got = zip(*seen, strict=True) if seen else ((), ())
                 yield pa.record_batch([pa.array(kinds, pa.string()), pa.array(got, pa.string())], names=["kind", "value"])
 
@@ -185,36 +189,41 @@ def log_likelihood(automaton: list[list], string: str) -> float:
 def train(df: DataFrame, text: str = "text", sample: int = SAMPLE) -> dict:
     """Automata of all kinds, fitted on the `sample` distinct strings of each kind with the smallest hashes, with cut-offs.
 
-    A candidate is a secret if, for some kind, its log likelihood exceeds that of the `other` automaton by the kind's cut-off: what
-    95 of 100 labelled strings reach. Of the others, which are what the patterns leave, a few may be secrets without a label; if more
-    than LOOKALIKES of them reach that, the kind's format is too common and the cut-off lies above all that they reach. Without any
-    others the background is even over the alphabet. Kinds without examples are not learned.
+    A candidate is a secret if, for some kind, its log likelihood exceeds the background's by the kind's cut-off: what 95 of 100
+    labelled strings reach under an automaton that was inferred without them. The background is the likelier of an even one over the
+    alphabet and an automaton of words of prose. No candidate takes part in either, so what is accepted doesn't depend on the other
+    candidates of the corpus. Kinds without examples are not learned.
     """
     rank = F.row_number().over(Window.partitionBy("kind").orderBy(F.xxhash64("value"), "value"))
     picked = labelled(df, text).groupBy("kind", "value").agg(F.lit(1)).select("kind", "value").withColumn("rank", rank).filter(F.col("rank") <= sample)
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
-        strings = sorted(group["value"])
-        return pd.DataFrame({"kind": [group["kind"].iloc[0]], "automaton": [json.dumps(infer(strings))], "strings": [json.dumps(strings)]})
-
-    fitted = {r.kind: r for r in picked.groupBy("kind").applyInPandas(fit, "kind string, automaton string, strings string").collect()}
-    background = json.loads(fitted[OTHER].automaton) if OTHER in fitted else [[{}, 0]]
-    others = json.loads(fitted[OTHER].strings) if OTHER in fitted else []
+        strings, kind = sorted(group["value"]), group["kind"].iloc[0]
+        own, apart = infer(strings), []
+        for i in range(min(FOLDS, len(strings)) if kind != WORD else 0):
+            rest = [s for j, s in enumerate(strings) if j % FOLDS != i]
+            automaton = infer(rest) if rest else own
+            apart += [(s, log_likelihood(automaton, s)) for s in strings[i::FOLDS]]
+        return pd.DataFrame({"kind": [kind], "automaton": [json.dumps(own)], "apart": [json.dumps(apart)]})
+
+    fitted = {r.kind: r for r in picked.groupBy("kind").applyInPandas(fit, "kind string, automaton string, apart string").collect()}
+    background = json.loads(fitted[WORD].automaton) if WORD in fitted else [[{}, 0]]
     model = {"background": background, "kinds": {}}
     for kind in KINDS:
         if kind in fitted:
-            own = json.loads(fitted[kind].automaton)
-            gain = lambda s, own=own: log_likelihood(own, s) - log_likelihood(background, s)
-            reached = sorted(map(gain, json.loads(fitted[kind].strings)))
-            cutoff, apart = reached[len(reached) // 20], [gain(s) for s in others]
-            if sum(g >= cutoff for g in apart) > LOOKALIKES * len(apart):
-                cutoff = max(apart) + 1e-9
-            model["kinds"][kind] = {"automaton": own, "cutoff": cutoff}
+            reached = sorted(own - chance(model, s) for s, own in json.loads(fitted[kind].apart))
+            cutoff = reached[len(reached) // 20]
+            model["kinds"][kind] = {"automaton": json.loads(fitted[kind].automaton), "cutoff": cutoff if len(reached) >= FEW else max(cutoff, 0.0)}
     return model
 
 
+def chance(model: dict, string: str) -> float:
+    """Mean log probability of a string that is no credential: as prose, or evenly over the alphabet."""
+    return max(log_likelihood(model["background"], string), -math.log(ALPHABET))
+
+
 def is_secret(model: dict, string: str) -> bool:
-    back = log_likelihood(model["background"], string)
+    back = chance(model, string)
     return any(log_likelihood(k["automaton"], string) - back >= k["cutoff"] for k in model["kinds"].values())
 
 

@@ -52,6 +52,16 @@ def test_formats_are_learned(spark):
     assert all(out[180 + i] == [] for i in range(20))
 
 
+def test_all_candidates_are_secrets(spark):
+    """Candidates of a labelled format are found however many they are, and with nothing else beside them."""
+    rng = random.Random(4)
+    key = lambda: "sk_" + "".join(rng.choice(string.ascii_uppercase[:6] + string.digits) for _ in range(20))
+    rows = [f"see token={key()} there" for _ in range(80)] + [f"left here {key()} by mistake" for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    out = {r.doc_id: [x.kind for x in r.secrets] for r in secrets.scan(df, secrets.train(df)).collect()}
+    assert sum(out[80 + i] == [secrets.GRAMMAR] for i in range(300)) >= 255
+
+
 def test_cases(cases, clashing, empty):
     for df in (cases, clashing, empty):
         model = secrets.train(df)
