@@ -30,11 +30,14 @@ BUCKET_ENTRIES = 1_500_000
 FLUSH_ENTRIES = 1_000_000
 #: Rounds in which each set of a group with several components is compared with one more set of another.
 ROUNDS = 2
-#: Groups of more sets than this are compared in blocks of about BLOCK_GRAMS n-grams, smaller ones by pairs.
+#: Groups of more sets than this are compared in blocks of at most BLOCK_GRAMS n-grams (or one set) and BLOCK_SETS sets, smaller ones by pairs.
 PAIRED = 32
 BLOCK_GRAMS = 100_000
-#: n-grams whose rows of the block's matrix are multiplied at a time.
+BLOCK_SETS = 6000
+#: n-grams whose rows of the block's matrix are multiplied at a time, at most; cells of that matrix, and of the products, held at a time.
 MATRIX_COLUMNS = 8192
+MATRIX_CELLS = 8_000_000
+PRODUCT_CELLS = 2_000_000
 #: Comparisons with one set that a task makes in a row.
 CENTRE_PAIRS = 200
 
@@ -286,8 +289,9 @@ def blocks(mixed: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     for _ in range(2):
         labelled = labelled.withColumn("label", F.min("label").over(Window.partitionBy("cls"))).withColumn("label", F.min("label").over(Window.partitionBy("grp")))
     members = labelled.select("label", "cls", "n").distinct()
-    so_far = F.sum("n").over(Window.partitionBy("label").orderBy("n", "cls").rowsBetween(Window.unboundedPreceding, 0))
-    members = common.table(members.withColumn("block", F.floor(so_far / BLOCK_GRAMS)), "blocked")
+    so_far = Window.partitionBy("label").orderBy("n", "cls").rowsBetween(Window.unboundedPreceding, 0)
+    block = F.floor(F.sum("n").over(so_far) / BLOCK_GRAMS + F.count(F.lit(1)).over(so_far) / BLOCK_SETS)  # the sum bounds both in each block
+    members = common.table(members.withColumn("block", block), "blocked")
     ends = members.groupBy("label", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"))
     later = ends.select("label", F.col("block").alias("later"), F.col("least").alias("later_least"))
     meetings = ends.join(later, "label").filter((F.col("later") >= F.col("block")) & (100 * F.col("most") >= percent * F.col("later_least"))).select("label", "block", "later")
@@ -303,7 +307,7 @@ def blocks(mixed: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
 def forest(hashes: np.ndarray, offsets: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """Set hashes of linked pairs, as many as connect all linked sets. Intersections come from products of 0/1 matrices over the
-    n-grams that two sets or more have; a row's counts stay below 2^24, so single precision is exact."""
+    n-grams that two sets or more have, some rows and some n-grams at a time; counts stay below 2^24, so single precision is exact."""
     ids, sizes = set_ids(hashes, offsets), np.diff(offsets)
     _, column, times = np.unique(hashes, return_inverse=True, return_counts=True)
     number = np.cumsum(times > 1) - 1
@@ -311,23 +315,35 @@ def forest(hashes: np.ndarray, offsets: np.ndarray, percent: int) -> list[tuple[
     row, column = arrays.row_of(offsets)[shared], number[column][shared]
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
-    both = np.zeros((len(sizes), len(sizes)), np.float32)
-    for low in range(0, int(number[-1]) + 1 if len(number) else 0, MATRIX_COLUMNS):
-        s, e = np.searchsorted(column, [low, low + MATRIX_COLUMNS])
-        part = np.zeros((len(sizes), MATRIX_COLUMNS), np.float32)
-        part[row[s:e], column[s:e] - low] = 1
-        both += part @ part.T
-    union = sizes[:, None] + sizes[None, :] - both
-    first, second = np.nonzero(np.triu((100 * both >= percent * union) & (union > 0), 1))
+    total = int(number[-1]) + 1 if len(number) else 0
+    width = min(MATRIX_COLUMNS, max(64, MATRIX_CELLS // max(1, len(sizes))))
+    height = max(1, PRODUCT_CELLS // max(1, len(sizes)))
     root, out = list(range(len(sizes))), []
-    for i, j in zip(first.tolist(), second.tolist(), strict=True):
+
+    def find(i: int) -> int:
         while root[i] != i:
             root[i] = i = root[root[i]]
-        while root[j] != j:
-            root[j] = j = root[root[j]]
-        if i != j:
-            root[j] = i
-            out.append((ids[i], ids[j]))
+        return i
+
+    for top in range(0, len(sizes), height):
+        mine, rest = sizes[top : top + height], sizes[top:]
+        both = np.zeros((len(mine), len(rest)), np.float32)
+        for low in range(0, total, width):
+            s, e = np.searchsorted(column, [low, low + width])
+            later = row[s:e] >= top
+            part = np.zeros((len(rest), width), np.float32)
+            part[row[s:e][later] - top, column[s:e][later] - low] = 1
+            both += part[: len(mine)] @ part.T
+        both = both.astype(np.int64)
+        union = mine[:, None] + rest[None, :] - both
+        first, second = np.nonzero(np.triu((100 * both >= percent * union) & (union > 0), 1))
+        known = np.array([find(i) for i in range(top, len(sizes))])
+        apart = known[first] != known[second]
+        for i, j in zip((first[apart] + top).tolist(), (second[apart] + top).tolist(), strict=True):
+            i, j = find(i), find(j)
+            if i != j:
+                root[j] = i
+                out.append((ids[i], ids[j]))
     return [(a, b) for a, b in out if a != b]
 
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import random
 import re
+import tracemalloc
 
+import numpy as np
 import pytest
 
 from loomwork.llm import jaccard
@@ -68,6 +70,29 @@ def test_near_copies_around_the_threshold(spark, monkeypatch, paired):
     assert found(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
 
 
+def test_many_short_sets_take_little_memory():
+    """6000 sets of 8 n-grams, 5 of them in all sets and not linked by these, but for one pair: no matrix of sets by sets is held."""
+    sets = [sorted([*range(1, 6), *(100 + 3 * i + j for j in range(3))]) for i in range(5999)]
+    sets.append([*sets[17][:7], 10**6])
+    hashes, offsets = np.array(sets, np.uint64).ravel(), np.arange(0, 8 * len(sets) + 1, 8)
+    ids = jaccard.set_ids(hashes, offsets)
+    tracemalloc.start()
+    got = jaccard.forest(hashes, offsets, 75)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == [(ids[17], ids[5999])]
+    assert peak < 250e6
+
+
+def test_short_texts_with_a_passage_in_blocks_of_few_sets(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "PAIRED", 2)
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", 30)
+    rng = random.Random(9)
+    passage = " ".join(f"p{i}" for i in range(9))
+    rows = [(i, passage + " " + " ".join(f"z{rng.randrange(12)}" for _ in range(3))) for i in range(200)]
+    assert found(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+
+
 def test_documents(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     assert found(docs) == brute([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])
