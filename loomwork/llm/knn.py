@@ -52,15 +52,16 @@ def top_k(df: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id", co
 
     Components become floor(scale * x). Null or empty vectors and vectors with null or non-finite components take no part, on either
     side; vectors of unequal length are compared as if the shorter ended in zeros. Repeated rows of df are candidates of their own,
-    ranked in any order among themselves. Extra columns are dropped.
+    ranked in any order among themselves. Repeated rows of `queries` are answered once; a key with several vectors is answered for each
+    of them, with ranks from 1. Extra columns are dropped.
 
-    Vectors are grouped by their nearest pivot. For a query q and a cell with pivot p, |q.x - q.p| <= |q| d(x, p): the k smallest
-    distances of every cell give a lower bound of q's k-th best score, and a cell's largest distance an upper bound of its scores;
+    Vectors are grouped by their nearest pivot. For a query q and a cell with pivot p, |q.x - q.p| <= |q| d(x, p): the smallest
+    distances of k + 1 keys of every cell give, without those of q's own key, a lower bound of q's k-th best score, and a cell's largest distance an upper bound of its scores;
     q goes only to cells whose upper bound reaches its lower bound. Cells are split into blocks, searched by matrix products, and
     the blocks' results are merged. Pivots and summaries are all that the driver sees: MAX_PIVOTS rows.
     """
     data = common.table(vectors(df, key, column, scale), "vectors")
-    asked = vectors(queries, key, column, scale)
+    asked = vectors(queries, key, column, scale).distinct()
     facts = data.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("width")).first()
     width = max(facts["width"] or 1, asked.agg(F.max(F.size("v"))).first()[0] or 1)
     unit = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
@@ -81,14 +82,17 @@ def top_k(df: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id", co
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(near.astype(np.int32)), pa.array(far)], names=["vec_id", "v", "cell", "far"])
 
     placed = common.table(data.mapInArrow(assign, f"vec_id {key_type}, v array<long>, cell int, far double"), "cells")
-    nearest = placed.select("cell", "far", F.row_number().over(Window.partitionBy("cell").orderBy("far")).alias("r")).filter(F.col("r") <= k + 1)
-    low = {r["cell"]: sorted(r["low"]) for r in nearest.groupBy("cell").agg(F.collect_list("far").alias("low")).collect()}
+    closest = placed.groupBy("cell", "vec_id").agg(F.min("far").alias("far"))
+    nearest = closest.withColumn("r", F.row_number().over(Window.partitionBy("cell").orderBy("far", "vec_id"))).filter(F.col("r") <= k + 1).collect()
     sizes = {r["cell"]: (r["far"], r["n"]) for r in placed.groupBy("cell").agg(F.max("far").alias("far"), F.count(F.lit(1)).alias("n")).collect()}
     cells = np.array(sorted(sizes), np.int64)
     radius = np.array([sizes[c][0] for c in cells])
     blocks = np.array([-(-sizes[c][1] // BLOCK_ROWS) for c in cells], np.int64)
-    entry_cell = np.array([i for i, c in enumerate(cells) for _ in low[c]], np.int64)
-    entry_far = np.array([d for c in cells for d in low[c]])
+    entry_cell = np.searchsorted(cells, np.array([r["cell"] for r in nearest], np.int64))
+    entry_far = np.array([r["far"] for r in nearest], np.float64)
+    entries_of: dict = {}
+    for i, r in enumerate(nearest):
+        entries_of.setdefault(r["vec_id"], []).append(i)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -97,8 +101,11 @@ def top_k(df: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id", co
                 q = matrix(part.column("v"), width)
                 to, norm = q @ pivots[cells].T, np.sqrt((q**2).sum(axis=1))[:, None]
                 slack = 1e-9 * (np.abs(to) + norm * radius) + 1e-6  # keeps rounding on the safe side
-                lows = np.sort(to[:, entry_cell] - norm * entry_far, axis=1)[:, ::-1]
-                bound = lows[:, k : k + 1] if lows.shape[1] > k else np.full((len(q), 1), -np.inf)  # one of the k + 1 may be the query itself
+                lows = to[:, entry_cell] - norm * entry_far
+                for i, own in enumerate(part.column("vec_id").to_pylist()):
+                    lows[i, entries_of.get(own, [])] = -np.inf
+                lows = np.sort(lows, axis=1)[:, ::-1]
+                bound = lows[:, k - 1 : k] if lows.shape[1] >= k else np.full((len(q), 1), -np.inf)
                 rows, hit = np.nonzero(to + norm * radius + slack >= bound - slack)
                 block = np.concatenate([np.arange(b) for b in blocks[hit]]) if len(hit) else np.zeros(0, np.int64)
                 rows, hit = np.repeat(rows, blocks[hit]), np.repeat(hit, blocks[hit])
@@ -108,6 +115,7 @@ def top_k(df: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id", co
     routed = asked.mapInArrow(route, f"query_id {key_type}, v array<long>, cell int, block int") if len(cells) else asked.filter("false").select(F.col("vec_id").alias("query_id"), "v", F.lit(0).alias("cell"), F.lit(0).alias("block"))
     counts = F.create_map(*(F.lit(int(x)) for c, b in zip(cells, blocks, strict=True) for x in (c, b))) if len(cells) else None
     block = F.pmod(F.xxhash64("vec_id"), counts[F.col("cell")]).cast("int") if counts is not None else F.lit(0)
+    routed = routed.withColumn("asked", F.xxhash64("v"))
     blocked = placed.select("vec_id", "v", "cell", block.alias("block"))
 
     def search(group: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -115,18 +123,18 @@ def top_k(df: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id", co
         for at in range(0, len(left) if len(ids) else 0, 256):
             own = left.iloc[at : at + 256]
             scores = products(matrix(own["v"], width), x)
-            for q, row in zip(own["query_id"], scores, strict=True):
+            for q, vector, row in zip(own["query_id"], own["asked"], scores, strict=True):
                 other = np.flatnonzero(ids != q)
                 row = row[other]
                 if len(row) > k:  # all that reach the k-th score, then ties by key
                     keep = row >= np.partition(row, len(row) - k)[len(row) - k]
                     other, row = other[keep], row[keep]
                 best = np.lexsort((ids[other], -row))[:k]
-                out.append(pd.DataFrame({"query_id": q, "vec_id": ids[other][best], "score": row[best]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+                out.append(pd.DataFrame({"query_id": q, "asked": vector, "vec_id": ids[other][best], "score": row[best]}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "asked": [], "vec_id": [], "score": []})
 
-    found = routed.groupBy("cell", "block").cogroup(blocked.groupBy("cell", "block")).applyInPandas(search, f"query_id {key_type}, vec_id {key_type}, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    found = routed.groupBy("cell", "block").cogroup(blocked.groupBy("cell", "block")).applyInPandas(search, f"query_id {key_type}, asked long, vec_id {key_type}, score long")
+    rank = F.row_number().over(Window.partitionBy("query_id", "asked").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

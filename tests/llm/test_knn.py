@@ -41,6 +41,22 @@ def test_cells_blocks_and_ties(spark, monkeypatch):
     assert got == brute(rows, [r for r in rows if r[0] % 20 == 0 or r[0] > 899], 5)
 
 
+def test_repeated_ids(spark, monkeypatch):
+    """Rows, among them queries, that occur many times, and ids with several vectors."""
+    monkeypatch.setattr(knn, "ROWS_A_PIVOT", 10)
+    monkeypatch.setattr(knn, "BLOCK_ROWS", 30)
+    rng = random.Random(6)
+    centre = [[rng.gauss(0, 1) for _ in range(8)] for _ in range(6)]
+    rows = [(i, [c + rng.gauss(0, 0.05) for c in centre[i % 6]]) for i in range(300)]
+    rows += [rows[i] for i in range(0, 300, 20) for _ in range(i % 9 + 1)]  # repeated queries
+    rows += [rows[i] for i in range(7, 300, 31) for _ in range(3)]
+    rows += [(i, [c + rng.gauss(0, 0.05) for c in centre[(i + j) % 6]]) for i in (40, 60, 77) for j in range(8)]  # several vectors
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    asked = {(i, tuple(math.floor(256 * x) for x in v)): (i, v) for i, v in rows if i % 20 == 0}
+    got = sorted(tuple(r) for r in knn.top_k(df, df.filter("vec_id % 20 = 0")).collect())
+    assert got == brute(rows, list(asked.values()), 5)
+
+
 def test_few_rows(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0]), (50, [0.5, 0.25])], "vec_id long, embedding array<float>")
     assert sorted(tuple(r) for r in knn.top_k(df, df).collect()) == [(0, 1, 50, 128 * 256 + 64 * 512), (50, 1, 0, 128 * 256 + 64 * 512)]
