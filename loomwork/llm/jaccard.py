@@ -4,7 +4,8 @@ Two sets whose symmetric difference is at most d agree in one of d + 1 segments,
 left out, differ by at most one element in such a segment. Sets are banded by size; in a band every n-gram falls by its hash into one
 of m segments, and a set is indexed under the hash of each segment's subset. Bands of small sets, where segments hold one or two
 elements, also index the subsets with one element left out. A set has more segments than it needs; what it has to spare is spent on
-leaving out those that it shares with the most others, in one order for all sets. Candidates are verified on the full sets.
+leaving out those that it shares with the most others, as counted over the corpus, in one order for all sets. Candidates are verified
+on the full sets.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from loomwork.llm import arrays, common
 from loomwork.llm.components import components
@@ -25,9 +27,13 @@ WORDS = 5
 #: Ratio of the sizes at a band's ends, and up to which size a band has one-deletion neighbourhoods.
 BAND_RATIO = 1.8
 DELETION_SIZE = 64
-#: Index entries that one bucket holds on average.
-BUCKET_ENTRIES = 1_500_000
+#: Bytes of text whose sets' index entries fill one bucket, and entries that a task packs at a time.
+BUCKET_BYTES = 12_000_000
 FLUSH_ENTRIES = 1_000_000
+#: An entry is dealt apart from its bucket if it makes up one of HOT_SHARE entries of the corpus and at least HOT_ENTRIES: HOT_SHARE such
+#: entries at most. A task reports those of its entries that make up one of 2 * HOT_SHARE of what it packs at a time.
+HOT_SHARE = 1000
+HOT_ENTRIES = 100_000
 #: Rounds in which each set of a group with several components is compared with one more set of another.
 ROUNDS = 2
 #: Groups of more sets than this are compared in blocks of at most BLOCK_GRAMS n-grams (or one set) and BLOCK_SETS sets, smaller ones by pairs.
@@ -79,9 +85,20 @@ def shingle_sets(texts: pa.Array, n: int = WORDS) -> tuple[np.ndarray, np.ndarra
 
 
 def set_ids(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each whole set."""
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(arrays.mix(hashes ^ _VALUE))])
-    return arrays.mix(total[offsets[1:]] - total[offsets[:-1]] + np.diff(offsets).astype(np.uint64) * _SEGMENT).view(np.int64)
+    """A 127-bit hash of each whole set, as 16 bytes that don't end in zero."""
+    out = np.empty((len(offsets) - 1, 2), "<u8")
+    n = np.diff(offsets).astype(np.uint64)
+    for k, (spread, salt) in enumerate(((hashes ^ _VALUE, _SEGMENT), (hashes + _SEGMENT, _VALUE))):
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(arrays.mix(spread))])
+        out[:, k] = arrays.mix(total[offsets[1:]] - total[offsets[:-1]] + n * salt)
+    out[:, 1] |= _U(1 << 56)
+    return out.view("S16").ravel()
+
+
+def binaries(ids: np.ndarray, some: np.ndarray | None = None) -> pa.Array:
+    """Set ids as an Arrow array; null where `some` is false."""
+    out = pa.Array.from_buffers(pa.binary(16), len(ids), [None, pa.py_buffer(np.ascontiguousarray(ids).tobytes())]).cast(pa.binary())
+    return out if some is None else pc.if_else(pa.array(some), out, pa.scalar(None, pa.binary()))
 
 
 def bands(largest: int) -> np.ndarray:
@@ -151,83 +168,152 @@ class Signatures:
         return np.concatenate(out), np.concatenate(rows)
 
 
-def profile(rows: DataFrame, percent: int) -> DataFrame:
-    """key, n, cls (the set's hash, null if empty), spare: entries that the set can do without (negative: too few to be sure)."""
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in arrays.slices(batch, "text"):
-                hashes, offsets = shingle_sets(arrays.plain(part.column("text")))
-                n = np.diff(offsets)
-                signatures = Signatures(hashes, offsets, percent)
-                yield pa.record_batch([part.column("key"), pa.array(n), pa.array(set_ids(hashes, offsets), mask=n == 0), pa.array(signatures.spare, mask=n == 0)], names=["key", "n", "cls", "spare"])
-
-    key = rows.schema["key"].dataType.simpleString()
-    return rows.mapInArrow(sets, f"key {key}, n long, cls long, spare long")
-
-
-def pack_entries(sig: np.ndarray, cls: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """One row for each bucket: its sets with their numbers of entries, then 48 bits of each entry. Entries come grouped by set."""
+def pack_entries(sig: np.ndarray, ids: np.ndarray, buckets: int) -> list[pa.Array]:
+    """bucket, sets, counts, entries: one row for each bucket, its sets with their numbers of entries, then 48 bits of each entry. Entries come grouped by set."""
     bucket = (sig % _U(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
-    bucket, sig, cls = bucket[order], sig[order], cls[order]
+    bucket, sig, ids = bucket[order], sig[order], ids[order]
     firsts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
     sets, counts, packed = [], [], []
     bits = (sig >> _U(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
     for s, e in zip(firsts, [*firsts[1:], len(sig)], strict=True):
-        runs = np.flatnonzero(np.concatenate([[True], cls[s + 1 : e] != cls[s : e - 1]]))
-        sets.append(cls[s:e][runs].tobytes())
+        runs = np.flatnonzero(np.concatenate([[True], ids[s + 1 : e] != ids[s : e - 1]]))
+        sets.append(ids[s:e][runs].tobytes())
         counts.append(np.diff(np.append(runs, e - s)).astype("<u4").tobytes())
         packed.append(bits[s:e].tobytes())
-    return pa.record_batch([pa.array(bucket[firsts]), pa.array(sets, pa.binary()), pa.array(counts, pa.binary()), pa.array(packed, pa.binary())], names=["bucket", "sets", "counts", "entries"])
+    return [pa.array(bucket[firsts]), pa.array(sets, pa.binary()), pa.array(counts, pa.binary()), pa.array(packed, pa.binary())]
 
 
-def index(rows: DataFrame, buckets: int, percent: int) -> DataFrame:
-    """The entries of all sets, packed by bucket. Copies within a task are indexed once."""
+def unpacked(sets: bytes, counts: bytes, entries: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Set ids, the number of each entry's set, and the entries' 48 bits, of a row of pack_entries()."""
+    raw = np.frombuffer(entries, np.uint8).reshape(-1, 6)
+    bits = np.zeros((len(raw), 8), np.uint8)
+    bits[:, :6] = raw
+    ids = np.frombuffer(sets, "S16")
+    return ids, np.repeat(np.arange(len(ids)), np.frombuffer(counts, "<u4")), bits.view("<u8").ravel()
+
+
+SURVEY = ("key", "n", "cls", "spare", "bucket", "sets", "counts", "entries", "sig", "times")
+
+
+def survey(rows: DataFrame, buckets: int, percent: int) -> DataFrame:
+    """One pass over the texts, with rows of three kinds, the other kinds' columns null:
+
+    key, n, cls (the set's hash, null if empty) and spare (entries that the set can do without; negative: too few to be sure);
+    bucket, sets, counts and entries, the index entries of pack_entries(), each set of a task once;
+    sig and times, entries that many of the sets packed together have."""
+    share = 2 * HOT_SHARE
+
+    def row(**columns: pa.Array) -> pa.RecordBatch:
+        size = len(next(iter(columns.values())))
+        return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(size, f.type) for f in fields], names=list(SURVEY))
+
+    def packed(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        sig, ids = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+        yield row(**dict(zip(SURVEY[4:8], pack_entries(sig, ids, buckets), strict=True)))
+        ordered = np.sort(sig)
+        starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+        times = np.diff(np.append(starts, len(sig)))
+        much = times >= max(2, -(-len(sig) // share))
+        if much.any():
+            yield row(sig=pa.array(ordered[starts[much]].view(np.int64)), times=pa.array(times[much]))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: set[bytes] = set()
         held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
         for batch in batches:
             for part in arrays.slices(batch, "text"):
                 hashes, offsets = shingle_sets(arrays.plain(part.column("text")))
-                ids = set_ids(hashes, offsets)
+                n, ids = np.diff(offsets), set_ids(hashes, offsets)
+                signatures = Signatures(hashes, offsets, percent)
+                yield row(key=part.column("key"), n=pa.array(n), cls=binaries(ids, n > 0), spare=pa.array(signatures.spare, mask=n == 0))
                 chosen = np.zeros(len(ids), bool)
-                for i in np.flatnonzero(np.diff(offsets)):
-                    if (x := int(ids[i])) not in seen:
+                for i, x in zip(np.flatnonzero(n), ids[n > 0].tolist(), strict=True):
+                    if x not in seen:
                         seen.add(x)
                         chosen[i] = True
-                sig, row = Signatures(hashes, offsets, percent).entries(chosen)
-                order = np.argsort(row, kind="stable")
-                held.append((sig[order], ids[row[order]]))
+                sig, own = signatures.entries(chosen)
+                order = np.argsort(own, kind="stable")
+                held.append((sig[order], ids[own[order]]))
                 size += len(sig)
                 if size >= FLUSH_ENTRIES:
-                    yield pack_entries(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), buckets)
+                    yield from packed(held)
                     held, size = [], 0
         if size:
-            yield pack_entries(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), buckets)
+            yield from packed(held)
+
+    key = rows.schema["key"].dataType
+    schema = f"key {key.simpleString()}, n long, cls binary, spare long, bucket long, sets binary, counts binary, entries binary, sig long, times long"
+    fields = pa.schema([("key", to_arrow_type(key)), ("n", pa.int64()), ("cls", pa.binary()), ("spare", pa.int64()), ("bucket", pa.int64()), ("sets", pa.binary()), ("counts", pa.binary()), ("entries", pa.binary()), ("sig", pa.int64()), ("times", pa.int64())])
+    return rows.select("key", "text").mapInArrow(emit, schema)
+
 
-    return rows.select("text").mapInArrow(emit, "bucket long, sets binary, counts binary, entries binary")
+def hot_entries(found: DataFrame) -> list[int]:
+    """Entries that make up one of HOT_SHARE of all and HOT_ENTRIES at least, by what the tasks reported: HOT_SHARE * 2 at most."""
+    total = found.select(F.sum(F.octet_length("entries") / 6)).first()[0] or 0
+    least = max(HOT_ENTRIES, total / (2 * HOT_SHARE))
+    return [r["sig"] for r in found.filter("sig is not null").groupBy("sig").agg(F.sum("times").alias("times")).filter(F.col("times") >= least).select("sig").collect()]
+
+
+def parted(packed: DataFrame, hot: list[int], buckets: int, inside: bool) -> DataFrame:
+    """The packed rows without the hot entries, or (inside) sig and cls of the hot entries alone, each once."""
+    by_bucket: dict[int, list[int]] = {}
+    for x in (h & (2**64 - 1) for h in hot):
+        by_bucket.setdefault(x % buckets, []).append(x)
+
+    def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[] for _ in range(4)]
+            sigs, members = [], []
+            for bucket, sets, counts, entries in zip(*(batch.column(c).to_pylist() for c in SURVEY[4:8]), strict=True):
+                wanted = np.array(sorted(by_bucket.get(bucket, ())), np.uint64)
+                if len(wanted):
+                    ids, owner, bits = unpacked(sets, counts, entries)
+                    short = wanted >> _U(16)
+                    at = np.minimum(np.searchsorted(short, bits), len(short) - 1)
+                    is_hot = short[at] == bits
+                    if inside:
+                        sigs.append(wanted[at[is_hot]].view(np.int64))
+                        members.append(ids[owner[is_hot]])
+                    else:
+                        left = np.bincount(owner[~is_hot], minlength=len(ids))
+                        sets, counts = ids[left > 0].tobytes(), left[left > 0].astype("<u4").tobytes()
+                        entries = np.frombuffer(entries, np.uint8).reshape(-1, 6)[~is_hot].tobytes()
+                for column, value in zip(out, (bucket, sets, counts, entries), strict=True):
+                    column.append(value)
+            if not inside:
+                yield pa.record_batch([pa.array(out[0], pa.int64()), *(pa.array(c, pa.binary()) for c in out[1:])], names=list(SURVEY[4:8]))
+            elif sigs:
+                yield pa.record_batch([pa.array(np.concatenate(sigs)), binaries(np.concatenate(members))], names=["sig", "cls"])
+
+    if inside:
+        return packed.mapInArrow(strip, "sig long, cls binary").distinct()
+    return packed.mapInArrow(strip, "bucket long, sets binary, counts binary, entries binary")
+
+
+def hot_crowds(members: DataFrame) -> DataFrame:
+    """As crowds(), of the hot entries' (sig, cls): one of the entries with equal sets stands for all of them."""
+    sums = members.groupBy("sig").agg(F.bit_xor(F.xxhash64("cls")).alias("grp"), F.count(F.lit(1)).alias("k"))
+    one = sums.filter("k > 1").groupBy("grp", "k").agg(F.min("sig").alias("sig"), F.count(F.lit(1)).alias("entries"))
+    return members.join(F.broadcast(one), "sig").select("grp", "cls", "entries")
 
 
 def crowds(packed: DataFrame) -> DataFrame:
     """grp, cls, entries: the groups of two or more sets that share an entry, each distinct group once, and how many entries it shares."""
 
     def collide(table: pa.Table) -> pa.Table:
-        sets = [np.frombuffer(x, np.int64) for x in table.column("sets").to_pylist()]
-        counts = [np.frombuffer(x, "<u4") for x in table.column("counts").to_pylist()]
-        cls = np.repeat(np.concatenate(sets), np.concatenate(counts))
-        raw = np.frombuffer(b"".join(table.column("entries").to_pylist()), np.uint8).reshape(-1, 6)
-        sig = np.zeros((len(raw), 8), np.uint8)
-        sig[:, :6] = raw
-        sig = sig.view("<u8").ravel()
-        order = np.argsort(sig)
-        sig, cls = sig[order], cls[order]
-        shared = np.zeros(len(sig), bool)
-        shared[1:] = sig[1:] == sig[:-1]
-        shared[:-1] |= shared[1:]
-        sig, cls = sig[shared], cls[shared]
+        found = [unpacked(*x) for x in zip(*(table.column(c).to_pylist() for c in SURVEY[5:8]), strict=True)]
+        every, before = np.concatenate([f[0] for f in found]), np.cumsum([0, *(len(f[0]) for f in found)])
+        halves = every.view("<u8").reshape(-1, 2)
+        order = np.lexsort((halves[:, 1], halves[:, 0]))
+        new = np.ones(len(order), bool)
+        new[1:] = (halves[order[1:]] != halves[order[:-1]]).any(axis=1)
+        number = np.empty(len(order), np.int64)
+        number[order] = np.cumsum(new) - 1
+        ids = every[order[new]]
+        cls = np.concatenate([number[f[1] + b] for f, b in zip(found, before[:-1], strict=True)])
+        sig = np.concatenate([f[2] for f in found])
         order = np.lexsort((cls, sig))
         sig, cls = sig[order], cls[order]
         fresh = np.ones(len(sig), bool)
@@ -235,15 +321,15 @@ def crowds(packed: DataFrame) -> DataFrame:
         sig, cls = sig[fresh], cls[fresh]
         starts = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.zeros(0, int)
         sizes = np.diff(np.append(starts, len(sig)))
-        grp = np.add.reduceat(arrays.mix(cls.view(np.uint64)), starts) if len(sig) else np.zeros(0, np.uint64)
+        grp = np.add.reduceat(arrays.mix(ids.view("<u8")[::2].astype(np.uint64)[cls]), starts) if len(sig) else np.zeros(0, np.uint64)
         starts, sizes, grp = starts[sizes > 1], sizes[sizes > 1], grp[sizes > 1]
         grp, first, times = np.unique(grp, return_index=True, return_counts=True)
         starts, sizes = starts[first], sizes[first]
         ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
         member = np.arange(ends[-1]) + np.repeat(starts - ends[:-1], sizes)
-        return pa.table({"grp": np.repeat(grp.view(np.int64), sizes), "cls": cls[member], "entries": np.repeat(times, sizes).astype(np.int64)})
+        return pa.table({"grp": np.repeat(grp.view(np.int64), sizes), "cls": binaries(ids[cls[member]]), "entries": np.repeat(times, sizes).astype(np.int64)})
 
-    return packed.groupBy("bucket").applyInArrow(collide, "grp long, cls long, entries long")
+    return packed.groupBy("bucket").applyInArrow(collide, "grp long, cls binary, entries long")
 
 
 def with_choice(groups: DataFrame, classes: DataFrame) -> DataFrame:
@@ -254,7 +340,12 @@ def with_choice(groups: DataFrame, classes: DataFrame) -> DataFrame:
     Groups with one set left are dropped."""
     most = Window.partitionBy("cls").orderBy(F.desc("k"), "grp").rowsBetween(Window.unboundedPreceding, 0)
     kept = groups.join(classes.select("cls", "spare", "n"), "cls").filter("k > 1").withColumn("sum", F.sum("entries").over(most)).filter(F.col("sum") > F.col("spare"))
-    return kept.select("grp", "cls", "entries", "n").withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("grp"))).filter("k > 1")
+    return kept.select("grp", "cls", "entries", "n")
+
+
+def sized(groups: DataFrame) -> DataFrame:
+    """groups (a table) with `k`, the rows of each group; those of one row are dropped."""
+    return common.with_group(groups, "grp", groups.count()).withColumnRenamed("__size", "k").filter("k > 1")
 
 
 def least_shared(small: Column, large: Column, percent: int) -> Column:
@@ -285,13 +376,13 @@ def blocks(mixed: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     Groups with sets in common are put together (a label travels from group to set to group, twice), so that sets that share many
     large groups meet once. The sets of a label are sorted by size and cut into blocks; two blocks meet in one task if their sizes
     allow links, which loads the texts of both and multiplies their incidence matrices."""
-    labelled = mixed.select("grp", "cls", "n", F.col("grp").alias("label"))
+    labelled, total = mixed.select("grp", "cls", "n", F.col("grp").alias("label")), mixed.count()
     for _ in range(2):
-        labelled = labelled.withColumn("label", F.min("label").over(Window.partitionBy("cls"))).withColumn("label", F.min("label").over(Window.partitionBy("grp")))
-    members = labelled.select("label", "cls", "n").distinct()
-    so_far = Window.partitionBy("label").orderBy("n", "cls").rowsBetween(Window.unboundedPreceding, 0)
-    block = F.floor(F.sum("n").over(so_far) / BLOCK_GRAMS + F.count(F.lit(1)).over(so_far) / BLOCK_SETS)  # the sum bounds both in each block
-    members = common.table(members.withColumn("block", block), "blocked")
+        spread = common.table(labelled.withColumn("label", F.min("label").over(Window.partitionBy("cls"))), "spread")  # a set has few groups
+        labelled = common.with_group(spread, "grp", total, F.min("label").alias("__label")).withColumn("label", F.col("__label")).drop("__label", "__size")
+    members = common.running(labelled.select("label", "cls", "n").distinct(), "label", ["n", "cls"], ("grams", F.col("n")), ("sets", F.lit(1)))
+    block = F.floor(F.col("grams") / BLOCK_GRAMS + F.col("sets") / BLOCK_SETS)  # the sum bounds both in each block
+    members = common.table(members.select("label", "cls", "n", block.alias("block")), "blocked")
     ends = members.groupBy("label", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"))
     later = ends.select("label", F.col("block").alias("later"), F.col("least").alias("later_least"))
     meetings = ends.join(later, "label").filter((F.col("later") >= F.col("block")) & (100 * F.col("most") >= percent * F.col("later_least"))).select("label", "block", "later")
@@ -300,12 +391,12 @@ def blocks(mixed: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
     def compare(table: pa.Table) -> pa.Table:
         found = forest(*shingle_sets(arrays.plain(table.column("text"))), percent)
-        return pa.table({"a": pa.array([int(a) for a, _ in found], pa.int64()), "b": pa.array([int(b) for _, b in found], pa.int64())})
+        return pa.table({"a": pa.array([a for a, _ in found], pa.binary()), "b": pa.array([b for _, b in found], pa.binary())})
 
-    return dealt.groupBy("label", "block", "later").applyInArrow(compare, "a long, b long").distinct()
+    return dealt.groupBy("label", "block", "later").applyInArrow(compare, "a binary, b binary").distinct()
 
 
-def forest(hashes: np.ndarray, offsets: np.ndarray, percent: int) -> list[tuple[int, int]]:
+def forest(hashes: np.ndarray, offsets: np.ndarray, percent: int) -> list[tuple[bytes, bytes]]:
     """Set hashes of linked pairs, as many as connect all linked sets. Intersections come from products of 0/1 matrices over the
     n-grams that two sets or more have, some rows and some n-grams at a time; counts stay below 2^24, so single precision is exact."""
     ids, sizes = set_ids(hashes, offsets), np.diff(offsets)
@@ -350,10 +441,9 @@ def forest(hashes: np.ndarray, offsets: np.ndarray, percent: int) -> list[tuple[
 def verify(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of set hashes that are linked. texts: (cls, text). Sets are made anew from the texts; pairs with the same a
     meet in tasks of about CENTRE_PAIRS, so a's text moves once for that many and b's once for each pair."""
-    load = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("load"))
-    dealt = pairs.join(load, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.ceil(F.col("load") / CENTRE_PAIRS)).cast("int")).drop("load")
+    dealt = common.with_group(pairs, "a", pairs.count()).withColumn("salt", F.pmod(F.xxhash64("b"), F.ceil(F.col("__size") / CENTRE_PAIRS)).cast("int")).drop("__size")
     members = dealt.join(texts.withColumnRenamed("cls", "b"), "b").select("a", "salt", "b", "text")
-    centres = dealt.select("a", "salt").distinct().join(texts.withColumnRenamed("cls", "a"), "a").select("a", "salt", F.lit(None).cast("long").alias("b"), "text")
+    centres = dealt.select("a", "salt").distinct().join(texts.withColumnRenamed("cls", "a"), "a").select("a", "salt", F.lit(None).cast("binary").alias("b"), "text")
     lined = centres.unionByName(members).repartition("a", "salt").sortWithinPartitions("a", "salt", F.asc_nulls_first("b"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -371,9 +461,9 @@ def verify(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
                         found.append((a, b))
                 if found:
                     a, b = zip(*found, strict=True)
-                    yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                    yield pa.record_batch([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
-    return lined.mapInArrow(compare, "a long, b long").distinct()
+    return lined.mapInArrow(compare, "a binary, b binary").distinct()
 
 
 def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -387,7 +477,7 @@ def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * common_ >= percent * (len(x) + len(y) - common_)
 
 
-def against_all(rows: DataFrame, few: list[tuple[int, bytes]], percent: int) -> DataFrame:
+def against_all(rows: DataFrame, few: list[tuple[bytes, bytes]], percent: int) -> DataFrame:
     """Links between the few given sets and all sets, by comparing them one by one."""
     sets = [(i, np.frombuffer(x, np.uint64)) for i, x in few]
 
@@ -396,10 +486,10 @@ def against_all(rows: DataFrame, few: list[tuple[int, bytes]], percent: int) ->
             for part in arrays.slices(batch, "text"):
                 hashes, offsets = shingle_sets(arrays.plain(part.column("text")))
                 ids = set_ids(hashes, offsets)
-                found = [(i, int(ids[k])) for k in np.flatnonzero(np.diff(offsets)) for i, x in sets if i != ids[k] and linked(x, hashes[offsets[k] : offsets[k + 1]], percent)]
-                yield pa.record_batch([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], names=["a", "b"])
+                found = [(i, ids[k]) for k in np.flatnonzero(np.diff(offsets)) for i, x in sets if i != ids[k] and linked(x, hashes[offsets[k] : offsets[k + 1]], percent)]
+                yield pa.record_batch([pa.array([f[0] for f in found], pa.binary()), pa.array([f[1] for f in found], pa.binary())], names=["a", "b"])
 
-    return rows.select("text").mapInArrow(compare, "a long, b long")
+    return rows.select("text").mapInArrow(compare, "a binary, b binary")
 
 
 def unsure_links(rows: DataFrame, classes: DataFrame, texts_of, percent: int, block: int = 500) -> DataFrame | None:
@@ -411,9 +501,9 @@ def unsure_links(rows: DataFrame, classes: DataFrame, texts_of, percent: int, bl
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hashes, offsets = shingle_sets(arrays.plain(batch.column("text")))
-            yield pa.record_batch([pa.array(set_ids(hashes, offsets)), pa.array([hashes[s:e].tobytes() for s, e in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary())], names=["cls", "hashes"])
+            yield pa.record_batch([binaries(set_ids(hashes, offsets)), pa.array([hashes[s:e].tobytes() for s, e in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary())], names=["cls", "hashes"])
 
-    unsure, links, held = texts_of(few).select("text").mapInArrow(sets, "cls long, hashes binary"), None, []
+    unsure, links, held = texts_of(few).select("text").mapInArrow(sets, "cls binary, hashes binary"), None, []
     for r in [*unsure.toLocalIterator(), None]:
         if r is not None:
             held.append((r["cls"], r["hashes"]))
@@ -423,43 +513,31 @@ def unsure_links(rows: DataFrame, classes: DataFrame, texts_of, percent: int, bl
     return links
 
 
-def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
-    """key, n_shingles and component_id of every row: texts are linked when 100 * intersection >= percent * union of their sets of
-    5-word shingles (A-Z lower-cased; fewer words: the whole sequence); component_id is the smallest key that links reach.
+def candidates(found: DataFrame, classes: DataFrame, buckets: int) -> DataFrame:
+    """A table of grp, cls, entries, n and k: the groups of sets that share an index entry which they keep, by size k."""
+    packed = found.filter("bucket is not null").select(*SURVEY[4:8])
+    crowded = crowds(packed)
+    if hot := hot_entries(found):
+        apart = common.table(parted(packed, hot, buckets, True), "hot")
+        crowded = crowds(parted(packed, hot, buckets, False)).unionByName(hot_crowds(apart))
+    groups = common.table(crowded.groupBy("grp", "cls").agg(F.sum("entries").alias("entries")), "groups")
+    chosen = common.table(with_choice(sized(groups), classes), "chosen")
+    return common.table(sized(chosen), "choices")
 
-    Null and empty texts, and texts of white space, have no shingles and are linked with nothing. Repeated rows each get a row.
-    Rows with equal sets are one class; only classes are compared. In groups of sets that share index entries each set is compared
-    with one centre; sets that this leaves in different components are then compared with each other, in small groups by pairs and in
-    large ones by blocks, so no link between components is lost, but a large group of copies costs one comparison a set. Keys must not be null. Other columns are dropped.
-    """
-    common.need(df, key, text)
-    rows = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    sets = common.table(profile(rows, percent), "sets")
-    facts = sets.agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("n")).first()
-    classes = common.table(sets.filter("n > 0").groupBy("cls").agg(F.min("key").alias("least"), F.first("spare").alias("spare"), F.first("n").alias("n"), F.count(F.lit(1)).alias("copies")), "classes")
-    buckets = max(1, int(facts["n"] or 0) // BUCKET_ENTRIES)
-    groups = crowds(index(rows, buckets, percent)).groupBy("grp", "cls").agg(F.sum("entries").alias("entries"))
-    groups = common.table(groups, "groups")
-    groups = groups.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("grp")))
-    groups = common.table(with_choice(groups, classes), "choices")
-
-    def texts_of(wanted: DataFrame) -> DataFrame:
-        """(cls, text) of classes, from the row with the least key."""
-        which = wanted.join(classes, "cls").select(F.col("least").alias("key"), "cls")
-        return rows.join(which, "key").select("cls", "text")
-
-    texts = common.table(texts_of(groups.select("cls").distinct()), "texts")
-    links = unsure_links(rows, classes, texts_of, percent)
+
+def linked_classes(choices: DataFrame, texts: DataFrame, links: DataFrame | None, percent: int) -> DataFrame:
+    """(node, component) of the classes that links connect: those of the given `links`, and those found in the groups of `choices`."""
     where, tested = None if links is None else common.table(components(links, "a", "b"), "components"), None
-    hub = Window.partitionBy("grp")
     for number in range(ROUNDS + 1):
-        named = groups.withColumn("component", F.col("cls"))
+        named = choices.withColumn("component", F.col("cls"))
         if where is not None:
-            named = groups.join(where.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-        mixed = named.withColumn("least", F.min("component").over(hub)).withColumn("most", F.max("component").over(hub)).filter("least < most").drop("least", "most")
+            named = choices.join(where.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+        named = common.table(named, f"named_{number}")
+        hub = F.min(F.struct("component", "cls")).alias("hub")
+        mixed = common.with_group(named, "grp", named.count(), hub, F.max("component").alias("most")).filter("hub.component < most").drop("most", "__size")
         mixed, found = common.table(mixed, f"mixed_{number}"), []
         if number < ROUNDS:
-            star = mixed.withColumn("hub", F.min(F.struct("component", "cls")).over(hub)).filter("component <> hub.component")
+            star = mixed.filter("component <> hub.component")
             pairs = star.groupBy(F.col("hub.cls").alias("a"), F.col("cls").alias("b")).agg(F.sum("entries").alias("shared"))
         else:
             pairs = across(mixed.filter(F.col("k") <= PAIRED), percent)
@@ -473,13 +551,48 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", p
         links = found if links is None else links.unionByName(found)
         tested = pairs if tested is None else tested.unionByName(pairs)
         where = common.table(components(links, "a", "b"), "components")
-    known = classes.withColumn("component", F.col("cls"))
-    if where is not None:
+    return where
+
+
+def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
+    """key, n_shingles and component_id of every row: texts are linked when 100 * intersection >= percent * union of their sets of
+    5-word shingles (A-Z lower-cased; fewer words: the whole sequence); component_id is the smallest key that links reach.
+
+    Null and empty texts, and texts of white space, have no shingles and are linked with nothing. Repeated rows each get a row; rows
+    of one key with different texts are told apart. Null keys are linked like others, but are no component's smallest key unless it
+    has no other: then component_id is null. Rows with equal sets are one class; only classes are compared. In groups of sets that
+    share index entries each set is compared with one centre; sets that this leaves in different components are then compared with
+    each other, in small groups by pairs and in large ones by blocks, so no link between components is lost, but a large group of
+    copies costs one comparison a set. Other columns are dropped.
+    """
+    common.need(df, key, text)
+    body = F.col(text).cast("string")
+    rows = df.select(F.struct(F.col(key).alias("key"), F.xxhash64(body).alias("hash")).alias("key"), body.alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(1, int(size) // BUCKET_BYTES)
+    with common.passing() as keep:
+        found = keep(common.table(survey(rows, buckets, percent), "survey"))
+        sets = found.filter("n is not null").select("key", "n", "cls", "spare")
+        total = sets.count()
+        classes = common.table(sets.filter("n > 0").groupBy("cls").agg(F.min("key").alias("row"), F.min("key.key").alias("least"), F.first("spare").alias("spare"), F.first("n").alias("n"), F.count(F.lit(1)).alias("copies")), "classes")
+        choices = candidates(found, classes, buckets)
+        repeated = not sets.filter("n > 0").groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()
+
+        def texts_of(wanted: DataFrame) -> DataFrame:
+            """(cls, text) of classes, from the row with the least key."""
+            which = wanted.join(classes, "cls").select(F.col("row").alias("key"), "cls")
+            texts = rows.join(which, "key").select("cls", "text")
+            return texts.dropDuplicates(["cls"]) if repeated else texts
+
+        texts = common.table(texts_of(choices.select("cls").distinct()), "texts")
+        where = linked_classes(choices, texts, unsure_links(rows, classes, texts_of, percent), percent)
         known = classes.join(where.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    known = known.withColumn("component_id", F.min("least").over(Window.partitionBy("component"))).select("cls", "component_id", "copies")
-    some = common.join_counted(sets.filter("n > 0").select("key", "n", "cls"), known, ["cls"], "copies", facts["rows"])
-    none = sets.filter("n = 0").select("key", "n", F.col("key").alias("component_id"))
-    return some.select("key", "n", "component_id").unionByName(none).select(F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id")
+        known = common.table(known.select("cls", "component", "least", "copies"), "components")
+        known = common.with_group(known, "component", known.count(), F.min("least").alias("component_id"))
+        known = keep(common.table(known.select("cls", "component_id", "copies"), "known"))
+    some = common.join_counted(sets.filter("n > 0").select("key", "n", "cls"), known, ["cls"], "copies", total)
+    none = sets.filter("n = 0").select("key", "n", F.col("key.key").alias("component_id"))
+    return some.select("key", "n", "component_id").unionByName(none).select(F.col("key.key").alias(key), F.col("n").alias("n_shingles"), "component_id")
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import re
 import tracemalloc
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -96,3 +97,35 @@ def test_short_texts_with_a_passage_in_blocks_of_few_sets(spark, monkeypatch):
 def test_documents(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     assert found(docs) == brute([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])
+
+def test_hot_entries_are_dealt_apart(spark, monkeypatch):
+    """Sets that share a passage with all others, with their entries dealt apart from the buckets."""
+    monkeypatch.setattr(jaccard, "HOT_ENTRIES", 20)
+    monkeypatch.setattr(jaccard, "BUCKET_BYTES", 4000)
+    monkeypatch.setattr(jaccard, "PAIRED", 8)
+    rng = random.Random(11)
+    passage = " ".join(f"p{i}" for i in range(12))
+    rows = [(i, passage + " " + " ".join(f"z{rng.randrange(9)}" for _ in range(rng.randrange(1, 6)))) for i in range(150)]
+    rows += [(200 + i, " ".join(f"q{rng.randrange(10**6)}" for _ in range(30)) + " " + passage) for i in range(50)]
+    rows += [(300 + i, t) for i, (_, t) in enumerate(rows[:60])]
+    assert found(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)) == brute(rows)
+
+
+def test_repeated_and_null_keys(spark):
+    """One key with two texts, null keys with and without other keys beside them."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(20)) for x in "abc")
+    rows = [(1, a), (1, b), (2, a + " end"), (3, b), (None, c), (None, c + " end"), (None, a), (4, "x"), (None, ""), (4, "x")]
+    got = Counter(tuple(r) for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == Counter([(1, 16, 1), (1, 16, 1), (2, 17, 1), (3, 16, 1), (None, 16, None), (None, 17, None), (None, 16, 1), (4, 1, 4), (None, 0, None), (4, 1, 4)])
+
+
+def test_many_short_texts_with_a_passage(spark):
+    """12000 texts of twelve words, nine of them shared by all: a candidate group of all, of which few are linked."""
+    rng = random.Random(13)
+    passage = " ".join(f"p{i}" for i in range(9))
+    rows = [(i, f"{passage} a{i} b{i} c{i}") for i in range(12_000)]
+    rows += [(20_000 + k, f"{passage} a{i} b{i} d{k}") for k, i in enumerate(rng.sample(range(12_000), 50))]
+    want = {20_000 + k: int(t.split()[9][1:]) for k, (_, t) in enumerate(rows[12_000:])}
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows)
+    assert {r.doc_id: r.component_id for r in got if r.doc_id != r.component_id} == want
