@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 #: A key with a 64th of all rows or more is hot; there are 64 such keys at most.
 HOT_PARTS = 64
+FEW_ROWS = 20_000
 PACKAGE_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
@@ -101,8 +102,11 @@ def text_crc32(text):
 def join_counted(left: DataFrame, right: DataFrame, on: list[str], count: str, total: int, how: str = "left") -> DataFrame:
     """left joined with right, which has each key of `on` once and in `count` the number of left's rows with it.
 
-    Keys with a 64th of left's `total` rows or more (64 keys at most) are broadcast, so no task gets all rows of a hot key.
+    Keys with a 64th of left's `total` rows or more (64 keys at most) are broadcast, so no task gets all rows of a hot key. With fewer
+    than FEW_ROWS rows there is nothing to spread.
     """
+    if total < FEW_ROWS:
+        return left.join(right, on, how)
     from_ = max(2, -(-total // HOT_PARTS))
     hot = F.broadcast(right.filter(F.col(count) >= from_).withColumn("__hot", F.lit(True)))
     marked = left.join(hot, on, "left")

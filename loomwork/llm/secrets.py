@@ -28,26 +28,29 @@ MAYBE = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]|AKIA[A-Z0-9
 
 GRAMMAR = "grammar"
 WORD = "word"
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-CANDIDATE_LENGTH = 16
-#: Words of prose, for the background: letters that stand alone, too short for a candidate.
-PROSE = re.compile(r"(?<!\S)[A-Za-z]{1,15}(?=[\s.,;:!?]|\Z)", re.ASCII)
-#: Distinct labelled strings of each kind, and words, from which the automata are inferred.
+#: Every run of the characters of a value, as long as one must be, is a candidate.
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{6,}")
+#: Words of prose, for the background: runs of letters, with hyphens within and a full stop after.
+PROSE = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z]+(?:-[A-Za-z]+)*\.?(?![A-Za-z0-9+/_.=-])")
+#: Distinct labelled strings of each kind, and words, from which the automata are inferred. Strings are learned and scored whole.
 SAMPLE = 400
-#: Strings are cut for training only beyond this many characters; scores always walk the whole candidate.
-DEPTH = 64
+WORDS = 2000
+#: Shares of the hash that the strings of a kind are ranked in before they are ranked together.
+SALTS = 64
 SMOOTHING = 0.05
-#: Parts of a kind's labelled strings, each measured by an automaton of the others; the cut-off is what 95 of 100 so measured reach.
+#: Parts of a kind's strings, each measured by an automaton of the others; a labelled cut-off is what 95 of 100 so measured reach.
 FOLDS = 4
+#: Of words of prose this share may pass for a credential.
+FALSE_WORDS = 1e-7
 #: Fewer labelled strings than this say little of what others reach: a candidate must then also exceed the background.
 FEW = 40
-ALPHABET = 66
+#: The characters of a candidate, and the end.
+ALPHABET = 69
+CACHE_STRINGS = 400_000
 SPAN_TYPE = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
 _CLASS = np.zeros(256, bool)
-_CLASS[[ord(c) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"]] = True
-_DIGIT = np.zeros(256, bool)
-_DIGIT[48:58] = True
+_CLASS[[ord(c) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"]] = True
 
 
 def base_spans(text: str) -> list[tuple[int, int, int, int]]:
@@ -59,44 +62,38 @@ def base_spans(text: str) -> list[tuple[int, int, int, int]]:
 
 
 def candidates(text: str, taken: list[tuple[int, int, int, int]]) -> list[tuple[int, int]]:
-    """Runs of 16 or more credential characters with a letter and a digit, clear of the base spans."""
-    out = []
+    """Candidates' places clear of the base spans, which come in order: both are walked once."""
+    out, i, reach = [], 0, 0
     for m in CANDIDATE.finditer(text):
-        run = m.group()
-        if any(c.isdigit() for c in run) and any(c.isalpha() for c in run) and not any(s < m.end() and m.start() < e for s, _, e, _ in taken):
+        while i < len(taken) and taken[i][0] < m.end():
+            reach = max(reach, taken[i][2])
+            i += 1
+        if reach <= m.start():
             out.append(m.span())
     return out
 
 
-def suspects(texts: pa.Array) -> np.ndarray:
-    """Rows that can hold a base span or a candidate: found on the raw bytes, without a loop over rows."""
-    rows = pc.match_substring_regex(texts, MAYBE).to_numpy(zero_copy_only=False).copy()
+def runs(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The candidates of all rows, and the row of each: every other byte is taken for a space."""
     data, offsets = arrays.text_bytes(texts)
-    inside = _CLASS[data]
-    edges = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).view(np.int8)))
-    starts, ends = edges[::2], edges[1::2]
-    long = ends - starts >= CANDIDATE_LENGTH  # a run over two rows only adds a row to look at
-    digits = np.concatenate([[0], np.cumsum(_DIGIT[data])])
-    starts, ends = starts[long], ends[long]
-    starts = starts[digits[ends] > digits[starts]]
-    at = np.searchsorted(offsets, starts, side="right") - 1
-    rows[at] = True
-    rows[np.minimum(at + 1, len(rows) - 1)] = True
-    return np.flatnonzero(rows)
+    masked = np.where(_CLASS[data], data, np.uint8(0x20))
+    words, at = arrays.split_words(pa.StringArray.from_buffers(len(texts), pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(masked.tobytes())))
+    long = pc.greater_equal(pc.binary_length(words), ASSIGN_LENGTH)
+    return words.filter(long), arrays.row_of(at)[long.to_numpy(zero_copy_only=False)]
 
 
 def labelled(df: DataFrame, text: str) -> DataFrame:
-    """kind, value: the credentials that the base patterns label, and the words around credentials and candidates as `word`."""
+    """kind, value: the credentials that the base patterns label, and the words of the texts that have some as `word`."""
 
     def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in arrays.slices(batch, "text"):
                 texts = arrays.plain(part.column(0))
                 seen = set()
-                for row in texts.take(pa.array(suspects(texts))).to_pylist():
-                    spans = base_spans(row)
-                    seen.update((KINDS[k], row[v:e][:DEPTH]) for _, k, e, v in spans)
-                    seen.update((WORD, m.group()) for m in PROSE.finditer(row))
+                for row in texts.filter(pc.match_substring_regex(texts, MAYBE)).to_pylist():
+                    if spans := base_spans(row):
+                        seen.update((KINDS[k], row[v:e]) for _, k, e, v in spans)
+                        seen.update((WORD, m.group()) for m in PROSE.finditer(row) if len(m.group()) >= ASSIGN_LENGTH)
                 kinds, got = zip(*seen, strict=True) if seen else ((), ())
                 yield pa.record_batch([pa.array(kinds, pa.string()), pa.array(got, pa.string())], names=["kind", "value"])
 
@@ -160,12 +157,13 @@ def infer(strings: list[str], alpha: float = 0.05) -> list[list]:
                 else:
                     go[p][c] = go[q][c]
 
-    red = [0]
-    while blue := next(((p, c) for p in red for c in sorted(go[p]) if go[p][c] not in red), None):
+    red, known = [0], {0}
+    while blue := next(((p, c) for p in red for c in sorted(go[p]) if go[p][c] not in known), None):
         parent, char = blue
         q = go[parent][char]
         if (r := next((r for r in red if compatible(r, q)), None)) is None:
             red.append(q)
+            known.add(q)
         else:
             go[parent][char] = r
             fold(r, q)
@@ -173,67 +171,129 @@ def infer(strings: list[str], alpha: float = 0.05) -> list[list]:
     return [[{c: [number[go[q][c]], n[q][c]] for c in sorted(go[q])}, end[q]] for q in red]
 
 
-def log_likelihood(automaton: list[list], string: str) -> float:
-    """Mean log probability of each character and of the end; an unseen character keeps the state and costs a smoothed share."""
-    state, total = 0, 0.0
-    for c in [*string, None]:
-        moves, ends = automaton[state]
-        seen = ends + sum(k for _, k in moves.values())
-        k = ends if c is None else moves[c][1] if c in moves else 0
-        total += math.log((k + SMOOTHING) / (seen + SMOOTHING * ALPHABET))
-        if c in moves:
-            state = moves[c][0]
-    return total / (len(string) + 1)
+class Scorer:
+    """Log probabilities of whole strings under one automaton: an unseen character keeps the state and costs a smoothed share."""
+
+    def __init__(self, automaton: list[list]):
+        self.moves, self.miss, self.ends = [], [], []
+        for moves, ends in automaton:
+            whole = ends + sum(k for _, k in moves.values()) + SMOOTHING * ALPHABET
+            self.moves.append({c: (to, math.log((k + SMOOTHING) / whole)) for c, (to, k) in moves.items()})
+            self.miss.append(math.log(SMOOTHING / whole))
+            self.ends.append(math.log((ends + SMOOTHING) / whole))
+
+    def __call__(self, string: str) -> float:
+        state, total = 0, 0.0
+        for c in string:
+            step = self.moves[state].get(c)
+            if step is None:
+                total += self.miss[state]
+            else:
+                state = step[0]
+                total += step[1]
+        return total + self.ends[state]
+
+
+class Judge:
+    """Whether a string is a secret by a model of train(); distinct strings are scored once while there are few."""
+
+    def __init__(self, model: dict):
+        self.background = Scorer(model["background"])
+        self.kinds = [(Scorer(k["automaton"]), k["cutoff"], k["least"]) for k in model["kinds"].values()]
+        self.known: dict[str, bool] = {}
+
+    def __call__(self, string: str) -> bool:
+        says = self.known.get(string)
+        if says is None:
+            if len(self.known) >= CACHE_STRINGS:
+                self.known.clear()
+            back = chance(self.background, string)
+            says = self.known[string] = any(gain >= least and gain / (len(string) + 1) >= cutoff for gain, cutoff, least in ((own(string) - back, c, x) for own, c, x in self.kinds))
+        return says
+
+
+def chance(background: Scorer, string: str) -> float:
+    """Log probability of a string that is no credential: as prose, or evenly over the alphabet."""
+    return max(background(string), -math.log(ALPHABET) * (len(string) + 1))
 
 
-def train(df: DataFrame, text: str = "text", sample: int = SAMPLE) -> dict:
+def train(df: DataFrame, text: str = "text", sample: int = SAMPLE, words: int = WORDS) -> dict:
     """Automata of all kinds, fitted on the `sample` distinct strings of each kind with the smallest hashes, with cut-offs.
 
-    A candidate is a secret if, for some kind, its log likelihood exceeds the background's by the kind's cut-off: what 95 of 100
-    labelled strings reach under an automaton that was inferred without them. The background is the likelier of an even one over the
-    alphabet and an automaton of words of prose. No candidate takes part in either, so what is accepted doesn't depend on the other
-    candidates of the corpus. Kinds without examples are not learned.
+    A candidate is a secret if, for some kind, its log likelihood exceeds the background's enough: for each character by what 95 of 100
+    labelled strings reach under an automaton that was inferred without them, and in all by more than any but FALSE_WORDS of the words
+    of prose do, which is read from `words` held-out words by the exponential tail of their last tenth. The background is the likelier
+    of an even one over the alphabet and an automaton of the words. No candidate takes part in either, so what is accepted doesn't
+    depend on the other candidates of the corpus. Kinds without examples are not learned. Null texts teach nothing; repeated
+    strings count once. The driver sees automata and one number for each string of the samples.
     """
-    rank = F.row_number().over(Window.partitionBy("kind").orderBy(F.xxhash64("value"), "value"))
-    picked = labelled(df, text).groupBy("kind", "value").agg(F.lit(1)).select("kind", "value").withColumn("rank", rank).filter(F.col("rank") <= sample)
+    order = ["key", "value"]
+    salted = labelled(df, text).distinct().withColumn("key", F.xxhash64("value")).withColumn("salt", F.pmod("key", F.lit(SALTS)))
+    most = F.when(F.col("kind") == WORD, words).otherwise(sample)
+    first = salted.withColumn("rank", F.row_number().over(Window.partitionBy("kind", "salt").orderBy(*order))).filter(F.col("rank") <= most)
+    ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy("kind").orderBy(*order))).filter(F.col("rank") <= most)
+    picked = common.table(ranked.select("kind", "value", (F.col("rank") % FOLDS).alias("fold")), "labelled")
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
-        strings, kind = sorted(group["value"]), group["kind"].iloc[0]
-        own, apart = infer(strings), []
-        for i in range(min(FOLDS, len(strings)) if kind != WORD else 0):
-            rest = [s for j, s in enumerate(strings) if j % FOLDS != i]
-            automaton = infer(rest) if rest else own
-            apart += [(s, log_likelihood(automaton, s)) for s in strings[i::FOLDS]]
-        return pd.DataFrame({"kind": [kind], "automaton": [json.dumps(own)], "apart": [json.dumps(apart)]})
-
-    fitted = {r.kind: r for r in picked.groupBy("kind").applyInPandas(fit, "kind string, automaton string, apart string").collect()}
-    background = json.loads(fitted[WORD].automaton) if WORD in fitted else [[{}, 0]]
-    model = {"background": background, "kinds": {}}
+        kind, left = group["kind"].iloc[0], group["left"].iloc[0]
+        return pd.DataFrame({"kind": [kind], "left": [left], "automaton": [json.dumps(infer(sorted(group["value"])))]})
+
+    parts = picked.select("kind", "value", "fold", F.explode(F.array(*map(F.lit, range(-1, FOLDS)))).alias("left")).filter("fold <> left")
+    fitted = {(r.kind, r.left): json.loads(r.automaton) for r in parts.groupBy("kind", "left").applyInPandas(fit, "kind string, left int, automaton string").collect()}
+    nothing = [[{}, 0]]
+    whole = {kind: fitted.get((kind, -1), nothing) for kind in (*KINDS, WORD)}
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        without = {k: Scorer(a) for k, a in fitted.items()}
+        full = {k: Scorer(a) for k, a in whole.items()}
+        for batch in batches:
+            out = []
+            for kind, value, fold in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if kind == WORD:
+                    back = chance(without.get((WORD, fold), full[WORD]), value)
+                    out += [(k, False, full[k](value) - back) for k in KINDS if (k, -1) in fitted]
+                else:
+                    gain = without.get((kind, fold), full[kind])(value) - chance(full[WORD], value)
+                    out.append((kind, True, gain / (len(value) + 1)))
+            yield pa.record_batch([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.string(), pa.bool_(), pa.float64()))], names=["kind", "own", "gain"])
+
+    gains: dict[tuple, list[float]] = {}
+    for r in picked.mapInArrow(measure, "kind string, own boolean, gain double").collect():
+        gains.setdefault((r.kind, r.own), []).append(r.gain)
+    model = {"background": whole[WORD], "kinds": {}}
     for kind in KINDS:
-        if kind in fitted:
-            reached = sorted(own - chance(model, s) for s, own in json.loads(fitted[kind].apart))
+        if (kind, -1) in fitted:
+            reached, others = sorted(gains[kind, True]), sorted(gains.get((kind, False), []))
             cutoff = reached[len(reached) // 20]
-            model["kinds"][kind] = {"automaton": json.loads(fitted[kind].automaton), "cutoff": cutoff if len(reached) >= FEW else max(cutoff, 0.0)}
+            model["kinds"][kind] = {"automaton": whole[kind], "cutoff": cutoff if len(reached) >= FEW else max(cutoff, 0.0), "least": tail(others, FALSE_WORDS)}
     return model
 
 
-def chance(model: dict, string: str) -> float:
-    """Mean log probability of a string that is no credential: as prose, or evenly over the alphabet."""
-    return max(log_likelihood(model["background"], string), -math.log(ALPHABET))
-
+def tail(values: list[float], share: float) -> float:
+    """What `share` of such values (sorted) exceed, by an exponential tail beyond their last tenth; without values nothing."""
+    if not values:
+        return 0.0
+    last = values[len(values) - 1 - len(values) // 10 :]
+    return max(last[-1], last[0] + sum(x - last[0] for x in last) / len(last) * math.log(0.1 / share))
 
-def is_secret(model: dict, string: str) -> bool:
-    back = chance(model, string)
-    return any(log_likelihood(k["automaton"], string) - back >= k["cutoff"] for k in model["kinds"].values())
 
-
-def spans_of(model: dict, text: str) -> list[tuple[str, int, int]]:
+def spans_of(judge: Judge, text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of the base spans and of the candidates that the automata accept, by start and then kind."""
     base = base_spans(text)
-    more = [(s, len(KINDS), e) for s, e in candidates(text, base) if is_secret(model, text[s:e])]
+    more = [(s, len(KINDS), e) for s, e in candidates(text, base) if judge(text[s:e])]
     return [([*KINDS, GRAMMAR][k], s, e) for s, k, e in sorted([*(x[:3] for x in base), *more])]
 
 
+def suspects(judge: Judge, texts: pa.Array) -> np.ndarray:
+    """Rows that can hold a base span or hold a candidate that passes for a secret: each distinct candidate is judged once."""
+    rows = pc.match_substring_regex(texts, MAYBE).to_numpy(zero_copy_only=False).copy()
+    found, row = runs(texts)
+    index, distinct = arrays.encoded(found)
+    passes = np.fromiter(map(judge, distinct.to_pylist()), bool, len(distinct))
+    rows[row[passes[index]]] = True
+    return np.flatnonzero(rows)
+
+
 def scan(df: DataFrame, model: dict, text: str = "text", column: str = "secrets") -> DataFrame:
     """Add `column`: array of (kind, start, end) in code points, end exclusive, by start and then kind. Null texts have none.
 
@@ -246,13 +306,14 @@ def scan(df: DataFrame, model: dict, text: str = "text", column: str = "secrets"
     place = names.index(text)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = Judge(model)
         for batch in batches:
             for part in arrays.slices(batch.rename_columns([str(i) for i in range(batch.num_columns)]), str(place)):
                 texts = arrays.plain(part.column(place))
-                rows = suspects(texts)
+                rows = suspects(judge, texts)
                 spans: list[list] = [[] for _ in range(len(texts))]
                 for i, row in zip(rows, texts.take(pa.array(rows)).to_pylist(), strict=True):
-                    spans[i] = [{"kind": k, "start": s, "end": e} for k, s, e in spans_of(model, row)]
+                    spans[i] = [{"kind": k, "start": s, "end": e} for k, s, e in spans_of(judge, row)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(spans, SPAN_TYPE)], names=names)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema)
@@ -268,23 +329,24 @@ def redact(df: DataFrame, model: dict, text: str = "text", mark: str = "[SECRET]
     names = list(df.columns)
     place = names.index(text)
 
-    def cut(whole: str) -> str:
+    def cut(judge: Judge, whole: str) -> str:
         at, pieces = 0, []
-        for _, start, end in spans_of(model, whole):
+        for _, start, end in spans_of(judge, whole):
             if start >= at:
                 pieces += [whole[at:start], mark]
             at = max(at, end)
         return "".join(pieces) + whole[at:]
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = Judge(model)
         for batch in batches:
             for part in arrays.slices(batch.rename_columns([str(i) for i in range(batch.num_columns)]), str(place)):
                 texts, columns = arrays.plain(part.column(place)), list(part.columns)
-                rows = suspects(texts)
+                rows = suspects(judge, texts)
                 if len(rows):
                     mask = np.zeros(len(texts), bool)
                     mask[rows] = part.column(place).is_valid().to_numpy(zero_copy_only=False)[rows]
-                    cleaned = pa.array(map(cut, texts.filter(pa.array(mask)).to_pylist()), pa.string())
+                    cleaned = pa.array([cut(judge, x) for x in texts.filter(pa.array(mask)).to_pylist()], pa.string())
                     columns[place] = pc.replace_with_mask(columns[place].cast(pa.string()), pa.array(mask), cleaned)
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 

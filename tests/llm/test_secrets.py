@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import string
@@ -77,3 +78,39 @@ def test_redaction(spark):
     df = spark.createDataFrame([(1, "a password=hunter22 b"), (2, "clean"), (3, None)], "doc_id long, text string")
     got = {r.doc_id: r.text for r in secrets.redact(df, secrets.train(df)).collect()}
     assert got == {1: "a [SECRET] b", 2: "clean", 3: None}
+
+
+def plain_score(automaton: list, text: str) -> float:
+    """Log probability by the automaton's counts, one step after another."""
+    state, p = 0, 0.0
+    for c in text:
+        moves, ends = automaton[state]
+        seen = ends + sum(k for _, k in moves.values()) + secrets.SMOOTHING * secrets.ALPHABET
+        p += math.log(((moves[c][1] if c in moves else 0) + secrets.SMOOTHING) / seen)
+        state = moves[c][0] if c in moves else state
+    moves, ends = automaton[state]
+    return p + math.log((ends + secrets.SMOOTHING) / (ends + sum(k for _, k in moves.values()) + secrets.SMOOTHING * secrets.ALPHABET))
+
+
+def test_added_spans_by_a_plain_scorer(spark):
+    """Every candidate of every text is scored whole, whatever its length, letters and dots; those that touch a base span are left out."""
+    rng = random.Random(8)
+    key = lambda n: "k." + "".join(rng.choice("XYZ789") for _ in range(n))
+    words = [f"{a}{b}{c}" for a in ("spring", "river", "stone") for b in ("time", "side", "field") for c in ("", "s", "less", "-bound.")]
+    texts = [f"set token={key(rng.randrange(10, 120))} for the {rng.choice(words)} of {rng.choice(words)}" for _ in range(120)]
+    texts += [f"left {key(rng.randrange(4, 150))}, {''.join(rng.choice('XYZ') for _ in range(30))} {rng.choice(words)}\n{key(40)}é{rng.choice(words)}" for _ in range(60)]
+    texts += [f"password={key(9)}/{key(30)} token: {key(8)}", " ".join(words), None, "x" * 5000, key(3000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = secrets.train(df)
+    added = 0
+    for r in secrets.scan(df, model).collect():
+        taken = [(s, e) for s, _, e in base(r.text)]
+        want = []
+        for m in re.finditer(r"[A-Za-z0-9+/_.=-]{6,}", r.text or ""):
+            back = max(plain_score(model["background"], m[0]), -math.log(secrets.ALPHABET) * (len(m[0]) + 1))
+            gains = [(plain_score(k["automaton"], m[0]) - back, k) for k in model["kinds"].values()]
+            if any(g >= k["least"] and g / (len(m[0]) + 1) >= k["cutoff"] for g, k in gains) and not any(s < m.end() and m.start() < e for s, e in taken):
+                want.append(m.span())
+        assert [(x.start, x.end) for x in r.secrets if x.kind == secrets.GRAMMAR] == want
+        added += len(want)
+    assert added >= 100
