@@ -39,11 +39,11 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def table(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: a cut of the lineage that survives lost executors."""
+def table(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """Write df as Parquet (in a folder for each value of the columns `by`) into the shared folder and read it back: a cut of the lineage that survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/loomwork/{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path) if by else df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _folders[id(out)] = path
     weakref.finalize(out, _folders.pop, id(out), None)

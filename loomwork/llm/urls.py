@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,10 +13,12 @@ from loomwork.llm import common
 #: The production rules, as verdict and rule (host, then path).
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-HASHES = 6
-BITS_PER_KEY = 9
-#: A filter level beyond this size is not built: membership then comes from a join.
-MAX_FILTER_BYTES = 64 << 20
+#: A level lets through as many keys that it doesn't hold as makes a tenth of those that it holds, and never more than MOST_FALSE of the rest.
+NEXT_LEVEL = 0.1
+MOST_FALSE = 0.015
+MOST_HASHES = 24
+#: The keys are dealt by hash to as many cascades as keep the first filter of each within this size.
+MAX_FILTER_BYTES = 8 << 20
 
 
 def host_path(url: Column) -> tuple[Column, Column]:
@@ -38,17 +41,24 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return (F.lit(None).cast("string"), F.lit(None).cast("string")) if rule is None else (rule, verdict)
 
 
-def _positions(key: Column, level: int, bits: int) -> list[Column]:
-    return [F.pmod(F.xxhash64(key, F.lit(level), F.lit(i)), F.lit(bits).cast("long")) for i in range(HASHES)]
+def _positions(key: Column, level: int, bits: int, hashes: int) -> list[Column]:
+    return [F.pmod(F.xxhash64(key, F.lit(level), F.lit(i)), F.lit(bits).cast("long")) for i in range(hashes)]
+
+
+def shape(held: int, others: int) -> tuple[int, int]:
+    """Bits (in whole words) and hashes of a filter of `held` keys, with `others` keys to be told from them."""
+    false = min(MOST_FALSE, NEXT_LEVEL * max(held, 1) / max(others, 1))
+    hashes = min(MOST_HASHES, max(1, math.ceil(-math.log2(false))))
+    return max(1, math.ceil(held * hashes / math.log(2) / 64)) * 64, hashes
 
 
 def _word_and_mask(position: Column) -> tuple[Column, Column]:
     return (F.floor(position / 64)).cast("int"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(position, F.lit(64)).cast("int"))
 
 
-def filter_words(keys: DataFrame, level: int, bits: int) -> DataFrame:
+def filter_words(keys: DataFrame, level: int, bits: int, hashes: int) -> DataFrame:
     """One row with the Bloom filter of `key` as an array of 64-bit words: `bits` bounds its size."""
-    positions = keys.select(F.explode(F.array(*_positions(F.col("key"), level, bits))).alias("p"))
+    positions = keys.select(F.explode(F.array(*_positions(F.col("key"), level, bits, hashes))).alias("p"))
     word, mask = _word_and_mask(F.col("p"))
     spark = keys.sparkSession
     blank = spark.range(bits // 64).select(F.col("id").cast("int").alias("w"), F.lit(0).cast("long").alias("m"))
@@ -56,9 +66,9 @@ def filter_words(keys: DataFrame, level: int, bits: int) -> DataFrame:
     return words.agg(F.transform(F.sort_array(F.collect_list(F.struct("w", "m"))), lambda s: s["m"]).alias("words"))
 
 
-def contains(words: Column, key: Column, level: int, bits: int) -> Column:
+def contains(words: Column, key: Column, level: int, bits: int, hashes: int) -> Column:
     tests = []
-    for p in _positions(key, level, bits):
+    for p in _positions(key, level, bits, hashes):
         word, mask = _word_and_mask(p)
         tests.append(F.get(words, word).bitwiseAND(mask) != 0)
     return reduce(lambda a, b: a & b, tests)
@@ -68,30 +78,25 @@ class Cascade:
     """Bloom filters whose even levels encode listed keys and whose odd levels the false positives of the level before, over the
     whole key universe, until a level has none. Within the universe membership is exact."""
 
-    def __init__(self, keys: DataFrame, max_bytes: int = MAX_FILTER_BYTES):
+    def __init__(self, keys: DataFrame):
         """keys: (key, listed), every key of the universe once."""
-        self.levels: list[tuple[DataFrame, int]] = []
-        self.complete = True
+        self.levels: list[tuple[DataFrame, int, int]] = []
         rest = keys.select("key", F.col("listed").alias("encode"))
         while True:
-            count = rest.filter("encode").count()
-            if not count:
-                return
-            bits = -(-count * BITS_PER_KEY // 64) * 64
-            if bits // 8 > max_bytes:
-                self.complete = False
+            sizes = rest.agg(F.count_if("encode").alias("held"), F.count_if(~F.col("encode")).alias("others")).first()
+            if not sizes["held"]:
                 return
-            level = len(self.levels)
-            words = common.table(filter_words(rest.filter("encode"), level, bits), f"filter_{level}")
-            self.levels.append((words, bits))
-            wrong = rest.filter(~F.col("encode") & contains(words.scalar(), F.col("key"), level, bits))
+            level, (bits, hashes) = len(self.levels), shape(sizes["held"], sizes["others"])
+            words = common.table(filter_words(rest.filter("encode"), level, bits, hashes), f"filter_{level}")
+            self.levels.append((words, bits, hashes))
+            wrong = rest.filter(~F.col("encode") & contains(words.scalar(), F.col("key"), level, bits, hashes))
             rest = common.table(rest.filter("encode").select("key", F.lit(False).alias("encode")).unionByName(wrong.select("key", F.lit(True).alias("encode"))), f"left_{level}")
 
     def __call__(self, key: Column) -> Column:
         """Whether a key of the universe is listed: decided by the first level that lacks it."""
         says = None
-        for i, (words, bits) in enumerate(self.levels):
-            misses = ~contains(words.scalar(), key, i, bits)
+        for i, (words, bits, hashes) in enumerate(self.levels):
+            misses = ~contains(words.scalar(), key, i, bits, hashes)
             says = F.when(misses, F.lit(i % 2 == 1)) if says is None else says.when(misses, F.lit(i % 2 == 1))
         return F.lit(False) if says is None else says.otherwise(F.lit(len(self.levels) % 2 == 1))
 
@@ -101,8 +106,10 @@ def judge(pages: DataFrame, listed: DataFrame, url: str = "url", rules=RULES, ma
 
     `listed` has one column, `key`: host and path joined. A rule's verdict holds where one fits; else a listed key is blocked and any
     other allowed. Null urls and urls without `://` have an empty host, path and key. Null keys in `listed` are ignored, repeated
-    ones count once, an empty list blocks nothing. While each filter fits into max_filter_bytes membership needs no join, and the
-    filters are all that is sent to the executors; beyond that the listed keys are joined.
+    ones count once, an empty list blocks nothing. Repeated rows of pages stay. Filters are all that is sent to the executors, and no
+    rows are joined. A list whose first filter would exceed max_filter_bytes is dealt by hash to several cascades, built and applied
+    one after the other, each to its own part of the rows: then the rows are written once by part and the results are read back, so
+    that no more than one cascade is in use at a time.
     """
     common.need(pages, url)
     host, path = host_path(F.col(url).cast("string"))
@@ -110,16 +117,33 @@ def judge(pages: DataFrame, listed: DataFrame, url: str = "url", rules=RULES, ma
     key = F.concat("host", "path")
     marked = rows.select(key.alias("key"), F.lit(False).alias("listed")).unionByName(listed.select(F.col("key").cast("string").alias("key"), F.lit(True).alias("listed")))
     keys = common.table(marked.filter("key is not null").groupBy("key").agg(F.max("listed").alias("listed")), "universe")
-    cascade = Cascade(keys, max_filter_bytes)
-    if cascade.complete:
-        rows = rows.withColumn("listed", cascade(key))
+    sizes = keys.agg(F.count_if("listed").alias("held"), F.count_if(~F.col("listed")).alias("others")).first()
+    parts = math.ceil(shape(sizes["held"], sizes["others"])[0] / 8 / max_filter_bytes)
+    if parts == 1:
+        rows = rows.withColumn("listed", Cascade(keys)(key))
     else:
-        blocked = keys.filter("listed").select(F.col("key").alias("__key"), F.lit(True).alias("listed"))
-        rows = rows.withColumn("__key", key).join(blocked, "__key", "left").drop("__key").withColumn("listed", F.coalesce("listed", F.lit(False)))
+        rows = in_parts(rows, keys, key, parts)
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     return rows.withColumns({"rule": rule, "verdict": F.coalesce(verdict, F.when(F.col("listed"), "block").otherwise("allow"))})
 
 
+def in_parts(rows: DataFrame, keys: DataFrame, key: Column, parts: int) -> DataFrame:
+    """rows with `listed`, by one cascade after another."""
+    names = list(rows.columns)
+    mark = next(n for i in range(len(names) + 1) if (n := f"__part{i}") not in names)
+    part_of = lambda k: F.pmod(F.xxhash64(F.lit("part"), k), F.lit(parts)).cast("int")
+    dealt = common.table(rows.withColumn(mark, part_of(key)), "dealt", mark)
+    universe = common.table(keys.withColumn(mark, part_of(F.col("key"))), "parts", mark)
+    done = []
+    for number in range(parts):
+        with common.passing() as keep:
+            cascade = Cascade(universe.filter(F.col(mark) == number).drop(mark))
+            own = dealt.filter(F.col(mark) == number).select(*names)
+            done.append(keep(common.table(own.withColumn("listed", cascade(key)), "judged")))
+    common.discard(dealt, universe)
+    return reduce(DataFrame.unionByName, done)
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The block list is made of the keys that some page has with a campaign tag (`utm_source=`) in its query."""
     common.ship(spark)
