@@ -89,9 +89,16 @@ def need(df: DataFrame, *names: str) -> None:
         raise ValueError(f"missing columns: {', '.join(lost)}")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt over all cores if it comes from fewer files and splits than there are cores: a small file may be a single task."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    few = len(df.inputFiles()) < cores and df.rdd.getNumPartitions() <= cores
+    return df.repartition(cores) if few and cores > 1 else df
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def text_crc32(text):

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -17,11 +18,18 @@ from loomwork.llm import arrays, common
 ORDER = 4
 #: Expected number of training documents of each language; a language with fewer gives all of its own.
 SAMPLE = 600
-#: A document is rejected if its cross-entropy lies this many standard deviations above that of its language's own documents.
-REJECT_Z = 8.0
+#: The most common languages of the labels are learned, this many at most.
+MAX_LANGUAGES = 256
+#: One in this many documents of the sample isn't counted but calibrates the rejection; languages with fewer in the sample give none.
+CALIBRATE = 4
+#: Of a learned language's documents this share may be rejected.
+FALSE_REJECTION = 1e-5
 UNKNOWN = "und"
 #: Longer words are cut into overlapping runs before their n-grams are counted, so that the work stays in proportion to the text.
 SPAN = 256
+#: Words whose scores a worker keeps: together this many bytes, and this many scores, at most.
+CACHE_BYTES = 32 << 20
+CACHE_CELLS = 8_000_000
 _PRIME = np.uint64(0x100000001B3)
 _BOUNDARY = 32
 _letters: list[np.ndarray] = []
@@ -41,15 +49,6 @@ def chains(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.where(is_letter()[codes], codes, _BOUNDARY).astype(np.uint64), np.concatenate([[0], np.cumsum(sizes)])
 
 
-def context_hashes(codes: np.ndarray, order: int) -> list[np.ndarray]:
-    """For n = 0 .. order - 1 the hash of the n characters before each position; those before the start count as boundaries."""
-    out = [np.zeros(len(codes), np.uint64)]
-    padded = np.concatenate([np.full(order, _BOUNDARY, np.uint64), codes])
-    for n in range(1, order):
-        out.append(out[-1] * _PRIME + padded[order - n : len(padded) - n] + np.uint64(1))
-    return out
-
-
 def with_char(context: np.ndarray, codes: np.ndarray) -> np.ndarray:
     return arrays.mix(context * np.uint64(0x9E3779B97F4A7C15) + codes)
 
@@ -87,7 +86,7 @@ def fit(grams: list[str], counts: np.ndarray, order: int, alphabet: int) -> list
         ones, twos = (counts == 1).sum(), (counts == 2).sum()
         discount = ones / (ones + 2 * twos) if ones and twos else 0.5
         context = np.zeros(len(codes), np.uint64)
-        for i in range(n - 2, -1, -1):  # nearest first, as context_hashes() does
+        for i in range(n - 2, -1, -1):  # nearest first, as score_words() does
             context = context * _PRIME + codes[:, i] + np.uint64(1)
         keys, inverse = np.unique(context, return_inverse=True)
         total, kinds = np.bincount(inverse, counts), np.bincount(inverse)
@@ -132,34 +131,78 @@ class Model:
     alphabet: int
     mean: np.ndarray
     spread: np.ndarray  # variance between documents and variance of a letter, by language
+    limit: float = 0.0  # standard deviations above the mean beyond which a document is rejected
+    name: str = field(default_factory=lambda: uuid.uuid4().hex)
 
 
-def entropies(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bits per letter of each text under each language (rows x languages), and the number of letters.
+def score_words(model: Model, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bits of each word under each language (words x languages), and its number of letters. Contexts don't reach over the boundary
+    before a word: a word opens with order - 1 boundaries."""
+    codes, starts = chains(words)
+    inner = np.arange(len(codes)) - np.repeat(starts[:-1], np.diff(starts))
+    letter = codes != _BOUNDARY
+    scored = np.flatnonzero((inner > 0) & (letter | np.concatenate([[False], letter[:-1]])))  # letters and the boundary after a letter
+    contexts = [np.zeros(len(scored), np.uint64)]
+    for n in range(1, model.order):
+        near = np.where(inner[scored] >= n, codes[np.maximum(scored - n, 0)], np.uint64(_BOUNDARY))
+        contexts.append(contexts[-1] * _PRIME + near + np.uint64(1))
+    bits = np.zeros((len(words), len(model.languages)))
+    for k, levels in enumerate(model.levels if len(words) else ()):
+        each = np.zeros(len(codes))
+        each[scored] = -backed_off(levels, contexts, codes[scored], model.alphabet)
+        bits[:, k] = np.add.reduceat(each, starts[:-1])
+    letters = np.add.reduceat(letter.astype(np.int64), starts[:-1]) if len(words) else np.zeros(0, np.int64)
+    return bits, letters
+
+
+class WordScores:
+    """score_words() of distinct words, kept for one model in a worker, at most CACHE_BYTES of them."""
+
+    def __init__(self, model: Model):
+        self.model = model
+        self.clear()
+
+    def clear(self) -> None:
+        self.place: dict[str, int] = {}
+        self.bytes, self.bits, self.letters = 0, np.zeros((1024, len(self.model.languages))), np.zeros(1024, np.int64)
+
+    def __call__(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        known = words.to_pylist()
+        if self.bytes > CACHE_BYTES or (len(self.place) + len(known)) * len(self.model.languages) > CACHE_CELLS:
+            self.clear()
+        if fresh := [w for w in known if w not in self.place]:
+            start, end = len(self.place), len(self.place) + len(fresh)
+            if end > len(self.letters):
+                grown = max(end, 2 * len(self.letters))
+                self.bits, self.letters = np.resize(self.bits, (grown, self.bits.shape[1])), np.resize(self.letters, grown)
+            own = pa.array(fresh, pa.string())
+            self.bits[start:end], self.letters[start:end] = score_words(self.model, own)
+            self.place.update(zip(fresh, range(start, end), strict=True))
+            self.bytes += own.nbytes
+        at = np.fromiter(map(self.place.__getitem__, known), np.int64, len(known))
+        return self.bits[at], self.letters[at]
 
-    Words are scored once for each distinct word of the slice; the context starts at a word's boundary."""
+
+_scores: dict[str, WordScores] = {}
+
+
+def scores_of(model: Model) -> WordScores:
+    """One cache for each Python worker, of the model last used."""
+    if model.name not in _scores:
+        _scores.clear()
+        _scores[model.name] = WordScores(model)
+    return _scores[model.name]
+
+
+def entropies(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bits per letter of each text under each language (rows x languages), and the number of letters. Distinct words are scored once."""
     words, offsets = arrays.split_words(pc.utf8_lower(texts))
     index, distinct = arrays.encoded(words)
-    codes, starts = chains(distinct)
-    contexts = context_hashes(codes, model.order)
-    # contexts don't reach over the boundary before a word: a word opens with order - 1 boundaries
-    begins = np.repeat(starts[:-1], np.diff(starts))
-    inner = np.arange(len(codes)) - begins
-    padded = np.concatenate([np.full(model.order, _BOUNDARY, np.uint64), codes])
-    for n in range(1, model.order):
-        near = padded[model.order - n + np.arange(len(codes))]
-        contexts[n] = contexts[n - 1] * _PRIME + np.where(inner >= n, near, np.uint64(_BOUNDARY)) + np.uint64(1)
-    letter = codes != _BOUNDARY
-    scored = np.flatnonzero((inner > 0) & (letter | np.concatenate([[False], letter[:-1]])))  # letters and the boundary after a letter
-    kept = [c[scored] for c in contexts]
-    letters = np.add.reduceat(letter.astype(np.int64), starts[:-1]) if len(distinct) else np.zeros(0, np.int64)
+    word_bits, letters = scores_of(model)(distinct)
     n_letters = arrays.row_sums(letters[index], offsets)
     bits = np.zeros((len(texts), len(model.languages)))
-    for k, levels in enumerate(model.levels):
-        each = np.zeros(len(codes))
-        each[scored] = -backed_off(levels, kept, codes[scored], model.alphabet)
-        word_bits = np.add.reduceat(each, starts[:-1]) if len(distinct) else np.zeros(0)
-        total = np.concatenate([[0.0], np.cumsum(word_bits[index])])
+    for k in range(len(model.languages)):
+        total = np.concatenate([[0.0], np.cumsum(word_bits[index, k])])
         bits[:, k] = total[offsets[1:]] - total[offsets[:-1]]
     return bits / np.maximum(n_letters, 1)[:, None], n_letters
 
@@ -196,20 +239,24 @@ def order_grams(df: DataFrame, order: int) -> DataFrame:
 
 
 def train(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", order: int = ORDER, sample: int = SAMPLE) -> Model:
-    """Fit a model of each language in `lang` and calibrate its rejection, on about `sample` documents of each language.
+    """Fit a model of each language in `lang` (the MAX_LANGUAGES most common, at equal counts the names that sort first), on about
+    `sample` documents of each language, and calibrate the rejection on a CALIBRATE-th of them, which isn't counted.
 
     The documents are those whose hash of `key` falls under sample / (number of that language's documents): a bounded sample that
-    depends on keys alone. Rows with a null language or null text take no part. The driver gets the finished arrays, whose size the
-    sample bounds.
+    depends on keys alone. Rows with a null language, null text or null key take no part. Repeated rows count as often as they
+    occur. The driver gets the finished arrays and the cross-entropies of the calibrating documents, whose sizes the sample bounds.
     """
-    rows = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")).filter("lang is not null and text is not null")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    rows = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")).filter("lang is not null and text is not null and key is not null")
+    common_first = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
+    sizes = {r["lang"]: r["n"] for r in common_first.collect()}
     if not sizes:
         return Model([], [], order, 2, np.zeros(0), np.zeros((0, 2)))
     share = F.create_map(*(F.lit(x) for l, n in sizes.items() for x in (l, min(1.0, sample / n))))
+    spare = F.create_map(*(F.lit(x) for l, n in sizes.items() for x in (l, min(n, sample) >= 2 * CALIBRATE)))
     unit = F.pmod(F.xxhash64("key"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    picked = common.table(rows.filter(unit < share[F.col("lang")]).drop("key"), "language_sample")
-    grams = common.table(order_grams(picked, order), "language_grams")
+    apart = spare[F.col("lang")] & (F.pmod(F.xxhash64(F.lit("calibrate"), "key"), F.lit(CALIBRATE)) == 0)
+    picked = common.table(rows.filter(unit < share[F.col("lang")]).select("lang", "text", apart.alias("apart")), "language_sample")
+    grams = common.table(order_grams(picked.filter("not apart"), order), "language_grams")
     alphabet = grams.select(F.explode(F.split("gram", "")).alias("c")).agg(F.countDistinct("c")).first()[0] + 1
 
     def build(group: pd.DataFrame) -> pd.DataFrame:
@@ -222,43 +269,45 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
         levels.setdefault(r["lang"], []).append(Level(np.frombuffer(r["grams"], np.uint64), np.frombuffer(r["log_p"], np.float32), np.frombuffer(r["contexts"], np.uint64), np.frombuffer(r["log_left"], np.float32)))
     names = sorted(levels)
     model = Model(names, [levels[x] for x in names], order, alphabet, np.zeros(len(names)), np.zeros((len(names), 2)))
-    return calibrate(model, picked)
+    calibrate(model, picked.filter("apart") if not picked.filter("apart").isEmpty() else picked)
+    return model
 
 
-def calibrate(model: Model, picked: DataFrame) -> Model:
-    """Mean cross-entropy of each language's own documents, and how its variance falls with a document's letters."""
-    shared = picked.sparkSession.sparkContext.broadcast(model)
+def calibrate(model: Model, apart: DataFrame, false_rejection: float = FALSE_REJECTION) -> None:
+    """Mean cross-entropy of each language's own documents and its variance, by a document and by a letter, and the limit that
+    false_rejection of such documents exceed: by an exponential tail beyond the last tenth of all languages' documents."""
+    shared = apart.sparkSession.sparkContext.broadcast(model)
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for batch in batches:
             for part in arrays.slices(batch, "text"):
                 bits, n = entropies(known, arrays.plain(part.column("text")))
-                langs = part.column("lang").to_pylist()
-                at = np.array([known.languages.index(x) if x in known.languages else -1 for x in langs], np.int64)
+                at = np.array([known.languages.index(x) if x in known.languages else -1 for x in part.column("lang").to_pylist()], np.int64)
                 ok = (at >= 0) & (n > 0)
-                yield pa.record_batch([pa.array([x for x, o in zip(langs, ok, strict=True) if o], pa.string()), pa.array(bits[ok, at[ok]]), pa.array(n[ok])], names=["lang", "h", "n"])
-
-    h, n = F.col("h"), F.col("n").cast("double")
-    mean = picked.select("lang", "text").mapInArrow(own, "lang string, h double, n long")
-    by = {r["lang"]: r for r in mean.groupBy("lang").agg((F.sum(h * n) / F.sum(n)).alias("mean"), F.variance("h").alias("var"), F.avg(1 / n).alias("inverse")).collect()}
-    for k, name in enumerate(model.languages):
-        r = by.get(name)
-        if r is not None:
-            model.mean[k] = r["mean"]
+                yield pa.record_batch([pa.array(at[ok]), pa.array(bits[ok, at[ok]]), pa.array(n[ok])], names=["at", "h", "n"])
+
+    found = apart.select("lang", "text").mapInArrow(own, "at long, h double, n long").collect()
+    at, h, n = (np.array([r[i] for r in found]) for i in range(3)) if found else (np.zeros(0, int), np.zeros(0), np.zeros(0))
+    every = np.arange(len(found))
+    for k in range(len(model.languages)):
+        mine = every[at == k] if (at == k).any() else every
+        if len(mine):
             # all of the variance is laid to both causes: wide for short texts as for long ones
-            var = r["var"] if r["var"] == r["var"] and r["var"] is not None else 0.0
-            model.spread[k] = (max(var, 0.02), max(var, 0.02) / max(r["inverse"], 1e-6))
+            var = max(float(h[mine].var(ddof=1)) if len(mine) > 1 else 0.0, 0.02)
+            model.mean[k], model.spread[k] = np.average(h[mine], weights=n[mine]), (var, var / max((1 / n[mine]).mean(), 1e-6))
+    z = np.sort((h - model.mean[at]) / np.sqrt(model.spread[at, 0] + model.spread[at, 1] / n)) if len(found) else np.zeros(1)
+    last = z[len(z) - 1 - len(z) // 10 :]
+    model.limit = float(max(last[-1], last[0] + (last - last[0]).mean() * np.log(0.1 / false_rejection)))
     shared.destroy()
-    return model
 
 
-def predict(df: DataFrame, model: Model, text: str = "text", reject_z: float = REJECT_Z) -> DataFrame:
+def predict(df: DataFrame, model: Model, text: str = "text", limit: float | None = None) -> DataFrame:
     """Add lang_pred (lowest cross-entropy per letter), score, bits_per_letter and lang_rejected to every row.
 
     score is the softmax share of the winner over a letter's likelihoods, from 0 to 1. A text that is null or has no letter gets
-    `und`, score 0 and null bits, and is rejected; so is one whose cross-entropy lies reject_z standard deviations above what its
-    language's documents have at that length. Equal cross-entropies go to the name that sorts first. Repeated rows and other
+    `und`, score 0 and null bits, and is rejected; so is one whose cross-entropy lies more than `limit` standard deviations (the
+    model's, unless given) above what its language's documents have at that length. Equal cross-entropies go to the name that sorts first. Repeated rows and other
     columns stay; columns with those four names are replaced. Without any learned language every text is `und`. No shuffle.
     """
     common.need(df, text)
@@ -266,7 +315,7 @@ def predict(df: DataFrame, model: Model, text: str = "text", reject_z: float = R
     rest = df.drop(*added)
     names = [*rest.columns, *added]
     place = names.index(text)
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    shared, most = df.sparkSession.sparkContext.broadcast(model), model.limit if limit is None else limit
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
@@ -279,7 +328,7 @@ def predict(df: DataFrame, model: Model, text: str = "text", reject_z: float = R
                     low = bits[np.arange(rows), best]
                     share = 1 / np.exp2(np.maximum(low[:, None] - bits, -60)).sum(axis=1)
                     sd = np.sqrt(known.spread[best, 0] + known.spread[best, 1] / np.maximum(n, 1))
-                    some, reject = n > 0, (n == 0) | (low > known.mean[best] + reject_z * sd)
+                    some, reject = n > 0, (n == 0) | (low > known.mean[best] + most * sd)
                 else:
                     best, low, share, some, reject = np.zeros(rows, int), np.zeros(rows), np.zeros(rows), np.zeros(rows, bool), np.ones(rows, bool)
                 pred = np.where(some, np.array([*known.languages, UNKNOWN], object)[best], UNKNOWN)
@@ -291,8 +340,8 @@ def predict(df: DataFrame, model: Model, text: str = "text", reject_z: float = R
 
 
 def held_out(key):
-    """Rows that no model learns from."""
-    return F.crc32(key.cast("string")) % 3 == 1
+    """Rows that no model learns from. A null key isn't held out (and train() leaves it out)."""
+    return F.coalesce(F.crc32(key.cast("string")) % 3 == 1, F.lit(False))
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

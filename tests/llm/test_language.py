@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
+from pyspark.sql import functions as F
 
 from loomwork.llm import language
 
@@ -62,3 +65,60 @@ def test_cases(cases, clashing, empty):
         assert out.count() == df.count()
     nothing = language.predict(cases, language.train(empty))
     assert {r.lang_pred for r in nothing.collect()} == {"und"}
+
+
+def plain_model(texts: list[str], order: int, alphabet: int):
+    """log2 probability of a character after a context, by the definition of interpolated Kneser-Ney over dictionaries."""
+    counts: list[dict[str, float]] = [{} for _ in range(order + 1)]
+    for text in texts:
+        for word in text.lower().split():
+            padded = " " * (order - 1) + "".join(c if c.isalpha() else " " for c in word) + " "
+            for i in range(len(padded) - order + 1):
+                gram = padded[i : i + order]
+                if gram.strip():
+                    counts[order][gram] = counts[order].get(gram, 0) + 1
+    for n in range(order - 1, 0, -1):
+        for gram in counts[n + 1]:
+            counts[n][gram[1:]] = counts[n].get(gram[1:], 0) + 1
+
+    def p(n: int, gram: str) -> float:
+        if not n:
+            return 1 / alphabet
+        own = {g: k for g, k in counts[n].items() if g[:-1] == gram[:-1]}
+        lower = p(n - 1, gram[1:])
+        if not own:
+            return lower
+        ones, twos = (sum(k == x for k in counts[n].values()) for x in (1, 2))
+        discount = ones / (ones + 2 * twos) if ones and twos else 0.5
+        return (max(own.get(gram, 0) - discount, 0) + discount * len(own) * lower) / sum(own.values())
+
+    return lambda gram: math.log2(p(order, gram))
+
+
+def test_predictions_by_a_plain_scorer(spark):
+    rows = [(i, t, lang) for lang, words in (("aa", "kala mala kana lamak nakal'k"), ("bb", "bibo bobi tibo obit Übib"), ("cc", "kalo bima lobi")) for i, t in enumerate([words] * 3 + [words[::-1]] * 2, 10 * ord(lang[0]))]
+    model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    letters = {c for _, t, _ in rows for c in t.lower() if c.isalpha()}
+    assert model.languages == ["aa", "bb", "cc"] and model.alphabet == len(letters) + 2  # a boundary, and any other
+    plain = {x: plain_model([t for _, t, lang in rows if lang == x], model.order, model.alphabet) for x in model.languages}
+    asked = ["kala lobi", "Bibo-tibo, 12 obit!", "zzz kal", "a", "lamak\tnakal'k " * 50, "éü b"]
+    got = language.predict(spark.createDataFrame([(i, t) for i, t in enumerate(asked)], "doc_id long, text string"), model).collect()
+    for r in got:
+        bits = dict.fromkeys(model.languages, 0.0)
+        for word in r.text.lower().split():
+            padded = "   " + "".join(c if c.isalpha() else " " for c in word) + " "
+            for i in range(3, len(padded)):
+                if padded[i] != " " or padded[i - 1] != " ":
+                    for x in bits:
+                        bits[x] -= plain[x](padded[i - 3 : i + 1])
+        best = min(bits, key=lambda x: (bits[x], x))
+        assert r.lang_pred == best
+        assert abs(r.bits_per_letter - bits[best] / sum(c.isalpha() for c in r.text)) < 1e-5
+
+
+def test_most_common_languages_and_null_keys(spark, monkeypatch):
+    monkeypatch.setattr(language, "MAX_LANGUAGES", 2)
+    rows = [(i, "some words of text", f"l{i % 3}") for i in range(30)] + [(100, "more", "l1"), (101, "more", "l2"), (None, "more", "l0"), (None, "more", "l0"), (None, "more", "l0")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert language.train(df).languages == ["l1", "l2"]
+    assert [r[0] for r in spark.createDataFrame([(None,)], "doc_id long").select(language.held_out(F.col("doc_id"))).collect()] == [False]
