@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -13,32 +12,105 @@ from pyspark.sql import functions as F
 from loomwork.llm import common
 
 SCALE = 256
-#: Pivots are this many vectors at most, and about one for ROWS_A_PIVOT vectors; they come from a sample of PIVOT_SAMPLE expected rows.
-MAX_PIVOTS = 1024
+#: Pivots are this many vectors at most, and about one for ROWS_A_PIVOT vectors; they come from a sample of PIVOT_SAMPLE rows for each, as expected.
+MAX_PIVOTS = 16_384
 ROWS_A_PIVOT = 400
-PIVOT_SAMPLE = 4096
-#: Data rows that a local search holds; larger cells are split.
+PIVOT_SAMPLE = 4
+#: A row looks for its pivot near one of a FANOUT-th of them.
+FANOUT = 64
+#: Data rows and queries that a local search holds; larger cells, and cells with more queries, are split.
 BLOCK_ROWS = 20_000
+QUERY_ROWS = 20_000
 #: Scores are exact in double precision while the products stay below 2^53, else integer arithmetic is used.
 EXACT = float(1 << 53)
+QUERIES_AT_ONCE = 256
+NO_SCORE = np.iinfo(np.int64).min
 
 
 def vectors(df: DataFrame, key: str, column: str, scale: int) -> DataFrame:
-    """vec_id, v: whole-number components floor(scale * x), for vectors without null or non-finite components."""
+    """vec_id, v: whole-number components floor(scale * x), for vectors without null or non-finite components and with a key."""
     x = F.col(column)
     ok = x.isNotNull() & ~F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
-    return df.filter(ok).select(F.col(key).alias("vec_id"), F.transform(x, lambda c: F.floor(c.cast("double") * scale)).alias("v")).filter(F.size("v") > 0)
+    return df.filter(ok & F.col(key).isNotNull()).select(F.col(key).alias("vec_id"), F.transform(x, lambda c: F.floor(c.cast("double") * scale)).alias("v")).filter(F.size("v") > 0)
 
 
-def matrix(column: pa.Array | pd.Series, width: int) -> np.ndarray:
+def matrix(column: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
     """Rows of doubles, shorter vectors ended by zeros."""
-    lists = [np.asarray(x, np.float64) for x in (column.to_pylist() if isinstance(column, (pa.Array, pa.ChunkedArray)) else column)]
+    lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    flat, sizes = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64), np.diff(lists.offsets.to_numpy())
     out = np.zeros((len(lists), width))
-    for i, x in enumerate(lists):
-        out[i, : len(x)] = x
+    out[np.arange(width) < sizes[:, None]] = flat
     return out
 
 
+class Cells:
+    """Pivots, and what is known of the vectors nearest to each: how far the farthest is, and the k + 1 keys that are nearest."""
+
+    def __init__(self, pivots: np.ndarray):
+        self.pivots, self.norms = pivots, np.sqrt((pivots**2).sum(axis=1))
+        coarse = max(1, len(pivots) // FANOUT)
+        near = self._nearest(pivots, np.arange(coarse))
+        self.members = [np.flatnonzero(near == c) for c in range(coarse)]
+
+    def _nearest(self, x: np.ndarray, among: np.ndarray) -> np.ndarray:
+        return (self.norms[among] ** 2 - 2 * x @ self.pivots[among].T).argmin(axis=1)
+
+    def place(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A pivot for each row, the nearest of those around the nearest coarse one, and the distance from it."""
+        coarse, cell = self._nearest(x, np.arange(len(self.members))), np.zeros(len(x), np.int64)
+        for c in np.unique(coarse):
+            rows = np.flatnonzero(coarse == c)
+            cell[rows] = self.members[c][self._nearest(x[rows], self.members[c])]
+        return cell, np.sqrt(((x - self.pivots[cell]) ** 2).sum(axis=1))
+
+    def summarise(self, far: dict[int, float], nearest: list[tuple]) -> None:
+        """far: each filled cell's largest distance. nearest: (cell, key, distance), k + 1 keys of each cell at most."""
+        self.filled = np.array(sorted(far), np.int64)
+        self.radius = np.array([far[c] for c in self.filled])
+        number = {c: i for i, c in enumerate(self.filled.tolist())}
+        nearest = sorted(nearest, key=lambda e: e[0])
+        self.entry_cell = np.array([number[e[0]] for e in nearest], np.int64)
+        self.entry_far = np.array([e[2] for e in nearest], np.float64)
+        self.entry_key = [e[1] for e in nearest]
+        self.first = np.searchsorted(self.entry_cell, np.arange(len(self.filled) + 1))
+
+    def entries_of(self, cells: np.ndarray) -> np.ndarray:
+        sizes = self.first[cells + 1] - self.first[cells]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        return np.arange(ends[-1]) + np.repeat(self.first[cells] - ends[:-1], sizes)
+
+    def of_group(self, pivot: int, reach: float, k: int) -> np.ndarray:
+        """Cells (as numbers of the filled ones) that can matter to queries within `reach` of a pivot. For such a query q and a vector
+        x of a cell with pivot c: |q.x - p.c| <= reach |c| + (|p| + reach) d(x, c). A query's own key is one of the k + 1 that the
+        bound rests on at most."""
+        to = self.pivots[self.filled] @ self.pivots[pivot]
+        norm, others = self.norms[pivot] + reach, self.norms[self.filled]
+        slack = 1e-9 * (np.abs(to) + reach * others + norm * self.radius) + 1e-6  # keeps rounding on the safe side
+        low = to[self.entry_cell] - reach * others[self.entry_cell] - norm * self.entry_far - slack[self.entry_cell]
+        bound, keys = -np.inf, set()
+        for i in np.argsort(-low):
+            keys.add(self.entry_key[i])
+            if len(keys) > k:
+                bound = low[i]
+                break
+        return np.flatnonzero(to + reach * others + norm * self.radius + slack >= bound)
+
+    def of_query(self, q: np.ndarray, own, cells: np.ndarray, entries: np.ndarray, k: int) -> np.ndarray:
+        """Of `cells`, with their entries, those that can hold one of the k best vectors of the query itself."""
+        to, norm = self.pivots[self.filled[cells]] @ q, np.sqrt((q**2).sum())
+        slack = 1e-9 * (np.abs(to) + norm * self.radius[cells]) + 1e-6
+        at = np.searchsorted(cells, self.entry_cell[entries])
+        low = to[at] - norm * self.entry_far[entries] - slack[at]
+        bound, keys = -np.inf, set()
+        for i in np.argsort(-low):
+            if (key := self.entry_key[entries[i]]) != own:
+                keys.add(key)
+                if len(keys) == k:
+                    bound = low[i]
+                    break
+        return cells[to + norm * self.radius[cells] + slack >= bound]
+
+
 def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Exact inner products of whole-number rows."""
     if not q.size or not x.size or np.abs(q).max() * np.abs(x).max() * q.shape[1] < EXACT:
@@ -46,94 +118,98 @@ def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return q.astype(np.int64) @ x.astype(np.int64).T
 
 
+def best(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of each row's k highest scores, ties to smaller ids; columns with the row's own id are left out."""
+    scores = np.where(ids[None, :] == own[:, None], NO_SCORE, scores)
+    least = np.partition(scores, -k, axis=1)[:, -k][:, None] if scores.shape[1] > k else np.full((len(scores), 1), NO_SCORE)
+    row, column = np.nonzero((scores >= least) & (scores > NO_SCORE))
+    _, place = np.unique(ids, return_inverse=True)
+    order = np.lexsort((place[column], -scores[row, column], row))
+    row, column = row[order], column[order]
+    rank = np.arange(len(row)) - np.searchsorted(row, row)
+    return row[rank < k], column[rank < k]
+
+
 def top_k(df: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id", column: str = "embedding", scale: int = SCALE) -> DataFrame:
     """query_id, rank (from 1), vec_id and score: for each row of `queries` the k rows of df with the highest integer inner product,
     other than those with the query's own key; all, if fewer. Equal scores go to the smaller key.
 
-    Components become floor(scale * x). Null or empty vectors and vectors with null or non-finite components take no part, on either
-    side; vectors of unequal length are compared as if the shorter ended in zeros. Repeated rows of df are candidates of their own,
-    ranked in any order among themselves. Repeated rows of `queries` are answered once; a key with several vectors is answered for each
-    of them, with ranks from 1. Extra columns are dropped.
+    Components become floor(scale * x), which ends at the limits of 64 bits; scores beyond those limits aren't defined. Null or empty
+    vectors and vectors with null or non-finite components take no part, on either side, nor do null keys; vectors of unequal length
+    are compared as if the shorter ended in zeros. Repeated rows of df are candidates of their own, ranked in any order among
+    themselves. Repeated rows of `queries` are answered once; a key with several vectors is answered for each of them, with ranks
+    from 1. Extra columns are dropped.
 
-    Vectors are grouped by their nearest pivot. For a query q and a cell with pivot p, |q.x - q.p| <= |q| d(x, p): the smallest
-    distances of k + 1 keys of every cell give, without those of q's own key, a lower bound of q's k-th best score, and a cell's largest distance an upper bound of its scores;
-    q goes only to cells whose upper bound reaches its lower bound. Cells are split into blocks, searched by matrix products, and
-    the blocks' results are merged. Pivots and summaries are all that the driver sees: MAX_PIVOTS rows.
+    Data and queries are grouped by pivots. A group of queries gets its cells from the summaries alone (Cells.of_group()): those whose
+    upper bound of scores reaches the (k + 1)-th best lower bound; each query keeps those of them that its own bounds leave, and is
+    sent to these. Cells are split into blocks of rows and of queries, searched by matrix products, and the blocks' results are
+    merged. Pivots and summaries are all that the driver sees: MAX_PIVOTS rows, with k + 1 keys each.
     """
+    spark = df.sparkSession
     data = common.table(vectors(df, key, column, scale), "vectors")
-    asked = vectors(queries, key, column, scale).distinct()
+    asked = common.table(vectors(queries, key, column, scale).distinct(), "asked")
     facts = data.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("width")).first()
     width = max(facts["width"] or 1, asked.agg(F.max(F.size("v"))).first()[0] or 1)
     unit = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    few = data.filter(unit < min(1.0, PIVOT_SAMPLE / max(facts["n"], 1))).groupBy("v").agg(F.min("vec_id").alias("vec_id"))
     wanted = max(1, min(MAX_PIVOTS, facts["n"] // ROWS_A_PIVOT))
-    picked = few.orderBy(F.xxhash64(F.lit("pivot"), "vec_id"), "vec_id").limit(wanted).collect()
-    pivots = matrix(pd.Series([r["v"] for r in picked]), width) if picked else np.zeros((1, width))
-    pivot_norms = (pivots**2).sum(axis=1)
+    few = data.filter(unit < min(1.0, PIVOT_SAMPLE * (wanted + 16) / max(facts["n"], 1))).groupBy("v").agg(F.min("vec_id").alias("vec_id"))
+    picked = [r["v"] for r in few.orderBy(F.xxhash64(F.lit("pivot"), "vec_id"), "vec_id").limit(wanted).collect()]
+    cells = Cells(matrix(pa.array(picked or [[0]], pa.list_(pa.int64())), width))
     key_type = data.schema["vec_id"].dataType.simpleString()
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
-                x = matrix(part.column("v"), width)
-                near = (pivot_norms - 2 * x @ pivots.T).argmin(axis=1)
-                far = np.sqrt(((x - pivots[near]) ** 2).sum(axis=1))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(near.astype(np.int32)), pa.array(far)], names=["vec_id", "v", "cell", "far"])
+                cell, far = cells.place(matrix(part.column("v"), width))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(cell.astype(np.int32)), pa.array(far)], names=["vec_id", "v", "cell", "far"])
 
-    placed = common.table(data.mapInArrow(assign, f"vec_id {key_type}, v array<long>, cell int, far double"), "cells")
+    placed, groups = (common.table(x.mapInArrow(assign, f"vec_id {key_type}, v array<long>, cell int, far double"), name) for x, name in ((data, "cells"), (asked, "groups")))
     closest = placed.groupBy("cell", "vec_id").agg(F.min("far").alias("far"))
     nearest = closest.withColumn("r", F.row_number().over(Window.partitionBy("cell").orderBy("far", "vec_id"))).filter(F.col("r") <= k + 1).collect()
     sizes = {r["cell"]: (r["far"], r["n"]) for r in placed.groupBy("cell").agg(F.max("far").alias("far"), F.count(F.lit(1)).alias("n")).collect()}
-    cells = np.array(sorted(sizes), np.int64)
-    radius = np.array([sizes[c][0] for c in cells])
-    blocks = np.array([-(-sizes[c][1] // BLOCK_ROWS) for c in cells], np.int64)
-    entry_cell = np.searchsorted(cells, np.array([r["cell"] for r in nearest], np.int64))
-    entry_far = np.array([r["far"] for r in nearest], np.float64)
-    entries_of: dict = {}
-    for i, r in enumerate(nearest):
-        entries_of.setdefault(r["vec_id"], []).append(i)
+    cells.summarise({c: far for c, (far, _) in sizes.items()}, [(r["cell"], r["vec_id"], r["far"]) for r in nearest])
+    reach = {r["cell"]: (r["far"], r["n"]) for r in groups.groupBy("cell").agg(F.max("far").alias("far"), F.count(F.lit(1)).alias("n")).collect()}
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, own, entries = None, np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
-                q = matrix(part.column("v"), width)
-                to, norm = q @ pivots[cells].T, np.sqrt((q**2).sum(axis=1))[:, None]
-                slack = 1e-9 * (np.abs(to) + norm * radius) + 1e-6  # keeps rounding on the safe side
-                lows = to[:, entry_cell] - norm * entry_far
-                for i, own in enumerate(part.column("vec_id").to_pylist()):
-                    lows[i, entries_of.get(own, [])] = -np.inf
-                lows = np.sort(lows, axis=1)[:, ::-1]
-                bound = lows[:, k - 1 : k] if lows.shape[1] >= k else np.full((len(q), 1), -np.inf)
-                rows, hit = np.nonzero(to + norm * radius + slack >= bound - slack)
-                block = np.concatenate([np.arange(b) for b in blocks[hit]]) if len(hit) else np.zeros(0, np.int64)
-                rows, hit = np.repeat(rows, blocks[hit]), np.repeat(hit, blocks[hit])
-                chosen = part.take(pa.array(rows))
-                yield pa.RecordBatch.from_arrays([chosen.column("vec_id"), chosen.column("v"), pa.array(cells[hit].astype(np.int32)), pa.array(block.astype(np.int32))], names=["query_id", "v", "cell", "block"])
-
-    routed = asked.mapInArrow(route, f"query_id {key_type}, v array<long>, cell int, block int") if len(cells) else asked.filter("false").select(F.col("vec_id").alias("query_id"), "v", F.lit(0).alias("cell"), F.lit(0).alias("block"))
-    counts = F.create_map(*(F.lit(int(x)) for c, b in zip(cells, blocks, strict=True) for x in (c, b))) if len(cells) else None
-    block = F.pmod(F.xxhash64("vec_id"), counts[F.col("cell")]).cast("int") if counts is not None else F.lit(0)
-    routed = routed.withColumn("asked", F.xxhash64("v"))
-    blocked = placed.select("vec_id", "v", "cell", block.alias("block"))
-
-    def search(group: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        ids, x, out = right["vec_id"].to_numpy(), matrix(right["v"], width), []
-        for at in range(0, len(left) if len(ids) else 0, 256):
-            own = left.iloc[at : at + 256]
-            scores = products(matrix(own["v"], width), x)
-            for q, vector, row in zip(own["query_id"], own["asked"], scores, strict=True):
-                other = np.flatnonzero(ids != q)
-                row = row[other]
-                if len(row) > k:  # all that reach the k-th score, then ties by key
-                    keep = row >= np.partition(row, len(row) - k)[len(row) - k]
-                    other, row = other[keep], row[keep]
-                best = np.lexsort((ids[other], -row))[:k]
-                out.append(pd.DataFrame({"query_id": q, "asked": vector, "vec_id": ids[other][best], "score": row[best]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "asked": [], "vec_id": [], "score": []})
-
-    found = routed.groupBy("cell", "block").cogroup(blocked.groupBy("cell", "block")).applyInPandas(search, f"query_id {key_type}, asked long, vec_id {key_type}, score long")
+                rows, hit = [], []
+                for i, (q, key, cell) in enumerate(zip(matrix(part.column("v"), width), part.column("vec_id").to_pylist(), part.column("cell").to_pylist(), strict=True)):
+                    if cell != group:
+                        group, own = cell, cells.of_group(cell, reach[cell][0], k)
+                        entries = cells.entries_of(own)
+                    found = cells.of_query(q, key, own, entries, k)
+                    rows.append(np.full(len(found), i))
+                    hit.append(cells.filled[found])
+                chosen = part.take(pa.array(np.concatenate(rows)))
+                yield pa.RecordBatch.from_arrays([chosen.column("vec_id"), chosen.column("v"), pa.array(np.concatenate(hit).astype(np.int32))], names=["query_id", "v", "cell"])
+
+    salts = F.broadcast(spark.createDataFrame([(c, -(-n // QUERY_ROWS)) for c, (_, n) in reach.items()], "cell int, salts int"))
+    lined = groups.join(salts, "cell").withColumn("salt", F.pmod(F.xxhash64("vec_id", "v"), "salts")).repartition("cell", "salt").sortWithinPartitions("cell").select("vec_id", "v", "cell")
+    routed = common.table(lined.mapInArrow(route, f"query_id {key_type}, v array<long>, cell int"), "routed")
+    asking = {r["cell"]: r["n"] for r in routed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
+    plan = F.broadcast(spark.createDataFrame([(c, -(-sizes[c][1] // BLOCK_ROWS), -(-n // QUERY_ROWS)) for c, n in asking.items()], "cell int, blocks int, parts int"))
+    routed = routed.withColumn("asked", F.xxhash64("v")).join(plan, "cell")
+    routed = routed.withColumn("part", F.pmod(F.xxhash64("query_id", "v"), "parts").cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    blocked = placed.select("vec_id", "v", "cell").join(plan, "cell")
+    blocked = blocked.withColumn("block", F.pmod(F.xxhash64("vec_id"), "blocks").cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    place = ["cell", "block", "part"]
+
+    def search(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids, x, out = right.column("vec_id").to_numpy(), matrix(right.column("v"), width), []
+        for at in range(0, left.num_rows if len(ids) else 0, QUERIES_AT_ONCE):
+            own = left.slice(at, QUERIES_AT_ONCE)
+            scores = products(matrix(own.column("v"), width), x)
+            row, found = best(scores, ids, own.column("query_id").to_numpy(), k)
+            taken = own.select(["query_id", "asked"]).take(pa.array(row))
+            out.append(taken.append_column("vec_id", right.column("vec_id").take(pa.array(found))).append_column("score", pa.array(scores[row, found])))
+        none = left.slice(0, 0).select(["query_id", "asked"])
+        return pa.concat_tables(out) if out else none.append_column("vec_id", right.column("vec_id").slice(0, 0)).append_column("score", pa.array([], pa.int64()))
+
+    found = routed.select("query_id", "asked", "v", *place).groupBy(*place).cogroup(blocked.select("vec_id", "v", *place).groupBy(*place)).applyInArrow(search, f"query_id {key_type}, asked long, vec_id {key_type}, score long")
     rank = F.row_number().over(Window.partitionBy("query_id", "asked").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -62,3 +62,15 @@ def test_few_rows(spark):
     assert sorted(tuple(r) for r in knn.top_k(df, df).collect()) == [(0, 1, 50, 128 * 256 + 64 * 512), (50, 1, 0, 128 * 256 + 64 * 512)]
     assert knn.top_k(df.filter("false"), df).count() == 0
     assert knn.top_k(df, df.filter("false")).count() == 0
+
+
+def test_many_queries_and_pivots_in_two_levels(spark, monkeypatch):
+    """One cell with nearly all rows and queries, split on both sides; string keys; a null key."""
+    for name, value in (("ROWS_A_PIVOT", 4), ("FANOUT", 8), ("BLOCK_ROWS", 40), ("QUERY_ROWS", 15)):
+        monkeypatch.setattr(knn, name, value)
+    rng = random.Random(9)
+    rows = [(f"k{i:04}", [rng.gauss(0, 1) for _ in range(6)] if i % 9 == 0 else [1 + rng.gauss(0, 1e-3) for _ in range(6)]) for i in range(500)]
+    df = spark.createDataFrame([*rows, (None, [1.0] * 6)], "vec_id string, embedding array<double>")
+    asked = [r for r in rows if int(r[0][1:]) % 3 == 0]
+    got = sorted(tuple(r) for r in knn.top_k(df, df.filter("cast(substring(vec_id, 2, 4) as int) % 3 = 0 or vec_id is null"), k=7).collect())
+    assert got == brute(rows, asked, 7)
