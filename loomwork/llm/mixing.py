@@ -12,6 +12,7 @@ from loomwork.llm import common
 #: Weights of sources are their numbers of documents to this power: below 1, small sources gain.
 TEMPERATURE = 0.7
 SEED = "mix"
+BROADCAST_SOURCES = 1_000_000
 #: A rate is split into equal parts of at most this mean, each drawn for itself: their sum is Poisson again, and no part underflows.
 PART_RATE = 8.0
 #: With 48-bit uniform numbers no part of that mean comes out higher.
@@ -66,24 +67,29 @@ def copies(key: Column, rate: Column, seed: str) -> Column:
 
 def mix(df: DataFrame, key: str = "doc_id", source: str = "source", weights: dict[str, float] | None = None, temperature: float = TEMPERATURE, total: float | None = None, seed: str = SEED) -> DataFrame:
     """Every row as often as its Poisson number says, in an order that a hash decides, with the columns of df and __copy (from 1), __copies, __rate and __order
-    (columns of df with these names, or named __source, are dropped).
+    (columns of df with these names, or named __source, __n or __hot, are dropped).
 
     `total` is the expected number of rows returned (as many as df has, unless given). A null source is a source of its own, without
-    a weight if weights are given. Repeated rows with one key get the same number. The counts of each source are pre-aggregated; the
-    table of sources is joined by broadcast only as long as it stays below a million rows. Rows are dealt to partitions by a hash of
-    key and copy and sorted by it there: a global shuffle, in which a large source is spread like any other.
+    a weight if weights are given. Repeated rows with one key get the same number; null keys share one. Null texts and empty tables
+    pass as they are. The counts of each source are pre-aggregated; the table of sources is joined by broadcast only as long as it
+    stays below BROADCAST_SOURCES rows, beyond that only its largest sources are. Rows are dealt to partitions by a hash of key and
+    copy and sorted by it there: a global shuffle, in which a large source is spread like any other.
     """
     common.need(df, key, source)
-    df = df.drop("__source", "__copy", "__copies", "__rate", "__order")
+    df = df.drop("__source", "__n", "__hot", "__copy", "__copies", "__rate", "__order")
     sizes = df.groupBy(F.col(source).cast("string").alias("source")).agg(F.count(F.lit(1)).alias("n"))
     table = common.table(rates(sizes, weights, temperature, total), "rates")
-    names, small = list(df.columns), table.count() < 1_000_000
-    if not small:  # as many sources as documents, nearly: none is large
-        rated = df.join(table.select(F.col("source").alias("__source"), F.col("rate").alias("__rate")), F.col(source).cast("string").eqNullSafe(F.col("__source")))
+    names = list(df.columns)
+    named = lambda c: F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("null")).alias("__source")
+    rated = table.select(named(F.col("source")), F.col("n").alias("__n"), F.col("rate").alias("__rate"))
+    facts = table.agg(F.count(F.lit(1)).alias("sources"), F.sum("n").alias("rows")).first()
+    marked = df.withColumn("__source", named(F.col(source)))
+    if facts["sources"] < BROADCAST_SOURCES:
+        rated = marked.join(F.broadcast(rated), "__source")
     else:
-        rated = df.join(F.broadcast(table.select(F.col("source").alias("__source"), F.col("rate").alias("__rate"))), F.col(source).cast("string").eqNullSafe(F.col("__source")))
+        rated = common.join_counted(marked, rated, ["__source"], "__n", facts["rows"], "inner")
     text_key = F.col(key).cast("string")
-    counted = rated.drop("__source").withColumn("__copies", copies(text_key, F.col("__rate"), seed)).filter("__copies > 0")
+    counted = rated.drop("__source", "__n").withColumn("__copies", copies(text_key, F.col("__rate"), seed)).filter("__copies > 0")
     every = counted.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
     order = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), text_key, F.col("__copy"))), 1, HEX), 16, 10).cast("long")
     mixed = every.withColumn("__order", order).repartition("__order").sortWithinPartitions("__order", key, "__copy")

@@ -99,7 +99,7 @@ def pack(df: DataFrame, tokenizer_path: str, text: str = "text", key: str = "doc
 
     Returns key, start, length, ids (array<int>), doc_tokens, bucket (log2 of the length), sequence_id and offset (always 0).
     Sequences of one bucket have ids bucket << 56 | task << 32 | running number: unique, and in runs of equal length.
-    A null text counts as empty: its only token is end_id. Repeated rows are packed once for each row; other columns are dropped.
+    A null text counts as empty: its only token is end_id. Repeated rows are packed once for each row, null keys stay; other columns are dropped.
     max_length must be a power of two. Nothing is shuffled: a document's pieces depend on that document alone.
     """
     common.need(df, text, key)

@@ -107,21 +107,30 @@ def measure(df: DataFrame, key: str, text: str, host: str) -> DataFrame:
     return rows.mapInArrow(each, f"key {kind}, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<long>, line_words array<int>")
 
 
+def shared_lines(lines: DataFrame, line_limit: int) -> DataFrame:
+    """host, line and rows of the lines that more than line_limit documents of a host have. lines: (row, key, host, line), a line once a row."""
+    document = F.struct("key", F.when(F.col("key").isNull(), F.col("row")).alias("row"))
+    each = lines.groupBy("host", "line", document.alias("document")).agg(F.count(F.lit(1)).alias("rows"))
+    return each.groupBy("host", "line").agg(F.count(F.lit(1)).alias("docs"), F.sum("rows").alias("rows")).filter(F.col("docs") > line_limit).drop("docs")
+
+
 def judge(df: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", line_limit: int = LINE_LIMIT, min_left_percent: int = MIN_LEFT_PERCENT) -> DataFrame:
     """key, the counts, base_failed, n_boilerplate_words and kept of every row.
 
     base_failed: fewer than 10 words, or over 20 of 100 words in repeated 5-word windows. A line counts once for a document, and its
     documents are counted for each host; lines that more than line_limit of them have are removed. A document that thereby has fewer
     than 10 words left, or less than min_left_percent of its words, is depleted and not kept. Null texts have no words and fail; null
-    hosts are one host, the empty name; repeated rows count as documents of their own; other columns are dropped. Texts are read
-    once; line hashes are pre-aggregated before they are shuffled, so neither a large host nor a common line makes a large task.
+    hosts are one host, the empty name; rows with one key are one document there, however many they are, and those with a null key a
+    document each; every row is judged. Other columns are dropped. Texts are read once; line hashes are shuffled by line and
+    document and then pre-aggregated by line, so neither a large host nor a common line makes a large task.
     """
     common.need(df, key, text, host)
     rows = common.table(measure(df, key, text, host).withColumn("row", F.monotonically_increasing_id()), "measured")
-    lines = rows.select("row", "host", F.explode(F.arrays_zip("lines", "line_words")).alias("l")).select("row", "host", F.col("l.lines").alias("line"), F.col("l.line_words").alias("words"))
-    common_lines = lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") > line_limit).select("host", "line", "docs")
+    lines = rows.select("row", "key", "host", F.explode(F.arrays_zip("lines", "line_words")).alias("l")).select("row", "key", "host", F.col("l.lines").alias("line"), F.col("l.line_words").alias("words"))
+    common_lines = shared_lines(lines, line_limit)
+    lines = lines.drop("key")
     total = rows.agg(F.sum(F.size("lines"))).first()[0] or 0
-    hit = common.join_counted(lines, common_lines, ["host", "line"], "docs", total, "inner")
+    hit = common.join_counted(lines, common_lines, ["host", "line"], "rows", total, "inner")
     lost = hit.groupBy("row").agg(F.sum("words").cast("long").alias("n_boilerplate_words"))
     out = rows.drop("lines", "line_words", "host").join(lost, "row", "left").withColumn("n_boilerplate_words", F.coalesce("n_boilerplate_words", F.lit(0)).cast("long"))
     left = F.col("n_words") - F.col("n_boilerplate_words")
@@ -133,14 +142,15 @@ def judge(df: DataFrame, key: str = "doc_id", text: str = "text", host: str = "s
 def clean(df: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", line_limit: int = LINE_LIMIT) -> DataFrame:
     """The rows without the lines that more than line_limit documents of their host have; the other lines and their order stay.
 
-    A row all of whose lines go has an empty text; null stays null. Common lines are found as in judge() and joined as one array for
-    each row, on a running row number."""
-    mark, names = "__row", list(df.columns)
+    A row all of whose lines go has an empty text; null stays null; repeated rows and other columns stay. Common lines are found as
+    in judge() and joined as one array for each row, on a running row number."""
+    names = list(df.columns)
+    mark = next(n for i in range(len(names) + 1) if (n := f"__row{i}") not in names)
     numbered = common.table(df.withColumn(mark, F.monotonically_increasing_id()), "numbered")
-    measured = measure(numbered, mark, text, host).select(F.col("key").alias(mark), "host", F.explode("lines").alias("line"))
-    many = measured.groupBy("host", "line").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") > line_limit)
+    keyed = numbered.withColumn(key, F.struct(F.col(key).alias("key"), F.col(mark).alias("row")))
+    measured = measure(keyed, key, text, host).select(F.col("key.row").alias("row"), F.col("key.key").alias("key"), "host", F.explode("lines").alias("line"))
     total = numbered.count()
-    hit = common.join_counted(measured, many, ["host", "line"], "docs", total, "inner").groupBy(mark).agg(F.collect_set("line").alias("__lines"))
+    hit = common.join_counted(measured.drop("key"), shared_lines(measured, line_limit), ["host", "line"], "rows", total, "inner").groupBy(F.col("row").alias(mark)).agg(F.collect_set("line").alias("__lines"))
     joined = numbered.join(hit, mark, "left").drop(mark)
     place = names.index(text)
 

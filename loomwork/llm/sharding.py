@@ -68,7 +68,7 @@ def shard(df: DataFrame, key: str = "doc_id", text: str = "text", shards: int =
     Rows with equal texts are linked. They start in the shard that a hash of the key gives, follow their group by label propagation
     under quotas, and at the end all rows are lined up by shard and group and cut into equal runs: only groups at the 15 borders
     between runs, and groups larger than a shard, are cut apart by that. Those fill whole shards, one after the other. slot counts from 0 within a shard without gaps.
-    A null text has size 1, a null CRC and no links; repeated rows are rows of their own; other columns are dropped. The text is read
+    A null text has size 1, a null CRC and no links; repeated rows are rows of their own, null keys are keys; other columns are dropped. The text is read
     once and never shuffled.
     """
     common.need(df, key, text)

@@ -18,9 +18,11 @@ from loomwork.llm.packing import cache_of, default_tokenizer
 CACHE_WORDS = 400_000
 #: Rows whose trees are unpacked at a time.
 ROWS = 100
-#: A leaf that edits have made longer than this many characters makes its document's tree be built anew.
+#: What an edit makes of the leaves that it touches becomes one leaf up to this many characters, else a leaf for each word.
 LEAF_CHARS = 2048
 WORDS = re.compile(r"[^\x20\x09-\x0D]+").findall
+#: Words with the white space after them, and before the first.
+PIECES = re.compile(r"(?:\A[\x20\x09-\x0D]*)?[^\x20\x09-\x0D]+[\x20\x09-\x0D]*").findall
 MARKS = re.compile(r"([a-z])([.,;:!?])")
 SPECIAL = re.compile(r"<\|(startoftext|endoftext)\|>", re.IGNORECASE)
 
@@ -82,6 +84,14 @@ class Tree:
                 heap[lo : hi + 1] = heap[2 * lo : 2 * hi + 2 : 2] + heap[2 * lo + 1 : 2 * hi + 2 : 2]
 
 
+    def split(self, first: int, last: int, chars: list[int], tokens: list[int]) -> Tree:
+        """The tree with leaves of their own instead of the leaves from `first` to `last`; the other leaves keep their sums, and
+        leaves without characters go."""
+        own = np.concatenate([self.chars[self.size : self.size + first], chars, self.chars[self.size + last + 1 :]])
+        counts = np.concatenate([self.tokens[self.size : self.size + first], tokens, self.tokens[self.size + last + 1 :]])
+        return Tree(grow(own[own > 0]), grow(counts[own > 0]))
+
+
 def plant(texts: pa.Array, count) -> list[Tree]:
     """The trees of the texts."""
     words, offsets = arrays.split_words(texts)
@@ -104,7 +114,8 @@ def plant(texts: pa.Array, count) -> list[Tree]:
 
 
 def build(df: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, text, n_tokens and the trees (chars_tree, tokens_tree: binary heaps of 32-bit sums) of every row. Null counts as empty."""
+    """key, text, n_tokens and the trees (chars_tree, tokens_tree: binary heaps of 32-bit sums) of every row. Null texts count as
+    empty; null keys and repeated rows stay; other columns are dropped."""
     common.need(df, key, text)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,7 +137,8 @@ def edit(tree: Tree, text: str, edits: list[dict], count) -> tuple[Tree, str, in
     """The tree and text after the edits, and how many words were encoded again.
 
     An edit drops `drop` characters at `at` and puts `put` there; places beyond the text's ends mean its ends. The leaf of the
-    character before and that of the character after are encoded with it, as their words may join."""
+    character before and that of the character after are encoded with it, as their words may join. No other word is encoded: a long
+    insertion gets leaves of its own among the others'."""
     again = 0
     for e in edits:
         at = min(max(e["at"] or 0, 0), len(text))
@@ -137,16 +149,18 @@ def edit(tree: Tree, text: str, edits: list[dict], count) -> tuple[Tree, str, in
         region = text[lo:at] + (e["put"] or "") + text[after:hi]
         words = WORDS(region)
         again += len(words)
-        tree.put(first, last, len(region), sum(count(words)))
+        if len(region) > LEAF_CHARS and len(words) > 1:
+            tree = tree.split(first, last, [len(x) for x in PIECES(region)], count(words))
+        else:
+            tree.put(first, last, len(region), sum(count(words)))
         text = text[:lo] + region + text[hi:]
-    if int(tree.chars[tree.size :].max(initial=0)) > LEAF_CHARS:
-        tree = plant(pa.array([text], pa.string()), count)[0]
     return tree, text, again
 
 
 def apply_edits(trees: DataFrame, tokenizer_path: str, key: str = "doc_id", edits: str = "edits") -> DataFrame:
     """The rows of build() after the edits in column `edits`: array of (at, drop, put) in the order in which they are made, each in
-    places of the text that the edits before it left. Adds tokens_before, n_edits and words_encoded; a null array means no edits."""
+    places of the text that the edits before it left. Adds tokens_before, n_edits and words_encoded; a null array means no edits, a
+    null place or number 0, a null `put` nothing. Null keys and repeated rows stay; columns that build() doesn't give are dropped."""
     common.need(trees, key, edits, "text", "chars_tree", "tokens_tree")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,9 +182,12 @@ def apply_edits(trees: DataFrame, tokenizer_path: str, key: str = "doc_id", edit
 
 
 def with_log(trees: DataFrame, log: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Add the edits of a log (key, seq, at, drop, put) to the trees, in the order of seq. Edits of unknown keys are ignored."""
+    """Add the edits of a log (key, seq, at, drop, put) to the trees, in the order of seq; equal ones by place, number and text.
+
+    Edits of unknown or null keys are ignored, repeated rows of the log are made each; every row of a repeated key gets all edits of
+    the key. The trees' other columns stay, but for one named `edits`; further columns of the log are dropped."""
     own = log.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("seq", "at", "drop", "put"))), lambda e: F.struct(e["at"].cast("long").alias("at"), e["drop"].cast("long").alias("drop"), e["put"].alias("put"))).alias("edits"))
-    return trees.join(own, key, "left")
+    return trees.drop("edits").join(own, key, "left")
 
 
 def revision(key: Column, text: Column) -> Column:

@@ -40,3 +40,15 @@ def test_cases(cases, clashing, empty):
     assert out.select("doc_id", "__copy").exceptAll(mixing.mix(clashing).select("doc_id", "__copy")).count() == 0
     assert mixing.mix(empty).count() == 0
     assert out.select(*cases.columns).distinct().exceptAll(cases.distinct()).count() == 0
+
+
+def test_many_sources_and_a_null_one(spark, monkeypatch):
+    """Too many sources for a broadcast, one of them null with a third of all rows: the same rows as with one."""
+    df = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 > 0, F.concat(F.lit("s"), F.col("id") % 1000)).alias("source"))
+    one = mixing.mix(df)
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 2)
+    monkeypatch.setattr(mixing.common, "FEW_ROWS", 0)
+    many = mixing.mix(df)
+    assert many.columns == one.columns and many.count() == one.count() and many.exceptAll(one).count() == 0
+    assert abs(one.filter("source is null").count() - one.count() * 1000**0.7 / (1000**0.7 + 667 * 3**0.7)) < 200
+    assert mixing.mix(df, weights={"s1": 1}).filter("source is null").count() == 0

@@ -64,3 +64,29 @@ def test_cases(cases, clashing, empty):
         assert len(out) == df.count()
         for r in out:
             assert r.n_tokens == size(r.text)
+
+
+def test_long_insertions_and_long_words(spark):
+    """Texts put in get leaves of their own; what stands before and after isn't encoded again, nor is a word that can't be split."""
+    body, more = " ".join(f"word{i}" for i in range(3000)), " ".join(f"new{i}" for i in range(900))
+    rows = [
+        (1, body, [(9000, 3, more), (9500, 2, "x"), (0, 0, "Start "), (20000, 10, ""), (9100, 4000, " gone ")]),
+        (2, "y" * 50_000 + " end", [(50_002, 1, "a"), (0, 0, "b ")]),
+        (3, "", [(0, 0, more), (0, 3, "")]),
+        (None, None, [(0, 5, " " * 3000), (1, 1, None)]),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string, edits array<struct<at: long, drop: long, put: string>>")
+    trees = tokens.build(df, default_tokenizer())
+    joined = trees.join(df.select(F.col("doc_id").alias("own"), "edits"), F.expr("doc_id <=> own"))
+    got = {r.doc_id: r for r in tokens.apply_edits(joined, default_tokenizer()).collect()}
+    for i, text, edits in rows:
+        want = after(text or "", [(a, d, p or "") for a, d, p in edits])
+        assert got[i].text == want and got[i].n_tokens == size(want)
+    assert got[1].words_encoded < 900 + 40 and got[2].words_encoded < 6 and got[3].words_encoded < 903
+
+
+def test_log_with_ties_and_repeated_keys(spark):
+    df = spark.createDataFrame([(1, "one two"), (1, "three"), (None, "x")], "doc_id long, text string").withColumn("other", F.lit(0))
+    log = spark.createDataFrame([(1, 1, 3, 0, "B"), (1, 1, 0, 0, "A"), (None, 1, 0, 1, "")], "doc_id long, seq int, at int, drop int, put string").withColumn("edits", F.lit(1))
+    got = sorted((r.text, r.n_edits) for r in tokens.apply_edits(tokens.with_log(tokens.build(df, default_tokenizer()).withColumn("edits", F.lit(2)), log), default_tokenizer()).collect())
+    assert got == [("AonB e two".replace(" e", "e"), 2), ("AthBree", 2), ("x", 0)]
