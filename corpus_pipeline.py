@@ -12,26 +12,33 @@ BROADCAST_KEYS = 500_000
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a known language: those that the models reject, or that have no letter, go."""
+    """Documents in a known language: those that the models reject, or that have no letter (null and empty texts too), go. Repeated
+    rows and further columns, whatever their names, stay as they are; so they do in all stages but the last."""
     common.ship(spark)
     found = language.predict(docs, language.train(docs))
     return found.filter(~F.col("lang_rejected")).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group that n-gram similarity links, the document with the smallest doc_id; of repeated rows, one."""
+    """Of each group that n-gram similarity links, one row: that of the smallest doc_id (null before any), with several texts of one
+    doc_id of one of them. Rows are told apart by doc_id and text; of repeated rows that are linked one stays. Rows without words are
+    linked with nothing and all stay."""
     common.ship(spark)
-    groups = common.table(jaccard.jaccard_components(docs), "groups")
-    gone = groups.filter("doc_id <> component_id").select("doc_id").distinct()
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_KEYS else gone
-    kept = docs.join(gone, "doc_id", "left_anti")
-    if not groups.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1").isEmpty():
-        kept = kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id is null"))
+    text = F.col("text").cast("string")
+    mark = next(n for i in range(len(docs.columns) + 1) if (n := f"__row{i}") not in docs.columns)
+    keyed = docs.withColumn(mark, F.struct("doc_id", F.xxhash64(text).alias("text")))
+    groups = common.table(jaccard.jaccard_components(keyed, mark), "groups")
+    rows = groups.filter("n_shingles > 0").groupBy(mark, "component_id").agg(F.count(F.lit(1)).alias("times"))
+    gone = rows.filter(F.col(mark) != F.col("component_id")).select(mark)
+    kept = keyed.join(F.broadcast(gone) if gone.count() <= BROADCAST_KEYS else gone, mark, "left_anti")
+    again = rows.filter(F.col(mark) == F.col("component_id")).filter("times > 1").select(mark)
+    if not again.isEmpty():
+        kept = kept.join(again, mark, "left_semi").dropDuplicates([mark]).unionByName(kept.join(again, mark, "left_anti"))
     return kept.select(*docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets replaced by a mark and n_chars as it then is."""
+    """All rows, with secrets replaced by a mark and n_chars as it then is. Null texts stay null and keep n_chars."""
     common.ship(spark)
     cleaned = secrets.redact(docs, secrets.train(docs))
     size = F.coalesce(F.char_length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars"))
@@ -39,13 +46,13 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's target weight asks, globally shuffled."""
+    """Each row as often as its source's target weight asks, globally shuffled. A null source is a source; columns named as mix()'s own are not kept by it."""
     common.ship(spark)
     return mixing.mix(docs).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences of power-of-two lengths."""
+    """Token sequences of power-of-two lengths, of every row; a null text is empty. Other columns are dropped."""
     common.ship(spark)
     return packing.pack(docs, packing.default_tokenizer())
 
@@ -61,7 +68,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.documents(spark, sf_dir)
+    """The last stage's rows. A stage's own tables are deleted when its result has been written, and that when the next one's has."""
+    docs, before = common.documents(spark, sf_dir), None
     for name, stage in STAGES[:-1]:
-        docs = common.table(stage(spark, docs, sf_dir), name)
+        with common.passing() as keep:
+            docs = keep(common.table(stage(spark, docs, sf_dir), name))
+        common.discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
