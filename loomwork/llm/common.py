@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 #: A key with a 64th of all rows or more is hot; there are 64 such keys at most.
 HOT_PARTS = 64
-FEW_ROWS = 20_000
+FEW_ROWS = 2_000
 PACKAGE_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 

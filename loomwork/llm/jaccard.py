@@ -30,10 +30,14 @@ DELETION_SIZE = 64
 #: Bytes of text whose sets' index entries fill one bucket, and entries that a task packs at a time.
 BUCKET_BYTES = 12_000_000
 FLUSH_ENTRIES = 1_000_000
-#: An entry is dealt apart from its bucket if it makes up one of HOT_SHARE entries of the corpus and at least HOT_ENTRIES: HOT_SHARE such
-#: entries at most. A task reports those of its entries that make up one of 2 * HOT_SHARE of what it packs at a time.
+#: An entry is dealt over HOT_SALTS buckets of its own if it makes up one of 2 * HOT_SHARE entries of the corpus and at least HOT_ENTRIES:
+#: so there are 2 * HOT_SHARE such entries at most. They are counted on one in HOT_SAMPLE sets.
 HOT_SHARE = 1000
 HOT_ENTRIES = 100_000
+HOT_SALTS = 16
+HOT_SAMPLE = 8
+#: Bits of the number that stands for a set between index and components; sets that share one are told apart by 64 bits more.
+ID_BITS = 64
 #: Rounds in which each set of a group with several components is compared with one more set of another.
 ROUNDS = 2
 #: Groups of more sets than this are compared in blocks of at most BLOCK_GRAMS n-grams (or one set) and BLOCK_SETS sets, smaller ones by pairs.
@@ -48,7 +52,7 @@ PRODUCT_CELLS = 2_000_000
 CENTRE_PAIRS = 200
 
 _U = np.uint64
-_VALUE, _SEGMENT = _U(0xA24BAED4963EE407), _U(0x9FB21C651E98DF25)
+_VALUE, _SEGMENT, _CHECK = _U(0xA24BAED4963EE407), _U(0x9FB21C651E98DF25), _U(0xC2B2AE3D27D4EB4F)
 
 
 def shingle_sets(texts: pa.Array, n: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -84,21 +88,15 @@ def shingle_sets(texts: pa.Array, n: int = WORDS) -> tuple[np.ndarray, np.ndarra
     return found[fresh], before[at]
 
 
-def set_ids(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """A 127-bit hash of each whole set, as 16 bytes that don't end in zero."""
-    out = np.empty((len(offsets) - 1, 2), "<u8")
-    n = np.diff(offsets).astype(np.uint64)
-    for k, (spread, salt) in enumerate(((hashes ^ _VALUE, _SEGMENT), (hashes + _SEGMENT, _VALUE))):
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(arrays.mix(spread))])
-        out[:, k] = arrays.mix(total[offsets[1:]] - total[offsets[:-1]] + n * salt)
-    out[:, 1] |= _U(1 << 56)
-    return out.view("S16").ravel()
+def set_ids(hashes: np.ndarray, offsets: np.ndarray, salt: np.uint64 = _VALUE) -> np.ndarray:
+    """A 64-bit hash of each whole set."""
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(arrays.mix(hashes ^ salt))])
+    return arrays.mix(total[offsets[1:]] - total[offsets[:-1]] + np.diff(offsets).astype(np.uint64) * _SEGMENT).view(np.int64)
 
 
-def binaries(ids: np.ndarray, some: np.ndarray | None = None) -> pa.Array:
-    """Set ids as an Arrow array; null where `some` is false."""
-    out = pa.Array.from_buffers(pa.binary(16), len(ids), [None, pa.py_buffer(np.ascontiguousarray(ids).tobytes())]).cast(pa.binary())
-    return out if some is None else pc.if_else(pa.array(some), out, pa.scalar(None, pa.binary()))
+def numbers(hashes: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """cls, the number that stands for each set, and check, 64 bits more of its hash."""
+    return set_ids(hashes, offsets) >> (64 - bits), set_ids(hashes, offsets, _CHECK)
 
 
 def bands(largest: int) -> np.ndarray:
@@ -168,152 +166,124 @@ class Signatures:
         return np.concatenate(out), np.concatenate(rows)
 
 
-def pack_entries(sig: np.ndarray, ids: np.ndarray, buckets: int) -> list[pa.Array]:
-    """bucket, sets, counts, entries: one row for each bucket, its sets with their numbers of entries, then 48 bits of each entry. Entries come grouped by set."""
-    bucket = (sig % _U(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    bucket, sig, ids = bucket[order], sig[order], ids[order]
-    firsts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-    sets, counts, packed = [], [], []
-    bits = (sig >> _U(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-    for s, e in zip(firsts, [*firsts[1:], len(sig)], strict=True):
-        runs = np.flatnonzero(np.concatenate([[True], ids[s + 1 : e] != ids[s : e - 1]]))
-        sets.append(ids[s:e][runs].tobytes())
-        counts.append(np.diff(np.append(runs, e - s)).astype("<u4").tobytes())
-        packed.append(bits[s:e].tobytes())
-    return [pa.array(bucket[firsts]), pa.array(sets, pa.binary()), pa.array(counts, pa.binary()), pa.array(packed, pa.binary())]
-
-
-def unpacked(sets: bytes, counts: bytes, entries: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Set ids, the number of each entry's set, and the entries' 48 bits, of a row of pack_entries()."""
-    raw = np.frombuffer(entries, np.uint8).reshape(-1, 6)
-    bits = np.zeros((len(raw), 8), np.uint8)
-    bits[:, :6] = raw
-    ids = np.frombuffer(sets, "S16")
-    return ids, np.repeat(np.arange(len(ids)), np.frombuffer(counts, "<u4")), bits.view("<u8").ravel()
-
-
-SURVEY = ("key", "n", "cls", "spare", "bucket", "sets", "counts", "entries", "sig", "times")
-
-
-def survey(rows: DataFrame, buckets: int, percent: int) -> DataFrame:
-    """One pass over the texts, with rows of three kinds, the other kinds' columns null:
-
-    key, n, cls (the set's hash, null if empty) and spare (entries that the set can do without; negative: too few to be sure);
-    bucket, sets, counts and entries, the index entries of pack_entries(), each set of a task once;
-    sig and times, entries that many of the sets packed together have."""
-    share = 2 * HOT_SHARE
+def profile(rows: DataFrame, percent: int) -> DataFrame:
+    """key, n, cls and check (hashes of the set, null if empty) and spare: entries that the set can do without (negative: too few to
+    be sure). Rows with `sig` and `times`, and nulls else, count the entries of one in HOT_SAMPLE sets that many of them have."""
+    bits, share, sample = ID_BITS, 2 * HOT_SHARE, HOT_SAMPLE
+    key = rows.schema["key"].dataType
+    types = {"key": to_arrow_type(key), "n": pa.int64(), "cls": pa.int64(), "check": pa.int64(), "spare": pa.int64(), "sig": pa.int64(), "times": pa.int64()}
 
     def row(**columns: pa.Array) -> pa.RecordBatch:
         size = len(next(iter(columns.values())))
-        return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(size, f.type) for f in fields], names=list(SURVEY))
+        return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(size, t) for c, t in types.items()], names=list(types))
 
-    def packed(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        sig, ids = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
-        yield row(**dict(zip(SURVEY[4:8], pack_entries(sig, ids, buckets), strict=True)))
+    def counted(sig: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """What makes up one of `share` of the entries, or less: the last row, without `sig`, is the number of all entries."""
         ordered = np.sort(sig)
         starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
         times = np.diff(np.append(starts, len(sig)))
         much = times >= max(2, -(-len(sig) // share))
-        if much.any():
-            yield row(sig=pa.array(ordered[starts[much]].view(np.int64)), times=pa.array(times[much]))
+        yield row(sig=pa.array(ordered[starts[much]].view(np.int64)), times=pa.array(times[much]))
+        yield row(times=pa.array([len(sig)], pa.int64()))
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        size = 0
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
         for batch in batches:
             for part in arrays.slices(batch, "text"):
                 hashes, offsets = shingle_sets(arrays.plain(part.column("text")))
-                n, ids = np.diff(offsets), set_ids(hashes, offsets)
+                n, (cls, check) = np.diff(offsets), numbers(hashes, offsets, bits)
                 signatures = Signatures(hashes, offsets, percent)
-                yield row(key=part.column("key"), n=pa.array(n), cls=binaries(ids, n > 0), spare=pa.array(signatures.spare, mask=n == 0))
-                chosen = np.zeros(len(ids), bool)
-                for i, x in zip(np.flatnonzero(n), ids[n > 0].tolist(), strict=True):
-                    if x not in seen:
-                        seen.add(x)
-                        chosen[i] = True
-                sig, own = signatures.entries(chosen)
-                order = np.argsort(own, kind="stable")
-                held.append((sig[order], ids[own[order]]))
-                size += len(sig)
-                if size >= FLUSH_ENTRIES:
-                    yield from packed(held)
-                    held, size = [], 0
-        if size:
-            yield from packed(held)
+                none = n == 0
+                yield row(key=part.column("key"), n=pa.array(n), cls=pa.array(cls, mask=none), check=pa.array(check, mask=none), spare=pa.array(signatures.spare, mask=none))
+                held.append(signatures.entries((n > 0) & (check % sample == 0))[0])
+                if sum(map(len, held)) >= FLUSH_ENTRIES:
+                    yield from counted(np.concatenate(held))
+                    held = []
+        if sum(map(len, held)):
+            yield from counted(np.concatenate(held))
 
-    key = rows.schema["key"].dataType
-    schema = f"key {key.simpleString()}, n long, cls binary, spare long, bucket long, sets binary, counts binary, entries binary, sig long, times long"
-    fields = pa.schema([("key", to_arrow_type(key)), ("n", pa.int64()), ("cls", pa.binary()), ("spare", pa.int64()), ("bucket", pa.int64()), ("sets", pa.binary()), ("counts", pa.binary()), ("entries", pa.binary()), ("sig", pa.int64()), ("times", pa.int64())])
-    return rows.select("key", "text").mapInArrow(emit, schema)
+    return rows.select("key", "text").mapInArrow(sets, f"key {key.simpleString()}, n long, cls long, check long, spare long, sig long, times long")
 
 
 def hot_entries(found: DataFrame) -> list[int]:
-    """Entries that make up one of HOT_SHARE of all and HOT_ENTRIES at least, by what the tasks reported: HOT_SHARE * 2 at most."""
-    total = found.select(F.sum(F.octet_length("entries") / 6)).first()[0] or 0
-    least = max(HOT_ENTRIES, total / (2 * HOT_SHARE))
+    """Entries that make up one of 2 * HOT_SHARE of all, and HOT_ENTRIES at least, by what the tasks reported: 2 * HOT_SHARE at most."""
+    total = found.filter("n is null and sig is null").agg(F.sum("times")).first()[0] or 0
+    least = max(HOT_ENTRIES / HOT_SAMPLE, total / (2 * HOT_SHARE))
     return [r["sig"] for r in found.filter("sig is not null").groupBy("sig").agg(F.sum("times").alias("times")).filter(F.col("times") >= least).select("sig").collect()]
 
 
-def parted(packed: DataFrame, hot: list[int], buckets: int, inside: bool) -> DataFrame:
-    """The packed rows without the hot entries, or (inside) sig and cls of the hot entries alone, each once."""
-    by_bucket: dict[int, list[int]] = {}
-    for x in (h & (2**64 - 1) for h in hot):
-        by_bucket.setdefault(x % buckets, []).append(x)
+def pack_entries(sig: np.ndarray, cls: np.ndarray, buckets: int, hot: np.ndarray) -> pa.RecordBatch:
+    """One row for each bucket: its sets with their numbers of entries, then 48 bits of each entry. Entries come grouped by set.
+    Those of `hot` (sorted) lie in HOT_SALTS buckets each, after the others."""
+    bucket = (sig % _U(buckets)).astype(np.int64)
+    if len(hot):
+        at = np.minimum(np.searchsorted(hot, sig), len(hot) - 1)
+        bucket = np.where(hot[at] == sig, buckets + at * HOT_SALTS + cls % HOT_SALTS, bucket)
+    order = np.argsort(bucket, kind="stable")
+    bucket, sig, cls = bucket[order], sig[order], cls[order]
+    firsts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+    sets, counts, packed = [], [], []
+    bits = (sig >> _U(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+    for s, e in zip(firsts, [*firsts[1:], len(sig)], strict=True):
+        runs = np.flatnonzero(np.concatenate([[True], cls[s + 1 : e] != cls[s : e - 1]]))
+        sets.append(cls[s:e][runs].tobytes())
+        counts.append(np.diff(np.append(runs, e - s)).astype("<u4").tobytes())
+        packed.append(bits[s:e].tobytes())
+    return pa.record_batch([pa.array(bucket[firsts]), pa.array(sets, pa.binary()), pa.array(counts, pa.binary()), pa.array(packed, pa.binary())], names=["bucket", "sets", "counts", "entries"])
 
-    def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[list] = [[] for _ in range(4)]
-            sigs, members = [], []
-            for bucket, sets, counts, entries in zip(*(batch.column(c).to_pylist() for c in SURVEY[4:8]), strict=True):
-                wanted = np.array(sorted(by_bucket.get(bucket, ())), np.uint64)
-                if len(wanted):
-                    ids, owner, bits = unpacked(sets, counts, entries)
-                    short = wanted >> _U(16)
-                    at = np.minimum(np.searchsorted(short, bits), len(short) - 1)
-                    is_hot = short[at] == bits
-                    if inside:
-                        sigs.append(wanted[at[is_hot]].view(np.int64))
-                        members.append(ids[owner[is_hot]])
-                    else:
-                        left = np.bincount(owner[~is_hot], minlength=len(ids))
-                        sets, counts = ids[left > 0].tobytes(), left[left > 0].astype("<u4").tobytes()
-                        entries = np.frombuffer(entries, np.uint8).reshape(-1, 6)[~is_hot].tobytes()
-                for column, value in zip(out, (bucket, sets, counts, entries), strict=True):
-                    column.append(value)
-            if not inside:
-                yield pa.record_batch([pa.array(out[0], pa.int64()), *(pa.array(c, pa.binary()) for c in out[1:])], names=list(SURVEY[4:8]))
-            elif sigs:
-                yield pa.record_batch([pa.array(np.concatenate(sigs)), binaries(np.concatenate(members))], names=["sig", "cls"])
-
-    if inside:
-        return packed.mapInArrow(strip, "sig long, cls binary").distinct()
-    return packed.mapInArrow(strip, "bucket long, sets binary, counts binary, entries binary")
 
+def index(rows: DataFrame, buckets: int, hot: list[int], percent: int) -> DataFrame:
+    """The entries of all sets, packed by bucket. Copies within a task are indexed once."""
+    apart, bits = np.sort(np.array(hot, np.int64).view(np.uint64)), ID_BITS
 
-def hot_crowds(members: DataFrame) -> DataFrame:
-    """As crowds(), of the hot entries' (sig, cls): one of the entries with equal sets stands for all of them."""
-    sums = members.groupBy("sig").agg(F.bit_xor(F.xxhash64("cls")).alias("grp"), F.count(F.lit(1)).alias("k"))
-    one = sums.filter("k > 1").groupBy("grp", "k").agg(F.min("sig").alias("sig"), F.count(F.lit(1)).alias("entries"))
-    return members.join(F.broadcast(one), "sig").select("grp", "cls", "entries")
-
-
-def crowds(packed: DataFrame) -> DataFrame:
-    """grp, cls, entries: the groups of two or more sets that share an entry, each distinct group once, and how many entries it shares."""
-
-    def collide(table: pa.Table) -> pa.Table:
-        found = [unpacked(*x) for x in zip(*(table.column(c).to_pylist() for c in SURVEY[5:8]), strict=True)]
-        every, before = np.concatenate([f[0] for f in found]), np.cumsum([0, *(len(f[0]) for f in found)])
-        halves = every.view("<u8").reshape(-1, 2)
-        order = np.lexsort((halves[:, 1], halves[:, 0]))
-        new = np.ones(len(order), bool)
-        new[1:] = (halves[order[1:]] != halves[order[:-1]]).any(axis=1)
-        number = np.empty(len(order), np.int64)
-        number[order] = np.cumsum(new) - 1
-        ids = every[order[new]]
-        cls = np.concatenate([number[f[1] + b] for f, b in zip(found, before[:-1], strict=True)])
-        sig = np.concatenate([f[2] for f in found])
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+        for batch in batches:
+            for part in arrays.slices(batch, "text"):
+                hashes, offsets = shingle_sets(arrays.plain(part.column("text")))
+                cls, check = numbers(hashes, offsets, bits)
+                chosen = np.zeros(len(cls), bool)
+                for i in np.flatnonzero(np.diff(offsets)):
+                    if (x := (int(cls[i]), int(check[i]))) not in seen:
+                        seen.add(x)
+                        chosen[i] = True
+                sig, row = Signatures(hashes, offsets, percent).entries(chosen)
+                order = np.argsort(row, kind="stable")
+                held.append((sig[order], cls[row[order]]))
+                size += len(sig)
+                if size >= FLUSH_ENTRIES:
+                    yield pack_entries(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), buckets, apart)
+                    held, size = [], 0
+        if size:
+            yield pack_entries(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), buckets, apart)
+
+    return rows.select("text").mapInArrow(emit, "bucket long, sets binary, counts binary, entries binary")
+
+
+def crowds(packed: DataFrame, buckets: int) -> DataFrame:
+    """grp, k, cls, entries: the groups of k sets, two or more, that share an entry, each distinct group of a bucket once, and how many
+    entries it shares. Of an entry with buckets of its own, each of these gives its members, with the entry's number as `hot`."""
+
+    def collide(key: tuple, table: pa.Table) -> pa.Table:
+        sets = [np.frombuffer(x, np.int64) for x in table.column("sets").to_pylist()]
+        counts = [np.frombuffer(x, "<u4") for x in table.column("counts").to_pylist()]
+        cls = np.repeat(np.concatenate(sets), np.concatenate(counts))
+        if (own := key[0].as_py()) >= buckets:
+            cls = np.unique(cls)
+            none = pa.nulls(len(cls), pa.int64())
+            return pa.table({"hot": np.full(len(cls), (own - buckets) // HOT_SALTS), "grp": none, "k": none, "cls": cls, "entries": none})
+        raw = np.frombuffer(b"".join(table.column("entries").to_pylist()), np.uint8).reshape(-1, 6)
+        sig = np.zeros((len(raw), 8), np.uint8)
+        sig[:, :6] = raw
+        sig = sig.view("<u8").ravel()
+        order = np.argsort(sig)
+        sig, cls = sig[order], cls[order]
+        shared = np.zeros(len(sig), bool)
+        shared[1:] = sig[1:] == sig[:-1]
+        shared[:-1] |= shared[1:]
+        sig, cls = sig[shared], cls[shared]
         order = np.lexsort((cls, sig))
         sig, cls = sig[order], cls[order]
         fresh = np.ones(len(sig), bool)
@@ -321,33 +291,34 @@ def crowds(packed: DataFrame) -> DataFrame:
         sig, cls = sig[fresh], cls[fresh]
         starts = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.zeros(0, int)
         sizes = np.diff(np.append(starts, len(sig)))
-        grp = np.add.reduceat(arrays.mix(ids.view("<u8")[::2].astype(np.uint64)[cls]), starts) if len(sig) else np.zeros(0, np.uint64)
+        grp = np.add.reduceat(arrays.mix(cls.view(np.uint64)), starts) if len(sig) else np.zeros(0, np.uint64)
         starts, sizes, grp = starts[sizes > 1], sizes[sizes > 1], grp[sizes > 1]
         grp, first, times = np.unique(grp, return_index=True, return_counts=True)
         starts, sizes = starts[first], sizes[first]
         ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
         member = np.arange(ends[-1]) + np.repeat(starts - ends[:-1], sizes)
-        return pa.table({"grp": np.repeat(grp.view(np.int64), sizes), "cls": binaries(ids[cls[member]]), "entries": np.repeat(times, sizes).astype(np.int64)})
+        return pa.table({"hot": pa.nulls(len(member), pa.int64()), "grp": np.repeat(grp.view(np.int64), sizes), "k": np.repeat(sizes, sizes).astype(np.int64), "cls": cls[member], "entries": np.repeat(times, sizes).astype(np.int64)})
 
-    return packed.groupBy("bucket").applyInArrow(collide, "grp long, cls binary, entries long")
+    return packed.groupBy("bucket").applyInArrow(collide, "hot long, grp long, k long, cls long, entries long")
+
+
+def hot_crowds(members: DataFrame) -> DataFrame:
+    """As crowds(), of the members (hot, cls) of the entries with buckets of their own: one of those with equal sets stands for all of them."""
+    sums = members.groupBy("hot").agg(F.bit_xor(F.xxhash64("cls")).alias("grp"), F.count(F.lit(1)).alias("k"))
+    one = sums.filter("k > 1").groupBy("grp", "k").agg(F.min("hot").alias("hot"), F.count(F.lit(1)).alias("entries"))
+    return members.select("hot", "cls").join(F.broadcast(one), "hot").select("grp", "k", "cls", "entries")
 
 
 def with_choice(groups: DataFrame, classes: DataFrame) -> DataFrame:
     """The rows of `groups` that their set keeps: each spends what it has to spare on leaving out the largest groups.
 
     What a set leaves out is the start of its entries in one order of all groups. Of two linked sets each keeps an entry that both
-    have; what the one leaves out of these is a start of what the other does, or the other way round, so some entry is kept by both.
-    Groups with one set left are dropped."""
+    have; what the one leaves out of these is a start of what the other does, or the other way round, so some entry is kept by both."""
     most = Window.partitionBy("cls").orderBy(F.desc("k"), "grp").rowsBetween(Window.unboundedPreceding, 0)
-    kept = groups.join(classes.select("cls", "spare", "n"), "cls").filter("k > 1").withColumn("sum", F.sum("entries").over(most)).filter(F.col("sum") > F.col("spare"))
+    kept = groups.join(classes.select("cls", "spare", "n"), "cls").withColumn("sum", F.sum("entries").over(most)).filter(F.col("sum") > F.col("spare"))
     return kept.select("grp", "cls", "entries", "n")
 
 
-def sized(groups: DataFrame) -> DataFrame:
-    """groups (a table) with `k`, the rows of each group; those of one row are dropped."""
-    return common.with_group(groups, "grp", groups.count()).withColumnRenamed("__size", "k").filter("k > 1")
-
-
 def least_shared(small: Column, large: Column, percent: int) -> Column:
     """Entries that two linked sets both keep, at least. Each keeps one more than it may differ in from its largest partner (the larger,
     if the smaller is of a band below: from the largest set there), and from this partner it differs in fewer.
@@ -390,16 +361,16 @@ def blocks(mixed: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     dealt = sides.join(members.select("label", F.col("block").alias("own"), "cls"), ["label", "own"]).join(texts, "cls")
 
     def compare(table: pa.Table) -> pa.Table:
-        found = forest(*shingle_sets(arrays.plain(table.column("text"))), percent)
-        return pa.table({"a": pa.array([a for a, _ in found], pa.binary()), "b": pa.array([b for _, b in found], pa.binary())})
+        found = forest(table.column("cls").to_numpy(), *shingle_sets(arrays.plain(table.column("text"))), percent)
+        return pa.table({"a": pa.array([int(a) for a, _ in found], pa.int64()), "b": pa.array([int(b) for _, b in found], pa.int64())})
 
-    return dealt.groupBy("label", "block", "later").applyInArrow(compare, "a binary, b binary").distinct()
+    return dealt.groupBy("label", "block", "later").applyInArrow(compare, "a long, b long").distinct()
 
 
-def forest(hashes: np.ndarray, offsets: np.ndarray, percent: int) -> list[tuple[bytes, bytes]]:
-    """Set hashes of linked pairs, as many as connect all linked sets. Intersections come from products of 0/1 matrices over the
+def forest(ids: np.ndarray, hashes: np.ndarray, offsets: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """The ids of linked pairs, as many as connect all linked sets. Intersections come from products of 0/1 matrices over the
     n-grams that two sets or more have, some rows and some n-grams at a time; counts stay below 2^24, so single precision is exact."""
-    ids, sizes = set_ids(hashes, offsets), np.diff(offsets)
+    sizes = np.diff(offsets)
     _, column, times = np.unique(hashes, return_inverse=True, return_counts=True)
     number = np.cumsum(times > 1) - 1
     shared = times[column] > 1
@@ -443,7 +414,7 @@ def verify(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     meet in tasks of about CENTRE_PAIRS, so a's text moves once for that many and b's once for each pair."""
     dealt = common.with_group(pairs, "a", pairs.count()).withColumn("salt", F.pmod(F.xxhash64("b"), F.ceil(F.col("__size") / CENTRE_PAIRS)).cast("int")).drop("__size")
     members = dealt.join(texts.withColumnRenamed("cls", "b"), "b").select("a", "salt", "b", "text")
-    centres = dealt.select("a", "salt").distinct().join(texts.withColumnRenamed("cls", "a"), "a").select("a", "salt", F.lit(None).cast("binary").alias("b"), "text")
+    centres = dealt.select("a", "salt").distinct().join(texts.withColumnRenamed("cls", "a"), "a").select("a", "salt", F.lit(None).cast("long").alias("b"), "text")
     lined = centres.unionByName(members).repartition("a", "salt").sortWithinPartitions("a", "salt", F.asc_nulls_first("b"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -451,19 +422,18 @@ def verify(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             for part in arrays.slices(batch, "text"):
                 hashes, offsets = shingle_sets(arrays.plain(part.column("text")))
-                ids, found = set_ids(hashes, offsets), []
+                found = []
                 for i, (a, b) in enumerate(zip(part.column("a").to_pylist(), part.column("b").to_pylist(), strict=True)):
                     one = hashes[offsets[i] : offsets[i + 1]]
                     if b is None:
-                        if ids[i] == a:
-                            centre, own = a, one.copy()
-                    elif a == centre and ids[i] == b and linked(own, one, percent):
+                        centre, own = a, one.copy()
+                    elif a == centre and linked(own, one, percent):
                         found.append((a, b))
                 if found:
                     a, b = zip(*found, strict=True)
-                    yield pa.record_batch([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+                    yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return lined.mapInArrow(compare, "a binary, b binary").distinct()
+    return lined.mapInArrow(compare, "a long, b long").distinct()
 
 
 def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -477,68 +447,75 @@ def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * common_ >= percent * (len(x) + len(y) - common_)
 
 
-def against_all(rows: DataFrame, few: list[tuple[bytes, bytes]], percent: int) -> DataFrame:
-    """Links between the few given sets and all sets, by comparing them one by one."""
-    sets = [(i, np.frombuffer(x, np.uint64)) for i, x in few]
+def against_all(rows: DataFrame, few: list[tuple[int, bytes]], percent: int) -> DataFrame:
+    """a, cls, check: links between the few given sets and all sets, by comparing them one by one."""
+    sets, bits = [(i, np.frombuffer(x, np.uint64)) for i, x in few], ID_BITS
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in arrays.slices(batch, "text"):
                 hashes, offsets = shingle_sets(arrays.plain(part.column("text")))
-                ids = set_ids(hashes, offsets)
-                found = [(i, ids[k]) for k in np.flatnonzero(np.diff(offsets)) for i, x in sets if i != ids[k] and linked(x, hashes[offsets[k] : offsets[k + 1]], percent)]
-                yield pa.record_batch([pa.array([f[0] for f in found], pa.binary()), pa.array([f[1] for f in found], pa.binary())], names=["a", "b"])
+                cls, check = numbers(hashes, offsets, bits)
+                found = [(i, int(cls[k]), int(check[k])) for k in np.flatnonzero(np.diff(offsets)) for i, x in sets if linked(x, hashes[offsets[k] : offsets[k + 1]], percent)]
+                yield pa.record_batch([pa.array([f[i] for f in found], pa.int64()) for i in range(3)], names=["a", "cls", "check"])
 
-    return rows.select("text").mapInArrow(compare, "a binary, b binary")
+    return rows.select("text").mapInArrow(compare, "a long, cls long, check long").distinct()
 
 
 def unsure_links(rows: DataFrame, classes: DataFrame, texts_of, percent: int, block: int = 500) -> DataFrame | None:
-    """Links of the sets whose filled segments happen to be too few for the guarantee (expected: none), in blocks against all sets."""
-    few = classes.filter("spare < 0").select("cls")
+    """Links (a, b) of the sets whose filled segments happen to be too few for the guarantee, and of those that share a number with
+    another set (expected: none of either), in blocks against all sets."""
+    few = classes.filter("spare < 0 or twice").select("id")
     if few.isEmpty():
         return None
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hashes, offsets = shingle_sets(arrays.plain(batch.column("text")))
-            yield pa.record_batch([binaries(set_ids(hashes, offsets)), pa.array([hashes[s:e].tobytes() for s, e in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary())], names=["cls", "hashes"])
+            yield pa.record_batch([batch.column("cls"), pa.array([hashes[s:e].tobytes() for s, e in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary())], names=["cls", "hashes"])
 
-    unsure, links, held = texts_of(few).select("text").mapInArrow(sets, "cls binary, hashes binary"), None, []
+    unsure, links, held = texts_of(few).mapInArrow(sets, "cls long, hashes binary"), None, []
     for r in [*unsure.toLocalIterator(), None]:
         if r is not None:
             held.append((r["cls"], r["hashes"]))
         if held and (r is None or len(held) == block):
-            more = common.table(against_all(rows, held, percent), "unsure_links")
+            found = against_all(rows, held, percent).join(classes.select("cls", "check", F.col("id").alias("b")), ["cls", "check"]).select("a", "b").filter("a <> b")
+            more = common.table(found, "unsure_links")
             links, held = more if links is None else links.unionByName(more), []
     return links
 
 
-def candidates(found: DataFrame, classes: DataFrame, buckets: int) -> DataFrame:
-    """A table of grp, cls, entries, n and k: the groups of sets that share an index entry which they keep, by size k."""
-    packed = found.filter("bucket is not null").select(*SURVEY[4:8])
-    crowded = crowds(packed)
-    if hot := hot_entries(found):
-        apart = common.table(parted(packed, hot, buckets, True), "hot")
-        crowded = crowds(parted(packed, hot, buckets, False)).unionByName(hot_crowds(apart))
-    groups = common.table(crowded.groupBy("grp", "cls").agg(F.sum("entries").alias("entries")), "groups")
-    chosen = common.table(with_choice(sized(groups), classes), "chosen")
-    return common.table(sized(chosen), "choices")
+def candidates(rows: DataFrame, classes: DataFrame, hot: list[int], buckets: int, percent: int) -> DataFrame:
+    """A table of grp, cls, entries and n: the groups of sets that share an index entry, with those entries that each set keeps."""
+    found = crowds(index(rows, buckets, hot, percent), buckets)
+    if hot:
+        found = common.table(found, "crowds")
+        crowded = found.filter("hot is null").select("grp", "k", "cls", "entries").unionByName(hot_crowds(found.filter("hot is not null")))
+    else:
+        crowded = found.select("grp", "k", "cls", "entries")
+    groups = crowded.groupBy("grp", "k", "cls").agg(F.sum("entries").alias("entries"))
+    return common.table(with_choice(groups, classes.filter("not twice").select(F.col("id").alias("cls"), "spare", "n")), "choices")
+
 
+def linked_classes(choices: DataFrame, texts_of, links: DataFrame | None, percent: int) -> DataFrame:
+    """(node, component) of the classes that links connect: those of the given `links`, and those found in the groups of `choices`.
 
-def linked_classes(choices: DataFrame, texts: DataFrame, links: DataFrame | None, percent: int) -> DataFrame:
-    """(node, component) of the classes that links connect: those of the given `links`, and those found in the groups of `choices`."""
-    where, tested = None if links is None else common.table(components(links, "a", "b"), "components"), None
+    A round's groups are those of the round before that still hold several components, so the tables shrink."""
+    where, tested, groups, texts = None if links is None else common.table(components(links, "a", "b"), "components"), None, choices, None
     for number in range(ROUNDS + 1):
-        named = choices.withColumn("component", F.col("cls"))
+        named = groups.withColumn("component", F.col("cls"))
         if where is not None:
-            named = choices.join(where.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-        named = common.table(named, f"named_{number}")
-        hub = F.min(F.struct("component", "cls")).alias("hub")
-        mixed = common.with_group(named, "grp", named.count(), hub, F.max("component").alias("most")).filter("hub.component < most").drop("most", "__size")
+            named = groups.join(where.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+            named = common.table(named, f"named_{number}")
+        facts = F.min("component").alias("least"), F.max("component").alias("most"), F.min_by("cls", "component").alias("hub")
+        mixed = common.with_group(named, "grp", named.count(), *facts).filter("least < most").withColumnRenamed("__size", "k").drop("most")
         mixed, found = common.table(mixed, f"mixed_{number}"), []
+        common.discard(groups, named)
+        if texts is None:
+            texts = common.table(texts_of(mixed.select(F.col("cls").alias("id")).distinct()), "texts")
         if number < ROUNDS:
-            star = mixed.filter("component <> hub.component")
-            pairs = star.groupBy(F.col("hub.cls").alias("a"), F.col("cls").alias("b")).agg(F.sum("entries").alias("shared"))
+            star = mixed.filter("component <> least")
+            pairs = star.groupBy(F.col("hub").alias("a"), F.col("cls").alias("b")).agg(F.sum("entries").alias("shared"))
         else:
             pairs = across(mixed.filter(F.col("k") <= PAIRED), percent)
             found.append(blocks(mixed.filter(F.col("k") > PAIRED), texts, percent))
@@ -550,7 +527,7 @@ def linked_classes(choices: DataFrame, texts: DataFrame, links: DataFrame | None
         found = common.table(reduce(DataFrame.unionByName, [*found, verify(pairs, texts, percent)]), f"links_{number}")
         links = found if links is None else links.unionByName(found)
         tested = pairs if tested is None else tested.unionByName(pairs)
-        where = common.table(components(links, "a", "b"), "components")
+        where, groups = common.table(components(links, "a", "b"), "components"), mixed.select("grp", "cls", "entries", "n")
     return where
 
 
@@ -571,26 +548,28 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", p
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, int(size) // BUCKET_BYTES)
     with common.passing() as keep:
-        found = keep(common.table(survey(rows, buckets, percent), "survey"))
-        sets = found.filter("n is not null").select("key", "n", "cls", "spare")
+        found = keep(common.table(profile(rows, percent), "profile"))
+        sets = found.filter("n is not null").select("key", "n", "cls", "check", "spare")
         total = sets.count()
-        classes = common.table(sets.filter("n > 0").groupBy("cls").agg(F.min("key").alias("row"), F.min("key.key").alias("least"), F.first("spare").alias("spare"), F.first("n").alias("n"), F.count(F.lit(1)).alias("copies")), "classes")
-        choices = candidates(found, classes, buckets)
+        classes = sets.filter("n > 0").groupBy("cls", "check").agg(F.min("key").alias("row"), F.min("key.key").alias("least"), F.first("spare").alias("spare"), F.first("n").alias("n"), F.count(F.lit(1)).alias("copies"))
+        alike = F.count(F.lit(1)).over(Window.partitionBy("cls")) > 1
+        classes = classes.withColumn("twice", alike).withColumn("id", F.when(F.col("twice"), F.xxhash64("cls", "check")).otherwise(F.col("cls")))
+        classes = common.table(classes, "classes")
         repeated = not sets.filter("n > 0").groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()
 
         def texts_of(wanted: DataFrame) -> DataFrame:
-            """(cls, text) of classes, from the row with the least key."""
-            which = wanted.join(classes, "cls").select(F.col("row").alias("key"), "cls")
+            """(cls, text) of classes (id), from the row with the least key."""
+            which = wanted.join(classes, "id").select(F.col("row").alias("key"), F.col("id").alias("cls"))
             texts = rows.join(which, "key").select("cls", "text")
             return texts.dropDuplicates(["cls"]) if repeated else texts
 
-        texts = common.table(texts_of(choices.select("cls").distinct()), "texts")
-        where = linked_classes(choices, texts, unsure_links(rows, classes, texts_of, percent), percent)
-        known = classes.join(where.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-        known = common.table(known.select("cls", "component", "least", "copies"), "components")
+        choices = candidates(rows, classes, hot_entries(found), buckets, percent)
+        where = linked_classes(choices, texts_of, unsure_links(rows, classes, texts_of, percent), percent)
+        known = classes.join(where.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+        known = common.table(known.select("cls", "check", "component", "least", "copies"), "components")
         known = common.with_group(known, "component", known.count(), F.min("least").alias("component_id"))
-        known = keep(common.table(known.select("cls", "component_id", "copies"), "known"))
-    some = common.join_counted(sets.filter("n > 0").select("key", "n", "cls"), known, ["cls"], "copies", total)
+        known = keep(common.table(known.select("cls", "check", "component_id", "copies"), "known"))
+    some = common.join_counted(sets.filter("n > 0").select("key", "n", "cls", "check"), known, ["cls", "check"], "copies", total)
     none = sets.filter("n = 0").select("key", "n", F.col("key.key").alias("component_id"))
     return some.select("key", "n", "component_id").unionByName(none).select(F.col("key.key").alias(key), F.col("n").alias("n_shingles"), "component_id")
 

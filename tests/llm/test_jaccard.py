@@ -78,7 +78,7 @@ def test_many_short_sets_take_little_memory():
     hashes, offsets = np.array(sets, np.uint64).ravel(), np.arange(0, 8 * len(sets) + 1, 8)
     ids = jaccard.set_ids(hashes, offsets)
     tracemalloc.start()
-    got = jaccard.forest(hashes, offsets, 75)
+    got = jaccard.forest(ids, hashes, offsets, 75)
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert got == [(ids[17], ids[5999])]
@@ -101,6 +101,8 @@ def test_documents(spark, sf_dir):
 def test_hot_entries_are_dealt_apart(spark, monkeypatch):
     """Sets that share a passage with all others, with their entries dealt apart from the buckets."""
     monkeypatch.setattr(jaccard, "HOT_ENTRIES", 20)
+    monkeypatch.setattr(jaccard, "HOT_SAMPLE", 2)
+    monkeypatch.setattr(jaccard.common, "FEW_ROWS", 0)
     monkeypatch.setattr(jaccard, "BUCKET_BYTES", 4000)
     monkeypatch.setattr(jaccard, "PAIRED", 8)
     rng = random.Random(11)
@@ -111,6 +113,15 @@ def test_hot_entries_are_dealt_apart(spark, monkeypatch):
     assert found(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)) == brute(rows)
 
 
+def test_sets_that_share_a_number(spark, monkeypatch):
+    """With numbers of 5 bits nearly every set shares its own with another: they are told apart all the same."""
+    monkeypatch.setattr(jaccard, "ID_BITS", 5)
+    rng = random.Random(15)
+    rows = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(15))) for i in range(60)]
+    rows += [(100 + i, t + " end") for i, (_, t) in enumerate(rows[:20])] + [(200 + i, t) for i, (_, t) in enumerate(rows[10:30])]
+    assert found(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+
+
 def test_repeated_and_null_keys(spark):
     """One key with two texts, null keys with and without other keys beside them."""
     a, b, c = (" ".join(f"{x}{i}" for i in range(20)) for x in "abc")
