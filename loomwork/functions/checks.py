@@ -25,7 +25,7 @@ def icontains(text: Column, part: str) -> Column:
 
 def light(text: Column) -> Column:
     """Lower case with single spaces and no edges; marks stay."""
-    return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.lower(text), r"(?U)\s+", " "))
 
 
 def has_pii(text: Column) -> Column:
@@ -62,8 +62,8 @@ def audio_verdict(n_bytes: Column, seconds: Column, rms: Column) -> Column:
 
 def repeats(text: Column) -> Column:
     """Nothing said, a known marker, or the first three words found three times or more in six or more words."""
-    t = F.trim(F.lower(text))
-    words = F.filter(F.split(t, r"[ \t\n\r]+"), lambda w: w != "")
+    t = F.regexp_replace(F.lower(text), r"(?U)^\s+|\s+$", "")
+    words = F.filter(F.split(t, r"(?U)\s+"), lambda w: w != "")
     first = F.array_join(F.slice(words, 1, 3), " ")
     times = F.when(F.length(first) > 0, (F.length(t) - F.length(F.replace(t, first, F.lit("")))) / F.length(first)).otherwise(0)
     return (t == "") | reduce(or_, (t.contains(m) for m in MARKERS)) | ((F.size(words) >= 6) & (times >= 3))

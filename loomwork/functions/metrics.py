@@ -21,10 +21,11 @@ def words(text: Column) -> Column:
 def word_edits(reference: Column, hypothesis: Column) -> Column:
     """Fewest insertions, deletions and substitutions of words, for arrays of words.
 
-    Each distinct word of the pair becomes one character of the supplementary planes, so the built-in character distance counts words."""
-    known = F.array_distinct(F.concat(reference, hypothesis))
-    spelled = lambda a: F.decode(F.unhex(F.array_join(F.transform(a, lambda w: F.lpad(F.hex(F.array_position(known, w) + 0xFFFF), 8, "0")), "")), "UTF-32")
-    return F.levenshtein(F.coalesce(spelled(reference), F.lit("")), F.coalesce(spelled(hypothesis), F.lit("")))
+    Each distinct word of the pair becomes one character of the supplementary planes, so the built-in character distance counts words.
+    The pair's vocabulary is made once, as the only element of an array that a function then works on."""
+    both = F.struct(reference.alias("r"), hypothesis.alias("h"), F.array_distinct(F.concat(reference, hypothesis)).alias("known"))
+    spelled = lambda a, known: F.coalesce(F.decode(F.unhex(F.array_join(F.transform(a, lambda w: F.lpad(F.hex(F.array_position(known, w) + 0xFFFF), 8, "0")), "")), "UTF-32"), F.lit(""))
+    return F.get(F.transform(F.array(both), lambda b: F.levenshtein(spelled(b["r"], b["known"]), spelled(b["h"], b["known"]))), F.lit(0))
 
 
 def percent(direct: Column, *shares: Column) -> Column:

@@ -27,7 +27,8 @@ def nfkc(text: pd.Series) -> pd.Series:
 
 
 def squeezed(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    """Single spaces for white space of any kind, none at the edges."""
+    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
 def corpus_words(text: Column) -> Column:

@@ -109,12 +109,16 @@ SELECT (SELECT CAST(count(*) AS BIGINT) FROM kept) AS n_lines, (SELECT CAST(coun
 """,
 )
 def vocab_stats(t: Tables) -> DataFrame:
-    """Lines, repeated lines, tokens and distinct tokens of the corpus. Lines are told apart by a hash."""
-    lines = t.documents.select(corpus_words(F.col("text")).alias("t")).filter("t <> ''")
-    lines = lines.groupBy(F.sha2("t", 256)).agg(F.first("t").alias("t"), F.count("*").alias("copies"))
-    totals = lines.agg(F.sum("copies").alias("n_lines"), F.sum(F.col("copies") - 1).alias("n_removed"))
-    words = lines.select(F.explode(F.split("t", " ")).alias("w")).groupBy("w").agg(F.count("*").alias("n")).agg(F.sum("n").alias("n_tokens"), F.count("*").alias("n_vocab"))
-    return totals.join(F.broadcast(words), F.lit(True))
+    """Lines, repeated lines, tokens and distinct tokens of the corpus, in one scan. Lines are told apart by a hash: a text gives a
+    row of its hash with its number of tokens, and a row of each distinct token, so that no text is shuffled."""
+    lines = t.documents.select(corpus_words(F.col("text")).alias("t")).select(F.sha2("t", 256).alias("line"), F.when(F.col("t") != "", F.split("t", " ")).alias("w"))
+    row = lambda line, n, word: F.struct(line.alias("line"), n.alias("n"), word.alias("word"))
+    none, no_line = F.lit(None).cast("int"), F.lit(None).cast("string")
+    rows = F.concat(F.array(row(F.col("line"), F.size("w"), no_line)), F.transform(F.array_distinct("w"), lambda w: row(no_line, none, w)))
+    each = lines.select(F.explode(rows).alias("r")).groupBy("r.line", "r.word").agg(F.count("*").alias("copies"), F.first("r.n").alias("n"))
+    is_line = F.col("line").isNotNull()
+    sums = [F.sum(F.when(is_line, F.col("copies"))), F.sum(F.when(is_line, F.col("copies") - 1)), F.sum("n"), F.count("word")]
+    return each.agg(*(F.coalesce(s, F.lit(0)).cast("long").alias(name) for s, name in zip(sums, ("n_lines", "n_removed", "n_tokens", "n_vocab"), strict=True)))
 
 
 @query(
@@ -122,14 +126,16 @@ def vocab_stats(t: Tables) -> DataFrame:
     r"""
 WITH lines AS (SELECT string_split(trim(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{N}_\s]', ' ', 'g'), '\s+', ' ', 'g')), ' ') AS w FROM documents),
 grams AS (SELECT UNNEST(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS gram FROM lines WHERE len(w) >= 3)
-SELECT gram, CAST(count(*) AS BIGINT) AS n FROM grams GROUP BY gram HAVING count(*) >= 20
+SELECT gram, CAST(count(*) AS BIGINT) AS n FROM grams GROUP BY gram
 """,
 )
 def trigram_counts(t: Tables) -> DataFrame:
-    """Word trigrams that occur 20 times or more."""
-    words = t.documents.select(F.split(corpus_words(F.col("text")), " ").alias("w")).filter(F.size("w") >= 3)
-    grams = words.select(F.explode(F.transform(F.sequence(F.lit(0), F.size("w") - 3), lambda i: F.concat_ws(" ", F.get("w", i), F.get("w", i + 1), F.get("w", i + 2)))).alias("gram"))
-    return grams.groupBy("gram").agg(F.count("*").alias("n")).filter("n >= 20")
+    """How often each word trigram occurs. Words are zipped with themselves, one and two places on; the ends give nulls."""
+    join = lambda a, b: F.concat(a, F.lit(" "), b)
+    words = t.documents.select(F.split(corpus_words(F.col("text")), " ").alias("w"))
+    after = lambda n: F.slice("w", n + 1, F.size("w"))
+    grams = words.select(F.explode(F.zip_with(F.zip_with("w", after(1), join), after(2), join)).alias("gram")).filter("gram is not null")
+    return grams.groupBy("gram").agg(F.count("*").alias("n"))
 
 
 @query("rms_energy", "SELECT vec_id, round(sqrt(sum(x * x) / count(*)), 6) AS rms, round(max(abs(x)), 6) AS peak FROM (SELECT vec_id, CAST(UNNEST(embedding) AS DOUBLE) AS x FROM embeddings) GROUP BY vec_id")

@@ -7,15 +7,19 @@ from pyspark.sql import functions as F
 
 from loomwork.core import Tables, query
 from loomwork.functions import metrics as m
+from loomwork.functions.text import ACCENTED, metric_normal
 
-_ASCII = r"trim(regexp_replace(regexp_replace(lower({}), '[^ -~]', '?', 'g'), '[^a-z?]+', ' ', 'g'))"
+_NORMAL = r"trim(regexp_replace(regexp_replace(lower(nfc_normalize(coalesce({}, ''))), '[^\p{{L}}\p{{N}}_\s" + ACCENTED + r"]', ' ', 'g'), '\s+', ' ', 'g'))"
+#: The oracle's character distance counts bytes, so letters beyond ASCII become capitals and marks, which normal texts don't have.
+_BEYOND = ACCENTED + "ßçñæœ"
+_LETTERS = "translate({}, '" + _BEYOND + "', '" + "ABCDEFGHIJKLMNOPQRSTUVWXYZ!#$%&"[: len(_BEYOND)] + "')"
 _BUCKET_NAMES = tuple(m.TRAINING_LEAST)
 #: Word distance by the rows of its table: each reference word makes the next row from the one before.
 _PAIRS = f"""
-WITH turns AS (SELECT conv_id, turn, role, {_ASCII.format('text')} AS said, lead(role) OVER w AS next_role, {_ASCII.format('lead(text) OVER w')} AS next_said FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+WITH turns AS (SELECT conv_id, turn, role, {_NORMAL.format('text')} AS said, lead(role) OVER w AS next_role, {_NORMAL.format('lead(text) OVER w')} AS next_said FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
 pairs AS (SELECT conv_id, turn, said AS r, next_said AS h, list_filter(string_split(said, ' '), lambda x: x <> '') AS a, list_filter(string_split(next_said, ' '), lambda x: x <> '') AS b
   FROM turns WHERE role = 'user' AND next_role = 'assistant'),
-edits AS (SELECT conv_id, turn, r, h, len(a) AS n_words, length(r) AS n_chars, levenshtein(r, h) AS char_edits,
+edits AS (SELECT conv_id, turn, r, h, len(a) AS n_words, length(r) AS n_chars, levenshtein({_LETTERS.format('r')}, {_LETTERS.format('h')}) AS char_edits,
   list_last(list_reduce(list_transform(range(1, len(a) + 1), lambda i: [i]), lambda row, i:
     list_reduce(list_transform(range(1, len(b) + 1), lambda j: [j]), lambda done, j:
       list_append(done, least(row[j[1] + 1] + 1, list_last(done) + 1, row[j[1]] + CASE WHEN a[i[1]] = b[j[1]] THEN 0 ELSE 1 END)), i),
@@ -24,11 +28,11 @@ _SUMS = "CAST(count(*) AS BIGINT) AS n, round(sum(word_edits) * 100.0::DOUBLE /
 
 
 def pairs(t: Tables) -> DataFrame:
-    """A user's turn as the reference and the assistant's answer as the recognised text, joined by conversation and place; other
-    than ASCII letters as question marks."""
+    """A user's turn as the reference and the assistant's answer as the recognised text, joined by conversation and place, both
+    normalised for metrics: accented letters stay letters of their own."""
     own = Window.partitionBy("conv_id").orderBy("turn")
-    plain = lambda c: F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), "[^ -~]", "?"), "[^a-z?]+", " "))
-    rows = t.conversations.select("conv_id", "turn", "role", plain(F.col("text")).alias("r"), F.lead("role").over(own).alias("next"), plain(F.lead("text").over(own)).alias("h"))
+    said = t.conversations.select("conv_id", "turn", "role", metric_normal(F.col("text")).alias("r"))
+    rows = said.select("*", F.lead("role").over(own).alias("next"), F.lead("r").over(own).alias("h"))
     return rows.filter("role = 'user' and next = 'assistant'").select("conv_id", "turn", "r", "h")
 
 

@@ -124,8 +124,9 @@ def quality_gate(t: Tables) -> DataFrame:
 @query(
     "repetition_flag",
     """
-WITH words AS (SELECT doc_id, trim(lower(text)) AS t, list_filter(string_split_regex(trim(lower(text)), '[ \\t\\n\\r]+'), lambda x: x <> '') AS w FROM documents)
-SELECT doc_id, t = '' OR """.replace("\\\\", "\\")
+WITH lower_case AS (SELECT doc_id, regexp_replace(lower(text), '^[\\t-\\r\\x{85}\\p{Z}]+|[\\t-\\r\\x{85}\\p{Z}]+$', '', 'g') AS t FROM documents),
+words AS (SELECT doc_id, t, list_filter(string_split_regex(t, '[\\t-\\r\\x{85}\\p{Z}]+'), lambda x: x <> '') AS w FROM lower_case)
+SELECT doc_id, t = '' OR """
     + " OR ".join(f"contains(t, '{m}')" for m in checks.MARKERS)
     + """ OR (len(w) >= 6 AND (length(t) - length(replace(t, w[1] || ' ' || w[2] || ' ' || w[3], ''))) / length(w[1] || ' ' || w[2] || ' ' || w[3]) >= 3) AS repeats FROM words
 """,

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwork.core import Tables, query
+from loomwork.operators.numbering import WIDTH
 
 
 @query(
@@ -83,10 +84,14 @@ SELECT vec_id AS anchor, COALESCE(n, f) AS positive, label FROM next WHERE k > 1
 """,
 )
 def same_label_pairs(t: Tables) -> DataFrame:
-    """For each anchor one other member of its group: the next, and for the last the first. No group is paired with itself."""
+    """For each anchor one other member of its group: the next, and for the last the first. No group is paired with itself. Keys are
+    ordered within ranges; a range's last key gets the next range's first, so a large group isn't ordered in one task."""
+    rows = t.embeddings.select("vec_id", "label", F.floor(F.col("vec_id") / WIDTH).alias("range"))
     group = Window.partitionBy("label")
-    rows = t.embeddings.select("vec_id", "label", F.lead("vec_id").over(group.orderBy("vec_id")).alias("next"), F.min("vec_id").over(group).alias("first"), F.count("*").over(group).alias("k"))
-    return rows.filter("k > 1").select(F.col("vec_id").alias("anchor"), F.coalesce("next", "first").alias("positive"), "label")
+    ranges = rows.groupBy("label", "range").agg(F.min("vec_id").alias("low"), F.count("*").alias("n"))
+    ranges = ranges.select("label", "range", F.lead("low").over(group.orderBy("range")).alias("after"), F.min("low").over(group).alias("first"), F.sum("n").over(group).alias("k"))
+    near = rows.withColumn("next", F.lead("vec_id").over(Window.partitionBy("label", "range").orderBy("vec_id")))
+    return near.join(ranges, ["label", "range"]).filter("k > 1").select(F.col("vec_id").alias("anchor"), F.coalesce("next", "after", "first").alias("positive"), "label")
 
 
 RESULTS_SQL = """

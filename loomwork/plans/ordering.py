@@ -10,6 +10,9 @@ from loomwork.functions import vectors
 from loomwork.operators.retrieval import confident, lexical_ranked
 from loomwork.plans.joins import RESULTS_SQL, results
 
+#: Anchors that are gathered into one row, and up to how many such rows are broadcast.
+ANCHORS, BROADCAST_BLOCKS = 1000, 100
+
 
 @query("sorted_scan", "SELECT p_partkey, p_name FROM part ORDER BY p_name, p_partkey")
 def sorted_scan(t: Tables) -> DataFrame:
@@ -75,6 +78,13 @@ def hash_holdout_split(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", (F.conv(F.substring(F.md5(F.concat_ws(":", F.lit("split"), "doc_id")), 1, 8), 16, 10).cast("long") % 100 < 5).alias("held_out"))
 
 
+@query("seeded_order", "SELECT doc_id, ('0x' || substr(md5('order:' || doc_id), 1, 12))::BIGINT AS place FROM documents ORDER BY place, doc_id")
+def seeded_order(t: Tables) -> DataFrame:
+    """All documents in an order that a seed and the key decide."""
+    place = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit("order"), "doc_id")), 1, 12), 16, 10).cast("long")
+    return t.documents.select("doc_id", place.alias("place")).orderBy("place", "doc_id")
+
+
 @query(
     "retrieval_at_1",
     """
@@ -86,11 +96,15 @@ SELECT CAST(count(*) AS BIGINT) AS n, round(avg(CASE WHEN label = near THEN 1.0
 """,
 )
 def retrieval_at_1(t: Tables) -> DataFrame:
-    """Share of vectors whose nearest anchor is their own group's; the anchors, one a label, are gathered into one row."""
+    """Share of vectors whose nearest anchor is their own group's. Anchors, one a label, are gathered in rows of ANCHORS; each vector
+    meets every such row, and with several the best of them counts."""
     rows = t.embeddings.select("vec_id", "label", vectors.doubles(F.col("embedding")).alias("v"))
     anchors = rows.groupBy("label").agg(F.min_by("v", "vec_id").alias("v"))
-    gathered = anchors.agg(F.sort_array(F.collect_list(F.struct("label", "v"))).alias("anchors"))
-    rows = rows.join(F.broadcast(gathered), F.lit(True))
+    blocks = -(-anchors.count() // ANCHORS)
+    gathered = anchors.groupBy(F.pmod(F.xxhash64("label"), F.lit(max(1, blocks))).alias("block")).agg(F.collect_list(F.struct("label", "v")).alias("anchors"))
+    met = rows.join(F.broadcast(gathered) if blocks <= BROADCAST_BLOCKS else gathered, F.lit(True))
     scores = F.transform("anchors", lambda a: F.struct(F.round(vectors.cosine(F.col("v"), a["v"]), 9).alias("score"), (-a["label"]).alias("order")))
-    near = rows.select("label", F.array_max(scores).alias("best"))
+    near = met.select("vec_id", "label", F.array_max(scores).alias("best"))
+    if blocks > 1:
+        near = near.groupBy("vec_id", "label").agg(F.max("best").alias("best"))
     return near.agg(F.count("*").alias("n"), F.round(F.avg((F.col("label") == -F.col("best.order")).cast("double")), 6).alias("hit_rate"))

@@ -59,11 +59,11 @@ def expand_variants(t: Tables) -> DataFrame:
 WITH s AS (SELECT lang, count(*) AS n, CASE lang WHEN 'en' THEN 0.6 WHEN 'fr' THEN 0.25 WHEN 'de' THEN 0.2 ELSE 0.15 END AS w FROM documents GROUP BY lang),
 r AS (SELECT lang, n, w / (SELECT sum(w) FROM s) AS share, max(n / w) OVER () * w AS want FROM s)
 SELECT d.doc_id, d.lang, CAST(UNNEST(range(1, 1 + CAST(floor(want / n + 1e-9) AS BIGINT) + CASE WHEN ('0x' || substr(md5('mix:' || d.doc_id), 1, 8))::BIGINT / 4294967296.0 < want / n + 1e-9 - floor(want / n + 1e-9) THEN 1 ELSE 0 END)) AS INTEGER) AS copy
-FROM documents d JOIN r ON d.lang = r.lang
+FROM documents d JOIN r ON d.lang IS NOT DISTINCT FROM r.lang
 """,
 )
 def weighted_mix(t: Tables) -> DataFrame:
-    """Short sources repeat until the longest for its weight ends: whole times, and once more by a hash for the rest."""
+    """A null source is one of its own. Short sources repeat until the longest for its weight ends: whole times, and once more by a hash for the rest."""
     weight = F.when(F.col("lang") == "en", 0.6).when(F.col("lang") == "fr", 0.25).when(F.col("lang") == "de", 0.2).otherwise(0.15)
     sizes = t.documents.groupBy("lang").agg(F.count("*").alias("n")).withColumn("w", weight)
     longest = sizes.agg(F.max(F.col("n") / F.col("w"))).scalar()
@@ -71,7 +71,7 @@ def weighted_mix(t: Tables) -> DataFrame:
     chance = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit("mix"), "doc_id")), 1, 8), 16, 10).cast("double") / 4294967296.0
     whole = F.floor("times").cast("int")
     copies = whole + (chance < F.col("times") - whole).cast("int")
-    mixed = t.documents.select("doc_id", "lang").join(times, "lang").withColumn("copies", copies).filter("copies > 0")
+    mixed = t.documents.select("doc_id", "lang").join(times.withColumnRenamed("lang", "own"), F.expr("lang <=> own")).withColumn("copies", copies).filter("copies > 0")
     return mixed.select("doc_id", "lang", F.explode(F.sequence(F.lit(1), "copies")).alias("copy"))
 
 

@@ -123,7 +123,7 @@ def number_words(t: Tables) -> DataFrame:
 
 @query("noise_variants")
 def noise_variants(t: Tables) -> DataFrame:
-    """Rows only: a hash of the key picks the variant."""
+    """Rows only: hashes of the key pick the edits. Tested against plain Python."""
     return t.documents.select("doc_id", speech.noised(F.col("doc_id"), F.col("text")).alias("noised"), speech.pair_language(F.col("text")).alias("language"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwork.core import Tables, query
+from loomwork.functions.checks import light
 from loomwork.operators.numbering import keep_first, numbered
 
 
@@ -18,18 +19,21 @@ def previous_duplicate(t: Tables) -> DataFrame:
 
 @query(
     "near_duplicate_retake",
-    """
-WITH p AS (SELECT conv_id, turn, role, CASE WHEN turn % 3 <> 0 THEN turn % 3 END AS take,
-  lag(turn) OVER w AS seen, lag(CASE WHEN turn % 3 <> 0 THEN turn % 3 END) OVER w AS seen_take FROM conversations WINDOW w AS (PARTITION BY conv_id, role ORDER BY turn))
-SELECT conv_id, turn, seen, NOT (take IS NOT NULL AND seen_take IS NOT NULL AND take <> seen_take) AS is_duplicate FROM p WHERE seen IS NOT NULL
+    r"""
+WITH p AS (SELECT doc_id, CASE WHEN doc_id % 3 <> 0 THEN doc_id % 3 END AS take,
+  lag(doc_id) OVER w AS seen, lag(CASE WHEN doc_id % 3 <> 0 THEN doc_id % 3 END) OVER w AS seen_take
+  FROM documents WINDOW w AS (PARTITION BY source, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) ORDER BY doc_id))
+SELECT doc_id, seen, NOT (take IS NOT NULL AND seen_take IS NOT NULL AND take <> seen_take) AS is_duplicate FROM p WHERE seen IS NOT NULL
 """,
 )
 def near_duplicate_retake(t: Tables) -> DataFrame:
-    """A speaker's next turn repeats the one before, unless both have a take number and those differ."""
-    take = F.when(F.col("turn") % 3 != 0, F.col("turn") % 3)
-    own = Window.partitionBy("conv_id", "role").orderBy("turn")
-    rows = t.conversations.select("conv_id", "turn", take.alias("take"), F.lag("turn").over(own).alias("seen"), F.lag(take).over(own).alias("seen_take")).filter("seen is not null")
-    return rows.select("conv_id", "turn", "seen", F.coalesce(F.col("take") == F.col("seen_take"), F.lit(True)).alias("is_duplicate"))
+    """A speaker's text repeats an earlier one of the same words, whatever its case and spaces, unless both have a take number and
+    those differ. Sources stand for speakers; texts are told apart by a hash."""
+    take = F.when(F.col("doc_id") % 3 != 0, F.col("doc_id") % 3)
+    own = Window.partitionBy("source", "said").orderBy("doc_id")
+    said = t.documents.select("doc_id", "source", F.sha2(light(F.col("text")), 256).alias("said"), take.alias("take"))
+    rows = said.select("doc_id", "take", F.lag("doc_id").over(own).alias("seen"), F.lag("take").over(own).alias("seen_take")).filter("seen is not null")
+    return rows.select("doc_id", "seen", F.coalesce(F.col("take") == F.col("seen_take"), F.lit(True)).alias("is_duplicate"))
 
 
 @query("dedup_keep_first", "SELECT min(doc_id) AS doc_id, CAST(count(*) AS BIGINT) AS copies FROM documents GROUP BY text")

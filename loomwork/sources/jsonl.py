@@ -50,3 +50,33 @@ def sse_frames(df: DataFrame, frame: str, schema: str) -> DataFrame:
     """Frames that have both an event and a data line, as `event` and parsed `data`."""
     event, data = F.regexp_extract(frame, r"(?m)^event: (.*)$", 1), F.regexp_extract(frame, r"(?m)^data: (.*)$", 1)
     return df.withColumns({"event": F.trim(event), "__data": F.trim(data)}).filter("event <> '' and __data <> ''").withColumn("data", F.from_json("__data", schema)).drop("__data")
+
+
+def read_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """Whole files as path, length and content."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path).select("path", "length", "content")
+
+
+def result_name(*parts: str | int | None) -> str:
+    """A name for a result's folder from what it describes: known parts joined by _, all but letters, digits, dots and hyphens as -."""
+    import re
+
+    return "_".join(re.sub(r"[^A-Za-z0-9.-]+", "-", str(p)) for p in parts if p is not None)
+
+
+def write_results(df: DataFrame, folder: str, *parts: str | int | None) -> str:
+    """Results as JSON lines in a folder of that name; returns its path."""
+    path = f"{folder.rstrip('/')}/{result_name(*parts)}"
+    df.write.mode("overwrite").json(path)
+    return path
+
+
+def pipe_table(df: DataFrame, missing: str = "-") -> DataFrame:
+    """One column, `line`: each row as a line of a pipe table, in df's order; pipes and line ends within cells are escaped."""
+    cell = lambda c: F.regexp_replace(F.replace(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(missing)), F.lit("|"), F.lit("\\|")), r"[\r\n]+", " ")
+    return df.select(F.concat(F.lit("| "), F.concat_ws(" | ", *map(cell, df.columns)), F.lit(" |")).alias("line"))
+
+
+def pipe_head(df: DataFrame) -> list[str]:
+    """The two lines above the rows of pipe_table()."""
+    return ["| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns)]
