@@ -1,5 +1,5 @@
-"""Understanding of utterances. The driver's conversations say nothing of health or shops, so each turn is given one of a few
-sentences by its numbers, and every rule has cases."""
+"""Understanding of utterances. The driver's conversations say nothing of health or shops, so each turn's whole text gets one of a few
+sentences in front, by its numbers, and every rule has cases."""
 
 from __future__ import annotations
 
@@ -38,7 +38,7 @@ LANGUAGES, FOCUS = ("tw", "en", "ga"), ("health", "commerce")
 def utterances(t: Tables) -> DataFrame:
     n = F.col("conv_id") * 7 + F.col("turn")
     pick = lambda values, number: F.get(F.array(*map(F.lit, values)), (number % len(values)).cast("int"))
-    return t.conversations.select("conv_id", "turn", pick(SENTENCES, n).alias("said"), pick(LANGUAGES, F.col("turn")).alias("language"), pick(FOCUS, F.col("conv_id")).alias("focus"))
+    return t.conversations.select("conv_id", "turn", F.concat_ws(" ", pick(SENTENCES, n), "text").alias("said"), pick(LANGUAGES, F.col("turn")).alias("language"), pick(FOCUS, F.col("conv_id")).alias("focus"))
 
 
 def _pick(values, number: str) -> str:
@@ -46,7 +46,7 @@ def _pick(values, number: str) -> str:
     return f"([{quoted}])[CAST(({number}) % {len(values)} AS INTEGER) + 1]"
 
 
-SAID = f"WITH s AS (SELECT conv_id, turn, {_pick(SENTENCES, 'conv_id * 7 + turn')} AS said, {_pick(LANGUAGES, 'turn')} AS language, {_pick(FOCUS, 'conv_id')} AS focus FROM conversations) "
+SAID = f"WITH s AS (SELECT conv_id, turn, concat_ws(' ', {_pick(SENTENCES, 'conv_id * 7 + turn')}, text) AS said, {_pick(LANGUAGES, 'turn')} AS language, {_pick(FOCUS, 'conv_id')} AS focus FROM conversations) "
 
 
 def _q(pattern: str) -> str:
