@@ -62,8 +62,11 @@ WAVE_PARTS = 64
 def wav_seconds(content: Column) -> Column:
     """Length of a wave file in seconds: bytes of the `data` part over the bytes a second of the `fmt ` part. Parts begin at even
     places. Null without both, or if the file isn't one."""
-    whole = F.hex(content)
-    text = lambda at, n: F.substring(whole, at * 2 + 1, F.lit(2 * n))
+    return F.get(F.transform(F.array(content), _seconds), F.lit(0))  # the content is made once, not for every part
+
+
+def _seconds(content: Column) -> Column:
+    text = lambda at, n: F.hex(F.substring(content, at + 1, F.lit(n)))
     number = lambda at: F.conv(F.concat(*(text(at + i, 1) for i in (3, 2, 1, 0))), 16, 10).cast("long")
     name = lambda raw: F.lit(raw.encode().hex().upper())
 
