@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -27,9 +26,10 @@ FALSE_REJECTION = 1e-5
 UNKNOWN = "und"
 #: Longer words are cut into overlapping runs before their n-grams are counted, so that the work stays in proportion to the text.
 SPAN = 256
-#: Words whose scores a worker keeps: together this many bytes, and this many scores, at most.
-CACHE_BYTES = 32 << 20
-CACHE_CELLS = 8_000_000
+#: Words whose scores a task keeps: this many words, together this many bytes, and this many scores, at most, beside those of one slice.
+CACHE_WORDS = 200_000
+CACHE_BYTES = 8 << 20
+CACHE_CELLS = 2_000_000
 _PRIME = np.uint64(0x100000001B3)
 _BOUNDARY = 32
 _letters: list[np.ndarray] = []
@@ -132,7 +132,6 @@ class Model:
     mean: np.ndarray
     spread: np.ndarray  # variance between documents and variance of a letter, by language
     limit: float = 0.0  # standard deviations above the mean beyond which a document is rejected
-    name: str = field(default_factory=lambda: uuid.uuid4().hex)
 
 
 def score_words(model: Model, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -156,7 +155,7 @@ def score_words(model: Model, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 class WordScores:
-    """score_words() of distinct words, kept for one model in a worker, at most CACHE_BYTES of them."""
+    """score_words() of distinct words, kept for one model and one task, so that a worker doesn't take them along to its next stage."""
 
     def __init__(self, model: Model):
         self.model = model
@@ -168,7 +167,8 @@ class WordScores:
 
     def __call__(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         known = words.to_pylist()
-        if self.bytes > CACHE_BYTES or (len(self.place) + len(known)) * len(self.model.languages) > CACHE_CELLS:
+        together = len(self.place) + len(known)
+        if self.bytes > CACHE_BYTES or together > CACHE_WORDS or together * len(self.model.languages) > CACHE_CELLS:
             self.clear()
         if fresh := [w for w in known if w not in self.place]:
             start, end = len(self.place), len(self.place) + len(fresh)
@@ -183,22 +183,11 @@ class WordScores:
         return self.bits[at], self.letters[at]
 
 
-_scores: dict[str, WordScores] = {}
-
-
-def scores_of(model: Model) -> WordScores:
-    """One cache for each Python worker, of the model last used."""
-    if model.name not in _scores:
-        _scores.clear()
-        _scores[model.name] = WordScores(model)
-    return _scores[model.name]
-
-
-def entropies(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def entropies(model: Model, texts: pa.Array, scores: WordScores | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Bits per letter of each text under each language (rows x languages), and the number of letters. Distinct words are scored once."""
     words, offsets = arrays.split_words(pc.utf8_lower(texts))
     index, distinct = arrays.encoded(words)
-    word_bits, letters = scores_of(model)(distinct)
+    word_bits, letters = (scores or WordScores(model))(distinct)
     n_letters = arrays.row_sums(letters[index], offsets)
     bits = np.zeros((len(texts), len(model.languages)))
     for k in range(len(model.languages)):
@@ -280,9 +269,10 @@ def calibrate(model: Model, apart: DataFrame, false_rejection: float = FALSE_REJ
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
+        scores = WordScores(known)
         for batch in batches:
             for part in arrays.slices(batch, "text"):
-                bits, n = entropies(known, arrays.plain(part.column("text")))
+                bits, n = entropies(known, arrays.plain(part.column("text")), scores)
                 at = np.array([known.languages.index(x) if x in known.languages else -1 for x in part.column("lang").to_pylist()], np.int64)
                 ok = (at >= 0) & (n > 0)
                 yield pa.record_batch([pa.array(at[ok]), pa.array(bits[ok, at[ok]]), pa.array(n[ok])], names=["at", "h", "n"])
@@ -319,11 +309,12 @@ def predict(df: DataFrame, model: Model, text: str = "text", limit: float | None
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
+        scores = WordScores(known)
         for batch in batches:
             for part in arrays.slices(batch.rename_columns([str(i) for i in range(batch.num_columns)]), str(place)):
                 rows = part.num_rows
                 if known.languages:
-                    bits, n = entropies(known, arrays.plain(part.column(place)))
+                    bits, n = entropies(known, arrays.plain(part.column(place)), scores)
                     best = bits.argmin(axis=1)
                     low = bits[np.arange(rows), best]
                     share = 1 / np.exp2(np.maximum(low[:, None] - bits, -60)).sum(axis=1)
