@@ -33,7 +33,8 @@ def plain(column: pa.Array) -> pa.Array:
 
 
 def slices(batch: pa.RecordBatch, column: str, max_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Runs of rows with about max_bytes of text (at least one row each), so that memory doesn't follow the batch's size."""
+    """Runs of rows with about max_bytes of text (at least one row each), so that memory doesn't follow the batch's size. What Arrow
+    freed meanwhile goes back to the system after each run, as a Python worker lives on beyond its task."""
     if not batch.num_rows:
         return
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -41,6 +42,7 @@ def slices(batch: pa.RecordBatch, column: str, max_bytes: int = SLICE_BYTES) ->
     while start < batch.num_rows:
         stop = max(start + 1, int(np.searchsorted(ends, base + max_bytes, side="right")))
         yield batch.slice(start, stop - start)
+        pa.default_memory_pool().release_unused()
         start, base = stop, int(ends[stop - 1])
 
 
