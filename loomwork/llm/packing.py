@@ -82,7 +82,7 @@ _caches: dict[str, WordCache] = {}
 
 
 def cache_of(path: str) -> WordCache:
-    """One cache for each tokenizer file and Python worker."""
+    """One cache for each tokenizer file and Python worker: the tokenizer stays, the words only for a task."""
     if path not in _caches:
         _caches[path] = WordCache(path)
     return _caches[path]
@@ -135,6 +135,7 @@ def pack(df: DataFrame, tokenizer_path: str, text: str = "text", key: str = "doc
                 columns = [keys, ends[:-1] - begins[row], length, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(whole)), sizes[row], bucket, sequence, np.zeros(len(row), np.int64)]
                 out = pa.record_batch([pa.array(c, t) if isinstance(c, np.ndarray) else c for c, (_, t) in zip(columns, fields, strict=True)], schema=pa.schema(fields))
                 yield from (out.slice(i, ROWS_A_BATCH) for i in range(0, out.num_rows, ROWS_A_BATCH))
+        cache.clear()  # a worker doesn't take its words along to its next stage
 
     rows = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     schema = f"key {key_type.simpleString()}, start long, length long, ids array<int>, doc_tokens long, bucket int, sequence_id long, offset long"
