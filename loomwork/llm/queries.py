@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from loomwork.llm import audit, infill, jaccard, knn, language, mixing, packing, quality, secrets, sharding, tokens, urls
+from loomwork.llm import audit, hamming, infill, jaccard, knn, language, mixing, packing, quality, secrets, sharding, tokens, urls
 
-MODULES = [secrets, language, tokens, mixing, urls, jaccard, sharding, quality, knn, packing, infill, audit]
+MODULES = [secrets, language, tokens, mixing, urls, jaccard, sharding, quality, knn, packing, infill, audit, hamming]
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in MODULES for k, s in m.ORACLES.items()}
