@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from loomwork import core
-from loomwork.plans import aggregates, evaluation, filters, joins, mutations, numbers, ordering, scans, sets, state, texts, understanding, windows  # noqa: F401  they register themselves
+from loomwork.plans import aggregates, evaluation, filters, joins, mutations, ngrams, numbers, ordering, scans, sets, state, texts, understanding, windows  # noqa: F401  they register themselves
 
 QUERIES = core.QUERIES
 ORACLES = core.ORACLES
