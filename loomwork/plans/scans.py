@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomwork import core
 from loomwork.core import Tables, query
 from loomwork.operators.numbering import numbered
 from loomwork.sources import jsonl
+from loomwork.sources.tar import read_tar, write_tar
 
 
 @query("scan_project", "SELECT p_partkey, p_name, p_retailprice FROM part")
@@ -92,3 +94,21 @@ def sse_parse(t: Tables) -> DataFrame:
     """Frames of a server-sent stream; a frame without an event line (views) is skipped."""
     frame = F.concat(F.when(F.col("event_type") != "view", F.concat(F.lit("event: "), "event_type", F.lit("\n"))).otherwise(""), F.lit("data: "), "props", F.lit("\n\n"))
     return jsonl.sse_frames(t.events.select("event_id", frame.alias("frame")), "frame", "k long").select("event_id", "event", F.col("data.k").alias("k"))
+
+
+@query("tar_members", "SELECT page_id, strlen(coalesce(html, '')) AS size, md5(coalesce(html, '')) AS content_md5 FROM pages")
+def tar_members(t: Tables) -> DataFrame:
+    """The pages written as archives, a member for each, and read back from there."""
+    path = core.scratch(t.spark, "pages")
+    write_tar(t.pages.select(F.concat(F.lit("pages/"), "page_id", F.lit(".html")).alias("member"), F.col("html").cast("binary").alias("content")), path)
+    number = F.regexp_extract("member", r"pages/(-?\d+)\.html", 1).cast("long")
+    return read_tar(t.spark, path).select(number.alias("page_id"), "size", F.md5("content").alias("content_md5"))
+
+
+@query("tar_members_named", "SELECT page_id, md5(coalesce(html, '')) AS content_md5 FROM pages WHERE page_id IN (3, 14, 15, 92)")
+def tar_members_named(t: Tables) -> DataFrame:
+    """Members by name, which is the feature: the reader passes over all others without reading what they hold."""
+    path = core.scratch(t.spark, "pages")
+    write_tar(t.pages.select(F.concat(F.lit("pages/"), "page_id", F.lit(".html")).alias("member"), F.col("html").cast("binary").alias("content")), path)
+    named = read_tar(t.spark, path).filter(F.col("member").isin(*(f"pages/{i}.html" for i in (3, 14, 15, 92))))
+    return named.select(F.regexp_extract("member", r"pages/(-?\d+)\.html", 1).cast("long").alias("page_id"), F.md5("content").alias("content_md5"))
