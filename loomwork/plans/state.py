@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomwork import core
 from loomwork.core import Tables, query
-from loomwork.streaming.limits import limited, limited_stream
+from loomwork.streaming.limits import limited, limited_stream, open_windows
 from loomwork.streaming.windows import run_to_table, session_counts, window_counts
 
 LIMIT, DAY = 3, 24 * 3600
@@ -46,7 +46,20 @@ def _events_stream(t: Tables) -> DataFrame:
 @query("rate_limit_stream", _limits("user_id", str(LIMIT)) + " FROM ranked")
 def rate_limit_stream(t: Tables) -> DataFrame:
     """The limiter with state, over the events as a stream."""
-    return run_to_table(limited_stream(_events_stream(t), "user_id", "ts", "event_id", LIMIT, DAY, sweep=False), core.scratch(t.spark, "rate_limit_stream")).select("event_id", "allowed", "remaining")
+    return run_to_table(limited_stream(_events_stream(t), "user_id", "ts", "event_id", LIMIT, DAY), core.scratch(t.spark, "rate_limit_stream")).select("event_id", "allowed", "remaining")
+
+
+@query(
+    "rate_limit_open_windows",
+    _limits("user_id", str(LIMIT)).rsplit("SELECT", 1)[0]
+    + f"""SELECT k AS user_id, s + INTERVAL 24 HOUR AS until, CAST(least(count(*), {LIMIT}) AS BIGINT) AS count FROM ranked
+GROUP BY k, s HAVING s + INTERVAL 24 HOUR > (SELECT max(ts) FROM events)""",
+)
+def rate_limit_open_windows(t: Tables) -> DataFrame:
+    """What the limiter's stream still knows when it has read all events: the windows that are open at the newest one."""
+    folder = core.scratch(t.spark, "rate_limit_stream")
+    run_to_table(limited_stream(_events_stream(t), "user_id", "ts", "event_id", LIMIT, DAY), folder)
+    return open_windows(t.spark, f"{folder}/checkpoint").select(F.col("who").alias("user_id"), "until", "count")
 
 
 @query("window_counts", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY ALL")

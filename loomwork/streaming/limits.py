@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-#: Seconds after which a key without events is forgotten.
-SWEEP = 60
 STATE = "count long, until long"
 
 
@@ -54,25 +54,66 @@ def limited(df: DataFrame, keys: list[str], ts: str, order: str, limit: str, sec
     return lined.mapInPandas(admit, schema).withColumn("reset_at", F.timestamp_micros("__until").cast("timestamp_ntz")).drop("__until")
 
 
-def limited_stream(events: DataFrame, key: str, ts: str, order: str, limit: int, seconds: int, sweep: bool = True) -> DataFrame:
-    """The limiter over a stream with columns key, order and ts, in the order of arrival (by ts within a micro-batch).
+#: Admitted rows that a stream's key gives back at once.
+ROWS_OUT = 20_000
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-    The state of a key is two numbers; with `sweep` it is dropped when no event has come for SWEEP seconds and its window is over.
-    A run over what is there now needs it off: timeouts ask for batches without end."""
-    kind = {f.name: f.dataType.simpleString() for f in events.schema}
-    work = events.select(key, order, F.unix_micros(F.col(ts).cast("timestamp")).alias("__at"))
 
-    def admit(group: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
+class WindowLimiter(StatefulProcessor):
+    """One key's open window as state: a count, its end and a timer that forgets both when the watermark has passed the end.
+
+    Of the rows of a micro-batch two numbers each are held until they are in order; a micro-batch is what the source's limits on files
+    or bytes for a trigger allow."""
+
+    def __init__(self, key: str, order: str, limit: int, seconds: int):
+        self.key, self.order, self.limit, self.width = key, order, limit, seconds * 1_000_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.window = handle, handle.getValueState("window", STATE)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        held = [(r["at"].to_numpy(np.int64), r["turn"].to_numpy()) for r in rows if len(r)]
+        if not held:
             return
-        counter = Limiter(*state.get) if state.exists else Limiter()
-        rows = pd.concat(list(batches)).sort_values(["__at", order])
-        out = [counter.admit(int(at), limit, seconds * 1_000_000) for at in rows["__at"]]
-        state.update((counter.count, counter.until))
-        if sweep:
-            state.setTimeoutDuration(max(SWEEP, seconds) * 1000)
-        yield pd.DataFrame({key: group[0], order: rows[order].to_numpy(), "allowed": [x[0] for x in out], "remaining": [x[1] for x in out]})
-
-    schema = f"{key} {kind[key]}, {order} {kind[order]}, allowed boolean, remaining long"
-    return work.groupBy(key).applyInPandasWithState(admit, schema, STATE, "append", "ProcessingTimeTimeout" if sweep else "NoTimeout")
+        at, order = (np.concatenate(column) for column in zip(*held, strict=True))
+        del held
+        known = self.window.get()
+        counter = Limiter(*known) if known is not None else Limiter()
+        before = counter.until
+        place = np.lexsort((order, at))
+        for begin in range(0, len(place), ROWS_OUT):
+            part = place[begin : begin + ROWS_OUT]
+            allowed, remaining = np.empty(len(part), bool), np.empty(len(part), np.int64)
+            for i, j in enumerate(part):
+                allowed[i], remaining[i], _ = counter.admit(int(at[j]), self.limit, self.width)
+            yield pd.DataFrame({self.key: key[0], self.order: order[part], "allowed": allowed, "remaining": remaining})
+        self.window.update((counter.count, counter.until))
+        if counter.until != before:
+            if before is not None:
+                self.handle.deleteTimer(-(-before // 1000))
+            self.handle.registerTimer(-(-counter.until // 1000))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """The window is over, so the next event opens a new one whether this is known or not."""
+        self.window.clear()
+        yield from ()
+
+
+def limited_stream(events: DataFrame, key: str, ts: str, order: str, limit: int, seconds: int, late: str = "0 seconds") -> DataFrame:
+    """The limiter over a stream with columns key, order and ts (timestamp_ntz): key, order, allowed and remaining.
+
+    Events count in order of ts within a micro-batch, and of arrival between batches; those more than `late` behind the newest of
+    earlier batches are dropped. A key's state is two numbers, forgotten when the newest event less `late` has reached its window's
+    end: that changes no result, as a window that is over never counts again. A null key is a key."""
+    spark, kind = events.sparkSession, {f.name: f.dataType.simpleString() for f in events.schema}
+    spark.conf.set(PROVIDER, ROCKSDB)  # state with timers needs this store
+    work = events.select(F.col(key).alias("who"), F.col(order).alias("turn"), F.col(ts).cast("timestamp").alias("time")).withWatermark("time", late).withColumn("at", F.unix_micros("time"))
+    processor = WindowLimiter(key, order, limit, seconds)
+    return work.groupBy("who").transformWithStateInPandas(processor, f"{key} {kind[key]}, {order} {kind[order]}, allowed boolean, remaining long", "Append", "EventTime")
+
+
+def open_windows(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """who (the key), count, until: the state of a limiter's stream as its checkpoint has it."""
+    state = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "window").load()
+    return state.select("key.who", "value.count", F.timestamp_micros("value.until").cast("timestamp_ntz").alias("until"))
