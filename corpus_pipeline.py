@@ -9,51 +9,72 @@ from loomwork.llm import common, jaccard, language, mixing, packing, secrets
 
 #: Keys of removed near duplicates are broadcast only up to this many.
 BROADCAST_KEYS = 500_000
+#: Bytes of rows in one batch between the JVM and a Python worker, each of which holds a batch on its way in and one on its way out.
+BATCH_BYTES = "8m"
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def _ready(spark: SparkSession) -> None:
+    common.ship(spark)
+    spark.conf.set(BATCH, BATCH_BYTES)
+
+
+def _by_place(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with its columns named c0, c1, …, so that no name of a caller's column meets one of an operator's, and the new name of each."""
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    return docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items())), names
+
+
+def _by_name(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    return df.select(*(F.col(n).alias(c) for c, n in names.items()))
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language: those that the models reject, or that have no letter (null and empty texts too), go. Repeated
     rows and further columns, whatever their names, stay as they are; so they do in all stages but the last."""
-    common.ship(spark)
-    found = language.predict(docs, language.train(docs))
-    return found.filter(~F.col("lang_rejected")).select(*docs.columns)
+    _ready(spark)
+    placed, names = _by_place(docs)
+    found = language.predict(placed, language.train(docs), names["text"])
+    return _by_name(found.filter(~F.col("lang_rejected")), names)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group that n-gram similarity links, one row: that of the smallest doc_id (null before any), with several texts of one
     doc_id of one of them. Rows are told apart by doc_id and text; of repeated rows that are linked one stays. Rows without words are
     linked with nothing and all stay."""
-    common.ship(spark)
-    text = F.col("text").cast("string")
-    mark = next(n for i in range(len(docs.columns) + 1) if (n := f"__row{i}") not in docs.columns)
-    keyed = docs.withColumn(mark, F.struct("doc_id", F.xxhash64(text).alias("text")))
-    groups = common.table(jaccard.jaccard_components(keyed, mark), "groups")
-    rows = groups.filter("n_shingles > 0").groupBy(mark, "component_id").agg(F.count(F.lit(1)).alias("times"))
-    gone = rows.filter(F.col(mark) != F.col("component_id")).select(mark)
-    kept = keyed.join(F.broadcast(gone) if gone.count() <= BROADCAST_KEYS else gone, mark, "left_anti")
-    again = rows.filter(F.col(mark) == F.col("component_id")).filter("times > 1").select(mark)
+    _ready(spark)
+    placed, names = _by_place(docs)
+    keyed = placed.withColumn("mark", F.struct(F.col(names["doc_id"]).alias("doc_id"), F.xxhash64(F.col(names["text"]).cast("string")).alias("text")))
+    groups = common.table(jaccard.jaccard_components(keyed.select("mark", F.col(names["text"]).alias("text")), "mark"), "groups")
+    rows = groups.filter("n_shingles > 0").groupBy("mark", "component_id").agg(F.count(F.lit(1)).alias("times"))
+    gone = rows.filter(F.col("mark") != F.col("component_id")).select("mark")
+    kept = keyed.join(F.broadcast(gone) if gone.count() <= BROADCAST_KEYS else gone, "mark", "left_anti")
+    again = rows.filter(F.col("mark") == F.col("component_id")).filter("times > 1").select("mark")
     if not again.isEmpty():
-        kept = kept.join(again, mark, "left_semi").dropDuplicates([mark]).unionByName(kept.join(again, mark, "left_anti"))
-    return kept.select(*docs.columns)
+        kept = kept.join(again, "mark", "left_semi").dropDuplicates(["mark"]).unionByName(kept.join(again, "mark", "left_anti"))
+    return _by_name(kept, names)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows, with secrets replaced by a mark and n_chars as it then is. Null texts stay null and keep n_chars."""
-    common.ship(spark)
-    cleaned = secrets.redact(docs, secrets.train(docs))
-    size = F.coalesce(F.char_length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars"))
-    return cleaned.withColumn("n_chars", size).select(*docs.columns)
+    _ready(spark)
+    placed, names = _by_place(docs)
+    cleaned = secrets.redact(placed, secrets.train(docs), names["text"])
+    n_chars = F.col(names["n_chars"])
+    size = F.coalesce(F.char_length(names["text"]).cast(docs.schema["n_chars"].dataType), n_chars)
+    return _by_name(cleaned.withColumn(names["n_chars"], size), names)
 
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each row as often as its source's target weight asks, globally shuffled. A null source is a source; columns named as mix()'s own are not kept by it."""
-    common.ship(spark)
-    return mixing.mix(docs).select(*docs.columns)
+    """Each row as often as its source's target weight asks, globally shuffled. A null source is a source."""
+    _ready(spark)
+    placed, names = _by_place(docs)
+    return _by_name(mixing.mix(placed, names["doc_id"], names["source"]), names)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences of power-of-two lengths, of every row; a null text is empty. Other columns are dropped."""
-    common.ship(spark)
+    _ready(spark)
     return packing.pack(docs, packing.default_tokenizer())
 
 
