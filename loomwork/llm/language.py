@@ -30,6 +30,9 @@ SPAN = 256
 CACHE_WORDS = 200_000
 CACHE_BYTES = 8 << 20
 CACHE_CELLS = 2_000_000
+#: Bytes of text that are judged at once, and code points of distinct words that are scored at once.
+SLICE_BYTES = 1 << 20
+BLOCK = 250_000
 _PRIME = np.uint64(0x100000001B3)
 _BOUNDARY = 32
 _letters: list[np.ndarray] = []
@@ -46,7 +49,7 @@ def chains(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Code points of each text between boundaries, with every character that isn't a letter as a boundary."""
     codes = np.frombuffer("".join(f" {t} " for t in texts.to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32)
     sizes = pc.utf8_length(texts).to_numpy(zero_copy_only=False).astype(np.int64) + 2
-    return np.where(is_letter()[codes], codes, _BOUNDARY).astype(np.uint64), np.concatenate([[0], np.cumsum(sizes)])
+    return np.where(is_letter()[codes], codes, np.uint32(_BOUNDARY)), np.concatenate([[0], np.cumsum(sizes)])
 
 
 def with_char(context: np.ndarray, codes: np.ndarray) -> np.ndarray:
@@ -136,21 +139,30 @@ class Model:
 
 def score_words(model: Model, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bits of each word under each language (words x languages), and its number of letters. Contexts don't reach over the boundary
-    before a word: a word opens with order - 1 boundaries."""
+    before a word: a word opens with order - 1 boundaries. BLOCK code points are scored at a time, whatever the length of a word."""
     codes, starts = chains(words)
-    inner = np.arange(len(codes)) - np.repeat(starts[:-1], np.diff(starts))
-    letter = codes != _BOUNDARY
-    scored = np.flatnonzero((inner > 0) & (letter | np.concatenate([[False], letter[:-1]])))  # letters and the boundary after a letter
-    contexts = [np.zeros(len(scored), np.uint64)]
-    for n in range(1, model.order):
-        near = np.where(inner[scored] >= n, codes[np.maximum(scored - n, 0)], np.uint64(_BOUNDARY))
-        contexts.append(contexts[-1] * _PRIME + near + np.uint64(1))
-    bits = np.zeros((len(words), len(model.languages)))
-    for k, levels in enumerate(model.levels if len(words) else ()):
-        each = np.zeros(len(codes))
-        each[scored] = -backed_off(levels, contexts, codes[scored], model.alphabet)
-        bits[:, k] = np.add.reduceat(each, starts[:-1])
-    letters = np.add.reduceat(letter.astype(np.int64), starts[:-1]) if len(words) else np.zeros(0, np.int64)
+    bits, letters = np.zeros((len(words), len(model.languages))), np.zeros(len(words), np.int64)
+    at, end = 0, 0
+    while len(words) and at < len(codes):
+        last = int(np.searchsorted(starts, at + BLOCK, side="right")) - 1
+        end = int(starts[last]) if starts[last] > at else min(at + BLOCK, len(codes))  # a word that is longer than a block is cut
+        own = slice(int(np.searchsorted(starts, at, side="right")) - 1, int(np.searchsorted(starts, end, side="left")))
+        begins = np.maximum(starts[own], at)
+        inner = np.arange(at, end) - np.repeat(starts[own], np.diff(np.append(begins, end)))
+        here = codes[at:end].astype(np.uint64)
+        letter = here != _BOUNDARY
+        after = np.concatenate([[at > 0 and codes[at - 1] != _BOUNDARY], letter[:-1]])
+        scored = np.flatnonzero((inner > 0) & (letter | after))  # letters and the boundary after a letter
+        contexts = [np.zeros(len(scored), np.uint64)]
+        for n in range(1, model.order):
+            near = np.where(inner[scored] >= n, codes[np.maximum(at + scored - n, 0)], _BOUNDARY).astype(np.uint64)
+            contexts.append(contexts[-1] * _PRIME + near + np.uint64(1))
+        for k, levels in enumerate(model.levels):
+            each = np.zeros(end - at)
+            each[scored] = -backed_off(levels, contexts, here[scored], model.alphabet)
+            bits[own, k] += np.add.reduceat(each, begins - at)
+        letters[own] += np.add.reduceat(letter.astype(np.int64), begins - at)
+        at = end
     return bits, letters
 
 
@@ -271,7 +283,7 @@ def calibrate(model: Model, apart: DataFrame, false_rejection: float = FALSE_REJ
         known = shared.value
         scores = WordScores(known)
         for batch in batches:
-            for part in arrays.slices(batch, "text"):
+            for part in arrays.slices(batch, "text", SLICE_BYTES):
                 bits, n = entropies(known, arrays.plain(part.column("text")), scores)
                 at = np.array([known.languages.index(x) if x in known.languages else -1 for x in part.column("lang").to_pylist()], np.int64)
                 ok = (at >= 0) & (n > 0)
@@ -311,7 +323,7 @@ def predict(df: DataFrame, model: Model, text: str = "text", limit: float | None
         known = shared.value
         scores = WordScores(known)
         for batch in batches:
-            for part in arrays.slices(batch.rename_columns([str(i) for i in range(batch.num_columns)]), str(place)):
+            for part in arrays.slices(batch.rename_columns([str(i) for i in range(batch.num_columns)]), str(place), SLICE_BYTES):
                 rows = part.num_rows
                 if known.languages:
                     bits, n = entropies(known, arrays.plain(part.column(place)), scores)

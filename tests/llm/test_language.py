@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import tracemalloc
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -59,6 +60,27 @@ def test_rejection(spark, sf_dir):
     assert language.predict(docs.filter("text rlike '[a-zA-Z]'"), model).filter("lang_rejected").count() <= 0.01 * docs.count()
 
 
+def test_scores_by_blocks(spark, monkeypatch):
+    """Words in blocks, and a word cut in many, score as in one block; memory doesn't follow the number or the length of words."""
+    import pyarrow as pa
+
+    rows = [(i, "kala mala kana lamak", "aa") for i in range(8)] + [(i + 10, "bibo bobi tibo obit", "bb") for i in range(8)]
+    model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    words = pa.array(["kala", "b", "", "lamak'bibo" * 40, "1", "obit", "ka" * 17, "-", "x"] * 3)
+    want = language.score_words(model, words)
+    for block in (1, 2, 7, 30):
+        monkeypatch.setattr(language, "BLOCK", block)
+        got = language.score_words(model, words)
+        assert np.allclose(got[0], want[0], rtol=1e-12) and (got[1] == want[1]).all()
+    monkeypatch.undo()
+    for texts in (["kalamab" * 300_000], [" ".join(f"w{'abcdefghij'[i % 10]}{chr(97 + i % 23) * 3}{chr(97 + i // 23 % 26)}{chr(97 + i // 598 % 26)}" for i in range(260_000))]):
+        tracemalloc.start()
+        language.entropies(model, pa.array(texts))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 200 << 20
+
+
 def test_cases(cases, clashing, empty):
     for df in (cases, clashing, empty):
         out = language.predict(df, language.train(df))

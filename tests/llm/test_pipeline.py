@@ -7,6 +7,7 @@ from collections import Counter
 import corpus_pipeline
 from test_jaccard import brute
 from test_secrets import base
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from loomwork.llm import common, mixing, packing
@@ -45,6 +46,19 @@ def test_stages(spark, sf_dir):
     assert sum(p.length for p in packed) == sum(tokens[d] * n for d, n in copies.items())
 
 
+def test_clashing_columns(spark, cases, clashing, tmp_path):
+    """Columns with the names that operators use within: each stage decides as without them, and leaves their values alone."""
+    more = clashing.select("*", *(F.lit("mine").alias(c) for c in ("lang_rejected", "bits_per_letter", "c0", "a.b", "__row0", "times", "text_")))
+    extra = [c for c in more.columns if c not in cases.columns]
+    plain, wide = cases, more
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        plain, wide = (common.table(stage(spark, df, str(tmp_path)), name) for df in (plain, wide))
+        assert wide.columns == more.columns
+        own = wide.select(*(f"`{c}`" for c in cases.columns))
+        assert Counter(tuple(r) for r in own.collect()) == Counter(tuple(r) for r in plain.collect())
+        assert all(set(r) <= {"clash", "mine"} for r in wide.select(*(f"`{c}`" for c in extra)).distinct().collect())
+
+
 def test_cases(spark, cases, empty, tmp_path):
     for df in (cases, empty):
         docs = df
