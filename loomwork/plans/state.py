@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomwork import core
 from loomwork.core import Tables, query
 from loomwork.streaming.limits import limited, limited_stream, open_windows
+from loomwork.streaming.replay import Queue
 from loomwork.streaming.windows import run_to_table, session_counts, window_counts
 
 LIMIT, DAY = 3, 24 * 3600
@@ -109,6 +110,31 @@ def replay_split(t: Tables) -> DataFrame:
     return t.events.select("event_id", (~failed).alias("flushed"), F.when(failed, place).alias("place"))
 
 
+@query(
+    "replay_stream",
+    """
+WITH e AS (SELECT event_id, user_id, event_id % 4 AS entered, CASE WHEN event_type = 'error' THEN event_id // 4 % 4 ELSE 0 END AS failures FROM events),
+done AS (SELECT *, entered + failures <= 3 AS flushed FROM e)
+SELECT event_id, flushed, CAST(CASE WHEN flushed THEN failures + 1 ELSE 4 - entered END AS INTEGER) AS tries, CASE WHEN flushed THEN entered + failures END AS batch,
+       CASE WHEN NOT flushed THEN CAST(row_number() OVER (PARTITION BY user_id, flushed ORDER BY entered, event_id) AS INTEGER) END AS place FROM done
+""",
+)
+def replay_stream(t: Tables) -> DataFrame:
+    """The events as a queue of each user in four micro-batches, with a retry table between them. Errors stand for what fails: up to
+    three times, by their number."""
+    folder = core.scratch(t.spark, "replay")
+    events = t.events.select("event_id", "user_id", "event_type")
+    for i in range(4):
+        events.filter(F.col("event_id") % 4 == i).write.mode("append").parquet(f"{folder}/arrived/slice={i}")
+    fails = (F.col("event_type") == "error") & (F.col("tries") <= F.floor(F.col("event_id") / 4) % 4)
+    queue = Queue(t.spark, f"{folder}/queue", events.schema, "user_id", "event_id", lambda rows: rows.withColumn("ok", ~fails))
+    for i in range(4):  # each run goes on where the one before ended
+        queue.run(t.spark.readStream.schema(events.schema).parquet(f"{folder}/arrived/slice=[0-{i}]"))
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy("entered", "event_id"))
+    waiting = queue.pending().select("event_id", F.lit(False).alias("flushed"), "tries", F.lit(None).cast("long").alias("batch"), place.alias("place"))
+    return queue.flushed().select("event_id", F.lit(True).alias("flushed"), "tries", "batch", F.lit(None).cast("int").alias("place")).unionByName(waiting)
+
+
 ACCEPTED = 200
 
 

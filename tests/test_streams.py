@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from loomwork.streaming import limits
+from loomwork.streaming.replay import Queue
 from loomwork.streaming.windows import run_to_table
 
 DAY0 = datetime.datetime(2024, 1, 1)
@@ -93,3 +94,97 @@ def test_a_key_with_many_events():
     assert parts == n // limits.ROWS_OUT and allowed == 5 * -(-n // 3600)
     assert handle.timers == {(999_999 // 3600 + 1) * 3_600_000} and handle.value[1] == (999_999 // 3600 + 1) * 3_600_000_000
     assert peak < 64 * n  # bytes
+
+
+ITEMS = "k string, id long, until int"
+
+
+def queue_of(spark, folder, most=None):
+    """Items fail until they have been tried `until` times."""
+    schema = spark.createDataFrame([], ITEMS).schema
+    return Queue(spark, str(folder), schema, "k", "id", lambda rows: rows.withColumn("ok", F.col("tries") >= F.col("until")), most)
+
+
+def arrive(spark, folder, n, rows):
+    spark.createDataFrame(rows, ITEMS).coalesce(1).write.parquet(f"{folder}/in/batch={n}")
+    return spark.readStream.schema(ITEMS).parquet(f"{folder}/in/batch=[0-{n}]")
+
+
+BATCHES = [[("a", 1, 1), ("a", 2, 3), ("a", 3, 9), ("b", 4, 2)], [("a", 5, 9), ("b", 6, 1), (None, 7, 2)], [("a", 0, 9), ("c", 8, 1)]]
+
+
+def waiting(queue):
+    rows = sorted(queue.pending().collect(), key=lambda r: (str(r.k), r.entered, r.id))
+    return [(r.k, r.id, r.entered, r.tries) for r in rows]
+
+
+def done(queue):
+    return sorted((r.id, r.entered, r.tries, r.batch) for r in queue.flushed().collect())
+
+
+WAITING = [[("a", 2, 0, 1), ("a", 3, 0, 1), ("b", 4, 0, 1)], [(None, 7, 1, 1), ("a", 2, 0, 2), ("a", 3, 0, 2), ("a", 5, 1, 1)], [("a", 3, 0, 3), ("a", 5, 1, 2), ("a", 0, 2, 1)]]
+DONE = [[(1, 0, 1, 0)], [(1, 0, 1, 0), (4, 0, 2, 1), (6, 1, 1, 1)], [(1, 0, 1, 0), (2, 0, 3, 2), (4, 0, 2, 1), (6, 1, 1, 1), (7, 1, 2, 2), (8, 2, 1, 2)]]
+
+
+def test_replay_keeps_order(spark, tmp_path):
+    queue = queue_of(spark, tmp_path / "q")
+    assert waiting(queue) == [] and done(queue) == []
+    for n, rows in enumerate(BATCHES):
+        queue.run(arrive(spark, tmp_path, n, rows))
+        assert waiting(queue) == WAITING[n] and done(queue) == DONE[n]
+    assert queue.given_up().count() == 0
+
+
+def test_items_reach_the_attempt_in_order(spark, tmp_path):
+    """Within a key older items come first, whatever micro-batch they are from."""
+    seen = tmp_path / "seen"
+    seen.mkdir()
+
+    def attempt(rows):
+        def each(parts):
+            for p in parts:
+                for k, group in p.groupby("k", dropna=False):
+                    with open(f"{seen}/{k}", "a") as f:
+                        f.write("".join(f"{i} " for i in group["id"]))
+                yield p.assign(ok=False)
+
+        return rows.mapInPandas(each, f"{ITEMS}, entered long, tries int, ok boolean")
+
+    queue = Queue(spark, str(tmp_path / "q"), spark.createDataFrame([], ITEMS).schema, "k", "id", attempt)
+    for n, rows in enumerate(BATCHES):
+        queue.flush(spark.createDataFrame(rows, ITEMS).repartition(3), n)
+    assert (seen / "a").read_text().split() == "1 2 3 1 2 3 5 1 2 3 5 0".split()
+
+
+def test_failures_change_nothing(spark, tmp_path, monkeypatch):
+    """A run that ends between its write and the ledger's, and a micro-batch that comes again after it."""
+    queue, record, broken = queue_of(spark, tmp_path / "q"), Queue._record, []
+
+    def failing(self, batch, run):
+        if batch not in broken:
+            broken.append(batch)
+            raise RuntimeError("stopped here")
+        record(self, batch, run)
+
+    monkeypatch.setattr(Queue, "_record", failing)
+    for n, rows in enumerate(BATCHES):
+        stream = arrive(spark, tmp_path, n, rows)
+        before = waiting(queue), done(queue)
+        try:
+            queue.run(stream)
+            raise AssertionError("no failure")
+        except Exception as e:
+            assert "stopped here" in str(e)
+        assert (waiting(queue), done(queue)) == before
+        queue.run(stream)
+        assert waiting(queue) == WAITING[n] and done(queue) == DONE[n]
+        queue.flush(spark.createDataFrame(rows, ITEMS), n)  # recorded, but the stream didn't come to know
+        assert waiting(queue) == WAITING[n] and done(queue) == DONE[n]
+
+
+def test_most(spark, tmp_path):
+    queue = queue_of(spark, tmp_path / "q", most=2)
+    for n, rows in enumerate(BATCHES):
+        queue.flush(spark.createDataFrame(rows, ITEMS), n)
+    assert [x[1] for x in waiting(queue)] == [5, 0]
+    assert sorted((r.id, r.batch) for r in queue.given_up().collect()) == [(2, 1), (3, 2)]
