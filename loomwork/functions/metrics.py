@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from loomwork.functions.edits import distance_of
+
 #: Rates in percent up to which a run is promoted or held, and the limits of the promotion gates.
 PROMOTE, HOLD = 28.0, 32.0
 ENGLISH_MOST, ENGLISH_DELTA, LEAST_SAMPLES, HEALTH_MOST, SWITCH_MOST, NOISE_MOST = 17.0, 5.0, 100, 25.0, 30.0, 35.0
@@ -18,14 +20,30 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, " "), lambda w: w != "")
 
 
+#: Pairs with more cells in their table of distances than this go to the bit-parallel distance, the others to the built-in one.
+CELLS = 1 << 22
+
+
+def _distance(a: Column, b: Column, size_a: Column, size_b: Column, built_in: Column) -> Column:
+    """The built-in distance of short pairs, which costs their lengths' product; long pairs alone go to Python, as batches."""
+    long = size_a.cast("long") * size_b > CELLS
+    return F.when(long, distance_of(F.when(long, a), F.when(long, b))).otherwise(built_in.cast("long"))
+
+
+def char_edits(reference: Column, hypothesis: Column) -> Column:
+    """Fewest insertions, deletions and substitutions of characters."""
+    return _distance(reference, hypothesis, F.length(reference), F.length(hypothesis), F.levenshtein(reference, hypothesis))
+
+
 def word_edits(reference: Column, hypothesis: Column) -> Column:
     """Fewest insertions, deletions and substitutions of words, for arrays of words.
 
-    Each distinct word of the pair becomes one character of the supplementary planes, so the built-in character distance counts words.
-    The pair's vocabulary is made once, as the only element of an array that a function then works on."""
+    For the built-in distance each distinct word of the pair becomes one character of the supplementary planes, so that it counts
+    words. The pair's vocabulary is made once, as the only element of an array that a function then works on."""
     both = F.struct(reference.alias("r"), hypothesis.alias("h"), F.array_distinct(F.concat(reference, hypothesis)).alias("known"))
     spelled = lambda a, known: F.coalesce(F.decode(F.unhex(F.array_join(F.transform(a, lambda w: F.lpad(F.hex(F.array_position(known, w) + 0xFFFF), 8, "0")), "")), "UTF-32"), F.lit(""))
-    return F.get(F.transform(F.array(both), lambda b: F.levenshtein(spelled(b["r"], b["known"]), spelled(b["h"], b["known"]))), F.lit(0))
+    built_in = F.get(F.transform(F.array(both), lambda b: F.levenshtein(spelled(b["r"], b["known"]), spelled(b["h"], b["known"]))), F.lit(0))
+    return F.when(reference.isNotNull() & hypothesis.isNotNull(), _distance(reference, hypothesis, F.size(reference), F.size(hypothesis), built_in))
 
 
 def percent(direct: Column, *shares: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomwork.core import Tables, query
 from loomwork.functions import metrics as m
+from loomwork.functions.edits import operations_of
 from loomwork.functions.text import ACCENTED, metric_normal
 
 _NORMAL = r"trim(regexp_replace(regexp_replace(lower(nfc_normalize(coalesce({}, ''))), '[^\p{{L}}\p{{N}}_\s" + ACCENTED + r"]', ' ', 'g'), '\s+', ' ', 'g'))"
@@ -19,7 +20,7 @@ _PAIRS = f"""
 WITH turns AS (SELECT conv_id, turn, role, {_NORMAL.format('text')} AS said, lead(role) OVER w AS next_role, {_NORMAL.format('lead(text) OVER w')} AS next_said FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
 pairs AS (SELECT conv_id, turn, said AS r, next_said AS h, list_filter(string_split(said, ' '), lambda x: x <> '') AS a, list_filter(string_split(next_said, ' '), lambda x: x <> '') AS b
   FROM turns WHERE role = 'user' AND next_role = 'assistant'),
-edits AS (SELECT conv_id, turn, r, h, len(a) AS n_words, length(r) AS n_chars, levenshtein({_LETTERS.format('r')}, {_LETTERS.format('h')}) AS char_edits,
+edits AS (SELECT conv_id, turn, r, h, len(a) AS n_words, len(b) AS n_other, length(r) AS n_chars, levenshtein({_LETTERS.format('r')}, {_LETTERS.format('h')}) AS char_edits,
   list_last(list_reduce(list_transform(range(1, len(a) + 1), lambda i: [i]), lambda row, i:
     list_reduce(list_transform(range(1, len(b) + 1), lambda j: [j]), lambda done, j:
       list_append(done, least(row[j[1] + 1] + 1, list_last(done) + 1, row[j[1]] + CASE WHEN a[i[1]] = b[j[1]] THEN 0 ELSE 1 END)), i),
@@ -38,7 +39,7 @@ def pairs(t: Tables) -> DataFrame:
 
 def edits(t: Tables) -> DataFrame:
     a, b = m.words(F.col("r")), m.words(F.col("h"))
-    return pairs(t).select("conv_id", "turn", F.size(a).cast("long").alias("n_words"), F.length("r").cast("long").alias("n_chars"), m.word_edits(a, b).cast("long").alias("word_edits"), F.levenshtein("r", "h").cast("long").alias("char_edits"))
+    return pairs(t).select("conv_id", "turn", F.size(a).cast("long").alias("n_words"), F.length("r").cast("long").alias("n_chars"), m.word_edits(a, b).alias("word_edits"), m.char_edits(F.col("r"), F.col("h")).alias("char_edits"))
 
 
 def _rates() -> list:
@@ -51,6 +52,13 @@ def edit_distance(t: Tables) -> DataFrame:
     return edits(t).select("conv_id", "turn", "word_edits", "char_edits")
 
 
+@query("edit_operations", _PAIRS + " SELECT conv_id, turn, CAST(word_edits AS BIGINT) AS word_edits, CAST(n_words - n_other AS BIGINT) AS more_deleted FROM edits")
+def edit_operations(t: Tables) -> DataFrame:
+    """Edits by kind, of one alignment with the fewest of them: their sum, and deletions less insertions."""
+    found = pairs(t).select("conv_id", "turn", operations_of(m.words(F.col("r")), m.words(F.col("h"))).alias("o"))
+    return found.select("conv_id", "turn", (F.col("o.substitutions") + F.col("o.deletions") + F.col("o.insertions")).alias("word_edits"), (F.col("o.deletions") - F.col("o.insertions")).alias("more_deleted"))
+
+
 @query("wer_overall", _PAIRS + " SELECT " + _SUMS)
 def wer_overall(t: Tables) -> DataFrame:
     """Edits of the whole corpus over its words, not the mean of the rows' rates."""
