@@ -21,6 +21,12 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def cut(self, df: DataFrame, name: str) -> DataFrame:
+        """df, written between jobs into a new folder that driver and executors share, and read back from there."""
+        path = scratch(self.spark, name)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder that driver and executors share, under spark.checkpoint.dir. Only a local session may do without that setting."""

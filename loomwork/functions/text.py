@@ -15,15 +15,30 @@ ACCENTED = "ɛɔáàâäéèêëíìîïóòôöúùûüńŋ"
 
 
 @F.pandas_udf(StringType())
-def nfc(text: pd.Series) -> pd.Series:
-    """Composed Unicode form; texts in ASCII pass unchanged."""
-    return text.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFC", x))
+def _nfc(text: pd.Series) -> pd.Series:
+    return text.map(lambda x: x if x is None else unicodedata.normalize("NFC", x))
 
 
 @F.pandas_udf(StringType())
-def nfkc(text: pd.Series) -> pd.Series:
-    """Composed compatibility form; texts in ASCII pass unchanged."""
-    return text.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFKC", x))
+def _nfkc(text: pd.Series) -> pd.Series:
+    return text.map(lambda x: x if x is None else unicodedata.normalize("NFKC", x))
+
+
+def _composed(text: Column | str, form) -> Column:
+    """Texts in ASCII are composed already: only the others go to Python."""
+    text = F.col(text) if isinstance(text, str) else text
+    other = text.rlike(r"[^\x00-\x7F]")
+    return F.when(other, form(F.when(other, text))).otherwise(text)
+
+
+def nfc(text: Column | str) -> Column:
+    """Composed Unicode form."""
+    return _composed(text, _nfc)
+
+
+def nfkc(text: Column | str) -> Column:
+    """Composed compatibility form."""
+    return _composed(text, _nfkc)
 
 
 def squeezed(text: Column) -> Column:

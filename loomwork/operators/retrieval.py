@@ -4,12 +4,17 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwork.functions.text import nfc
 
 MARGIN = 0.055
+#: What separates words of requests and texts, and the letters that a word of a request has at least.
+BETWEEN = r"(?U)[\s,.;!?]+"
+LEAST_LETTERS = 3
+#: A request's rarest words are looked up first until their texts are this many times what is asked for.
+FIRST_LOOK = 4
 
 
 def confident(scored: DataFrame, score: str, key: str, limit: int, floor: float) -> DataFrame:
@@ -36,3 +41,61 @@ def lexical_score(text: Column, request: str) -> Column:
 def lexical_ranked(df: DataFrame, text: str, request: str) -> DataFrame:
     """Rows that contain any of the request's words, with their score."""
     return df.withColumn("score", lexical_score(F.col(text), request)).filter("score > 0")
+
+
+def _words(text: Column) -> Column:
+    return F.split(F.lower(nfc(text)), BETWEEN)
+
+
+def _trigrams(word: Column) -> Column:
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(word) - 2), lambda i: F.substr(word, i, F.lit(3))))
+
+
+def words_with_terms(vocabulary: DataFrame, terms: DataFrame) -> DataFrame:
+    """term, word: all words of the vocabulary (column word, distinct) that contain a term (column term, distinct, 3 letters at least).
+
+    A word that contains a term has all its trigrams. So words are listed under each of their trigrams, each term looks under the one
+    with the fewest words alone, and what stands there is checked."""
+    listed = vocabulary.filter(F.length("word") >= 3).select("word", F.explode(_trigrams(F.col("word"))).alias("trigram"))
+    lengths = listed.groupBy("trigram").agg(F.count("*").alias("n"))
+    asked = terms.select("term", F.explode(_trigrams(F.col("term"))).alias("trigram"))
+    known = asked.join(lengths, "trigram", "left")
+    rarest = known.groupBy("term").agg(F.min_by("trigram", F.struct(F.coalesce("n", F.lit(0)), "trigram")).alias("trigram"))
+    return listed.join(rarest, "trigram").filter(F.expr("contains(word, term)")).select("term", "word")
+
+
+def lexical_top_k(docs: DataFrame, requests: DataFrame, k: int, cut=lambda df, name: df, key: str = "doc_id", text: str = "text", request_key: str = "request_id", request_text: str = "text") -> DataFrame:
+    """request_key, rank (from 1), key, score: for each request the k texts that contain the largest share of its words of three or more
+    letters, repeated words as often as they stand there; equal shares go to the smaller key. Texts without any of them don't count.
+
+    A term has none of the characters that separate words, so a text contains it if one of its words does. Terms are matched with the
+    corpus's distinct words (words_with_terms()), and each text gets the list of the terms that it contains. A request first looks at
+    the texts of its rarest terms, which gives a score that its k-th text reaches at least, s. A text with s or more has one of the
+    request's rarest terms, as the others alone weigh less than s: texts of those terms are all that is scored. No request meets all
+    texts, unless all its terms are that common.
+
+    Rows with one key are one text; those with a null key or text, and requests without terms, give nothing."""
+    named = docs.select(F.col(key).alias("doc"), F.col(text).alias("text")).filter("doc is not null")
+    lists = cut(named.select("doc", F.explode(F.array_distinct(_words(F.col("text")))).alias("word")).filter(F.length("word") >= LEAST_LETTERS), "words")
+    asked = requests.select(F.col(request_key).alias("request"), F.explode(_words(F.col(request_text))).alias("term")).filter(F.length("term") >= LEAST_LETTERS).filter("request is not null")
+    asked = cut(asked.groupBy("request", "term").agg(F.count("*").alias("weight")), "asked")
+    matches = cut(words_with_terms(lists.select("word").distinct(), asked.select("term").distinct()), "matches")
+    held = cut(lists.join(matches, "word").select("doc", "term").distinct(), "held")
+    contents = cut(held.groupBy("doc").agg(F.collect_set("term").alias("terms")), "contents")
+    sizes = held.groupBy("term").agg(F.count("*").alias("n"))
+    ranked = asked.join(sizes, "term")  # terms that no text has are left out: they are part of the whole weight alone
+    rare_first = Window.partitionBy("request").orderBy("n", "term")
+    ranked = cut(ranked.withColumn("before", F.coalesce(F.sum("n").over(rare_first.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("rest", F.sum("weight").over(rare_first.rowsBetween(0, Window.unboundedFollowing))), "ranked")
+    whole = asked.groupBy("request").agg(F.sum("weight").alias("whole"), F.map_from_entries(F.collect_list(F.struct("term", "weight"))).alias("weights"))
+
+    def scored(look: DataFrame) -> DataFrame:
+        pairs = look.select("request", "term").join(held, "term").select("request", "doc").distinct()
+        both = pairs.join(contents, "doc").join(whole, "request")
+        weight = F.aggregate(F.transform("terms", lambda t: F.coalesce(F.try_element_at("weights", t), F.lit(0))), F.lit(0).cast("long"), lambda s, w: s + w)
+        best = F.row_number().over(Window.partitionBy("request").orderBy(F.desc("weight"), "doc"))
+        return both.select("request", "doc", "whole", weight.alias("weight")).withColumn("rank", best).filter(F.col("rank") <= k)
+
+    first = scored(ranked.filter(F.col("before") < FIRST_LOOK * k))
+    reached = first.filter(F.col("rank") == k).select("request", F.col("weight").alias("least"))
+    look = ranked.join(reached, "request", "left").filter(F.col("rest") >= F.coalesce("least", F.lit(1)))
+    return scored(look).select(F.col("request").alias(request_key), "rank", F.col("doc").alias(key), (F.col("weight") / F.col("whole")).alias("score"))

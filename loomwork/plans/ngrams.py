@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwork import core
 from loomwork.core import Tables, query
 from loomwork.functions.text import corpus_words
 from loomwork.operators import ngrams
@@ -51,17 +50,6 @@ def _split(held_out: bool) -> str:
     return f"SELECT DISTINCT {_NORMAL.format('line')} AS t FROM (SELECT UNNEST(string_split(text, chr(10))) AS line FROM documents WHERE doc_id % 20 {which} 0)"
 
 
-def _cut(t: Tables):
-    """Write a table between jobs, and read it back."""
-
-    def cut(df: DataFrame, name: str) -> DataFrame:
-        path = core.scratch(t.spark, name)
-        df.write.parquet(path)
-        return t.spark.read.schema(df.schema).parquet(path)
-
-    return cut
-
-
 def _lines(documents: DataFrame) -> DataFrame:
     """w: the words of each different line, normalised; without words none."""
     lines = documents.select(F.explode(F.split("text", "\n")).alias("line")).select(corpus_words(F.col("line")).alias("t")).filter("t <> ''")
@@ -74,7 +62,7 @@ _EVERY = f"SELECT DISTINCT {_NORMAL.format('line')} AS t FROM (SELECT UNNEST(str
 @query("word_model", f"WITH {_model(_EVERY)} SELECT ngram_order, concat_ws(' ', a, b, c) AS gram, round(log10(p), 6) AS log10_p, round(log10(back), 6) AS log10_back FROM model")
 def word_model(t: Tables) -> DataFrame:
     """The trigram model with modified Kneser-Ney smoothing, as ARPA files state it."""
-    model = ngrams.kneser_ney(_lines(t.documents), "w", 3, _cut(t))
+    model = ngrams.kneser_ney(_lines(t.documents), "w", 3, t.cut)
     return model.select(F.col("order").alias("ngram_order"), ngrams.gram(model).alias("gram"), F.round(F.log10("p"), 6).alias("log10_p"), F.round(F.log10("back"), 6).alias("log10_back"))
 
 
@@ -100,7 +88,6 @@ SELECT md5(t) AS line, CAST(count(*) AS BIGINT) AS n_words, CAST(count(*) FILTER
 )
 def word_model_perplexity(t: Tables) -> DataFrame:
     """Perplexity of the lines of every twentieth document, by the model of all others."""
-    cut = _cut(t)
-    model = ngrams.kneser_ney(_lines(t.documents.filter("doc_id % 20 <> 0")), "w", 3, cut)
-    scored = ngrams.score(_lines(t.documents.filter("doc_id % 20 = 0")), "w", cut(model, "model"), "t", cut)
+    model = ngrams.kneser_ney(_lines(t.documents.filter("doc_id % 20 <> 0")), "w", 3, t.cut)
+    scored = ngrams.score(_lines(t.documents.filter("doc_id % 20 = 0")), "w", t.cut(model, "model"), "t", t.cut)
     return scored.select(F.md5("t").alias("line"), "n_words", "n_unknown", F.round(F.pow(F.lit(10.0), -F.col("log10_p") / F.col("n_words")), 3).alias("perplexity"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomwork.core import Tables, query
 from loomwork.functions import vectors
-from loomwork.operators.retrieval import confident, lexical_ranked
+from loomwork.operators.retrieval import confident, lexical_ranked, lexical_top_k
 from loomwork.plans.joins import RESULTS_SQL, results
 
 #: Anchors that are gathered into one row, and up to how many such rows are broadcast.
@@ -66,6 +66,21 @@ def lexical_topk(t: Tables) -> DataFrame:
     return ranked.orderBy(F.desc("score"), "doc_id").limit(10).select("doc_id", F.round("score", 6).alias("score"))
 
 
+@query(
+    "lexical_topk_requests",
+    r"""
+WITH q AS (SELECT item_id, list_filter(string_split_regex(lower(nfc_normalize(text)), '[\s,.;!?]+'), lambda x: length(x) > 2) AS w FROM benchmark),
+s AS (SELECT item_id, doc_id, CAST(len(list_filter(w, lambda x: contains(t, x))) AS DOUBLE) / len(w) AS score FROM q, (SELECT doc_id, lower(nfc_normalize(text)) AS t FROM documents)),
+r AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, round(score, 6) AS score FROM r WHERE rank <= 10
+""",
+)
+def lexical_topk_requests(t: Tables) -> DataFrame:
+    """Every benchmark text as a request against all documents."""
+    found = lexical_top_k(t.documents, t.benchmark, 10, t.cut, request_key="item_id")
+    return found.select("item_id", "rank", "doc_id", F.round("score", 6).alias("score"))
+
+
 @query("leaderboard", RESULTS_SQL + " SELECT run, CASE WHEN slice <> 'N' THEN wer END AS wer FROM results WHERE n >= 49 ORDER BY wer NULLS LAST, run")
 def leaderboard(t: Tables) -> DataFrame:
     """Runs with large samples; slice N stands for runs without a rate, which come last."""
