@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomwork.core import Tables, query
 from loomwork.functions import vectors
 from loomwork.operators.retrieval import confident, lexical_ranked, lexical_top_k
+from loomwork.operators.samples import exact_sample
 from loomwork.plans.joins import RESULTS_SQL, results
 
 #: Anchors that are gathered into one row, and up to how many such rows are broadcast.
@@ -93,6 +94,27 @@ def hash_holdout_split(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", (F.conv(F.substring(F.md5(F.concat_ws(":", F.lit("split"), "doc_id")), 1, 8), 16, 10).cast("long") % 100 < 5).alias("held_out"))
 
 
+SAMPLED = 150
+CAPS = {"en": 100, "fr": 40, "de": 30}
+
+
+@query("exact_sample", f"SELECT doc_id FROM documents ORDER BY ('0x' || substr(md5('sample:' || doc_id), 1, 15))::BIGINT, doc_id LIMIT {SAMPLED}")
+def exact_sample_query(t: Tables) -> DataFrame:
+    """So many documents, which is the feature: those with the smallest hashes, found without a sort."""
+    return exact_sample(t.documents.select("doc_id"), SAMPLED, "doc_id", cut=t.cut)
+
+
+@query(
+    "exact_sample_by_split",
+    "SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY ('0x' || substr(md5('split:' || doc_id), 1, 15))::BIGINT, doc_id) AS r FROM documents) WHERE r <= CASE lang "
+    + " ".join(f"WHEN '{k}' THEN {v}" for k, v in CAPS.items()) + " ELSE 20 END",
+)
+def exact_sample_by_split(t: Tables) -> DataFrame:
+    """Each language up to its own cap, which is the feature."""
+    cap = F.coalesce(F.create_map(*(F.lit(x) for p in CAPS.items() for x in p))[F.col("lang")], F.lit(20))
+    return exact_sample(t.documents.select("doc_id", "lang"), cap, "doc_id", by="lang", seed="split", cut=t.cut)
+
+
 @query("seeded_order", "SELECT doc_id, ('0x' || substr(md5('order:' || doc_id), 1, 12))::BIGINT AS place FROM documents ORDER BY place, doc_id")
 def seeded_order(t: Tables) -> DataFrame:
     """All documents in an order that a seed and the key decide."""

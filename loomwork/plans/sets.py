@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomwork.core import Tables, query
+from loomwork.operators.samples import interleaved
 from loomwork.plans.joins import RESULTS_SQL, results
 
 _UNION = "SELECT 'documents' AS origin, doc_id AS id, text FROM documents UNION ALL SELECT 'conversations', conv_id * 1000 + turn, text FROM conversations UNION ALL SELECT 'benchmark', item_id, text FROM benchmark"
@@ -75,6 +76,25 @@ def weighted_mix(t: Tables) -> DataFrame:
     return mixed.select("doc_id", "lang", F.explode(F.sequence(F.lit(1), "copies")).alias("copy"))
 
 
+@query(
+    "interleaved_mix",
+    """
+WITH own AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS i FROM documents),
+sizes AS (SELECT lang, coalesce(lang, '') AS name, count(*) AS n, CASE lang WHEN 'en' THEN 0.6::DOUBLE WHEN 'fr' THEN 0.25::DOUBLE WHEN 'de' THEN 0.2::DOUBLE ELSE 0.15::DOUBLE END AS w FROM documents GROUP BY lang),
+shares AS (SELECT lang, name, n, w / (SELECT sum(w) FROM (SELECT w FROM sizes ORDER BY name)) AS w FROM sizes),
+draws AS (SELECT lang, name, n, w, UNNEST(range(0, CAST(ceil((SELECT max(n / w) FROM shares) * w) AS BIGINT) + 2)) AS j FROM shares),
+placed AS (SELECT *, (j + ('0x' || substr(md5('mix:' || name || ':' || j), 1, 8))::BIGINT / 4294967296::DOUBLE) / w AS due FROM draws),
+ends AS (SELECT due AS end_due, name AS end_name FROM placed WHERE j = n - 1 ORDER BY due DESC, name DESC LIMIT 1),
+taken AS (SELECT p.*, row_number() OVER (ORDER BY due, name) AS place FROM placed p, ends WHERE due < end_due OR due = end_due AND name <= end_name)
+SELECT o.doc_id, t.lang, CAST(t.j // t.n AS INTEGER) AS copy, t.place FROM taken t JOIN own o ON o.lang IS NOT DISTINCT FROM t.lang AND o.i = t.j % t.n
+""",
+)
+def interleaved_mix(t: Tables) -> DataFrame:
+    """The documents in the order in which their languages are drawn by weight, until the longest for its weight ends."""
+    weight = F.when(F.col("lang") == "en", 0.6).when(F.col("lang") == "fr", 0.25).when(F.col("lang") == "de", 0.2).otherwise(0.15)
+    return interleaved(t.documents.select("doc_id", "lang"), "lang", weight, "doc_id", cut=t.cut)
+
+
 @query("normalized_weights", "SELECT n_nationkey, round(greatest(0.01, n_regionkey * 0.1) / (SELECT sum(greatest(0.01, n_regionkey * 0.1)) FROM nation), 6) AS weight FROM nation")
 def normalized_weights(t: Tables) -> DataFrame:
     w = F.greatest(F.lit(0.01), F.col("n_regionkey") * 0.1)
