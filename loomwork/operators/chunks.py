@@ -2,62 +2,58 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 CHUNK, LIVE = 160, 28
 
 
-def packed(pieces: list[str], most: int) -> list[str]:
-    """Pieces joined by spaces as long as a line takes them."""
-    out: list[str] = []
-    for p in pieces:
-        if out and len(out[-1]) + 1 + len(p) <= most:
-            out[-1] += " " + p
-        else:
-            out.append(p)
-    return out
+#: Lines of a run: a text's lines are gathered in runs, so that adding one doesn't copy all that are there.
+RUN = 256
 
 
-def sentence_chunks(text: str, most: int = CHUNK) -> list[str]:
-    """Sentences packed into lines; lines that are too long are packed again by words. A short text is one line."""
-    if len(text) <= most:
-        return [text] if text else []
-    lines = packed([s for s in (x.strip() for x in re.split(r"(?<=[.!?])\s+", text)) if s], most)
-    return [y for x in lines for y in ([x] if len(x) <= most else packed(x.split(), most))]
+def _folded(pieces: Column, held_fits, glue: str) -> Column:
+    """Lines from pieces in their order: a piece joins the line that is held if held_fits(line, piece), else that line is done."""
+    none = F.array().cast("array<string>")
+    start = F.struct(F.array().cast("array<array<string>>").alias("runs"), none.alias("run"), F.lit(None).cast("string").alias("held"))
 
+    def step(s: Column, piece: Column) -> Column:
+        joins = s["held"].isNotNull() & held_fits(s["held"], piece)
+        done = s["held"].isNotNull() & ~joins
+        over = done & (F.size(s["run"]) >= RUN)
+        return F.struct(
+            F.when(over, F.array_append(s["runs"], s["run"])).otherwise(s["runs"]).alias("runs"),
+            F.when(over, F.array(s["held"])).when(done, F.array_append(s["run"], s["held"])).otherwise(s["run"]).alias("run"),
+            F.when(joins, F.concat(s["held"], F.lit(glue), piece)).otherwise(piece).alias("held"),
+        )
 
-def live_chunks(reply: str, least: int = LIVE) -> list[str]:
-    """Words, with the space after, until there are enough characters or a sentence ends."""
-    out, held = [], ""
-    for part in re.findall(r"\S+\s*", reply):
-        held += part
-        if len(held) >= least or re.search(r"[.!?]\s*$", held):
-            out.append(held)
-            held = ""
-    return out + [held] if held else out
+    last = lambda s: F.when(s["held"].isNull(), none).otherwise(F.array(s["held"]))
+    return F.aggregate(pieces, start, step, lambda s: F.concat(F.flatten(s["runs"]), s["run"], last(s)))
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _sentences(text: pd.Series) -> pd.Series:
-    return text.map(lambda x: sentence_chunks(x or ""))
+def packed(pieces: Column, most: int) -> Column:
+    """Pieces joined by spaces as long as a line takes them."""
+    return _folded(pieces, lambda held, p: F.length(held) + 1 + F.length(p) <= most, " ")
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _live(text: pd.Series) -> pd.Series:
-    return text.map(lambda x: live_chunks(x or ""))
+def _split(text: Column, between: str) -> Column:
+    return F.filter(F.transform(F.split(text, between), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")), lambda x: x != "")
 
 
-def sentences(text: Column) -> Column:
-    return _sentences(text)
+def sentences(text: Column, most: int = CHUNK) -> Column:
+    """Sentences packed into lines; lines that are too long are packed again by words. A short text is one line, a null or empty one none."""
+    lines = packed(_split(text, r"(?U)(?<=[.!?])\s+"), most)
+    fitting = F.flatten(F.transform(lines, lambda x: F.when(F.length(x) <= most, F.array(x)).otherwise(packed(_split(x, r"(?U)\s+"), most))))
+    return F.when(F.coalesce(text, F.lit("")) == "", F.array().cast("array<string>")).when(F.length(text) <= most, F.array(text)).otherwise(fitting)
 
 
-def live(text: Column) -> Column:
-    return _live(text)
+def live(text: Column, least: int = LIVE) -> Column:
+    """Words, with the space after, until there are enough characters or a sentence ends. Sentences are folded one by one, as a line
+    never goes on beyond one."""
+    parts = lambda x: F.regexp_extract_all(x, F.lit(r"(?U)\S+\s*"), F.lit(0))
+    whole = F.regexp_extract_all(text, F.lit(r"(?Us)\S.*?(?:(?<=[.!?])(?=\s)\s*|\z)"), F.lit(0))
+    found = F.flatten(F.transform(whole, lambda x: _folded(parts(x), lambda held, _: F.length(held) < least, "")))
+    return F.coalesce(found, F.array().cast("array<string>"))
 
 
 def chat_triples(turns: DataFrame) -> DataFrame:

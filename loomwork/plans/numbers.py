@@ -138,6 +138,60 @@ def speaker_features(t: Tables) -> DataFrame:
     return t.embeddings.select("vec_id", vectors.speaker_features(samples).alias("features")).select("vec_id", F.posexplode("features").alias("i", "x"))
 
 
+_SAMPLES = "SELECT vec_id, list_transform(range(0, 20 * len(embedding)), lambda i: CAST(embedding[i % len(embedding) + 1] AS DOUBLE)) AS v FROM embeddings"
+
+
+@query(
+    "frame_energy",
+    f"""
+WITH s AS ({_SAMPLES}),
+f AS (SELECT vec_id, CAST(UNNEST(range(0, (len(v) - 400 + 159) // 160)) AS INTEGER) AS frame, v FROM s WHERE len(v) > 400),
+g AS (SELECT vec_id, frame, list_slice(v, frame * 160 + 1, frame * 160 + 400) AS x FROM f),
+b AS (SELECT *, UNNEST(range(0, 12)) AS band FROM g)
+SELECT vec_id, frame, CAST(band AS INTEGER) AS band, round(sqrt(list_sum(list_transform(x, lambda y: y * y)) / 400), 6) AS rms,
+       CAST(len(list_filter(range(2, 401), lambda i: (x[i] >= 0) <> (x[i - 1] >= 0))) AS BIGINT) AS crossings,
+       round(list_sum(list_transform(list_slice(x, band * 33 + 1, band * 33 + 33), lambda y: y * y)), 6) AS energy FROM b
+""",
+)
+def frame_energy(t: Tables) -> DataFrame:
+    """Vectors, repeated twenty times, as samples: each frame's loudness and crossings of zero beside the energy of each of its bands."""
+    samples = F.flatten(F.array_repeat("embedding", 20))
+    frames = t.embeddings.select("vec_id", F.posexplode(vectors.frame_measures(samples)).alias("frame", "m"))
+    return frames.select("vec_id", "frame", F.round("m.rms", 6).alias("rms"), "m.crossings", F.posexplode("m.bands").alias("band", "e")).select("vec_id", "frame", "band", "rms", "crossings", F.round("e", 6).alias("energy"))
+
+
+def _draw(kind: str, k: str, i: int) -> str:
+    return f"('0x' || substr(md5('mask:' || vec_id || ':{kind}:' || {k}), {1 + 8 * i}, 8))::BIGINT"
+
+
+@query(
+    "masked_blocks",
+    f"""
+WITH s AS ({_SAMPLES}),
+cells AS (SELECT vec_id, UNNEST(range(0, len(v))) AS i, UNNEST(v) AS x FROM s),
+grid AS (SELECT vec_id, i // 80 AS band, i % 80 AS at, x FROM cells),
+size AS (SELECT vec_id, len(v) // 80 AS bands FROM s),
+ts AS (SELECT vec_id, {_draw('t', 'k', 0)} % 10 + 1 AS n, {_draw('t', 'k', 1)} AS h FROM (SELECT vec_id, UNNEST(range(0, greatest(1, CAST(floor(0.05 * 80 / 10) AS BIGINT)))) AS k FROM size)),
+bs AS (SELECT vec_id, bands, {_draw('b', 'k', 0)} % 16 + 1 AS n, {_draw('b', 'k', 1)} AS h FROM (SELECT vec_id, bands, UNNEST(range(0, greatest(1, CAST(floor(0.05 * bands / 16) AS BIGINT)))) AS k FROM size)),
+gone AS (
+  SELECT g.*, EXISTS (SELECT 1 FROM ts WHERE ts.vec_id = g.vec_id AND n < 80 AND g.at >= h % (80 - n + 1) AND g.at < h % (80 - n + 1) + n)
+    OR EXISTS (SELECT 1 FROM bs WHERE bs.vec_id = g.vec_id AND n < bands AND g.band >= h % (bands - n + 1) AND g.band < h % (bands - n + 1) + n) AS masked FROM grid g
+)
+SELECT vec_id, CAST(band AS INTEGER) AS band, CAST(count(*) FILTER (masked) AS BIGINT) AS zeros, round(sum(CASE WHEN masked THEN 0 ELSE x END), 6) AS rest FROM gone GROUP BY vec_id, band
+""",
+)
+def masked_blocks(t: Tables) -> DataFrame:
+    """Vectors, repeated twenty times and laid out in bands of 80 values, with blocks of time and of bands masked. A cell counts as
+    zero if masking made it so."""
+    samples = F.flatten(F.array_repeat(vectors.doubles(F.col("embedding")), 20))
+    grid = F.transform(F.sequence(F.lit(0), F.floor(F.size("v") / 80).cast("int") - 1), lambda i: F.slice("v", i * 80 + 1, F.lit(80)))
+    rows = t.embeddings.select("vec_id", samples.alias("v")).select("vec_id", grid.alias("g"))
+    both = rows.select("vec_id", "g", vectors.masked(F.col("g"), F.col("vec_id")).alias("m"))
+    each = both.select("vec_id", F.posexplode(F.arrays_zip("g", "m")).alias("band", "r"))
+    zeros = F.size(F.filter(F.zip_with("r.g", "r.m", lambda x, y: x != y), lambda z: z))
+    return each.select("vec_id", "band", zeros.cast("long").alias("zeros"), F.round(F.aggregate("r.m", F.lit(0.0), lambda a, x: a + x), 6).alias("rest"))
+
+
 @query("json_extract", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, COALESCE(json_extract_string(props, '$.focus'), 'health') AS focus, json_type(props) = 'OBJECT' AS is_object FROM events")
 def json_extract(t: Tables) -> DataFrame:
     """A property, another with a default, and whether the whole is an object."""

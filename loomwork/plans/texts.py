@@ -250,13 +250,34 @@ def truncate_ellipsis(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.when(F.length("text") > 40, F.concat(F.substring("text", 1, 40), F.lit("…"))).otherwise(F.col("text")).alias("label"))
 
 
-@query("pack_chunks")
+_JOIN = "CASE WHEN len(acc) > 0 AND length(list_last(acc)) + 1 + length(x[1]) <= 160 THEN list_append(acc[1:len(acc) - 1], list_last(acc) || ' ' || x[1]) ELSE list_append(acc, x[1]) END"
+_PACKED = "list_reduce(list_transform({0}, lambda p: [p]), lambda acc, x: " + _JOIN + ")"
+_TRIMMED = "list_filter(list_transform({0}, lambda p: trim(p, ' ' || chr(9) || chr(10) || chr(13))), lambda p: p <> '')"
+
+
+@query(
+    "pack_chunks",
+    f"""
+WITH s AS (SELECT doc_id, text, {_TRIMMED.format("string_split(regexp_replace(text, '([.!?])[[:space:]]+', '\\1' || chr(1), 'g'), chr(1))")} AS parts FROM documents WHERE text <> ''),
+l AS (SELECT doc_id, CASE WHEN length(text) <= 160 THEN [text] ELSE {_PACKED.format("parts")} END AS lines, length(text) <= 160 AS short FROM s),
+c AS (SELECT doc_id, flatten(list_transform(lines, lambda y: CASE WHEN short OR length(y) <= 160 THEN [y] ELSE {_PACKED.format(_TRIMMED.format("string_split_regex(y, '[[:space:]]+')"))} END)) AS chunks FROM l)
+SELECT doc_id, CAST(UNNEST(range(0, len(chunks))) AS INTEGER) AS n, UNNEST(chunks) AS chunk FROM c
+""",
+)
 def pack_chunks(t: Tables) -> DataFrame:
-    """Rows only: sentences packed greedily into pieces of 160 characters; tested against a plain loop."""
+    """Sentences packed greedily into pieces of 160 characters."""
     return t.documents.select("doc_id", F.posexplode(chunks.sentences(F.col("text"))).alias("n", "chunk"))
 
 
-@query("reply_chunks")
+@query(
+    "reply_chunks",
+    r"""
+WITH p AS (SELECT conv_id, turn, regexp_extract_all(text, '[^[:space:]]+[[:space:]]*') AS parts FROM conversations),
+c AS (SELECT conv_id, turn, list_reduce(list_transform(parts, lambda y: [y]), lambda acc, x: CASE WHEN length(list_last(acc)) >= 28 OR regexp_matches(list_last(acc), '[.!?][[:space:]]*$') THEN list_append(acc, x[1])
+  ELSE list_append(acc[1:len(acc) - 1], list_last(acc) || x[1]) END) AS chunks FROM p WHERE len(parts) > 0)
+SELECT conv_id, turn, CAST(UNNEST(range(0, len(chunks))) AS INTEGER) AS n, UNNEST(chunks) AS chunk FROM c
+""",
+)
 def reply_chunks(t: Tables) -> DataFrame:
-    """Rows only: replies in pieces of 28 characters or whole sentences; tested against a plain loop."""
+    """Replies in pieces of 28 characters or whole sentences."""
     return t.conversations.select("conv_id", "turn", F.posexplode(chunks.live(F.col("text"))).alias("n", "chunk"))

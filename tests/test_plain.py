@@ -6,6 +6,7 @@ import hashlib
 import hmac
 import json
 import math
+import random
 import re
 import wave
 
@@ -95,6 +96,50 @@ def test_reply_chunks(spark):
     assert [r.c for r in got] == [["Yes. ", "I can help you with that order, ", "it is ready!  ", "Come  by tomorrow morning, or ", "later"], [], [], ["a b"]]
 
 
+def plain_live(reply: str) -> list[str]:
+    out, held = [], ""
+    for part in re.findall(r"\S+\s*", reply):
+        held += part
+        if len(held) >= 28 or re.search(r"[.!?]\s*\Z", held):
+            out.append(held)
+            held = ""
+    return out + [held] if held else out
+
+
+def test_folds_in_runs(spark, monkeypatch):
+    """Texts of many lines, in short runs; sentences of one mark, marks within words, and spaces of all kinds."""
+    monkeypatch.setattr(chunks, "RUN", 3)
+    rng = random.Random(8)
+    words = ["a", "Yes.", "?", "3.5", "no!", "x" * 30, "e.g.", "word", "ɛyɛ.", "b" * 200]
+    texts = ["".join(rng.choice(words) + rng.choice([" ", "  ", "\n", "\t ", ".", ""]) for _ in range(rng.randrange(0, 90))) for _ in range(150)] + [" lead. ", "."]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").repartition(3)
+    for r in df.select("i", "t", chunks.live(F.col("t")).alias("live"), chunks.sentences(F.col("t")).alias("lines")).collect():
+        assert r.live == plain_live(r.t)
+        if len(r.t) > 160:
+            lines = plain_pack([s for s in (s.strip() for s in re.sub(r"([.!?])\s+", "\\1\0", r.t).split("\0")) if s], 160)
+            assert r.lines == [y for x in lines for y in ([x] if len(x) <= 160 else plain_pack(x.split(), 160))]
+        else:
+            assert r.lines == ([r.t] if r.t else [])
+
+
+def test_masked(spark):
+    """Cells are kept or become 0, in whole blocks of time and of bands, the same on every run."""
+    grid = [[float(100 * b + i + 1) for i in range(40)] for b in range(20)]
+    rows = [(k, grid) for k in range(60)] + [(100, [[1.0, 2.0]]), (101, []), (102, None), (103, [[]])]
+    df = spark.createDataFrame(rows, "k int, f array<array<double>>").repartition(3)
+    how = {"time_share": 0.5, "time_most": 8, "band_share": 0.3, "band_most": 4}
+    got = {r.k: r.m for r in df.select("k", vectors.masked(F.col("f"), F.col("k"), **how).alias("m")).collect()}
+    assert got == {r.k: r.m for r in df.coalesce(1).select("k", vectors.masked(F.col("f"), F.col("k"), **how).alias("m")).collect()}
+    assert got[101] == [] and got[102] is None and got[103] == [[]]
+    draw = lambda k, kind, n, i: int(hashlib.md5(f"mask:{k}:{kind}:{n}".encode()).hexdigest()[8 * i : 8 * i + 8], 16)
+    for k in range(60):
+        times = [(draw(k, "t", n, 1) % (40 - length + 1), length) for n in range(2) for length in [draw(k, "t", n, 0) % 8 + 1]]
+        bands = [(draw(k, "b", n, 1) % (20 - length + 1), length) for n in range(1) for length in [draw(k, "b", n, 0) % 4 + 1]]
+        gone = lambda i, blocks: any(s <= i < s + n for s, n in blocks)
+        assert got[k] == [[0.0 if gone(b, bands) or gone(i, times) else x for i, x in enumerate(row)] for b, row in enumerate(grid)]
+    assert len({str(got[k]) for k in range(60)}) > 50
+
+
 def test_prepared(spark):
     cases = {
         "en": [("Take 12 mg or 3.5 ml - 250 people.", "Take twelve milligrams or three point five milliliters - two hundred fifty people."), ("The CHW said: *WHO* pays GHS 5", None), (None, ""), ("a–b  c", "a, b c"), ("1000001 kg", "1000001 kilograms")],
