@@ -21,6 +21,12 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def spread(self, df: DataFrame) -> DataFrame:
+        """df, dealt over all cores if it is read in fewer splits than there are: for work on rows that costs far more than a shuffle."""
+        cores = self.spark.sparkContext.defaultParallelism
+        few = len(df.inputFiles()) < cores and df.rdd.getNumPartitions() < cores
+        return df.repartition(cores) if few else df
+
     def cut(self, df: DataFrame, name: str) -> DataFrame:
         """df, written between jobs into a new folder that driver and executors share, and read back from there."""
         path = scratch(self.spark, name)

@@ -100,10 +100,15 @@ def fulfilment(text: Column) -> Column:
     return first_rule(text, FULFILMENT, "unknown", any_case=True)
 
 
+def once(value: Column, f) -> Column:
+    """f(value), with value made once however often f names it: as the only element of an array that f works on."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def slot(value: Column) -> Column:
     """Without courtesies and times, squeezed, cut at 80; null if shorter than two characters."""
     clean = F.trim(F.regexp_replace(F.regexp_replace(value, edged(FILLERS, True), " "), r"\s+", " "))
-    return F.when(F.length(clean) >= 2, F.substring(clean, 1, 80))
+    return once(clean, lambda c: F.when(F.length(c) >= 2, F.substring(c, 1, 80)))
 
 
 def first_slot(text: Column, patterns) -> Column:
@@ -111,7 +116,7 @@ def first_slot(text: Column, patterns) -> Column:
 
 
 def item(text: Column) -> Column:
-    return first_slot(F.trim(F.regexp_replace(F.regexp_replace(text, "[?.!,]", " "), r"\s+", " ")), ITEMS)
+    return once(F.trim(F.regexp_replace(F.regexp_replace(text, "[?.!,]", " "), r"\s+", " ")), lambda t: first_slot(t, ITEMS))
 
 
 def quantity(text: Column) -> Column:
@@ -130,12 +135,11 @@ def confidence(text: Column) -> Column:
 
 def memory_item(text: Column) -> Column:
     found = [F.trim(F.regexp_replace(F.regexp_extract(F.lower(text), edged(p, True), 1), edged(MEMORY_FILLERS), "")) for p in MEMORY_ITEMS]
-    return F.coalesce(*(F.when(F.length(f) > 1, F.substring(f, 1, 48)) for f in found))
+    return F.coalesce(*(once(x, lambda f: F.when(F.length(f) > 1, F.substring(f, 1, 48))) for x in found))
 
 
 def memory_place(text: Column) -> Column:
-    found = F.trim(F.regexp_extract(F.lower(text), edged(MEMORY_PLACE, True), 1))
-    return F.when(found != "", F.substring(found, 1, 48))
+    return once(F.trim(F.regexp_extract(F.lower(text), edged(MEMORY_PLACE, True), 1)), lambda found: F.when(found != "", F.substring(found, 1, 48)))
 
 
 def intent_override(text: Column, focus: Column, intent: Column, severity: Column, escalate: Column) -> Column:
@@ -166,7 +170,12 @@ def health_plan(text: Column, severity: Column, escalate: Column, seconds: Colum
 
 
 def commerce_plan(act: Column, thing: Column, amount: Column, place: Column, way: Column) -> Column:
-    """(status, next_action, missing): what to ask for, or what can be done."""
+    """(status, next_action, missing): what to ask for, or what can be done. The five parts are made once."""
+    parts = F.struct(act.alias("act"), thing.alias("thing"), amount.alias("amount"), place.alias("place"), way.alias("way"))
+    return once(parts, lambda p: _commerce_plan(p["act"], p["thing"], p["amount"], p["place"], p["way"]))
+
+
+def _commerce_plan(act: Column, thing: Column, amount: Column, place: Column, way: Column) -> Column:
     buying = act.isin("buy", "order")
     lacks = F.filter(F.array(F.when(buying & amount.isNull(), "quantity"), F.when(buying & (way == "delivery") & place.isNull(), "location")), lambda x: x.isNotNull())
     plan = lambda status, do, missing: F.struct(F.lit(status).alias("status"), do.alias("next_action"), missing.alias("missing"))

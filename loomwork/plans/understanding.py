@@ -38,7 +38,7 @@ LANGUAGES, FOCUS = ("tw", "en", "ga"), ("health", "commerce")
 def utterances(t: Tables) -> DataFrame:
     n = F.col("conv_id") * 7 + F.col("turn")
     pick = lambda values, number: F.get(F.array(*map(F.lit, values)), (number % len(values)).cast("int"))
-    return t.conversations.select("conv_id", "turn", F.concat_ws(" ", pick(SENTENCES, n), "text").alias("said"), pick(LANGUAGES, F.col("turn")).alias("language"), pick(FOCUS, F.col("conv_id")).alias("focus"))
+    return t.spread(t.conversations).select("conv_id", "turn", F.concat_ws(" ", pick(SENTENCES, n), "text").alias("said"), pick(LANGUAGES, F.col("turn")).alias("language"), pick(FOCUS, F.col("conv_id")).alias("focus"))
 
 
 def _pick(values, number: str) -> str:
