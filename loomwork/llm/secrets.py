@@ -32,18 +32,26 @@ WORD = "word"
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{6,}")
 #: Words of prose, for the background: runs of letters, with hyphens within and a full stop after.
 PROSE = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z]+(?:-[A-Za-z]+)*\.?(?![A-Za-z0-9+/_.=-])")
-#: Distinct labelled strings of each kind, and words, from which the automata are inferred. Strings are learned and scored whole.
+#: Runs that aren't prose: with a digit or a mark other than a hyphen or a full stop.
+OTHER = "other"
+NOT_PROSE = r"[0-9+/_=]"
+#: Distinct labelled strings of each format, words, and other unlabelled runs, from which the automata are inferred. Strings are
+#: learned and scored whole.
 SAMPLE = 400
 WORDS = 2000
+#: From fewer labelled strings than this nothing is learned.
+LEAST_STRINGS = 8
 #: Shares of the hash that the strings of a kind are ranked in before they are ranked together.
 SALTS = 64
 SMOOTHING = 0.05
-#: Parts of a kind's strings, each measured by an automaton of the others; a labelled cut-off is what 95 of 100 so measured reach.
+#: Parts of a format's strings, each measured by an automaton of the others.
 FOLDS = 4
-#: Of words of prose this share may pass for a credential.
+#: A candidate must reach the mean of what labelled strings so measured gain by a character, less so many of their deviations.
+DEVIATIONS = 2.0
+#: What a candidate with digits or marks must gain in all over the background: odds of ten thousand to one.
+EVIDENCE = math.log(1e4)
+#: Of words of prose this share may pass for a credential of letters alone, or of no format.
 FALSE_WORDS = 1e-7
-#: Fewer labelled strings than this say little of what others reach: a candidate must then also exceed the background.
-FEW = 40
 #: The characters of a candidate, and the end.
 ALPHABET = 69
 CACHE_STRINGS = 400_000
@@ -61,15 +69,38 @@ def base_spans(text: str) -> list[tuple[int, int, int, int]]:
     return sorted(found)
 
 
+_BITS = {c: 1 << (0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3 + "+/_.=-".index(c)) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"}
+_PROSE_BITS = _BITS["a"] | _BITS["A"] | _BITS["-"] | _BITS["."]
+
+
+def shape(string: str) -> int:
+    """A format: which classes of characters a string has (lower case, upper case, digits, each mark), and its length."""
+    classes = 0
+    for c in set(string):
+        classes |= _BITS[c]
+    return len(string) << 9 | classes
+
+
+def like_prose(form: int) -> bool:
+    return not form & 511 & ~_PROSE_BITS
+
+
+def core(run: str) -> str:
+    """A run without the full stops that end a sentence."""
+    return run.rstrip(".")
+
+
 def candidates(text: str, taken: list[tuple[int, int, int, int]]) -> list[tuple[int, int]]:
-    """Candidates' places clear of the base spans, which come in order: both are walked once."""
+    """The places of all candidates, without full stops at their ends, but for those that lie within a base span: these come in order,
+    and both are walked once."""
     out, i, reach = [], 0, 0
     for m in CANDIDATE.finditer(text):
-        while i < len(taken) and taken[i][0] < m.end():
+        start, end = m.start(), m.start() + len(core(m.group()))
+        while i < len(taken) and taken[i][0] <= start:
             reach = max(reach, taken[i][2])
             i += 1
-        if reach <= m.start():
-            out.append(m.span())
+        if end > reach and end - start >= ASSIGN_LENGTH:
+            out.append((start, end))
     return out
 
 
@@ -82,8 +113,10 @@ def runs(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return words.filter(long), arrays.row_of(at)[long.to_numpy(zero_copy_only=False)]
 
 
-def labelled(df: DataFrame, text: str) -> DataFrame:
-    """kind, value: the credentials that the base patterns label, and the words of the texts that have some as `word`."""
+def labelled(df: DataFrame, text: str, sample: int = SAMPLE) -> DataFrame:
+    """kind, form, value, key: the credentials that the base patterns label; the words of the texts that have some as `word`; runs of all
+    texts that are neither as `other`, of each slice and shape those `sample` with the smallest keys. form is the shape, 0 for words;
+    key is a hash."""
 
     def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -92,12 +125,32 @@ def labelled(df: DataFrame, text: str) -> DataFrame:
                 seen = set()
                 for row in texts.filter(pc.match_substring_regex(texts, MAYBE)).to_pylist():
                     if spans := base_spans(row):
-                        seen.update((KINDS[k], row[v:e]) for _, k, e, v in spans)
+                        seen.update((KINDS[k], core(row[v:e])) for _, k, e, v in spans)
                         seen.update((WORD, m.group()) for m in PROSE.finditer(row) if len(m.group()) >= ASSIGN_LENGTH)
-                kinds, got = zip(*seen, strict=True) if seen else ((), ())
-                yield pa.record_batch([pa.array(kinds, pa.string()), pa.array(got, pa.string())], names=["kind", "value"])
-
-    return df.select(F.col(text).cast("string").alias("text")).mapInArrow(values, "kind string, value string")
+                seen = {(k, v) for k, v in seen if len(v) >= ASSIGN_LENGTH}
+                known = {v for _, v in seen}
+                distinct = runs(texts)[0].unique()
+                distinct = distinct.filter(pc.and_(pc.match_substring_regex(distinct, NOT_PROSE), pc.invert(pc.match_substring_regex(distinct, MAYBE))))
+                others = [v for v in dict.fromkeys(map(core, distinct.to_pylist())) if len(v) >= ASSIGN_LENGTH and v not in known]
+                rows = [(k, 0 if k == WORD else shape(v), v) for k, v in [*seen, *((OTHER, v) for v in others)]]
+                kinds, forms, got = zip(*rows, strict=True) if rows else ((), (), ())
+                keys = arrays.hash_strings(pa.array(got, pa.string())).view(np.int64)
+                found = pa.table({"kind": pa.array(kinds, pa.string()), "form": pa.array(forms, pa.int64()), "value": pa.array(got, pa.string()), "key": pa.array(keys)})
+                yield from few(found, sample).to_batches()
+
+    return df.select(F.col(text).cast("string").alias("text")).mapInArrow(values, "kind string, form long, value string, key long")
+
+
+def few(found: pa.Table, sample: int) -> pa.Table:
+    """All rows but those of `other` that are beyond the `sample` smallest keys of their shape."""
+    order = np.lexsort((found.column("key").to_numpy(), found.column("form").to_numpy()))
+    found = found.take(pa.array(order))
+    other = pc.equal(found.column("kind"), OTHER).to_numpy()
+    forms = found.column("form").to_numpy()[other]
+    rank = np.arange(len(forms)) - np.searchsorted(forms, forms)
+    keep = ~other
+    keep[np.flatnonzero(other)[rank < sample]] = True
+    return found.filter(pa.array(keep))
 
 
 def prefix_tree(strings: list[str]) -> tuple[list[dict[str, int]], list[dict[str, int]], list[int]]:
@@ -195,80 +248,116 @@ class Scorer:
 
 
 class Judge:
-    """Whether a string is a secret by a model of train(); distinct strings are scored once while there are few."""
+    """Whether a string, without full stops at its end, is a secret by a model of train(); distinct strings are scored once while there are few."""
 
     def __init__(self, model: dict):
-        self.background = Scorer(model["background"])
-        self.kinds = [(Scorer(k["automaton"]), k["cutoff"], k["least"]) for k in model["kinds"].values()]
+        self.backgrounds = [Scorer(a) for a in model["backgrounds"]]
+        self.formats: dict[int, list[tuple]] = {}
+        self.rest: list[tuple] = []
+        for f in model["formats"]:
+            entry = (Scorer(f["automaton"]), f["cutoff"], f["least"], f["even"])
+            (self.formats.setdefault(f["form"], []) if f["form"] else self.rest).append(entry)
+        self.lengths = {form >> 9 for form in self.formats}
         self.known: dict[str, bool] = {}
 
-    def __call__(self, string: str) -> bool:
+    def __call__(self, run: str) -> bool:
+        string = core(run)
+        if len(string) < ASSIGN_LENGTH or not (self.rest or len(string) in self.lengths):
+            return False
         says = self.known.get(string)
         if says is None:
             if len(self.known) >= CACHE_STRINGS:
                 self.known.clear()
-            back = chance(self.background, string)
-            says = self.known[string] = any(gain >= least and gain / (len(string) + 1) >= cutoff for gain, cutoff, least in ((own(string) - back, c, x) for own, c, x in self.kinds))
+            says = self.known[string] = self._passes(string)
         return says
 
+    def _passes(self, string: str) -> bool:
+        ways = [*self.formats.get(shape(string), ()), *self.rest]
+        if not ways:
+            return False
+        back = max(b(string) for b in self.backgrounds)
+        return any(gain >= least and gain / (len(string) + 1) >= cutoff for gain, cutoff, least in ((own(string) - (max(back, evenly(string)) if even else back), c, x) for own, c, x, even in ways))
+
 
-def chance(background: Scorer, string: str) -> float:
-    """Log probability of a string that is no credential: as prose, or evenly over the alphabet."""
-    return max(background(string), -math.log(ALPHABET) * (len(string) + 1))
+def evenly(string: str) -> float:
+    """Log probability of a string all of whose characters are as likely."""
+    return -math.log(ALPHABET) * (len(string) + 1)
 
 
 def train(df: DataFrame, text: str = "text", sample: int = SAMPLE, words: int = WORDS) -> dict:
-    """Automata of all kinds, fitted on the `sample` distinct strings of each kind with the smallest hashes, with cut-offs.
-
-    A candidate is a secret if, for some kind, its log likelihood exceeds the background's enough: for each character by what 95 of 100
-    labelled strings reach under an automaton that was inferred without them, and in all by more than any but FALSE_WORDS of the words
-    of prose do, which is read from `words` held-out words by the exponential tail of their last tenth. The background is the likelier
-    of an even one over the alphabet and an automaton of the words. No candidate takes part in either, so what is accepted doesn't
-    depend on the other candidates of the corpus. Kinds without examples are not learned. Null texts teach nothing; repeated
-    strings count once. The driver sees automata and one number for each string of the samples.
+    """Automata of all formats, fitted on the `sample` distinct labelled strings of each format with the smallest hashes, with limits.
+
+    A format is a kind of label and a shape: the classes of characters and the length. Formats with fewer than LEAST_STRINGS strings
+    are taken together as the rest of their kind, which fits strings of any shape; if that has too few, nothing is learned from it.
+    A candidate is scored by the automata of its own shape and by those of the rests. It is a secret if its log likelihood exceeds the
+    background's enough: by a character, within DEVIATIONS of what labelled strings reach under an automaton that was inferred without
+    them (wider the fewer they are), and in all by EVIDENCE. The background is the likeliest of an automaton of words of prose and one of
+    unlabelled runs with digits or marks, of the whole corpus, whose shape no labelled string has; so unlabelled credentials of a
+    labelled shape, however many, don't count as background. For formats of letters alone, which words can have, and for the
+    rests, an even distribution over the alphabet is background too, and the gain must exceed what all but FALSE_WORDS of the words of
+    prose reach, read from `words` held-out words by the exponential tail of their last tenth: short strings of letters aren't found.
+
+    Full stops at the end of a string are left out. Null texts teach nothing; repeated strings count once. The driver sees automata, of
+    which there are as many as shapes with LEAST_STRINGS labelled strings, and one number for each string of the samples.
     """
     order = ["key", "value"]
-    salted = labelled(df, text).distinct().withColumn("key", F.xxhash64("value")).withColumn("salt", F.pmod("key", F.lit(SALTS)))
+    salted = labelled(df, text, sample).distinct().withColumn("group", F.col("form")).withColumn("salt", F.pmod("key", F.lit(SALTS)))
     most = F.when(F.col("kind") == WORD, words).otherwise(sample)
-    first = salted.withColumn("rank", F.row_number().over(Window.partitionBy("kind", "salt").orderBy(*order))).filter(F.col("rank") <= most)
-    ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy("kind").orderBy(*order))).filter(F.col("rank") <= most)
-    picked = common.table(ranked.select("kind", "value", (F.col("rank") % FOLDS).alias("fold")), "labelled")
-
-    def fit(group: pd.DataFrame) -> pd.DataFrame:
-        kind, left = group["kind"].iloc[0], group["left"].iloc[0]
-        return pd.DataFrame({"kind": [kind], "left": [left], "automaton": [json.dumps(infer(sorted(group["value"])))]})
-
-    parts = picked.select("kind", "value", "fold", F.explode(F.array(*map(F.lit, range(-1, FOLDS)))).alias("left")).filter("fold <> left")
-    fitted = {(r.kind, r.left): json.loads(r.automaton) for r in parts.groupBy("kind", "left").applyInPandas(fit, "kind string, left int, automaton string").collect()}
+    first = salted.withColumn("rank", F.row_number().over(Window.partitionBy("kind", "group", "salt").orderBy(*order))).filter(F.col("rank") <= most)
+    ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy("kind", "group").orderBy(*order))).filter(F.col("rank") <= most)
+    ranked = common.table(ranked.select("kind", "group", "key", "value"), "ranked")
+    credential, columns = F.col("kind").isin(*KINDS), ["kind", "group", "key", "value"]
+    sizes = ranked.filter(credential).groupBy("kind", "group").agg(F.count(F.lit(1)).alias("n"))
+    formats = common.table(sizes.filter(F.col("n") >= LEAST_STRINGS).select("kind", "group"), "formats")
+    own = ranked.filter(credential).join(F.broadcast(formats), ["kind", "group"], "left_semi")
+    rest = ranked.filter(credential).join(F.broadcast(formats), ["kind", "group"], "left_anti")
+    beside = ranked.filter(~credential).join(F.broadcast(sizes.select("group").distinct()), "group", "left_anti")  # no word has a shape
+    every = own.select(*columns).unionByName(rest.unionByName(beside).withColumn("group", F.lit(0).cast("long")).select(*columns))
+    placed = every.withColumn("rank", F.row_number().over(Window.partitionBy("kind", "group").orderBy(*order))).withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("kind", "group")))
+    enough = ~credential | (F.col("size") >= LEAST_STRINGS)
+    picked = common.table(placed.filter(enough & (F.col("rank") <= F.when(credential, sample).otherwise(words))).select("kind", "group", "value", (F.col("rank") % FOLDS).alias("fold")), "labelled")
+
+    def fit(rows: pd.DataFrame) -> pd.DataFrame:
+        first = rows[["kind", "group", "left"]].iloc[:1].reset_index(drop=True)
+        return first.assign(automaton=json.dumps(infer(sorted(rows["value"]))))
+
+    parts = picked.select("kind", "group", "value", "fold", F.explode(F.array(*map(F.lit, range(-1, FOLDS)))).alias("left")).filter("fold <> left")
+    fitted = {(r.kind, r.group, r.left): json.loads(r.automaton) for r in parts.groupBy("kind", "group", "left").applyInPandas(fit, "kind string, group long, left int, automaton string").collect()}
     nothing = [[{}, 0]]
-    whole = {kind: fitted.get((kind, -1), nothing) for kind in (*KINDS, WORD)}
+    learned = sorted((k, g) for k, g, left in fitted if left == -1 and k in KINDS)
+    backgrounds = [fitted.get((k, 0, -1), nothing) for k in (WORD, OTHER)]
+    wordy = [x for x in learned if like_prose(x[1])]  # words can be of these formats, among them the rests
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        without = {k: Scorer(a) for k, a in fitted.items()}
-        full = {k: Scorer(a) for k, a in whole.items()}
+        scorers = {x: Scorer(a) for x, a in fitted.items()}
+        word, other = map(Scorer, backgrounds)
         for batch in batches:
             out = []
-            for kind, value, fold in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for kind, form, value, fold in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if kind == WORD:
-                    back = chance(without.get((WORD, fold), full[WORD]), value)
-                    out += [(k, False, full[k](value) - back) for k in KINDS if (k, -1) in fitted]
-                else:
-                    gain = without.get((kind, fold), full[kind])(value) - chance(full[WORD], value)
-                    out.append((kind, True, gain / (len(value) + 1)))
-            yield pa.record_batch([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.string(), pa.bool_(), pa.float64()))], names=["kind", "own", "gain"])
+                    back = max(scorers.get((WORD, 0, fold), word)(value), other(value), evenly(value))
+                    out += [(k, g, False, scorers[k, g, -1](value) - back) for k, g in wordy]
+                elif kind != OTHER:
+                    back = max(word(value), other(value), *([evenly(value)] if like_prose(form) else []))
+                    gain = scorers.get((kind, form, fold), scorers[kind, form, -1])(value) - back
+                    out.append((kind, form, True, gain / (len(value) + 1)))
+            yield pa.record_batch([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.string(), pa.int64(), pa.bool_(), pa.float64()))], names=["kind", "group", "own", "gain"])
 
     gains: dict[tuple, list[float]] = {}
-    for r in picked.mapInArrow(measure, "kind string, own boolean, gain double").collect():
-        gains.setdefault((r.kind, r.own), []).append(r.gain)
-    model = {"background": whole[WORD], "kinds": {}}
-    for kind in KINDS:
-        if (kind, -1) in fitted:
-            reached, others = sorted(gains[kind, True]), sorted(gains.get((kind, False), []))
-            cutoff = reached[len(reached) // 20]
-            model["kinds"][kind] = {"automaton": whole[kind], "cutoff": cutoff if len(reached) >= FEW else max(cutoff, 0.0), "least": tail(others, FALSE_WORDS)}
+    for r in picked.mapInArrow(measure, "kind string, group long, own boolean, gain double").collect():
+        gains.setdefault((r.kind, r.group, r.own), []).append(r.gain)
+    model = {"backgrounds": backgrounds, "formats": []}
+    for kind, form in learned:
+        least = tail(sorted(gains.get((kind, form, False), [])), FALSE_WORDS) if like_prose(form) else EVIDENCE
+        model["formats"].append({"kind": kind, "form": form, "automaton": fitted[kind, form, -1], "cutoff": lower(gains[kind, form, True]), "least": max(least, EVIDENCE), "even": like_prose(form)})
     return model
 
 
+def lower(values: list[float]) -> float:
+    """What all but a few more such values reach: DEVIATIONS below their mean, as a new value is spread about the mean of so many."""
+    return float(np.mean(values) - DEVIATIONS * np.std(values, ddof=1) * math.sqrt(1 + 1 / len(values)))
+
+
 def tail(values: list[float], share: float) -> float:
     """What `share` of such values (sorted) exceed, by an exponential tail beyond their last tenth; without values nothing."""
     if not values:

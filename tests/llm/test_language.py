@@ -85,6 +85,9 @@ def test_cases(cases, clashing, empty):
     for df in (cases, clashing, empty):
         out = language.predict(df, language.train(df))
         assert out.count() == df.count()
+    model = language.train(cases)
+    as_rows = lambda df: sorted((repr((r.doc_id, r.text, r.lang_pred, r.score, r.bits_per_letter, r.lang_rejected)) for r in df.collect()))
+    assert as_rows(language.predict(clashing, language.train(clashing))) == as_rows(language.predict(cases, model))
     nothing = language.predict(cases, language.train(empty))
     assert {r.lang_pred for r in nothing.collect()} == {"und"}
 

@@ -8,6 +8,8 @@ import random
 import re
 import string
 
+import pytest
+
 from loomwork.llm import secrets
 
 ASSIGN = re.compile(r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -69,6 +71,10 @@ def test_cases(cases, clashing, empty):
         found, cleaned = secrets.scan(df, model), secrets.redact(df, model)
         assert found.count() == cleaned.count() == df.count()
         assert cleaned.columns == df.columns
+    as_rows = lambda df: sorted(((r.doc_id, r.text, str(r.secrets)) for r in df.collect()), key=repr)
+    model = secrets.train(cases)
+    assert secrets.train(clashing) == model and as_rows(secrets.scan(clashing, model)) == as_rows(secrets.scan(cases, model))
+    assert all(r.secrets == [] for r in secrets.scan(cases.filter("text is null or text = ''"), model).collect())
     clean = secrets.redact(cases, secrets.train(cases)).select("doc_id", "text")
     assert clean.filter("text is null").count() == 1
     assert clean.exceptAll(cases.select("doc_id", "text")).count() <= 2  # long runs of letters and digits alone may be taken for keys
@@ -93,24 +99,70 @@ def plain_score(automaton: list, text: str) -> float:
 
 
 def test_added_spans_by_a_plain_scorer(spark):
-    """Every candidate of every text is scored whole, whatever its length, letters and dots; those that touch a base span are left out."""
+    """Every candidate of every text is scored whole, whatever its length, letters and dots; those within a base span are left out."""
     rng = random.Random(8)
     key = lambda n: "k." + "".join(rng.choice("XYZ789") for _ in range(n))
     words = [f"{a}{b}{c}" for a in ("spring", "river", "stone") for b in ("time", "side", "field") for c in ("", "s", "less", "-bound.")]
-    texts = [f"set token={key(rng.randrange(10, 120))} for the {rng.choice(words)} of {rng.choice(words)}" for _ in range(120)]
-    texts += [f"left {key(rng.randrange(4, 150))}, {''.join(rng.choice('XYZ') for _ in range(30))} {rng.choice(words)}\n{key(40)}é{rng.choice(words)}" for _ in range(60)]
-    texts += [f"password={key(9)}/{key(30)} token: {key(8)}", " ".join(words), None, "x" * 5000, key(3000)]
+    texts = [f"set token={key(rng.choice((20, 30, rng.randrange(10, 120))))} for the {rng.choice(words)} of {rng.choice(words)}" for _ in range(160)]
+    texts += [f"left {key(rng.choice((20, 30)))}, {''.join(rng.choice('XYZ') for _ in range(30))} {rng.choice(words)} 2024-01-{i:02} \n{key(30)}.é{rng.choice(words)}" for i in range(60)]
+    texts += [f"password={key(9)}/{key(30)} token: {key(8)}", f"{key(3)}/token={key(30)}", "+" + "0123456789abcdef" * 2 + "+/", " ".join(words), None, "x" * 5000]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     model = secrets.train(df)
+    shape = lambda x: (len(x), frozenset("a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else c for c in x))
+    forms = {secrets.shape(key(n)): shape(key(n)) for n in (20, 30)}
+    assert {f["form"] for f in model["formats"]} == {0, *forms}
     added = 0
     for r in secrets.scan(df, model).collect():
         taken = [(s, e) for s, _, e in base(r.text)]
         want = []
         for m in re.finditer(r"[A-Za-z0-9+/_.=-]{6,}", r.text or ""):
-            back = max(plain_score(model["background"], m[0]), -math.log(secrets.ALPHABET) * (len(m[0]) + 1))
-            gains = [(plain_score(k["automaton"], m[0]) - back, k) for k in model["kinds"].values()]
-            if any(g >= k["least"] and g / (len(m[0]) + 1) >= k["cutoff"] for g, k in gains) and not any(s < m.end() and m.start() < e for s, e in taken):
-                want.append(m.span())
+            run = m[0].rstrip(".")
+            back, even = max(plain_score(b, run) for b in model["backgrounds"]), -math.log(secrets.ALPHABET) * (len(run) + 1)
+            fits = [f for f in model["formats"] if not f["form"] or forms[f["form"]] == shape(run)]
+            gains = [(plain_score(f["automaton"], run) - (max(back, even) if f["even"] else back), f) for f in fits]
+            within = any(s <= m.start() and m.start() + len(run) <= e for s, e in taken)
+            if len(run) >= 6 and not within and any(g >= f["least"] and g / (len(run) + 1) >= f["cutoff"] for g, f in gains):
+                want.append((m.start(), m.start() + len(run)))
         assert [(x.start, x.end) for x in r.secrets if x.kind == secrets.GRAMMAR] == want
         added += len(want)
     assert added >= 100
+
+
+FORMATS = {
+    "lower and digits": lambda r: "".join(r.choice(string.ascii_lowercase + string.digits) for _ in range(32)),
+    "base62": lambda r: "".join(r.choice(string.ascii_letters + string.digits) for _ in range(32)),
+    "prefix": lambda r: "ghp_" + "".join(r.choice(string.ascii_letters + string.digits) for _ in range(36)),
+    "two prefixes": lambda r: "sk-live-" + "".join(r.choice(string.ascii_letters + string.digits) for _ in range(24)),
+    "base32": lambda r: "".join(r.choice(string.ascii_uppercase + "234567") for _ in range(26)),
+    "upper and digits": lambda r: "".join(r.choice(string.ascii_uppercase + string.digits) for _ in range(20)),
+    "hex": lambda r: "".join(r.choice("0123456789abcdef") for _ in range(20)),
+    "uuid": lambda r: "-".join("".join(r.choice("0123456789abcdef") for _ in range(n)) for n in (8, 4, 4, 4, 12)),
+}
+
+
+@pytest.mark.parametrize("labels", [500, 25])
+def test_common_formats(spark, sf_dir, labels):
+    """Of each format fresh strings without a label are found, even with many more of them than labelled ones, and prose is left alone."""
+    rng = random.Random(21)
+    docs = [r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()]
+    rows = list(docs)
+    for make in FORMATS.values():
+        rows += [f'{rng.choice(docs)[:300]} token: "{make(rng)}" and {rng.choice(docs)[:200]}' for _ in range(labels)]
+    planted = {}
+    for name, make in FORMATS.items():
+        for _ in range(100):
+            key = make(rng)
+            planted[len(rows)] = (name, key)
+            rows.append(f"some words before {key}. And some after")
+    found = secrets.scan(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(4), secrets.train(spark.createDataFrame([(x,) for x in rows], "text string").repartition(4)))
+    hits, words, wrong = dict.fromkeys(FORMATS, 0), 0, 0
+    for r in found.collect():
+        added = [r.text[x.start : x.end] for x in r.secrets if x.kind == secrets.GRAMMAR]
+        if r.doc_id in planted:
+            name, key = planted[r.doc_id]
+            hits[name] += added == [key]
+        elif r.doc_id < len(docs):
+            words += len(r.text.split())
+            wrong += len(added)
+    assert all(n >= 90 for n in hits.values()), hits
+    assert wrong <= 1e-5 * words
