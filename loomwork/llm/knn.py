@@ -14,16 +14,19 @@ from loomwork.llm import common
 SCALE = 256
 #: Pivots are this many vectors at most, and about one for ROWS_A_PIVOT vectors; they come from a sample of PIVOT_SAMPLE rows for each, as expected.
 MAX_PIVOTS = 16_384
-ROWS_A_PIVOT = 400
+ROWS_A_PIVOT = 50
 PIVOT_SAMPLE = 4
 #: A row looks for its pivot near one of a FANOUT-th of them.
 FANOUT = 64
-#: Data rows and queries that a local search holds; larger cells, and cells with more queries, are split.
+#: Data rows and queries that a local search holds: a block is cells that lie near one another, together about so many rows; larger
+#: cells, and blocks with more queries, are split.
 BLOCK_ROWS = 20_000
 QUERY_ROWS = 20_000
 #: Scores are exact in double precision while the products stay below 2^53, else integer arithmetic is used.
 EXACT = float(1 << 53)
 QUERIES_AT_ONCE = 256
+#: Queries that need this share of a block's cells get the whole block at once: one product instead of many small ones.
+DENSE = 0.25
 NO_SCORE = np.iinfo(np.int64).min
 
 
@@ -55,18 +58,28 @@ class Cells:
     def _nearest(self, x: np.ndarray, among: np.ndarray) -> np.ndarray:
         return (self.norms[among] ** 2 - 2 * x @ self.pivots[among].T).argmin(axis=1)
 
-    def place(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """A pivot for each row, the nearest of those around the nearest coarse one, and the distance from it."""
+    def place(self, x: np.ndarray) -> tuple[np.ndarray, ...]:
+        """A pivot for each row, the nearest of those around the nearest coarse one, the distance from it, the row's length and its
+        angle to the pivot (pi where one is zero)."""
         coarse, cell = self._nearest(x, np.arange(len(self.members))), np.zeros(len(x), np.int64)
         for c in np.unique(coarse):
             rows = np.flatnonzero(coarse == c)
             cell[rows] = self.members[c][self._nearest(x[rows], self.members[c])]
-        return cell, np.sqrt(((x - self.pivots[cell]) ** 2).sum(axis=1))
-
-    def summarise(self, far: dict[int, float], nearest: list[tuple]) -> None:
-        """far: each filled cell's largest distance. nearest: (cell, key, distance), k + 1 keys of each cell at most."""
-        self.filled = np.array(sorted(far), np.int64)
-        self.radius = np.array([far[c] for c in self.filled])
+        length = np.sqrt((x**2).sum(axis=1))
+        return cell, np.sqrt(((x - self.pivots[cell]) ** 2).sum(axis=1)), length, angles((x * self.pivots[cell]).sum(axis=1), length * self.norms[cell])
+
+    def summarise(self, sizes: dict[int, tuple], nearest: list[tuple], block_rows: int) -> None:
+        """sizes: each filled cell's rows, largest distance, largest length and widest angle. nearest: (cell, key, distance), k + 1 keys
+        of each cell at most. Cells around one coarse pivot, one after another, make blocks of about block_rows rows."""
+        self.filled = np.array(sorted(sizes), np.int64)
+        self.radius, self.longest, self.widest = (np.array([sizes[c][i] for c in self.filled.tolist()], np.float64) for i in (1, 2, 3))
+        near = np.zeros(len(self.pivots), np.int64)
+        for i, m in enumerate(self.members):
+            near[m] = i
+        order = np.lexsort((self.filled, near[self.filled]))
+        rows = np.array([sizes[c][0] for c in self.filled[order].tolist()], np.int64)
+        self.block = np.zeros(len(self.filled), np.int64)
+        self.block[order] = (np.cumsum(rows) - 1) // block_rows
         number = {c: i for i, c in enumerate(self.filled.tolist())}
         nearest = sorted(nearest, key=lambda e: e[0])
         self.entry_cell = np.array([number[e[0]] for e in nearest], np.int64)
@@ -95,20 +108,31 @@ class Cells:
                 break
         return np.flatnonzero(to + reach * others + norm * self.radius + slack >= bound)
 
-    def of_query(self, q: np.ndarray, own, cells: np.ndarray, entries: np.ndarray, k: int) -> np.ndarray:
-        """Of `cells`, with their entries, those that can hold one of the k best vectors of the query itself."""
+    def of_query(self, q: np.ndarray, own, cells: np.ndarray, entries: np.ndarray, k: int, reached: float = -np.inf) -> np.ndarray:
+        """Of `cells`, with their entries, those that can hold one of the k best vectors of the query itself, of which all k are known
+        to score `reached` at least."""
         to, norm = self.pivots[self.filled[cells]] @ q, np.sqrt((q**2).sum())
         slack = 1e-9 * (np.abs(to) + norm * self.radius[cells]) + 1e-6
         at = np.searchsorted(cells, self.entry_cell[entries])
         low = to[at] - norm * self.entry_far[entries] - slack[at]
         bound, keys = -np.inf, set()
-        for i in np.argsort(-low):
+        first = np.argpartition(-low, min(4 * k, len(low) - 1))[: 4 * k] if len(low) > 4 * k else np.arange(len(low))
+        for i in [*first[np.argsort(-low[first])], *([] if len(first) == len(low) else np.argsort(-low))]:  # the second only if keys repeat
             if (key := self.entry_key[entries[i]]) != own:
                 keys.add(key)
                 if len(keys) == k:
                     bound = low[i]
                     break
-        return cells[to + norm * self.radius[cells] + slack >= bound]
+        apart = np.maximum(angles(to, norm * self.norms[self.filled[cells]]) - self.widest[cells], 0.0)
+        unsure = self.norms[self.filled[cells]] == 0
+        turned = norm * self.longest[cells] * np.where(unsure, 1.0, np.cos(apart))
+        high = np.minimum(to + norm * self.radius[cells], np.where(turned > 0, turned, np.inf))
+        return cells[high + slack + 1e-9 * norm * self.longest[cells] >= max(bound, reached)]
+
+
+def angles(product: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Angles from inner products and products of lengths; pi where a length is zero."""
+    return np.where(lengths > 0, np.arccos(np.clip(product / np.where(lengths > 0, lengths, 1.0), -1.0, 1.0)), np.pi)
 
 
 def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -141,9 +165,11 @@ def top_k(df: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id", co
     from 1. Extra columns are dropped.
 
     Data and queries are grouped by pivots. A group of queries gets its cells from the summaries alone (Cells.of_group()): those whose
-    upper bound of scores reaches the (k + 1)-th best lower bound; each query keeps those of them that its own bounds leave, and is
-    sent to these. Cells are split into blocks of rows and of queries, searched by matrix products, and the blocks' results are
-    merged. Pivots and summaries are all that the driver sees: MAX_PIVOTS rows, with k + 1 keys each.
+    upper bound of scores reaches the (k + 1)-th best lower bound; each query keeps those of them that its own bounds leave, by
+    distance from the pivot and by angle and length, once the best of its own cell are known. Neighbouring cells make blocks; a query goes once to each block that has some of
+    its cells, with their list, so at most queries x blocks rows are written. Blocks are searched by matrix products, cell by cell
+    unless most cells are asked for, and their results are merged. Pivots and summaries are all that the driver sees: MAX_PIVOTS
+    rows, with k + 1 keys each. Where vectors are spread evenly, bounds leave nearly all cells, and the search is one of all pairs.
     """
     spark = df.sparkSession
     data = common.table(vectors(df, key, column, scale), "vectors")
@@ -161,57 +187,98 @@ def top_k(df: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id", co
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
-                cell, far = cells.place(matrix(part.column("v"), width))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(cell.astype(np.int32)), pa.array(far)], names=["vec_id", "v", "cell", "far"])
+                cell, *facts = cells.place(matrix(part.column("v"), width))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(cell.astype(np.int32)), *map(pa.array, facts)], names=["vec_id", "v", "cell", "far", "length", "angle"])
 
-    placed, groups = (common.table(x.mapInArrow(assign, f"vec_id {key_type}, v array<long>, cell int, far double"), name) for x, name in ((data, "cells"), (asked, "groups")))
+    assigned = f"vec_id {key_type}, v array<long>, cell int, far double, length double, angle double"
+    placed, groups = (common.table(x.mapInArrow(assign, assigned), name) for x, name in ((data, "cells"), (asked, "groups")))
     closest = placed.groupBy("cell", "vec_id").agg(F.min("far").alias("far"))
     nearest = closest.withColumn("r", F.row_number().over(Window.partitionBy("cell").orderBy("far", "vec_id"))).filter(F.col("r") <= k + 1).collect()
-    sizes = {r["cell"]: (r["far"], r["n"]) for r in placed.groupBy("cell").agg(F.max("far").alias("far"), F.count(F.lit(1)).alias("n")).collect()}
-    cells.summarise({c: far for c, (far, _) in sizes.items()}, [(r["cell"], r["vec_id"], r["far"]) for r in nearest])
+    summary = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("far"), F.max("length").alias("length"), F.max("angle").alias("angle"))
+    sizes = {r["cell"]: (r["n"], r["far"], r["length"], r["angle"]) for r in summary.collect()}
+    cells.summarise(sizes, [(r["cell"], r["vec_id"], r["far"]) for r in nearest], BLOCK_ROWS)
     reach = {r["cell"]: (r["far"], r["n"]) for r in groups.groupBy("cell").agg(F.max("far").alias("far"), F.count(F.lit(1)).alias("n")).collect()}
 
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, own, entries = None, np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
-                rows, hit = [], []
-                for i, (q, key, cell) in enumerate(zip(matrix(part.column("v"), width), part.column("vec_id").to_pylist(), part.column("cell").to_pylist(), strict=True)):
-                    if cell != group:
-                        group, own = cell, cells.of_group(cell, reach[cell][0], k)
-                        entries = cells.entries_of(own)
-                    found = cells.of_query(q, key, own, entries, k)
-                    rows.append(np.full(len(found), i))
-                    hit.append(cells.filled[found])
-                chosen = part.take(pa.array(np.concatenate(rows)))
-                yield pa.RecordBatch.from_arrays([chosen.column("vec_id"), chosen.column("v"), pa.array(np.concatenate(hit).astype(np.int32))], names=["query_id", "v", "cell"])
-
-    salts = F.broadcast(spark.createDataFrame([(c, -(-n // QUERY_ROWS)) for c, (_, n) in reach.items()], "cell int, salts int"))
-    lined = groups.join(salts, "cell").withColumn("salt", F.pmod(F.xxhash64("vec_id", "v"), "salts")).repartition("cell", "salt").sortWithinPartitions("cell").select("vec_id", "v", "cell")
-    routed = common.table(lined.mapInArrow(route, f"query_id {key_type}, v array<long>, cell int"), "routed")
-    asking = {r["cell"]: r["n"] for r in routed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
-    plan = F.broadcast(spark.createDataFrame([(c, -(-sizes[c][1] // BLOCK_ROWS), -(-n // QUERY_ROWS)) for c, n in asking.items()], "cell int, blocks int, parts int"))
-    routed = routed.withColumn("asked", F.xxhash64("v")).join(plan, "cell")
-    routed = routed.withColumn("part", F.pmod(F.xxhash64("query_id", "v"), "parts").cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    blocked = placed.select("vec_id", "v", "cell").join(plan, "cell")
-    blocked = blocked.withColumn("block", F.pmod(F.xxhash64("vec_id"), "blocks").cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    place = ["cell", "block", "part"]
+    block_of = F.broadcast(spark.createDataFrame(list(zip(cells.filled.tolist(), cells.block.tolist(), strict=True)), "cell int, block int"))
+    held: dict[int, int] = {}
+    for c, b in zip(cells.filled.tolist(), cells.block.tolist(), strict=True):
+        held[b] = held.get(b, 0) + sizes[c][0]
+    place = ["block", "run", "part"]
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
+        right = right.sort_by("cell")
         ids, x, out = right.column("vec_id").to_numpy(), matrix(right.column("v"), width), []
+        here, first = np.unique(right.column("cell").to_numpy(), return_index=True)
+        ends = np.append(first, len(ids))
         for at in range(0, left.num_rows if len(ids) else 0, QUERIES_AT_ONCE):
             own = left.slice(at, QUERIES_AT_ONCE)
-            scores = products(matrix(own.column("v"), width), x)
-            row, found = best(scores, ids, own.column("query_id").to_numpy(), k)
+            q, keys = matrix(own.column("v"), width), own.column("query_id").to_numpy()
+            lists = own.column("wanted").combine_chunks()
+            row, cell = np.repeat(np.arange(own.num_rows), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy()
+            if len(cell) >= DENSE * own.num_rows * len(here):
+                scores = products(q, x)
+                row, found = best(scores, ids, keys, k)
+                score = scores[row, found]
+            else:
+                some = []
+                order = np.argsort(cell, kind="stable")
+                row, cell = row[order], cell[order]
+                for c in np.intersect1d(cell, here):
+                    asks = row[np.searchsorted(cell, c) : np.searchsorted(cell, c, side="right")]
+                    a, b = ends[np.searchsorted(here, c) : np.searchsorted(here, c) + 2]
+                    scores = products(q[asks], x[a:b])
+                    r, f = best(scores, ids[a:b], keys[asks], k)
+                    some.append((asks[r], a + f, scores[r, f]))
+                row, found, score = (np.concatenate([s[i] for s in some]) if some else np.zeros(0, np.int64) for i in range(3))
+                order = np.lexsort((np.unique(ids, return_inverse=True)[1][found], -score, row))
+                row, found, score = row[order], found[order], score[order]
+                kept = np.arange(len(row)) - np.searchsorted(row, row) < k
+                row, found, score = row[kept], found[kept], score[kept]
             taken = own.select(["query_id", "asked"]).take(pa.array(row))
-            out.append(taken.append_column("vec_id", right.column("vec_id").take(pa.array(found))).append_column("score", pa.array(scores[row, found])))
+            out.append(taken.append_column("vec_id", right.column("vec_id").take(pa.array(found))).append_column("score", pa.array(score)))
         none = left.slice(0, 0).select(["query_id", "asked"])
         return pa.concat_tables(out) if out else none.append_column("vec_id", right.column("vec_id").slice(0, 0)).append_column("score", pa.array([], pa.int64()))
 
-    found = routed.select("query_id", "asked", "v", *place).groupBy(*place).cogroup(blocked.select("vec_id", "v", *place).groupBy(*place)).applyInArrow(search, f"query_id {key_type}, asked long, vec_id {key_type}, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id", "asked").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    def answers(routed: DataFrame) -> DataFrame:
+        """The best of each query's wanted cells, from rows of query_id, v, block and wanted."""
+        asking = {r["block"]: r["n"] for r in routed.groupBy("block").agg(F.count(F.lit(1)).alias("n")).collect()}
+        plan = F.broadcast(spark.createDataFrame([(b, -(-held[b] // (2 * BLOCK_ROWS)), -(-n // QUERY_ROWS)) for b, n in asking.items()], "block int, runs int, parts int"))
+        left = routed.withColumn("asked", F.xxhash64("v")).join(plan, "block").withColumn("part", F.pmod(F.xxhash64("query_id", "v"), "parts").cast("int"))
+        left = left.withColumn("run", F.explode(F.sequence(F.lit(0), F.col("runs") - 1)))
+        right = placed.select("vec_id", "v", "cell").join(block_of, "cell").join(plan, "block").withColumn("run", F.pmod(F.xxhash64("vec_id"), "runs").cast("int"))
+        right = right.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        pairs = left.select("query_id", "asked", "v", "wanted", *place).groupBy(*place).cogroup(right.select("vec_id", "v", "cell", *place).groupBy(*place))
+        found = pairs.applyInArrow(search, f"query_id {key_type}, asked long, vec_id {key_type}, score long")
+        rank = F.row_number().over(Window.partitionBy("query_id", "asked").orderBy(F.desc("score"), "vec_id"))
+        return found.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, own, entries = None, np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                rows, blocks, lists = [], [], []
+                for i, (q, key, cell, score) in enumerate(zip(matrix(part.column("v"), width), *(part.column(c).to_pylist() for c in ("vec_id", "cell", "reached")), strict=True)):
+                    if cell != group:
+                        group, own = cell, cells.of_group(cell, reach[cell][0], k)
+                        entries = cells.entries_of(own)
+                    known = -np.inf if score is None else score - 1e-9 * abs(score)
+                    found = cells.of_query(q, key, own, entries, k, known)
+                    found = found[np.argsort(cells.block[found], kind="stable")]
+                    block, first = np.unique(cells.block[found], return_index=True)
+                    rows += [i] * len(block)
+                    blocks += block.tolist()
+                    lists += np.split(cells.filled[found].astype(np.int32), first[1:]) if len(block) else []
+                chosen = part.take(pa.array(rows, pa.int64()))
+                yield pa.RecordBatch.from_arrays([chosen.column("vec_id"), chosen.column("v"), pa.array(blocks, pa.int32()), pa.array(lists, pa.list_(pa.int32()))], names=["query_id", "v", "block", "wanted"])
+
+    beside = groups.join(block_of, "cell").select(F.col("vec_id").alias("query_id"), "v", "block", F.array("cell").alias("wanted"))
+    reached = answers(common.table(beside, "beside")).filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), "asked", F.col("score").cast("double").alias("reached"))
+    salts = F.broadcast(spark.createDataFrame([(c, -(-n // QUERY_ROWS)) for c, (_, n) in reach.items()], "cell int, salts int"))
+    lined = groups.withColumn("asked", F.xxhash64("v")).join(reached, ["vec_id", "asked"], "left").join(salts, "cell").withColumn("salt", F.pmod(F.xxhash64("vec_id", "v"), "salts"))
+    lined = lined.repartition("cell", "salt").sortWithinPartitions("cell").select("vec_id", "v", "cell", "reached")
+    routed = common.table(lined.mapInArrow(route, f"query_id {key_type}, v array<long>, block int, wanted array<int>"), "routed")
+    return answers(routed).select("query_id", "rank", "vec_id", "score")
 
 
 def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

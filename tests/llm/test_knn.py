@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 import random
 
+import numpy as np
+import pytest
 from compare import same
 from pyspark.sql import functions as F
 
@@ -57,6 +59,44 @@ def test_repeated_ids(spark, monkeypatch):
     assert got == brute(rows, list(asked.values()), 5)
 
 
+def searched(x, asked, k=5, rows_a_pivot=knn.ROWS_A_PIVOT):
+    """The share of rows in the cells that queries keep, and the blocks that they go to."""
+    x = np.floor(x * knn.SCALE)
+    cells = knn.Cells(x[np.random.default_rng(1).permutation(len(x))[: max(1, len(x) // rows_a_pivot)]])
+    cell, far, length, angle = cells.place(x)
+    some = np.unique(cell).tolist()
+    sizes = {c: (int((cell == c).sum()), *(float(f[cell == c].max()) for f in (far, length, angle))) for c in some}
+    nearest = [(c, int(i), float(far[i])) for c in some for i in np.flatnonzero(cell == c)[np.argsort(far[cell == c], kind="stable")][: k + 1]]
+    cells.summarise(sizes, nearest, 500)
+    share = blocks = 0.0
+    for q in asked:
+        own = cells.of_group(int(cell[q]), float(far[[a for a in asked if cell[a] == cell[q]]].max()), k)
+        beside = np.sort((x @ x[q])[(cell == cell[q]) & (np.arange(len(x)) != q)])
+        kept = cells.of_query(x[q], q, own, cells.entries_of(own), k, beside[-k] if len(beside) >= k else -np.inf)
+        inside = np.isin(cell, cells.filled[kept])
+        scores = np.delete(x @ x[q], q)
+        assert np.isin(np.delete(np.arange(len(x)), q)[scores > np.sort(scores)[-k]], np.flatnonzero(inside)).all()
+        share, blocks = share + inside.mean() / len(asked), blocks + len(np.unique(cells.block[kept])) / len(asked)
+    return share, blocks / (cells.block.max() + 1)
+
+
+@pytest.mark.parametrize(("spread", "most"), [(0.05, 0.06), (0.1, 0.12), (0.2, 0.2)])
+def test_bounds_prune_clusters(spread, most):
+    rng = np.random.default_rng(7)
+    centre = rng.standard_normal((50, 64))
+    x = centre[rng.integers(0, 50, 12_000)] + spread * rng.standard_normal((12_000, 64))
+    share, blocks = searched(x, range(0, 12_000, 400))
+    assert share <= most and blocks <= 1
+
+
+def test_bounds_hold_anywhere():
+    """Zero vectors, zero pivots, opposite and long vectors: no row that could matter is left out."""
+    rng = np.random.default_rng(8)
+    x = np.vstack([rng.standard_normal((300, 6)) * rng.choice([0.01, 1, 50], 300)[:, None], np.zeros((40, 6)), -np.ones((40, 6)), np.ones((40, 6)) * 3])
+    for rows_a_pivot in (2, 10, 100, 1000):
+        searched(x, range(0, len(x), 7), rows_a_pivot=rows_a_pivot)
+
+
 def test_few_rows(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0]), (50, [0.5, 0.25])], "vec_id long, embedding array<float>")
     assert sorted(tuple(r) for r in knn.top_k(df, df).collect()) == [(0, 1, 50, 128 * 256 + 64 * 512), (50, 1, 0, 128 * 256 + 64 * 512)]
