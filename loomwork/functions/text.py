@@ -41,6 +41,17 @@ def nfkc(text: Column | str) -> Column:
     return _composed(text, _nfkc)
 
 
+def once(value: Column, f) -> Column:
+    """f(value), with value made once however often f names it: as the only element of an array that f works on."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def replaced(text: Column, pattern: str, f) -> Column:
+    """text with every match of the pattern (never an empty one) replaced by f(its group 1)."""
+    found = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), f)
+    return F.array_join(F.zip_with(F.split(text, pattern, -1), F.array_append(found, F.lit("")), lambda piece, said: F.concat(piece, said)), "")
+
+
 def squeezed(text: Column) -> Column:
     """Single spaces for white space of any kind, none at the edges."""
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))

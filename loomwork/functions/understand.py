@@ -11,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from loomwork.functions.checks import EDGE, weak_signal
+from loomwork.functions.text import once
 
 #: The patterns of danger signs, intents, actions, slots and buckets.
 PREGNANCY = r"\b(pregnan|nyinsɛn|nyinsen|yafunu)\b"
@@ -100,11 +101,6 @@ def fulfilment(text: Column) -> Column:
     return first_rule(text, FULFILMENT, "unknown", any_case=True)
 
 
-def once(value: Column, f) -> Column:
-    """f(value), with value made once however often f names it: as the only element of an array that f works on."""
-    return F.get(F.transform(F.array(value), f), F.lit(0))
-
-
 def slot(value: Column) -> Column:
     """Without courtesies and times, squeezed, cut at 80; null if shorter than two characters."""
     clean = F.trim(F.regexp_replace(F.regexp_replace(value, edged(FILLERS, True), " "), r"\s+", " "))

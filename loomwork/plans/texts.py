@@ -118,7 +118,7 @@ SELECT a.p_partkey, english, twi FROM a JOIN b ON a.p_partkey = b.p_partkey
 )
 def number_words(t: Tables) -> DataFrame:
     number = F.col("p_size").cast("string")
-    return t.part.select("p_partkey", speech.number_words(number, F.lit("en")).alias("english"), speech.number_words(number, F.lit("tw")).alias("twi"))
+    return t.part.select("p_partkey", speech.number_words(number, "en").alias("english"), speech.number_words(number, "tw").alias("twi"))
 
 
 @query("noise_variants")

@@ -140,6 +140,47 @@ def test_masked(spark):
     assert len({str(got[k]) for k in range(60)}) > 50
 
 
+def plain_words(n: int, language: str) -> str:
+    """By thousands, hundreds and tens, one after another."""
+    twi = language == "tw"
+    ones, tens = (speech.ONES_TW, speech.TENS_TW) if twi else (speech.ONES_EN, speech.TENS_EN)
+    if n < 20:
+        return ones[n]
+    parts, thousand = [], n // 1000
+    if thousand:
+        parts += [plain_words(thousand, language), "apem" if twi else "thousand"]
+    if hundred := n % 1000 // 100:
+        parts.append(("ɔha" if hundred == 1 else f"{ones[hundred]} ɔha") if twi else f"{ones[hundred]} hundred")
+    if rest := n % 100:
+        parts += [ones[rest]] if rest < 20 else [tens[rest // 10]] + ([ones[rest % 10]] if rest % 10 else [])
+    return " ".join(parts)
+
+
+def plain_number(token: str, language: str) -> str:
+    if not re.fullmatch(r"[0-9]+(\.[0-9]+)?", token):
+        return token
+    whole, _, part = token.partition(".")
+    said = plain_words(int(whole), language) if int(whole) <= 999_999 else str(int(whole)) if part else whole
+    if not part or part == "00":
+        return said
+    return f"{said} point " + (plain_words(int(part), language) if len(part) == 2 else " ".join(plain_words(int(d), language) for d in part))
+
+
+@pytest.mark.parametrize("language", ["en", "tw"])
+def test_numbers_in_words(spark, language):
+    rng = random.Random(5)
+    tokens = [str(n) for n in [*range(130), 199, 200, 1000, 1001, 1100, 20_019, 100_000, 999_999, 1_000_000]] + [str(rng.randrange(10 ** rng.randrange(1, 8))) for _ in range(300)]
+    tokens += ["007", "0000000", "12.5", "12.50", "0.05", "1.00", "3.125", "1234567.25", "001234567.1", "x", "", "1.", ".5", "1.2.3", "1" * 50, "-4"]
+    df = spark.createDataFrame([(t,) for t in [*tokens, None]], "t string")
+    for r in df.select("t", speech.number_words(F.col("t"), language).alias("w")).collect():
+        assert r.w == (None if r.t is None else plain_number(r.t, language)), r.t
+    pieces = [*tokens, "GHS 5", "gh₵12.50", "₵3", "word", "v2", "3kg", "4,", "5?!", "6. ", "1,000", "2024-01-05", "\u00a07\u00a0", "\n8\n"]
+    texts = [" ".join(rng.choice(pieces) for _ in range(rng.randrange(0, 12))) for _ in range(300)]
+    for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", speech.spoken_numbers(F.col("t"), language).alias("w")).collect():
+        amounts = re.sub(r"(?:GH₵|GHS|₵)\s*([0-9]+(?:\.[0-9]{1,2})?)", lambda m: "Ghana cedi " + plain_number(m[1], language), r.t, flags=re.IGNORECASE | re.ASCII)
+        assert r.w == re.sub(r"(?<!\S)([0-9]+(?:\.[0-9]+)?)(?=[.,;:!?]*(?:\s|$))", lambda m: plain_number(m[1], language), amounts)
+
+
 def test_prepared(spark):
     cases = {
         "en": [("Take 12 mg or 3.5 ml - 250 people.", "Take twelve milligrams or three point five milliliters - two hundred fifty people."), ("The CHW said: *WHO* pays GHS 5", None), (None, ""), ("a–b  c", "a, b c"), ("1000001 kg", "1000001 kilograms")],
