@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomwork.core import Tables, query
 from loomwork.functions.checks import light
 from loomwork.operators.numbering import keep_first, numbered
+from loomwork.operators.runs import numbered_runs
 
 
 @query("previous_duplicate", "WITH p AS (SELECT doc_id, lag(doc_id) OVER (PARTITION BY text ORDER BY doc_id) AS seen FROM documents) SELECT doc_id, seen FROM p WHERE seen IS NOT NULL")
@@ -71,10 +72,8 @@ SELECT user_id, CAST(session AS BIGINT) AS session, CAST(count(*) AS BIGINT) AS
 )
 def sessionize_gap(t: Tables) -> DataFrame:
     """A user's events with no gap of more than six hours are one session."""
-    own = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    gap = F.col("ts") - F.lag("ts").over(own)
-    rows = t.events.withColumn("fresh", F.when(gap <= F.expr("INTERVAL 6 HOURS"), 0).otherwise(1))
-    rows = rows.withColumn("session", F.sum("fresh").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    events = t.events.select("user_id", "event_id", "ts")
+    rows = numbered_runs(events, "user_id", ["ts", "event_id"], F.col("ts"), lambda before, ts: before.isNull() | (ts - before > F.expr("INTERVAL 6 HOURS")), "session", t.cut)
     seconds = F.floor(F.unix_seconds(F.max("ts").cast("timestamp"))) - F.floor(F.unix_seconds(F.min("ts").cast("timestamp")))
     return rows.groupBy("user_id", "session").agg(F.count("*").alias("n"), seconds.cast("long").alias("seconds"))
 
@@ -90,10 +89,8 @@ SELECT user_id, CAST(segment AS BIGINT) AS segment, min(event_id) AS first_event
 )
 def voiced_segments(t: Tables) -> DataFrame:
     """Islands of events over a level."""
-    own = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    rows = t.events.withColumn("voiced", F.col("value") >= 100)
-    rows = rows.withColumn("starts", (F.col("voiced") & ~F.coalesce(F.lag("voiced").over(own), F.lit(False))).cast("int"))
-    rows = rows.withColumn("segment", F.sum("starts").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    events = t.events.select("user_id", "event_id", "ts", (F.col("value") >= 100).alias("voiced"))
+    rows = numbered_runs(events, "user_id", ["ts", "event_id"], F.col("voiced"), lambda before, voiced: voiced & ~F.coalesce(before, F.lit(False)), "segment", t.cut)
     return rows.filter("voiced").groupBy("user_id", "segment").agg(F.min("event_id").alias("first_event"), F.count("*").alias("n"))
 
 
