@@ -10,13 +10,18 @@ from loomwork.llm import common, jaccard, language, mixing, packing, secrets
 #: Keys of removed near duplicates are broadcast only up to this many.
 BROADCAST_KEYS = 500_000
 #: Bytes of rows in one batch between the JVM and a Python worker, each of which holds a batch on its way in and one on its way out.
-BATCH_BYTES = "8m"
+BATCH_BYTES = "4m"
 BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: How the C library of Python workers keeps what was freed: arrays of a megabyte go back to the system at once, in two arenas at most.
+#: A worker outlives its task, so what it kept would be the next stage's burden.
+ALLOCATOR = {"MALLOC_MMAP_THRESHOLD_": "1048576", "MALLOC_TRIM_THRESHOLD_": "1048576", "MALLOC_ARENA_MAX": "2"}
 
 
 def _ready(spark: SparkSession) -> None:
     common.ship(spark)
     spark.conf.set(BATCH, BATCH_BYTES)
+    for name, value in ALLOCATOR.items():
+        spark.sparkContext.environment.setdefault(name, value)
 
 
 def _by_place(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
