@@ -111,7 +111,7 @@ SELECT (SELECT CAST(count(*) AS BIGINT) FROM kept) AS n_lines, (SELECT CAST(coun
 def vocab_stats(t: Tables) -> DataFrame:
     """Lines, repeated lines, tokens and distinct tokens of the corpus, in one scan. Lines are told apart by a hash: a text gives a
     row of its hash with its number of tokens, and a row of each distinct token, so that no text is shuffled."""
-    lines = t.documents.select(corpus_words(F.col("text")).alias("t")).select(F.sha2("t", 256).alias("line"), F.when(F.col("t") != "", F.split("t", " ")).alias("w"))
+    lines = t.spread(t.documents.select("text")).select(corpus_words(F.col("text")).alias("t")).select(F.sha2("t", 256).alias("line"), F.when(F.col("t") != "", F.split("t", " ")).alias("w"))
     row = lambda line, n, word: F.struct(line.alias("line"), n.alias("n"), word.alias("word"))
     none, no_line = F.lit(None).cast("int"), F.lit(None).cast("string")
     rows = F.concat(F.array(row(F.col("line"), F.size("w"), no_line)), F.transform(F.array_distinct("w"), lambda w: row(no_line, none, w)))
@@ -132,7 +132,7 @@ SELECT gram, CAST(count(*) AS BIGINT) AS n FROM grams GROUP BY gram
 def trigram_counts(t: Tables) -> DataFrame:
     """How often each word trigram occurs. Words are zipped with themselves, one and two places on; the ends give nulls."""
     join = lambda a, b: F.concat(a, F.lit(" "), b)
-    words = t.documents.select(F.split(corpus_words(F.col("text")), " ").alias("w"))
+    words = t.spread(t.documents.select("text")).select(F.split(corpus_words(F.col("text")), " ").alias("w"))
     after = lambda n: F.slice("w", n + 1, F.size("w"))
     grams = words.select(F.explode(F.zip_with(F.zip_with("w", after(1), join), after(2), join)).alias("gram")).filter("gram is not null")
     return grams.groupBy("gram").agg(F.count("*").alias("n"))

@@ -62,7 +62,7 @@ _EVERY = f"SELECT DISTINCT {_NORMAL.format('line')} AS t FROM (SELECT UNNEST(str
 @query("word_model", f"WITH {_model(_EVERY)} SELECT ngram_order, concat_ws(' ', a, b, c) AS gram, round(log10(p), 6) AS log10_p, round(log10(back), 6) AS log10_back FROM model")
 def word_model(t: Tables) -> DataFrame:
     """The trigram model with modified Kneser-Ney smoothing, as ARPA files state it."""
-    model = ngrams.kneser_ney(_lines(t.documents), "w", 3, t.cut)
+    model = ngrams.kneser_ney(_lines(t.spread(t.documents.select("text"))), "w", 3, t.cut)
     return model.select(F.col("order").alias("ngram_order"), ngrams.gram(model).alias("gram"), F.round(F.log10("p"), 6).alias("log10_p"), F.round(F.log10("back"), 6).alias("log10_back"))
 
 

@@ -63,7 +63,7 @@ SELECT doc_id, round(score, 6) AS score FROM s WHERE score > 0 ORDER BY score DE
 """,
 )
 def lexical_topk(t: Tables) -> DataFrame:
-    ranked = lexical_ranked(t.documents, "text", "The clinic and fever medicine, that is thetion!")
+    ranked = lexical_ranked(t.spread(t.documents.select("doc_id", "text")), "text", "The clinic and fever medicine, that is thetion!")
     return ranked.orderBy(F.desc("score"), "doc_id").limit(10).select("doc_id", F.round("score", 6).alias("score"))
 
 
@@ -78,7 +78,7 @@ SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, round(score, 6) AS score
 )
 def lexical_topk_requests(t: Tables) -> DataFrame:
     """Every benchmark text as a request against all documents."""
-    found = lexical_top_k(t.documents, t.benchmark, 10, t.cut, request_key="item_id")
+    found = lexical_top_k(t.spread(t.documents.select("doc_id", "text")), t.benchmark, 10, t.cut, request_key="item_id")
     return found.select("item_id", "rank", "doc_id", F.round("score", 6).alias("score"))
 
 

@@ -92,13 +92,13 @@ SELECT doc_id, substr(trim(regexp_replace(regexp_replace(regexp_replace(t, '[*_#
 def speakable_text(t: Tables) -> DataFrame:
     """Texts with a line of jargon in front, cut at 500 characters, which is the feature."""
     jargon = F.concat(F.lit("CHWs at the ANC say: *MoMo* GHS 5, see https://who.int/x (WHO) "), "text")
-    return t.documents.select("doc_id", speech.speakable(jargon, "tw").alias("spoken"))
+    return t.spread(t.documents).select("doc_id", speech.speakable(jargon, "tw").alias("spoken"))
 
 
 @query("prepare_text")
 def prepare_text(t: Tables) -> DataFrame:
     """Rows only: number words have no SQL. The function is tested against expected sentences."""
-    return t.documents.select("doc_id", speech.prepared(F.concat(F.lit("Take 12 mg or 3.5 ml - 250 people. "), "text"), "en").alias("spoken"))
+    return t.spread(t.documents).select("doc_id", speech.prepared(F.concat(F.lit("Take 12 mg or 3.5 ml - 250 people. "), "text"), "en").alias("spoken"))
 
 
 _NUM = "CASE WHEN n < 20 THEN ones[n + 1] ELSE tens[n // 10 + 1] || CASE WHEN n % 10 > 0 THEN ' ' || ones[n % 10 + 1] ELSE '' END END"
@@ -124,7 +124,7 @@ def number_words(t: Tables) -> DataFrame:
 @query("noise_variants")
 def noise_variants(t: Tables) -> DataFrame:
     """Rows only: hashes of the key pick the edits. Tested against plain Python."""
-    return t.documents.select("doc_id", speech.noised(F.col("doc_id"), F.col("text")).alias("noised"), speech.pair_language(F.col("text")).alias("language"))
+    return t.spread(t.documents).select("doc_id", speech.noised(F.col("doc_id"), F.col("text")).alias("noised"), speech.pair_language(F.col("text")).alias("language"))
 
 
 @query(
@@ -198,7 +198,7 @@ _FLAGS = (("english", r"\b(the|and|of)\b"), ("health", "health|symptom|medicine|
 
 @query("multi_label_flags", "SELECT doc_id, " + ", ".join(f"regexp_matches(text, '(?i){p}') AS {n}" for n, p in _FLAGS) + " FROM documents")
 def multi_label_flags(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", *(F.col("text").rlike("(?i)" + p.replace(r"\b", EDGE)).alias(n) for n, p in _FLAGS))
+    return t.spread(t.documents).select("doc_id", *(F.col("text").rlike("(?i)" + p.replace(r"\b", EDGE)).alias(n) for n, p in _FLAGS))
 
 
 @query(
@@ -266,7 +266,7 @@ SELECT doc_id, CAST(UNNEST(range(0, len(chunks))) AS INTEGER) AS n, UNNEST(chunk
 )
 def pack_chunks(t: Tables) -> DataFrame:
     """Sentences packed greedily into pieces of 160 characters."""
-    return t.documents.select("doc_id", F.posexplode(chunks.sentences(F.col("text"))).alias("n", "chunk"))
+    return t.spread(t.documents).select("doc_id", F.posexplode(chunks.sentences(F.col("text"))).alias("n", "chunk"))
 
 
 @query(
