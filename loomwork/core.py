@@ -30,7 +30,7 @@ class Tables:
     def cut(self, df: DataFrame, name: str) -> DataFrame:
         """df, written between jobs into a new folder that driver and executors share, and read back from there."""
         path = scratch(self.spark, name)
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
 

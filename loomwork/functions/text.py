@@ -59,7 +59,7 @@ def squeezed(text: Column) -> Column:
 
 def corpus_words(text: Column) -> Column:
     """Lower case, letters, digits and _ only, single spaces: for counting words of composed text."""
-    return squeezed(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_\s]", " "))
+    return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_]+", " "))
 
 
 def corpus_normal(text: Column) -> Column:

@@ -14,6 +14,8 @@ BEGIN, END, UNKNOWN = "<s>", "</s>", "<unk>"
 #: Discounts of counts 1, 2 and 3 or more where an order's counts of counts don't allow an estimate.
 FALLBACK = (0.5, 1.0, 1.5)
 SEPARATOR = " "
+#: How many words have codes (up to four letters or digits), the codes of the marks, and what stands before words that are spelt out.
+CODES, BEGIN_CODE, END_CODE, SPELT = 1 << 19, "<", ">", "~"
 
 
 def _names(n: int) -> list[str]:
@@ -23,28 +25,49 @@ def _names(n: int) -> list[str]:
 def grams_of(lines: DataFrame, words: str, order: int, *keep: str) -> DataFrame:
     """w1 to w<order>: a row for each run of `order` words of the array column `words`, with one mark of begin and one of end."""
     marked = lines.select(*keep, F.concat(F.array(F.lit(BEGIN)), words, F.array(F.lit(END))).alias("w"))
-    runs = F.when(F.size("w") >= order, F.sequence(F.lit(0), F.size("w") - order))
-    each = F.transform(runs, lambda i: F.struct(*(F.get("w", i + k).alias(name) for k, name in enumerate(_names(order)))))
-    return marked.select(*keep, F.explode(each).alias("g")).select(*keep, "g.*")
+    n = F.greatest(F.size("w") - order + 1, F.lit(0))
+    shifted = F.arrays_zip(*(F.slice("w", i, n) for i in range(1, order + 1)))
+    return marked.select(*keep, F.inline(shifted).alias(*_names(order)))
 
 
-def counts(lines: DataFrame, words: str, order: int = 3) -> list[DataFrame]:
-    """Tables w1 … wn, n for n = 1 to `order`, of lines of one word at least, all from the runs of the highest order.
+def codes(words: DataFrame) -> DataFrame:
+    """word, code: short codes for the CODES most frequent values of the column `word`, the shortest for the most frequent, and for the marks.
 
-    The highest order has plain counts. Below, n is the number of different words that an n-gram follows; n-grams at a line's begin
-    follow nothing, so theirs are plain counts. The mark of begin is no unigram."""
-    if order < 2:
-        raise ValueError("models have 2 orders at least")
-    rows = lines.filter(F.size(words) > 0)
-    by_order = {order: grams_of(rows, words, order).groupBy(*_names(order)).agg(F.count("*").alias("n"))}
-    for k in range(order - 1, 0, -1):
-        upper, names = by_order[k + 1], _names(k)
-        inner = upper.select(*(F.col(f"w{i + 1}").alias(f"w{i}") for i in range(1, k + 1))).groupBy(*names).agg(F.count("*").alias("n"))
-        if k > 1:
-            first = grams_of(rows, words, k).filter(F.col("w1") == BEGIN).groupBy(*names).agg(F.count("*").alias("n"))
-            inner = inner.unionByName(first)
-        by_order[k] = inner
-    return [by_order[k] for k in range(1, order + 1)]
+    Which words have one decides how wide rows are between jobs and never what comes out, as other words are spelt out."""
+    often = words.filter("word is not null").groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(CODES)
+    place = F.row_number().over(Window.orderBy(F.desc("n"), "word"))  # CODES rows at any size
+    marks = words.sparkSession.createDataFrame([(BEGIN, BEGIN_CODE), (END, END_CODE)], "word string, code string")
+    return often.filter(~F.col("word").isin(BEGIN, END)).select("word", F.lower(F.conv(place.cast("string"), 10, 36)).alias("code")).unionByName(marks)
+
+
+def _coded(rows: DataFrame, names: list[str], book: DataFrame) -> DataFrame:
+    """The words of these columns as codes; words without one are spelt out behind SPELT, without SEPARATOR."""
+    for name in names:
+        spelt = F.concat(F.lit(SPELT), F.replace(F.replace(name, F.lit("%"), F.lit("%25")), F.lit(SEPARATOR), F.lit("%20")))
+        found = rows.join(F.broadcast(book.select(F.col("word").alias(name), "code")), name, "left")
+        rows = found.withColumn(name, F.coalesce("code", spelt)).drop("code")
+    return rows
+
+
+def _decoded(rows: DataFrame, names: list[str], book: DataFrame) -> DataFrame:
+    for name in names:
+        spelt = F.replace(F.replace(F.substring(name, 2, 1 << 30), F.lit("%20"), F.lit(SEPARATOR)), F.lit("%25"), F.lit("%"))
+        found = rows.join(F.broadcast(book.select(F.col("code").alias(name), "word")), name, "left")
+        rows = found.withColumn(name, F.coalesce("word", F.when(_is_rare(name), spelt))).drop("word")
+    return rows
+
+
+def _is_rare(code: str) -> Column:
+    return F.startswith(code, F.lit(SPELT))
+
+
+def _part(text: str, at: int) -> Column:
+    """So many words of a coded n-gram, from the left, or from the right if negative."""
+    return F.substring_index(text, SEPARATOR, at)
+
+
+def _joined(*columns: str) -> Column:
+    return F.concat_ws(SEPARATOR, *columns)
 
 
 def discounts(table: DataFrame) -> tuple[float, float, float]:
@@ -58,48 +81,122 @@ def discounts(table: DataFrame) -> tuple[float, float, float]:
     return found if all(0 <= d <= k for k, d in enumerate(found, 1)) else FALLBACK
 
 
-def _taken(d: tuple[float, float, float]) -> Column:
-    return F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
+def _sums(over=lambda c: c) -> dict[str, Column]:
+    """Of the n-grams of a context: the sum of counts, and how many have a count of 1, of 2, and of 3 or more."""
+    some = lambda when: F.count(F.when(when, 1))
+    n = F.col("n")
+    return {"total": over(F.sum("n")), "n1": over(some(n == 1)), "n2": over(some(n == 2)), "n3": over(some(n >= 3))}
 
 
-def _contexts(table: DataFrame, by: list[str], d: tuple[float, float, float]) -> DataFrame:
-    """by, total, back: the counts after a context, and the share that its discounts leave for the order below."""
-    some = lambda when: F.count(F.when(when, 1))
-    left = d[0] * some(F.col("n") == 1) + d[1] * some(F.col("n") == 2) + d[2] * some(F.col("n") >= 3)
-    return table.groupBy(*by).agg(F.sum("n").alias("total"), left.alias("left")).select(*by, "total", (F.col("left") / F.col("total")).alias("back"))
+def _share(d: tuple[float, float, float], n: str = "n", total: str = "total") -> Column:
+    """What a count has after its discount, of its context's sum."""
+    return (F.col(n) - F.when(F.col(n) == 1, d[0]).when(F.col(n) == 2, d[1]).otherwise(d[2])) / F.col(total)
 
 
-def kneser_ney(lines: DataFrame, words: str, order: int = 3, cut=lambda df, name: df) -> DataFrame:
+def _left(d: tuple[float, float, float]) -> Column:
+    """What discounts leave of a context for the order below."""
+    return (d[0] * F.col("n1") + d[1] * F.col("n2") + d[2] * F.col("n3")) / F.col("total")
+
+
+def _by_suffix(grams: DataFrame, whole: DataFrame | None, k: int) -> DataFrame:
+    """Of n-grams (context, gram, n), their last k words as `key`, in several rows each: one for every n-gram that ends in it (its
+    first word, n and its context's sums), before them one without `first` if it is a context itself, with its sums.
+
+    `size` is the key's own count: of different words before it, and where a line begins with it the plain count. `is_head` marks one
+    row of each key. `whole` (gram, n) counts lines of k words with their marks, which no longer n-gram has."""
+    group = (Window.unboundedPreceding, Window.unboundedFollowing)
+    context = Window.partitionBy("context").orderBy("gram")
+    sums = _sums(lambda c: c.over(context.rowsBetween(*group)))
+    rows = grams.withColumns({**sums, "at": F.row_number().over(context)})
+    longer = F.struct("gram", "n", *sums)
+    own = F.struct(F.concat(F.lit(SEPARATOR), "context").alias("gram"), F.lit(None).cast("long").alias("n"), *sums)
+    rows = rows.select(F.explode(F.when(F.col("at") == 1, F.array(longer, own)).otherwise(F.array(longer))).alias("r")).select("r.*")
+    if whole is not None:
+        rows = rows.unionByName(whole.withColumn("gram", F.concat(F.lit(SEPARATOR), "gram")), allowMissingColumns=True)
+    rows = rows.repartition(_part("gram", -k)).select(_part("gram", -k).alias("key"), F.nullif(_part("gram", 1), F.lit("")).alias("first"), "n", *sums)
+    key = Window.partitionBy("key").orderBy(F.asc_nulls_first("first"), F.asc_nulls_first("n"))
+    plain = F.sum(F.when(F.col("first").isNull(), F.coalesce("total", F.lit(0)) + F.coalesce("n", F.lit(0))))
+    size = F.when(_part("key", 1) == BEGIN_CODE, plain.over(key.rowsBetween(*group))).otherwise(F.count("first").over(key.rowsBetween(*group)))
+    return rows.withColumns({"size": size, "is_head": F.row_number().over(key) == 1})
+
+
+def _heads(keys: DataFrame, k: int) -> DataFrame:
+    """context, gram, n: a row for each key of k words."""
+    return keys.filter("is_head").select(_part("key", k - 1).alias("context"), F.col("key").alias("gram"), F.col("size").alias("n"))
+
+
+def _of_words(rows: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
+    """rows joined with a table of words for each of these columns: with the coded words of each, CODES at most, where they are sent to
+    all tasks, and with all of them where one of a row's words is spelt out."""
+    rare = F.lit(False)
+    for c in tables:
+        rare = rare | _is_rare(c)
+    often, seldom = rows.filter(~rare), rows.filter(rare)
+    for c, table in tables.items():
+        often, seldom = often.join(F.broadcast(table.filter(~_is_rare(c))), c), seldom.join(table, c)
+    return often.unionByName(seldom)
+
+
+def kneser_ney(lines: DataFrame, words: str, order: int = 3, cut=lambda df, name: df, book: DataFrame | None = None) -> DataFrame:
     """order, w1 … wn (null above the n-gram's own order), p, back: an interpolated model with modified Kneser-Ney discounts.
 
+    The highest order has plain counts. Below, n is the number of different words that an n-gram follows; n-grams at a line's begin
+    follow nothing, so theirs are plain counts. The mark of begin is no unigram.
+
     `words` is an array column; empty and null ones are left out, repeated lines count each. p is a probability after the words
     before, back the factor for words that never follow this n-gram (1 if it is no context; null in the highest order). The
     unigrams hold UNKNOWN, whose p is what unigrams leave, dealt evenly over all words, END and UNKNOWN; BEGIN is never predicted and
     has p = 1, as files of such models say. Without any line there are no rows.
 
-    `cut` writes a table between jobs: the counts of each order are read several times."""
-    tables = [cut(t, f"grams{k}") for k, t in enumerate(counts(lines, words, order), 1)]
-    ds = [discounts(t) for t in tables]
-    by_context = {k: cut(_contexts(tables[k - 1], _names(k - 1), ds[k - 1]), f"contexts{k}") for k in range(2, order + 1)}
-    whole = _contexts(tables[0], [], ds[0]).crossJoin(tables[0].agg((F.count("*") + 1).alias("size"))).filter("total is not null")
-    known = tables[0].join(F.broadcast(whole))  # one row of sums
-    lower = known.select("w1", ((F.col("n") - _taken(ds[0])) / F.col("total") + F.col("back") / F.col("size")).alias("p"))
-    marks = whole.select(F.lit(UNKNOWN).alias("w1"), (F.col("back") / F.col("size")).alias("p")).unionByName(whole.select(F.lit(BEGIN).alias("w1"), F.lit(1.0).alias("p")))
-    levels = [cut(lower.unionByName(marks), "p1")]
-    for k in range(2, order + 1):
-        names = _names(k)
-        below = levels[-1].select(*(F.col(f"w{i}").alias(f"w{i + 1}") for i in range(1, k)), F.col("p").alias("below"))
-        joined = tables[k - 1].join(by_context[k], names[:-1]).join(below, names[1:])
-        levels.append(cut(joined.select(*names, ((F.col("n") - _taken(ds[k - 1])) / F.col("total") + F.col("back") * F.col("below")).alias("p")), f"p{k}"))
-    out = []
-    for k, level in enumerate(levels, 1):
-        if k < order:
-            level = level.join(by_context[k + 1].select(*_names(k), "back"), _names(k), "left").withColumn("back", F.coalesce("back", F.lit(1.0)))
-        else:
-            level = level.withColumn("back", F.lit(None).cast("double"))
-        empty = [F.lit(None).cast("string").alias(w) for w in _names(order)[k:]]
-        out.append(level.select(F.lit(k).alias("order"), *_names(k), *empty, "p", "back"))
-    return reduce(DataFrame.unionByName, out)
+    Words travel as codes (`book` as codes() gives it, by default of these lines). The n-grams of the highest order are dealt twice: by
+    the words before the last, and with the sums of these by the words after the first. `cut` writes a table between jobs."""
+    if order < 2:
+        raise ValueError("models have 2 orders at least")
+    names = _names(order)
+    rows = lines.filter(F.size(words) > 0)
+    book = cut(codes(rows.select(F.explode(words).alias("word"))) if book is None else book, "codes")
+    runs = _coded(grams_of(rows, words, order), names, book).select(_joined(*names).alias("gram")).repartition(_part("gram", order - 1))
+    grams = runs.groupBy(_part("gram", order - 1).alias("context"), "gram").agg(F.count("*").alias("n"))
+    by_key = {}
+    for k in range(order - 1, 1, -1):
+        short = _coded(grams_of(rows.filter(F.size(words) == k - 2), words, k), _names(k), book) if k > 2 else None  # k marks in all
+        whole = short.groupBy(_joined(*_names(k)).alias("gram")).agg(F.count("*").alias("n")) if k > 2 else None
+        by_key[k] = cut(_by_suffix(grams, whole, k), f"keys{k}")
+        grams = _heads(by_key[k], k)
+    pairs = (grams if order > 2 else cut(grams, "pairs")).select(_part("gram", 1).alias("x"), _part("gram", -1).alias("y"), "n")
+    after = cut(pairs.groupBy("x").agg(*(c.alias(name) for name, c in _sums().items())), "after")
+    single = cut(pairs.groupBy("y").agg(F.count("*").alias("n")), "single")
+    d1, d2 = discounts(single), discounts(pairs)
+    whole = single.agg(*(c.alias(name) for name, c in _sums().items()), (F.count("*") + 1).alias("size")).filter("total is not null")
+    whole = whole.select("total", "size", _left(d1).alias("left"))
+    first = single.join(F.broadcast(whole)).select("y", (_share(d1) + F.col("left") / F.col("size")).alias("p1"))  # one row of sums
+    first = cut(first, "p1")
+    marks = whole.select(F.lit(SPELT + UNKNOWN).alias("y"), (F.col("left") / F.col("size")).alias("p1")).unionByName(whole.select(F.lit(BEGIN_CODE).alias("y"), F.lit(1.0).alias("p1")))
+    back = after.select(F.col("x").alias("y"), _left(d2).alias("back"))
+    out = [first.unionByName(marks).join(back, "y", "left").select(F.col("y").alias("gram"), F.col("p1").alias("p"), F.coalesce("back", F.lit(1.0)).alias("back"))]
+    tables = {"x": after.select("x", F.col("total").alias("of"), _left(d2).alias("left")), "y": first}
+    p2 = _share(d2, "n" if order == 2 else "size", "of") + F.col("left") * F.col("p1")
+    if order == 2:
+        out.append(_of_words(pairs, tables).select(_joined("x", "y").alias("gram"), p2.alias("p"), F.lit(1.0).alias("back")))
+    else:
+        split = by_key[2].withColumns({"x": _part("key", 1), "y": _part("key", -1)})
+        level = _of_words(split, tables).withColumn("p", p2)
+    for k in range(2, order):
+        d = discounts(by_key[k].filter("first is not null"))
+        is_context = F.col("first").isNull() & F.col("total").isNotNull()
+        own = F.struct(F.col("key").alias("gram"), "p", F.when(is_context, _left(d)).otherwise(1.0).alias("back"))
+        longer = F.struct(_joined("first", "key").alias("gram"), (_share(d) + _left(d) * F.col("p")).alias("p"), F.lit(1.0).alias("back"))
+        none = F.array().cast("array<struct<gram:string,p:double,back:double>>")
+        each = F.when(F.col("is_head"), F.array(own)).otherwise(none)
+        if k + 1 == order:
+            each = F.concat(each, F.when(F.col("first").isNotNull(), F.array(longer)).otherwise(none))
+        out.append(level.select(F.explode(each).alias("g")).select("g.*"))
+        if k + 1 < order:
+            known = level.filter("first is not null").select(longer.alias("r")).select(F.col("r.gram").alias("key"), "r.p")
+            level = by_key[k + 1].join(cut(known, f"p{k + 1}"), "key")
+    coded = reduce(DataFrame.unionByName, out).withColumn("w", F.split("gram", SEPARATOR))
+    coded = coded.select(F.size("w").alias("order"), *(F.get("w", F.lit(i)).alias(name) for i, name in enumerate(names)), "p", "back")
+    return _decoded(coded, names, book).select("order", *names, "p", F.when(F.col("order") < order, F.col("back")).alias("back"))
 
 
 def gram(model: DataFrame) -> Column:

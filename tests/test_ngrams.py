@@ -120,3 +120,30 @@ def test_score(spark, order):
         logs = [math.log10(after(p, back, tuple(line[max(0, j - order + 2) : j + 1]), w)) for j, w in enumerate(words)]
         assert r.n_words == len(words) and r.n_unknown == known.count(False)
         assert math.isclose(r.log10_p, sum(logs), rel_tol=1e-9)
+
+
+def written(tmp_path, read: dict):
+    """A cut that writes tables, and notes which files each is made from."""
+
+    def cut(df, name):
+        read[name] = df.inputFiles()
+        df.write.parquet(str(tmp_path / name))
+        return df.sparkSession.read.schema(df.schema).parquet(str(tmp_path / name))
+
+    return cut
+
+
+@pytest.mark.parametrize("order", [3, 4])
+def test_lines_are_read_once_and_words_without_codes(spark, tmp_path, monkeypatch, order):
+    """Lines are counted for the highest order alone (and lines shorter than it), and words that are spelt out are what they were."""
+    monkeypatch.setattr(ngrams, "CODES", 3)
+    lines = [x.replace("h", "~h").replace("g", "%20").replace("f", "1") for x in LINES]
+    frame(spark, lines).write.parquet(str(tmp_path / "lines"))
+    table_of = spark.read.parquet(str(tmp_path / "lines"))
+    read = {}
+    book = ngrams.codes(table_of.select(F.explode("w").alias("word")))
+    p, back = table(ngrams.kneser_ney(table_of, "w", order, written(tmp_path, read), book))
+    want, factors = plainly(lines, order)
+    assert p.keys() == want.keys() and all(math.isclose(p[g], want[g], rel_tol=1e-12) for g in want)
+    assert all(x is None if len(g) == order else math.isclose(x, factors.get(g, 1.0), rel_tol=1e-12) for g, x in back.items())
+    assert sorted(name for name, files in read.items() if any("/lines/" in f for f in files)) == ["codes", f"keys{order - 1}"]
