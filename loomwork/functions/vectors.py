@@ -73,6 +73,11 @@ def _seconds(content: Column) -> Column:
     name = lambda raw: F.lit(raw.encode().hex().upper())
 
     def part(s: Column, _: Column) -> Column:
+        """The state after the next part; behind the content's end, or with both numbers, nothing changes any more."""
+        over = (s["at"] >= F.length(content)) | (s["rate"].isNotNull() & s["data"].isNotNull())
+        return F.when(over, s).otherwise(after(s))
+
+    def after(s: Column) -> Column:
         at = s["at"]
         size, kind = number(at + 4), text(at, 4)
         return F.struct(
@@ -82,7 +87,8 @@ def _seconds(content: Column) -> Column:
         )
 
     none = F.lit(None).cast("long")
-    found = F.aggregate(F.sequence(F.lit(1), F.lit(WAVE_PARTS)), F.struct(F.lit(12).alias("at"), none.alias("rate"), none.alias("data")), part)
+    fit = F.greatest(F.floor((F.length(content) - 12) / 8).cast("int"), F.lit(1))  # parts of 8 bytes at least
+    found = F.aggregate(F.sequence(F.lit(1), F.least(fit, F.lit(WAVE_PARTS))), F.struct(F.lit(12).alias("at"), none.alias("rate"), none.alias("data")), part)
     is_wave = (text(F.lit(0), 4) == name("RIFF")) & (text(F.lit(8), 4) == name("WAVE"))
     return F.when(is_wave & (found["rate"] > 0), found["data"] / found["rate"])
 

@@ -128,7 +128,7 @@ def wav_duration(t: Tables) -> DataFrame:
     note = F.concat(raw("LIST"), little(odd), F.repeat(F.lit("00"), (odd + odd % 2).cast("int")))
     form = F.concat(raw("fmt "), little(F.lit(16)), F.lit("01000100"), little(F.lit(16000)), little(F.lit(32000)), F.lit("02001000"))
     header = F.unhex(F.concat(raw("RIFF"), little(F.lit(36)), raw("WAVE"), note, form, raw("data"), little(F.col("p_size") * 320)))
-    return t.part.select("p_partkey", vectors.wav_seconds(header).alias("seconds"))
+    return t.spread(t.part.select("p_partkey", "p_size")).select("p_partkey", vectors.wav_seconds(header).alias("seconds"))
 
 
 @query("speaker_features")

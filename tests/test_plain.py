@@ -290,3 +290,15 @@ def test_prepared_by_its_head(spark, monkeypatch):
     short = of()
     monkeypatch.setattr(speech, "HEAD", 1 << 30)
     assert short == of()
+
+
+def test_wave_parts_end_with_the_content(spark):
+    """Parts are followed no further than a wave file goes: those behind its end are not looked at."""
+    part = lambda name, body: name + len(body).to_bytes(4, "little") + body + b"\0" * (len(body) % 2)
+    fmt = part(b"fmt ", (1).to_bytes(2, "little") + (1).to_bytes(2, "little") + (8000).to_bytes(4, "little") + (16000).to_bytes(4, "little") + b"\2\0\x10\0")
+    wav = lambda *parts: b"RIFF\0\0\0\0WAVE" + b"".join(parts)
+    files = [(wav(fmt, part(b"data", b"1" * 800)), 0.05), (wav(part(b"data", b"1" * 800), part(b"junk", b"abc"), fmt), 0.05), (wav(fmt), None), (wav(*[part(b"note", b"")] * 50, fmt, b"data" + (1600).to_bytes(4, "little")), 0.1), (b"RIFF", None), (None, None)]
+    got = spark.createDataFrame([(i, f) for i, (f, _) in enumerate(files)], "i int, f binary").select("i", vectors.wav_seconds(F.col("f")).alias("s")).collect()
+    assert {r.i: r.s for r in got} == {i: s for i, (_, s) in enumerate(files)}
+    plan = spark.createDataFrame([(b"",)], "f binary").select(vectors.wav_seconds(F.col("f")).alias("s"))._jdf.queryExecution().analyzed().toString()
+    assert "length(" in plan
