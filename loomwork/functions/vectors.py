@@ -9,6 +9,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Frame and hop in samples, sub-bands, dimensions, silence level and least voiced frames of speaker features.
 FRAME, HOP, BANDS, DIMENSIONS, SILENCE, LEAST_FRAMES = 400, 160, 12, 64, 0.005, 5
@@ -128,6 +129,15 @@ def frames_of(flat: np.ndarray, offsets: np.ndarray, frame: int = FRAME, hop: in
     return row, place, np.sqrt(np.maximum(between(0, frame), 0) / frame), turns[at + frame] - turns[at + 1], between(0, frame // 2), between(frame // 2, frame), np.maximum(split, 0)
 
 
+#: Rows whose frames are measured at once: running sums over all samples of a batch would be several times the batch.
+ROWS_AT_ONCE = 256
+
+
+def _slices(v: pa.Array, f, kind: pa.DataType) -> pa.Array:
+    """f of so many rows at a time, as one array."""
+    return pa.concat_arrays([pa.array([], kind), *(f(v.slice(i, ROWS_AT_ONCE)).cast(kind) for i in range(0, len(v), ROWS_AT_ONCE))])
+
+
 def _samples(v: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All rows' samples, and where each row's begin; null rows have none."""
     sizes = pc.fill_null(pc.list_value_length(v), 0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -140,6 +150,10 @@ MEASURES = T.ArrayType(T.StructType([T.StructField("rms", T.DoubleType()), T.Str
 @F.arrow_udf(MEASURES)
 def frame_measures(v: pa.Array) -> pa.Array:
     """Of each frame of FRAME samples its loudness (root of the mean square), crossings of zero, and energy in BANDS parts, for arrays of samples."""
+    return _slices(v, _frame_measures, to_arrow_type(MEASURES))
+
+
+def _frame_measures(v: pa.Array) -> pa.Array:
     flat, offsets = _samples(v)
     row, _, rms, crossings, _, _, bands = frames_of(flat, offsets)
     inner = pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, BANDS), pa.int32()), pa.array(bands.ravel()))
@@ -152,6 +166,10 @@ def frame_measures(v: pa.Array) -> pa.Array:
 def speaker_features(v: pa.Array) -> pa.Array:
     """Speaker features of samples at 16 kHz: means over voiced frames of sub-band energies, zero crossings, loudness and tilt, and
     differences of neighbouring bands, tiled to 64 weighted dimensions of length 1. Null without enough voiced frames."""
+    return _slices(v, _speaker_features, pa.list_(pa.float64()))
+
+
+def _speaker_features(v: pa.Array) -> pa.Array:
     flat, offsets = _samples(v)
     row, _, rms, crossings, low, high, bands = frames_of(flat, offsets)
     voiced = rms >= SILENCE

@@ -10,6 +10,8 @@ import random
 import re
 import wave
 
+import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from loomwork import registry
@@ -292,6 +294,34 @@ def test_prepared_by_its_head(spark, monkeypatch):
     assert short == of()
 
 
+def test_frames_of_few_rows_at_a_time(spark, monkeypatch):
+    """Measures of a batch don't depend on how many rows are measured at once, and no more of them are."""
+    sizes = []
+    whole = vectors.frames_of
+    monkeypatch.setattr(vectors, "frames_of", lambda flat, offsets: sizes.append(len(offsets) - 1) or whole(flat, offsets))
+    rng = np.random.default_rng(2)
+    rows = [None if i % 97 == 0 else list(rng.normal(size=rng.integers(0, 2000))) for i in range(600)]
+    v = pa.array(rows, pa.list_(pa.float64()))
+    for f in (vectors.frame_measures, vectors.speaker_features):
+        many = f.func(v)
+        assert max(sizes) <= 256 and sum(sizes) == len(rows)
+        monkeypatch.setattr(vectors, "ROWS_AT_ONCE", 10_000)
+        once = f.func(v)
+        assert many.type == once.type and many.is_null().equals(once.is_null()) and [len(x or []) for x in many.to_pylist()] == [len(x or []) for x in once.to_pylist()]
+        assert np.allclose(_numbers([x for x in many.to_pylist() if x]), _numbers([x for x in once.to_pylist() if x]), rtol=1e-6, atol=1e-9)
+        monkeypatch.setattr(vectors, "ROWS_AT_ONCE", 256)
+        sizes.clear()
+    none = pa.array([], pa.list_(pa.float64()))
+    assert len(vectors.frame_measures.func(none)) == len(vectors.speaker_features.func(none)) == 0
+
+
+def _numbers(x):
+    """All numbers of nested lists and rows, in order."""
+    if isinstance(x, dict):
+        x = list(x.values())
+    return [y for part in x for y in _numbers(part)] if isinstance(x, list) else [x]
+
+
 def test_wave_parts_end_with_the_content(spark):
     """Parts are followed no further than a wave file goes: those behind its end are not looked at."""
     part = lambda name, body: name + len(body).to_bytes(4, "little") + body + b"\0" * (len(body) % 2)
