@@ -130,11 +130,10 @@ SELECT gram, CAST(count(*) AS BIGINT) AS n FROM grams GROUP BY gram
 """,
 )
 def trigram_counts(t: Tables) -> DataFrame:
-    """How often each word trigram occurs. Words are zipped with themselves, one and two places on; the ends give nulls."""
-    join = lambda a, b: F.concat(a, F.lit(" "), b)
+    """How often each word trigram occurs. Words are zipped with themselves, one and two places on."""
     words = t.spread(t.documents.select("text")).select(F.split(corpus_words(F.col("text")), " ").alias("w"))
-    after = lambda n: F.slice("w", n + 1, F.size("w"))
-    grams = words.select(F.explode(F.zip_with(F.zip_with("w", after(1), join), after(2), join)).alias("gram")).filter("gram is not null")
+    after = lambda n: F.slice("w", n + 1, F.greatest(F.size("w") - 2, F.lit(0)))
+    grams = words.select(F.inline(F.arrays_zip(after(0), after(1), after(2))).alias("a", "b", "c")).select(F.concat_ws(" ", "a", "b", "c").alias("gram"))
     return grams.groupBy("gram").agg(F.count("*").alias("n"))
 
 

@@ -332,3 +332,9 @@ def test_wave_parts_end_with_the_content(spark):
     assert {r.i: r.s for r in got} == {i: s for i, (_, s) in enumerate(files)}
     plan = spark.createDataFrame([(b"",)], "f binary").select(vectors.wav_seconds(F.col("f")).alias("s"))._jdf.queryExecution().analyzed().toString()
     assert "length(" in plan
+
+
+def test_trigrams_without_functions_by_element(spark, sf_dir):
+    """Words are zipped by built-ins that are compiled, not by functions that are called for each element."""
+    plan = registry.QUERIES["trigram_counts"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan
