@@ -16,6 +16,8 @@ FALLBACK = (0.5, 1.0, 1.5)
 SEPARATOR = " "
 #: How many words have codes (up to four letters or digits), the codes of the marks, and what stands before words that are spelt out.
 CODES, BEGIN_CODE, END_CODE, SPELT = 1 << 19, "<", ">", "~"
+#: The number of the mark of begin, before all others, and the bits of a number where an n-gram's numbers fit into one of 63 bits.
+BEGIN_NUMBER, BITS = 1, 20
 
 
 def _names(n: int) -> list[str]:
@@ -31,21 +33,27 @@ def grams_of(lines: DataFrame, words: str, order: int, *keep: str) -> DataFrame:
 
 
 def codes(words: DataFrame) -> DataFrame:
-    """word, code: short codes for the CODES most frequent values of the column `word`, the shortest for the most frequent, and for the marks.
+    """word, code, number: short codes for the CODES most frequent values of the column `word`, the shortest for the most frequent, and for
+    the marks; and the same as numbers.
 
     Which words have one decides how wide rows are between jobs and never what comes out, as other words are spelt out."""
     often = words.filter("word is not null").groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(CODES)
     place = F.row_number().over(Window.orderBy(F.desc("n"), "word"))  # CODES rows at any size
-    marks = words.sparkSession.createDataFrame([(BEGIN, BEGIN_CODE), (END, END_CODE)], "word string, code string")
-    return often.filter(~F.col("word").isin(BEGIN, END)).select("word", F.lower(F.conv(place.cast("string"), 10, 36)).alias("code")).unionByName(marks)
+    marks = words.sparkSession.createDataFrame([(BEGIN, BEGIN_CODE, BEGIN_NUMBER), (END, END_CODE, BEGIN_NUMBER + 1)], "word string, code string, number long")
+    numbered = often.filter(~F.col("word").isin(BEGIN, END)).select("word", place.alias("place"))
+    return numbered.select("word", F.lower(F.conv(F.col("place").cast("string"), 10, 36)).alias("code"), (F.col("place") + BEGIN_NUMBER + 1).cast("long").alias("number")).unionByName(marks)
+
+
+def _spelt(word: str) -> Column:
+    """A word behind SPELT, without SEPARATOR."""
+    return F.concat(F.lit(SPELT), F.replace(F.replace(word, F.lit("%"), F.lit("%25")), F.lit(SEPARATOR), F.lit("%20")))
 
 
 def _coded(rows: DataFrame, names: list[str], book: DataFrame) -> DataFrame:
-    """The words of these columns as codes; words without one are spelt out behind SPELT, without SEPARATOR."""
+    """The words of these columns as codes; words without one are spelt out."""
     for name in names:
-        spelt = F.concat(F.lit(SPELT), F.replace(F.replace(name, F.lit("%"), F.lit("%25")), F.lit(SEPARATOR), F.lit("%20")))
         found = rows.join(F.broadcast(book.select(F.col("word").alias(name), "code")), name, "left")
-        rows = found.withColumn(name, F.coalesce("code", spelt)).drop("code")
+        rows = found.withColumn(name, F.coalesce("code", _spelt(name))).drop("code")
     return rows
 
 
@@ -204,6 +212,39 @@ def gram(model: DataFrame) -> Column:
     return F.concat_ws(SEPARATOR, *(c for c in model.columns if c.startswith("w")))
 
 
+def _bits(order: int) -> int:
+    return min(BITS, 63 // order)
+
+
+def _packed(numbers: list[Column], bits: int) -> Column:
+    return reduce(lambda a, b: a.bitwiseOR(b), (F.shiftleft(x, bits * i) for i, x in enumerate(reversed(numbers))))
+
+
+def _numbered(rows: DataFrame, names: list[str], book: DataFrame, bits: int, *keep: str) -> DataFrame:
+    """g, s: the words of these columns as one number; n-grams with a word that has none have g = -1, and s has their words as text."""
+    known = book.filter(F.col("number") < 1 << bits)
+    for name in names:
+        rows = rows.join(F.broadcast(known.select(F.col("word").alias(name), F.col("number").alias(f"__{name}"))), name, "left")
+    numbers = [F.col(f"__{name}") for name in names]
+    is_whole = reduce(lambda a, b: a & b, (x.isNotNull() for x in numbers))
+    text = F.concat_ws(SEPARATOR, *(F.coalesce(x.cast("string"), _spelt(name)) for x, name in zip(numbers, names, strict=True)))
+    return rows.select(*keep, F.when(is_whole, _packed(numbers, bits)).otherwise(-1).alias("g"), F.when(is_whole, "").otherwise(text).alias("s"))
+
+
+def _taken(n: int, k: int, bits: int) -> tuple[Column, Column]:
+    """g and s of so many words of n-grams of n words, from the left, or from the right if negative."""
+    size = abs(k)
+    number = F.shiftright("g", bits * (n - k)) if k > 0 else F.col("g").bitwiseAND(F.lit((1 << bits * size) - 1))
+    text = F.substring_index("s", SEPARATOR, k)
+    is_spelt = (F.col("g") < 0) & F.contains(text, F.lit(SPELT))
+    again = _packed([F.split_part(text, F.lit(SEPARATOR), F.lit(i)).try_cast("long") for i in range(1, size + 1)], bits)
+    return F.when(F.col("g") >= 0, number).when(is_spelt, -1).otherwise(again), F.when(is_spelt, text).otherwise("")
+
+
+def _named(parts: tuple[Column, Column], of: str = "") -> list[Column]:
+    return [c.alias(f"{of}{name}") for c, name in zip(parts, "gs", strict=True)]
+
+
 def write_arpa(model: DataFrame, path: str) -> None:
     """The model as an ARPA text, in part files whose order of names is the text's order.
 
@@ -230,6 +271,20 @@ def read_arpa(spark: SparkSession, path: str, order: int = 3) -> DataFrame:
     return rows.select(n.alias("order"), *(F.get("w", F.lit(i)).alias(f"w{i + 1}") for i in range(order)), power(0).alias("p"), back.alias("back"))
 
 
+def _asked(lines: DataFrame, words: str, key: str, order: int) -> DataFrame:
+    """__key, w1 to w<order>: an n-gram for each word of the lines and for their ends, which it ends with. The first words of a line have
+    shorter contexts, with empty words before them."""
+    pads = F.array_repeat(F.lit(""), order - 2).cast("array<string>")
+    rows = lines.filter(F.size(words) > 0).select(F.col(key).alias("__key"), F.concat(pads, F.array(F.lit(BEGIN)), words, F.array(F.lit(END))).alias("w"))
+    n = F.size("w") - order + 1
+    return rows.select("__key", F.inline(F.arrays_zip(*(F.slice("w", i, n) for i in range(1, order + 1)))).alias(*_names(order)))
+
+
+def _line_sums(scored: DataFrame, key: str) -> DataFrame:
+    sums = scored.groupBy("__key").agg(F.sum("times").alias("n_words"), F.sum(F.when(F.col("is_known"), 0).otherwise(F.col("times"))).alias("n_unknown"), F.sum(F.col("times") * F.col("log10")).alias("log10_p"))
+    return sums.withColumnRenamed("__key", key)
+
+
 def score(lines: DataFrame, words: str, model: DataFrame, key: str, cut=lambda df, name: df) -> DataFrame:
     """key, n_words, n_unknown, log10_p: for each row with a word at least, the words of the array column `words` and the line's end, with END
     counted and its share of the sum. Words that the model doesn't know get UNKNOWN's probability.
@@ -238,14 +293,8 @@ def score(lines: DataFrame, words: str, model: DataFrame, key: str, cut=lambda d
     with one key are one line for the sums."""
     order = len([c for c in model.columns if c.startswith("w")])
     names = _names(order)
-    rows = lines.filter(F.size(words) > 0).select(F.col(key).alias("__key"), F.col(words).alias("words"))
     known = model.filter((F.col("order") == 1) & ~F.col("w1").isin(BEGIN)).select("w1")
-    # The first words of a line have shorter contexts: all n-grams of a line end at one of its words.
-    padded = rows.select("__key", F.concat(F.array_repeat(F.lit(""), order - 2), F.array(F.lit(BEGIN)), "words", F.array(F.lit(END))).alias("w"))
-    runs = F.sequence(F.lit(0), F.size("w") - order)
-    each = F.transform(runs, lambda i: F.struct(*(F.get("w", i + k).alias(name) for k, name in enumerate(names))))
-    found = padded.select("__key", F.explode(each).alias("g")).groupBy("__key", "g").agg(F.count("*").alias("times")).select("__key", "g.*", "times")
-    found = cut(found, "found")
+    found = cut(_asked(lines, words, key, order).groupBy("__key", *names).agg(F.count("*").alias("times")), "found")
     asked = found.select(*names).distinct()
     last = names[-1]
     result = asked.join(known.select(F.col("w1").alias(last), F.lit(True).alias("is_known")), last, "left")
@@ -258,5 +307,57 @@ def score(lines: DataFrame, words: str, model: DataFrame, key: str, cut=lambda d
         result = result.join(direct, names[order - k :], "left").join(factors, context, "left")
         result = result.withColumn("so_far", F.coalesce("direct", F.col("so_far") * F.coalesce("factor", F.lit(1.0)))).drop("direct", "factor")
     scored = found.join(result.select(*names, "is_known", F.log10("so_far").alias("log10")), names)
-    sums = scored.groupBy("__key").agg(F.sum("times").alias("n_words"), F.sum(F.when(F.col("is_known"), 0).otherwise(F.col("times"))).alias("n_unknown"), F.sum(F.col("times") * F.col("log10")).alias("log10_p"))
-    return sums.withColumnRenamed("__key", key)
+    return _line_sums(scored, key)
+
+
+def score_by(lines: DataFrame, words: str, key: str, taught: DataFrame, taught_words: str, order: int = 3, cut=lambda df, name: df, book: DataFrame | None = None) -> DataFrame:
+    """What score() gives for the lines by the model that kneser_ney() makes of the column `taught_words` of `taught`, without that model.
+
+    All n-grams of `taught` are counted, in all orders. Probabilities are made for the n-grams of the lines alone: these travel with the
+    others as rows without a count (`held`), so that each meets its own count and its context's sums where they are made. An n-gram that
+    `taught` doesn't have gets its context's factor times the order below, which is the same sum with a share of 0.
+
+    N-grams are numbers of 63 bits at most, words without a number are spelt out. Contexts of two words and more are each in one task."""
+    if order < 2:
+        raise ValueError("models have 2 orders at least")
+    names, bits = _names(order), _bits(order)
+    rows = taught.filter(F.size(taught_words) > 0)
+    book = cut(codes(rows.select(F.explode(taught_words).alias("word"))) if book is None else book, "codes")
+    found = cut(_numbered(_asked(lines, words, key, order), names, book, bits, "__key").groupBy("__key", "g", "s").agg(F.count("*").alias("times")), "found")
+    runs = _numbered(grams_of(rows, taught_words, order), names, book, bits).select("g", "s", F.lit(1).alias("n"))
+    runs = runs.unionByName(found.select("g", "s", F.lit(0).alias("n")))
+    grams = {}
+    for k in range(order, 0, -1):
+        counts = (F.sum("n").alias("n"), F.bool_or(F.col("n") == 0 if k == order else F.col("held")).alias("held"))
+        context = _taken(k, k - 1, bits) if k > 1 else None
+        if k > 2:
+            dealt = runs.repartition(*context).groupBy(*_named(context, "context_"), "g", "s").agg(*counts)
+            group = Window.partitionBy("context_g", "context_s")
+            sums = {name: F.when(F.col("held"), c) for name, c in _sums(lambda c: c.over(group)).items()}
+            grams[k] = cut(dealt.withColumns(sums).drop("context_g", "context_s"), f"counts{k}")
+        else:
+            grams[k] = cut(runs.groupBy("g", "s").agg(*counts), f"counts{k}")
+        seen = grams[k].filter("n > 0")
+        if k == 2:
+            contexts = seen.select(*_named(context, "context_"), "n").groupBy("context_g", "context_s").agg(*(c.alias(name) for name, c in _sums().items()))
+        if k > 1:
+            runs = grams[k].select(*_named(_taken(k, 1 - k, bits)), F.when(F.col("n") > 0, 1).otherwise(0).cast("long").alias("n"), "held")
+        if k > 2:
+            begin = _taken(k, 1, bits)[0] == BEGIN_NUMBER  # such n-grams follow nothing: plain counts
+            runs = runs.unionByName(seen.filter(begin).select(*_named(context), "n", F.lit(False).alias("held")))
+        if k > 3:
+            short = _numbered(grams_of(rows.filter(F.size(taught_words) == k - 3), taught_words, k - 1), names[: k - 1], book, bits)
+            runs = runs.unionByName(short.select("g", "s", F.lit(1).cast("long").alias("n"), F.lit(False).alias("held")))
+    d = {k: discounts(grams[k]) for k in grams}
+    share = lambda k: F.when(F.col("n") > 0, _share(d[k])).otherwise(0.0)
+    whole = grams[1].filter("n > 0").agg(*(c.alias(name) for name, c in _sums().items()), (F.count("*") + 1).alias("size")).filter("total is not null")
+    whole = whole.select("total", "size", _left(d[1]).alias("left"))
+    result = grams[1].filter("held").join(F.broadcast(whole)).select("g", "s", (F.col("n") > 0).alias("is_known"), (share(1) + F.col("left") / F.col("size")).alias("p"))  # one row of sums
+    for k in range(2, order + 1):
+        below = result.select(F.col("g").alias("below_g"), F.col("s").alias("below_s"), "is_known", F.col("p").alias("below"))
+        asked = grams[k].filter("held").withColumns(dict(zip(("below_g", "below_s"), _taken(k, 1 - k, bits), strict=True)))
+        if k == 2:
+            asked = asked.withColumns(dict(zip(("context_g", "context_s"), _taken(k, 1, bits), strict=True))).join(contexts, ["context_g", "context_s"], "left")
+        factor = F.when(F.col("total") > 0, _left(d[k])).otherwise(1.0)
+        result = asked.join(below, ["below_g", "below_s"]).select("g", "s", "is_known", (share(k) + factor * F.col("below")).alias("p"))
+    return _line_sums(found.join(result.select("g", "s", "is_known", F.log10("p").alias("log10")), ["g", "s"]), key)

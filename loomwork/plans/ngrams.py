@@ -56,10 +56,9 @@ def _lines(documents: DataFrame) -> DataFrame:
     return lines.distinct().select("t", F.split("t", " ").alias("w"))
 
 
-def _model_of(documents: DataFrame, cut) -> DataFrame:
-    """The trigram model of the documents' lines. The codes come from all words, as without repeated lines texts would be shuffled twice."""
-    words = documents.select(F.explode(F.split(corpus_words(F.col("text")), " ")).alias("word")).filter("word <> ''")
-    return ngrams.kneser_ney(_lines(documents), "w", 3, cut, ngrams.codes(words))
+def _codes(documents: DataFrame) -> DataFrame:
+    """Codes of all words: without repeated lines texts would be shuffled twice."""
+    return ngrams.codes(documents.select(F.explode(F.split(corpus_words(F.col("text")), " ")).alias("word")).filter("word <> ''"))
 
 
 _EVERY = f"SELECT DISTINCT {_NORMAL.format('line')} AS t FROM (SELECT UNNEST(string_split(text, chr(10))) AS line FROM documents)"
@@ -68,7 +67,8 @@ _EVERY = f"SELECT DISTINCT {_NORMAL.format('line')} AS t FROM (SELECT UNNEST(str
 @query("word_model", f"WITH {_model(_EVERY)} SELECT ngram_order, concat_ws(' ', a, b, c) AS gram, round(log10(p), 6) AS log10_p, round(log10(back), 6) AS log10_back FROM model")
 def word_model(t: Tables) -> DataFrame:
     """The trigram model with modified Kneser-Ney smoothing, as ARPA files state it."""
-    model = _model_of(t.spread(t.documents.select("text")), t.cut)
+    documents = t.spread(t.documents.select("text"))
+    model = ngrams.kneser_ney(_lines(documents), "w", 3, t.cut, _codes(documents))
     return model.select(F.col("order").alias("ngram_order"), ngrams.gram(model).alias("gram"), F.round(F.log10("p"), 6).alias("log10_p"), F.round(F.log10("back"), 6).alias("log10_back"))
 
 
@@ -94,6 +94,7 @@ SELECT md5(t) AS line, CAST(count(*) AS BIGINT) AS n_words, CAST(count(*) FILTER
 )
 def word_model_perplexity(t: Tables) -> DataFrame:
     """Perplexity of the lines of every twentieth document, by the model of all others."""
-    model = _model_of(t.spread(t.documents.filter("doc_id % 20 <> 0").select("text")), t.cut)
-    scored = ngrams.score(_lines(t.documents.filter("doc_id % 20 = 0")), "w", t.cut(model, "model"), "t", t.cut)
-    return scored.select(F.md5("t").alias("line"), "n_words", "n_unknown", F.round(F.pow(F.lit(10.0), -F.col("log10_p") / F.col("n_words")), 3).alias("perplexity"))
+    taught = t.spread(t.documents.filter("doc_id % 20 <> 0").select("text"))
+    held = _lines(t.spread(t.documents.filter("doc_id % 20 = 0").select("text"))).select(F.unhex(F.md5("t")).alias("id"), "w")
+    scored = ngrams.score_by(held, "w", "id", _lines(taught), "w", 3, t.cut, _codes(taught))
+    return scored.select(F.lower(F.hex("id")).alias("line"), "n_words", "n_unknown", F.round(F.pow(F.lit(10.0), -F.col("log10_p") / F.col("n_words")), 3).alias("perplexity"))

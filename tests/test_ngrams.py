@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from loomwork import registry
 from loomwork.operators import ngrams
 
 LINES = ["a b c", "a b", "a b d", "b c", "c", "a a a a", "d b c", "a b c e f", "e f g", "e f g h", "a b c", "h g", "g g f", "b b", "f e", "c a", "h", "i", "j", "k l"]
@@ -147,3 +148,35 @@ def test_lines_are_read_once_and_words_without_codes(spark, tmp_path, monkeypatc
     assert p.keys() == want.keys() and all(math.isclose(p[g], want[g], rel_tol=1e-12) for g in want)
     assert all(x is None if len(g) == order else math.isclose(x, factors.get(g, 1.0), rel_tol=1e-12) for g, x in back.items())
     assert sorted(name for name, files in read.items() if any("/lines/" in f for f in files)) == ["codes", f"keys{order - 1}"]
+
+
+@pytest.mark.parametrize(("order", "n_codes", "bits"), [(2, 1 << 19, 20), (3, 1 << 19, 20), (3, 3, 20), (3, 1 << 19, 3), (4, 5, 20)])
+def test_score_by_needs_no_model(spark, tmp_path, monkeypatch, order, n_codes, bits):
+    """Definitions and back-off; what is written is n-grams of the lines that are asked for, and counts."""
+    monkeypatch.setattr(ngrams, "CODES", n_codes)
+    monkeypatch.setattr(ngrams, "BITS", bits)
+    lines = [x.replace("h", "~h").replace("g", "%20").replace("f", "1") for x in LINES]
+    p, back = plainly(lines, order)
+    asked = ["a b c", "z", "a z b c", "k a l", "a a a a a a", "", "~h ~h ~h", "<s>", "1 e", "%20 %20 1 ~z", "e 1 %20 ~h a", "a b c"]
+    wrote = {}
+    got = {r.id: r for r in ngrams.score_by(frame(spark, asked), "w", "id", frame(spark, [*lines, ""]), "w", order, written(tmp_path, wrote)).collect()}
+    assert got.keys() == {i for i, x in enumerate(asked) if x}
+    for i, r in got.items():
+        line = ["<s>", *asked[i].split(), "</s>"]
+        known = [(w,) in p and w != "<s>" for w in line[1:]]
+        words = [w if k else "?" for w, k in zip(line[1:], known, strict=True)]
+        logs = [math.log10(after(p, back, tuple(line[max(0, j - order + 2) : j + 1]), w)) for j, w in enumerate(words)]
+        assert r.n_words == len(words) and r.n_unknown == known.count(False)
+        assert math.isclose(r.log10_p, sum(logs), rel_tol=1e-9)
+    assert sorted(wrote) == sorted(["codes", "found", *(f"counts{k}" for k in range(1, order + 1))])
+
+
+@pytest.mark.parametrize(("lines", "asked"), [("", "a b"), ("a b", "")])
+def test_score_by_without_lines(spark, tmp_path, lines, asked):
+    cut = written(tmp_path, {})
+    assert ngrams.score_by(frame(spark, [asked]), "w", "id", frame(spark, [lines]), "w", 3, cut).count() == 0
+
+
+def test_perplexity_makes_no_model(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(ngrams, "kneser_ney", None)
+    assert registry.QUERIES["word_model_perplexity"](spark, sf_dir).count() > 0
